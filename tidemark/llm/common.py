@@ -131,7 +131,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def of_text(docs: DataFrame, *columns: str) -> DataFrame:
-    """docs with only the columns asked for."""
+    """docs with only the columns asked for, to be handed to Python in batches of bounded bytes.
+
+    Rows of text vary too much in size for the session's default of 10,000 rows a batch.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     missing = [c for c in columns if c not in docs.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")

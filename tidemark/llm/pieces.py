@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, of_text
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 GROUP_WORDS = 1 << 19
 
 
