@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, of_text
+from tidemark.llm.common import cut, give_back, of_text
 
 CHUNK_BYTES = 16 << 20
 GROUP_WORDS = 1 << 19
@@ -58,8 +58,11 @@ def _chunks(batches: Iterator[pa.RecordBatch], splitter: Callable[[], Callable[[
         if sum(sizes) >= CHUNK_BYTES:
             yield (task << 32) | at, numbers, ids, sizes, rows
             numbers, ids, sizes, rows = _Numbers(), [], [], []
+            give_back()
     if ids:
         yield (task << 32) | (at + 1), numbers, ids, sizes, rows
+    del numbers, ids, sizes, rows
+    give_back()
 
 
 def pieces_of(docs: DataFrame, splitter: Callable) -> DataFrame:
@@ -136,6 +139,7 @@ def joined_back(docs: DataFrame, splitter: Callable, once: Callable[[DataFrame],
     def of_chunk(own: pd.DataFrame, sequences: pd.DataFrame) -> pd.DataFrame:
         by_number = own.sort_values("number")[value].to_numpy()
         parts = [finish(by_number, row) for row in sequences.itertuples(index=False)]
+        give_back()
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
 
     return values.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInPandas(of_chunk, schema)

@@ -6,6 +6,7 @@ Null and empty texts have no tokens. Repeated rows are counted each. Ids are nev
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import give_back
 from tidemark.llm.pieces import joined_back, nullable, unpacked
 
 
@@ -54,6 +56,7 @@ def counts_once(pieces: DataFrame, tokenizer_json: str, specials: tuple[str, ...
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         tokenizer = Tokenizer.from_str(tokenizer_json)
         tokenizer.no_truncation()
         tokenizer.no_padding()
@@ -63,6 +66,8 @@ def counts_once(pieces: DataFrame, tokenizer_json: str, specials: tuple[str, ...
             n = np.array([len(e.ids) for e in tokenizer.encode_batch(plain, add_special_tokens=False)], np.int32)
             n[words.isin(marked).to_numpy()] = 1
             yield pd.Series(n)
+        del tokenizer
+        give_back()
 
     return pieces.select("piece", count("piece").alias("n"))
 
