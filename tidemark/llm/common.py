@@ -118,15 +118,16 @@ _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the lower-cased words of every text, and the n + 1 offsets of the texts in them.
 
-    A word is a run of ASCII letters, digits and bytes from 128 on.
+    A word is a run of ASCII letters, digits and bytes from 128 on. For each length in prefixes, an array more holds the
+    hash of every word's first so many bytes (of the whole word, if shorter), each length with hashes of its own.
     """
     n_texts = len(offsets) - 1
     where = np.flatnonzero(_IS_WORD[data])
     if not len(where):
-        return np.zeros(0, np.uint64), np.zeros(n_texts + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(n_texts + 1, np.int64), *(np.zeros(0, np.uint64) for _ in prefixes)
     first = np.ones(len(where), bool)
     first[1:] = np.diff(where) > 1
     edge = np.searchsorted(where, offsets[1:-1])
@@ -136,7 +137,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     at = np.arange(len(where)) - np.repeat(starts, lengths)
     codes = _CODES[_LOWER[data[where]]] * (_POWERS[at & 63] + (at >> 6).astype(np.uint64))
     hashes = mixed(np.add.reduceat(codes, starts) + lengths.astype(np.uint64))
-    return hashes, np.searchsorted(where[starts], offsets)
+    heads = [
+        mixed(np.add.reduceat(np.where(at < k, codes, np.uint64(0)), starts) + np.minimum(lengths, k + 1).astype(np.uint64) * np.uint64(2 * k + 1))
+        for k in prefixes
+    ]
+    return hashes, np.searchsorted(where[starts], offsets), *heads
 
 
 def of_text(docs: DataFrame, *columns: str) -> DataFrame:

@@ -7,9 +7,12 @@ from functools import cache
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.audio import audio_features
 from tidemark.llm.byte_bpe import byte_bpe, read_ranks
 from tidemark.llm.common import table
+from tidemark.llm.quality import quality
 from tidemark.llm.token_counts import token_counts
+from tidemark.llm.toxicity import toxicity
 
 RANK_FILE, TOKENIZER_FILE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -20,15 +23,27 @@ def _tokenizer_json() -> str:
         return file.read()
 
 
+def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_features(table(spark, sf_dir, "documents"), with_media=False)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = read_ranks(public_tokenizers.path(RANK_FILE))
     out = byte_bpe(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep_ids=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer_json(), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op6_byte_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_audio_features, op4_toxicity, op6_byte_bpe, op9_quality, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
