@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.audio import audio_features
 from tidemark.llm.byte_bpe import byte_bpe, read_ranks
 from tidemark.llm.common import table
+from tidemark.llm.near import near_duplicates
 from tidemark.llm.quality import quality
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.toxicity import toxicity
@@ -37,6 +38,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,5 +50,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer_json(), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_audio_features, op4_toxicity, op6_byte_bpe, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_audio_features, op4_toxicity, op6_byte_bpe, op7_near_duplicates, op9_quality, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
