@@ -12,6 +12,7 @@ from tidemark.llm.byte_bpe import byte_bpe, read_ranks
 from tidemark.llm.common import table
 from tidemark.llm.near import near_duplicates
 from tidemark.llm.quality import quality
+from tidemark.llm.repeats import suffix_dedup
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.toxicity import toxicity
 
@@ -28,6 +29,10 @@ def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_features(table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,5 +55,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer_json(), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_audio_features, op4_toxicity, op6_byte_bpe, op7_near_duplicates, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_audio_features, op2_suffix_dedup, op4_toxicity, op6_byte_bpe, op7_near_duplicates, op9_quality, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
