@@ -6,10 +6,14 @@ from functools import cache
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.audio import audio_features
 from tidemark.llm.byte_bpe import byte_bpe, read_ranks
 from tidemark.llm.common import table
+from tidemark.llm.inner_products import top_inner_products
+from tidemark.llm.licenses import license_scan, scan_sql
+from tidemark.llm.mixing import mixed_rows
 from tidemark.llm.near import near_duplicates
 from tidemark.llm.quality import quality
 from tidemark.llm.repeats import suffix_dedup
@@ -33,10 +37,20 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixed_rows(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_tokens").alias("n_tokens"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_inner_products(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = read_ranks(public_tokenizers.path(RANK_FILE))
     out = byte_bpe(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep_ids=False)
@@ -47,6 +61,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,5 +73,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer_json(), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_audio_features, op2_suffix_dedup, op4_toxicity, op6_byte_bpe, op7_near_duplicates, op9_quality, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_audio_features, op2_suffix_dedup, op3_mixing, op4_toxicity, op5_inner_products, op6_byte_bpe, op7_near_duplicates, op8_license_scan, op9_quality, op10_token_counts,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_inner_products": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, e.vec_id, CAST(list_sum(list_transform(list_zip(q.v, e.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op8_license_scan": scan_sql(),
+}
