@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.pieces import joined_back, nullable, unpacked
 from tidemark.llm.token_counts import splitter
 
-SLOTS = 1 << 16
+SLOTS = 1 << 14
 NONE = 2**31 - 1
 
 
@@ -44,49 +44,58 @@ def rank_of(table: Column, part: Column) -> Column:
     return F.coalesce(F.try_element_at(slot, part), F.lit(NONE))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def merged_parts(word: Column, table: Column) -> Column:
     """The parts (hex) of a word (hex) after all merges, least rank first and leftmost among equals.
 
-    The fold has a step for each byte but the first; parts that nothing joins any more pass through.
+    The fold's state holds the parts and the rank of each neighbouring pair; a merge works out two ranks anew. It has a
+    step for each byte but the first; once no pair has a rank, the state passes through.
     """
     n = (F.length(word) / 2).cast("int")
-    start = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(word, i * 2 + 1, F.lit(2)))
+    none = F.array().cast("array<int>")
 
-    def pairs(parts: Column) -> Column:
+    def start(parts: Column) -> Column:
         ranks = F.zip_with(
-            F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts) - 1), lambda a, b: rank_of(table, F.concat(a, b))
-        )
-        return ranks
-
-    def join_at(parts: Column, at: Column) -> Column:
-        return F.concat(
-            F.slice(parts, 1, at - 1), F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), F.slice(parts, at + 2, F.size(parts))
+            F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts) - 1), lambda a, b: rank_of(table, F.concat(a, b))
         )
+        return F.struct(parts.alias("parts"), ranks.alias("ranks"))
 
     def step(state: Column, _: Column) -> Column:
-        parts, ended = state["parts"], state["ended"]
-
-        def move(ranks: Column) -> Column:
-            least = F.array_min(ranks)
-            return F.when(least == NONE, F.struct(parts.alias("parts"), F.lit(True).alias("ended"))).otherwise(
-                F.struct(join_at(parts, F.array_position(ranks, least).cast("int")).alias("parts"), (F.size(parts) <= 2).alias("ended"))
+        parts, ranks = state["parts"], state["ranks"]
+
+        def merge(m: Column) -> Column:
+            at, joined = m["at"], m["joined"]
+            left = F.when(at > 1, F.array(rank_of(table, F.concat(F.get(parts, at - 2), joined)))).otherwise(none)
+            right = F.when(at < F.size(ranks), F.array(rank_of(table, F.concat(joined, F.get(parts, at + 1))))).otherwise(none)
+            return F.struct(
+                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(joined), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
+                F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
             )
 
-        return F.when(ended, state).otherwise(F.get(F.transform(F.array(pairs(parts)), move), F.lit(0)))
+        def found(least: Column) -> Column:
+            at = F.array_position(ranks, least).cast("int")
+            pair = _let(at, lambda i: F.struct(i.alias("at"), F.concat(F.get(parts, i - 1), F.get(parts, i)).alias("joined")))
+            return F.when(F.coalesce(least, F.lit(NONE)) == NONE, state).otherwise(_let(pair, merge))
+
+        return _let(F.array_min(ranks), found)
 
-    first = F.struct(start.alias("parts"), (n < 2).alias("ended"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), first, step, lambda s: s["parts"])
+    singles = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(word, i * 2 + 1, F.lit(2)))
+    return F.when(n < 2, F.array(word)).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), _let(singles, start), step, lambda s: s["parts"]))
 
 
 def encoded_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(piece, ids): the decimal ids, joined by spaces, of every distinct word."""
-    table = rank_map(ranks)
+    """(piece, ids): the decimal ids, joined by spaces, of every distinct word that is not empty."""
     hexed = words.select("piece", F.hex(F.col("piece").cast("binary")).alias("word"))
-    whole = rank_of(table, F.col("word"))
-    ids = F.transform(merged_parts(F.col("word"), table), lambda p: rank_of(table, p))
-    return hexed.select(
-        "piece", F.when(whole != NONE, whole.cast("string")).otherwise(F.array_join(ids.cast("array<string>"), " ")).alias("ids")
-    )
+
+    def encode(table: Column) -> Column:
+        ids = F.transform(merged_parts(F.col("word"), table), lambda p: rank_of(table, p).cast("string"))
+        return _let(rank_of(table, F.col("word")), lambda whole: F.when(whole != NONE, whole.cast("string")).otherwise(F.array_join(ids, " ")))
+
+    return hexed.select("piece", _let(rank_map(ranks), encode).alias("ids"))
 
 
 def byte_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep_ids: bool = True) -> DataFrame:
@@ -100,29 +109,32 @@ def byte_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep_ids: b
         raise ValueError(f"the ranks lack {len(missing)} single bytes")
     tokens = spark.sparkContext.broadcast({rank: token for token, rank in ranks.items()})  # as large as the vocabulary
 
-    def finish(ids: np.ndarray, row) -> pd.DataFrame:
+    def prepare(ids: np.ndarray) -> tuple[list[str], list[bytes], np.ndarray]:
         own = tokens.value
-        texts, n_tokens, id_shas, decoded, shas = [], [], [], [], []
-        numbers = unpacked(row.numbers, int(np.sum(row.lengths))).tolist() if np.sum(row.lengths) else []
-        known: dict[int, tuple[bytes, int]] = {}
-        for number in set(numbers):
-            parts = ids[number].split(" ")
-            known[number] = b"".join(own[int(i)] for i in parts), len(parts)
-        at = 0
-        for length in row.lengths:
-            seq = numbers[at : at + length]
-            at += length
-            text = " ".join([ids[i] for i in seq])
-            raw = b"".join([known[i][0] for i in seq])
-            n_tokens.append(sum([known[i][1] for i in seq]))
+        ids = ids.tolist()
+        parts = [i.split(" ") for i in ids]
+        return ids, [b"".join([own[int(i)] for i in p]) for p in parts], np.array([len(p) for p in parts], np.int64)
+
+    def finish(known, row) -> pd.DataFrame:
+        ids, pieces, n_ids = known
+        lengths = np.asarray(row.lengths)
+        numbers = unpacked(row.numbers, int(lengths.sum()))
+        total = np.append(0, np.cumsum(n_ids[numbers]))
+        ends = np.cumsum(lengths)
+        out = {"doc_id": nullable(row.ids), "n_bytes": np.asarray(row.sizes), "n_tokens": total[ends] - total[ends - lengths]}
+        texts, id_shas, decoded, shas = [], [], [], []
+        for end, length in zip(ends.tolist(), lengths.tolist(), strict=True):
+            seq = numbers[end - length : end].tolist()
+            text = " ".join(map(ids.__getitem__, seq))
+            raw = b"".join(map(pieces.__getitem__, seq))
             id_shas.append(hashlib.sha256(text.encode()).hexdigest())
             shas.append(hashlib.sha256(raw).hexdigest())
             if keep_ids:
                 texts.append(text)
                 decoded.append(raw)
-        out = {"doc_id": nullable(row.ids), "n_bytes": np.asarray(row.sizes), "n_tokens": n_tokens, "ids_sha256": id_shas, "decoded_sha256": shas}
+        out |= {"ids_sha256": id_shas, "decoded_sha256": shas}
         return pd.DataFrame(out | ({"ids": texts, "decoded": decoded} if keep_ids else {}))
 
     schema = "doc_id long, n_bytes long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids string, decoded binary" if keep_ids else "")
     once: Callable[[DataFrame], DataFrame] = lambda words: encoded_words(words, ranks)
-    return joined_back(docs, splitter(pattern), once, "ids", finish, schema)
+    return joined_back(docs, splitter(pattern), once, "ids", finish, schema, prepare=prepare, chunk_bytes=32 << 20)

@@ -43,7 +43,7 @@ def unpacked(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view(np.uint32).ravel()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], splitter: Callable[[], Callable[[str], list[str]]]):
+def _chunks(batches: Iterator[pa.RecordBatch], splitter: Callable[[], Callable[[str], list[str]]], chunk_bytes: int):
     """(chunk, numbers by piece, doc ids, their bytes, their sequences) for each chunk of this task."""
     split = splitter()
     task, at = TaskContext.get().partitionId(), 0
@@ -55,7 +55,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], splitter: Callable[[], Callable[[
             sizes.append(len((text or "").encode()))
             rows.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
         at += 1
-        if sum(sizes) >= CHUNK_BYTES:
+        if sum(sizes) >= chunk_bytes:
             yield (task << 32) | at, numbers, ids, sizes, rows
             numbers, ids, sizes, rows = _Numbers(), [], [], []
             give_back()
@@ -65,11 +65,11 @@ def _chunks(batches: Iterator[pa.RecordBatch], splitter: Callable[[], Callable[[
     give_back()
 
 
-def pieces_of(docs: DataFrame, splitter: Callable) -> DataFrame:
+def pieces_of(docs: DataFrame, splitter: Callable, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(piece, chunk, number): each chunk's distinct pre-tokens."""
 
     def run(batches):
-        for chunk, numbers, *_ in _chunks(batches, splitter):
+        for chunk, numbers, *_ in _chunks(batches, splitter, chunk_bytes):
             words = list(numbers)
             for a in range(0, len(words), 50_000):
                 part = words[a : a + 50_000]
@@ -81,7 +81,7 @@ def pieces_of(docs: DataFrame, splitter: Callable) -> DataFrame:
     return of_text(docs, "doc_id", "text").mapInArrow(run, "piece string, chunk long, number int")
 
 
-def sequences_of(docs: DataFrame, splitter: Callable, counted: bool) -> DataFrame:
+def sequences_of(docs: DataFrame, splitter: Callable, counted: bool, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(chunk, part, ids, sizes, lengths, numbers, counts): the documents of a chunk, some in each row.
 
     numbers holds the documents' pre-token numbers one after another; if counted, each number once per document with its
@@ -89,7 +89,7 @@ def sequences_of(docs: DataFrame, splitter: Callable, counted: bool) -> DataFram
     """
 
     def run(batches):
-        for chunk, _, ids, sizes, rows in _chunks(batches, splitter):
+        for chunk, _, ids, sizes, rows in _chunks(batches, splitter, chunk_bytes):
             counts = [None] * len(rows)
             if counted:
                 for k, row in enumerate(rows):
@@ -121,23 +121,23 @@ def sequences_of(docs: DataFrame, splitter: Callable, counted: bool) -> DataFram
     return of_text(docs, "doc_id", "text").mapInArrow(run, ddl)
 
 
-def joined_back(docs: DataFrame, splitter: Callable, once: Callable[[DataFrame], DataFrame], value: str, finish: Callable, schema: str, counted: bool = False) -> DataFrame:
+def joined_back(docs: DataFrame, splitter: Callable, once: Callable[[DataFrame], DataFrame], value: str, finish: Callable, schema: str, counted: bool = False, prepare: Callable = lambda values: values, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Apply `once` to the distinct pre-tokens (piece) of all documents, then `finish` to each chunk.
 
-    once returns (piece, value). finish(values, row) takes the chunk's values by number and one row of `sequences_of`,
-    and returns a pandas frame of schema.
+    once returns (piece, value). finish(prepare(values), row) takes the chunk's values by number and one row of
+    `sequences_of`, and returns a pandas frame of schema.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pieces_of(docs, splitter).where("piece is not null").repartition(n, "piece")
+    pairs = pieces_of(docs, splitter, chunk_bytes).where("piece is not null").repartition(n, "piece")
     # The tests on chunk and number hold for every row; they keep both columns, so that this reads the exchange of `pairs`.
     first = pairs.groupBy("piece").agg(F.min("chunk").alias("chunk"), F.min("number").alias("number"))
     done = once(first.where("chunk >= 0 and number >= 0").select("piece"))
     values = pairs.join(done.hint("shuffle_hash"), "piece").select("chunk", "number", value)
-    rows = sequences_of(docs, splitter, counted)
+    rows = sequences_of(docs, splitter, counted, chunk_bytes)
 
     def of_chunk(own: pd.DataFrame, sequences: pd.DataFrame) -> pd.DataFrame:
-        by_number = own.sort_values("number")[value].to_numpy()
+        by_number = prepare(own.sort_values("number")[value].to_numpy())
         parts = [finish(by_number, row) for row in sequences.itertuples(index=False)]
         give_back()
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
