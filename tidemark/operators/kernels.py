@@ -1,0 +1,199 @@
+"""Recursions that need matrices or branching state: one ordered group a series, in numpy, side by side over series.
+
+Each step reads the state, emits, then absorbs, so that a prefix of a series gives a prefix of the results.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def by_series(df: DataFrame, column: str, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """kernel over the values of column of each series, in order of dt; schema names its outputs."""
+    kind = df.schema["dt"].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("dt")
+        made = kernel(rows[column].to_numpy(float))
+        return pd.DataFrame({"series": rows["series"].to_numpy(), "dt": rows["dt"].to_numpy(), **made})
+
+    return df.select("series", "dt", column).groupBy("series").applyInPandas(run, f"series string, dt {kind}, {schema}")
+
+
+def hidden_regimes(x: np.ndarray, k: int = 3, half_life: float = 504.0, burn_in: int = 60) -> dict[str, np.ndarray]:
+    """Forward filter of a k-state Gaussian chain with online expectation-maximisation; stress is the widest state's share."""
+    keep = 2.0 ** (-1 / half_life)
+    n = len(x)
+    head = x[np.isfinite(x)][:burn_in]
+    scale = max(float(np.std(head)), 1e-8) if len(head) else 1.0
+    sd = scale * np.linspace(0.5, 2.0, k)
+    mean = np.full(k, float(head.mean()) if len(head) else 0.0)
+    move = np.full((k, k), 0.05 / max(k - 1, 1)) + np.eye(k) * (0.95 - 0.05 / max(k - 1, 1))
+    weight, s0, s1, s2, jumps = np.full(k, 1 / k), np.ones(k), mean.copy(), sd**2 + mean**2, move * 10
+    out = {c: np.full(n, np.nan) for c in ("stress", "switch", "entropy")}
+    for t in range(n):
+        ahead = weight @ move
+        if t >= burn_in:
+            out["stress"][t], out["switch"][t] = ahead[np.argmax(sd)], 1 - weight @ np.diag(move)
+            out["entropy"][t] = -(ahead * np.log(np.maximum(ahead, 1e-12))).sum() / np.log(k)
+        if not np.isfinite(x[t]):
+            weight = ahead
+            continue
+        logs = -0.5 * ((x[t] - mean) / sd) ** 2 - np.log(sd)
+        like = np.exp(logs - logs.max())
+        pair = weight[:, None] * move * like[None]
+        pair /= pair.sum()
+        weight = pair.sum(0)
+        jumps = keep * jumps + pair
+        s0, s1, s2 = keep * s0 + weight, keep * s1 + weight * x[t], keep * s2 + weight * x[t] ** 2
+        if t >= burn_in:
+            mean = s1 / s0
+            sd = np.sqrt(np.maximum(s2 / s0 - mean**2, (0.1 * scale) ** 2))
+            move = jumps / jumps.sum(1, keepdims=True)
+    return out
+
+
+def averaged_models(y: np.ndarray, x: np.ndarray, deltas: tuple[float, ...] = (0.999, 0.9995, 0.9999, 1.0), forget: float = 0.99) -> dict[str, np.ndarray]:
+    """Dynamic regressions of y on (1, x) with one discount each, averaged by their discounted predictive likelihood."""
+    n, d = len(y), x.shape[1] + 1
+    beta = [np.zeros(d) for _ in deltas]
+    cov = [np.eye(d) * 25.0 for _ in deltas]
+    dof, noise = np.ones(len(deltas)), np.full(len(deltas), 1e-4)
+    logw = np.zeros(len(deltas))
+    out = {"fitted": np.full(n, np.nan), "sd": np.full(n, np.nan)}
+    for t in range(n):
+        f = np.append(1.0, x[t])
+        if not np.isfinite(f).all():
+            continue
+        if t == 0 and np.isfinite(y[t]):
+            for b in beta:
+                b[0] = y[t]
+        w = np.exp(logw - logw.max())
+        w /= w.sum()
+        r = [c / delta for c, delta in zip(cov, deltas, strict=True)]
+        mean = np.array([f @ b for b in beta])
+        q = np.array([f @ ri @ f + s for ri, s in zip(r, noise, strict=True)])
+        out["fitted"][t] = w @ mean
+        out["sd"][t] = np.sqrt(w @ (q + (mean - w @ mean) ** 2))
+        if not np.isfinite(y[t]):
+            continue
+        e = y[t] - mean
+        z = np.clip(e / np.sqrt(q), -10, 10)
+        logw = forget * logw - 0.5 * (dof + 1) * np.log1p(z**2 / dof) - 0.5 * np.log(q)
+        for j, (ri, qj) in enumerate(zip(r, q, strict=True)):
+            gain = ri @ f / qj
+            beta[j] = beta[j] + gain * z[j] * np.sqrt(qj)
+            dof[j] += 1
+            before = noise[j]
+            noise[j] = max(before + before * (z[j] ** 2 - 1) / dof[j], 1e-10)
+            c = noise[j] / before * (ri - np.outer(gain, gain) * qj)
+            cov[j] = np.clip((c + c.T) / 2, -1e8, 1e8)
+    return out
+
+
+def correlation_factors(z: np.ndarray, t_eff: float) -> tuple[int, np.ndarray]:
+    """The number of eigenvalues over the Marchenko-Pastur edge, and the correlation with those below levelled to their mean."""
+    c = np.corrcoef(z, rowvar=False)
+    values, vectors = np.linalg.eigh(c)
+    edge = (1 + np.sqrt(len(values) / t_eff)) ** 2
+    k = int((values > edge).sum())
+    if k < len(values):
+        values = np.where(values > edge, values, values[values <= edge].mean())
+    clean = vectors * values @ vectors.T
+    d = np.sqrt(np.diag(clean))
+    return k, clean / d[:, None] / d[None]
+
+
+#: Transition, emission and change-point constants of the regime loop.
+STAY, MEANS, SDS, DRIFT, ALARM = 0.98, (0.6, 0.0, -0.6), (0.3, 0.25, 0.3), 0.5, 4.0
+
+
+def regimes(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Level by an adaptive Kalman filter, variance by GARCH(1,1), three states by a forward filter, breaks by CUSUM; a label."""
+    n = len(x)
+    x = np.nan_to_num(x)
+    level, p, r = 0.0, 1.0, 0.1
+    var, long_run = 0.1, 0.1
+    weight = np.full(3, 1 / 3)
+    move = np.full((3, 3), (1 - STAY) / 2) + np.eye(3) * (STAY - (1 - STAY) / 2)
+    mean, sd = np.array(MEANS), np.array(SDS)
+    up = down = 0.0
+    news: list[float] = []
+    out = {"level": np.zeros(n), "variance": np.zeros(n), "bull": np.zeros(n), "bear": np.zeros(n), "change": np.zeros(n, bool), "regime": np.empty(n, object)}
+    for t in range(n):
+        p += 0.01
+        gap = x[t] - level
+        gain = p / (p + r)
+        level, p = level + gain * gap, (1 - gain) * p
+        recent = np.array(news[-20:])
+        news.append(gap)
+        if len(news) >= 5:
+            r = 0.9 * r + 0.1 * max(float(np.var(news[-20:])), 1e-6)
+        var = float(np.clip(1e-4 + 0.1 * gap**2 + 0.85 * var, 0.001, 1.0))
+        long_run = 0.95 * long_run + 0.05 * float(np.var(news[-50:])) if len(news) >= 10 else long_run
+        like = np.exp(-0.5 * ((level - mean) / sd) ** 2) / sd
+        weight = weight @ move * np.maximum(like, 1e-12)
+        weight /= weight.sum()
+        z = (gap - recent.mean()) / max(recent.std(), 0.1) if len(recent) >= 3 else 0.0
+        up, down = max(0.0, up + z - DRIFT), max(0.0, down - z - DRIFT)
+        change = up > ALARM or down > ALARM
+        if change:
+            up = down = 0.0
+        bull, _, bear = weight
+        label = "TRANSITION" if change else "BULL" if bull > 0.6 else "BEAR" if bear > 0.6 else "WEAK_BULL" if bull > 0.4 else "WEAK_BEAR" if bear > 0.4 else "NEUTRAL"
+        for c, v in zip(out, (level, var, bull, bear, change, label), strict=True):
+            out[c][t] = v
+    return out
+
+
+def regime_rows(df: DataFrame, column: str) -> DataFrame:
+    return by_series(df, column, regimes, "level double, variance double, bull double, bear double, change boolean, regime string")
+
+
+def hidden_rows(df: DataFrame, column: str) -> DataFrame:
+    return by_series(df, column, hidden_regimes, "stress double, switch double, entropy double")
+
+
+def fair_value(panel: DataFrame, target: DataFrame, burn_in: int = 250, most: int = 20) -> DataFrame:
+    """(series, dt, fitted, gap, sd, n_factors): log target against factor levels of the panel's returns, one group a target.
+
+    panel is (dt, name, px) on the target's dates; a day's whole panel comes as one row of arrays. Factors are those of
+    the returns of the first burn_in rows, so that later rows never change them; the regressions learn all the way.
+    """
+    from pyspark.sql import functions as F
+
+    names = [r["name"] for r in panel.select("name").distinct().orderBy("name").collect()]  # the panel's instruments: a few hundred
+    wide = panel.groupBy("dt").agg(F.map_from_entries(F.collect_list(F.struct("name", "px"))).alias("m"))
+    wide = wide.select("dt", F.array(*[F.try_element_at("m", F.lit(n)) for n in names]).alias("xs"))
+    rows = target.join(wide, "dt", "left")
+    kind = target.schema["dt"].dataType.simpleString()
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("dt")
+        y = np.log(own["px"].to_numpy(float))
+        x = np.array([np.array(v, float) if v is not None else np.full(len(names), np.nan) for v in own["xs"]]).reshape(len(own), -1)
+        x = pd.DataFrame(np.log(np.where(x > 0, x, np.nan))).ffill().to_numpy()
+        ret = np.nan_to_num(np.diff(x, axis=0, prepend=x[:1]))
+        n = len(own)
+        out = pd.DataFrame({"series": own["series"].to_numpy(), "dt": own["dt"].to_numpy(), "fitted": np.nan, "gap": np.nan, "sd": np.nan, "n_factors": 0})
+        if n <= burn_in:
+            return out
+        head = ret[:burn_in]
+        sd = head.std(0)
+        live = sd > 1e-9
+        z = head[:, live] / sd[live]
+        k, clean = correlation_factors(z, burn_in)
+        k = min(max(k, 1), most)
+        loads = np.linalg.eigh(clean)[1][:, ::-1][:, :k]
+        loads = loads * np.where(loads.sum(0) < 0, -1, 1)
+        levels = np.cumsum(np.clip(ret[:, live] / sd[live], -6, 6) @ loads, axis=0) / np.sqrt(1000.0)
+        made = averaged_models(y[burn_in:], levels[burn_in:])
+        out.loc[burn_in:, "fitted"], out.loc[burn_in:, "sd"] = made["fitted"], made["sd"]
+        out["gap"], out["n_factors"] = y - out["fitted"], k
+        return out
+
+    return rows.groupBy("series").applyInPandas(run, f"series string, dt {kind}, fitted double, gap double, sd double, n_factors long")
