@@ -31,12 +31,12 @@ def drift_filter(df: DataFrame, column: str, leak: float = 0.03, gain: float = 0
     """(series, dt, column, level, variance): a leaky drift-diffusion filter; the first value is the start.
 
     level falls by `leak` and rises by `gain` times the value. variance leans to long_run, plus half the step, within half
-    of long_run, never under 1e-6. Nulls count as 0.
+    of long_run, never under 1e-6. Nulls and NaN count as 0.
     """
     start = F.struct(F.lit(0.0).alias("level"), F.lit(long_run).alias("variance"), F.lit(False).alias("begun"))
 
     def step(s: Column, row: Column) -> Column:
-        value = F.coalesce(row[column], F.lit(0.0))
+        value = F.nanvl(F.coalesce(row[column], F.lit(0.0)), F.lit(0.0))
         jump = gain * value
         level = F.when(s["begun"], s["level"] * (1 - leak) + jump).otherwise(value)
         added = F.least(0.5 * F.abs(jump), F.lit(0.5 * long_run))
