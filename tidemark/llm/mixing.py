@@ -81,8 +81,9 @@ def source_weights(sizes: DataFrame, entropy_share: float = 0.97, max_repeats: f
 def mixed_rows(docs: DataFrame, entropy_share: float = 0.97, max_repeats: float = 4.0, budget: int | None = None, block_tokens: int = 50_000, seed: int = 0) -> DataFrame:
     """The rows of docs (doc_id, text, source, ...) that the mix takes, once for each epoch.
 
-    Adds mix_source, mix_epoch (from 0), mix_block and mix_tokens.
+    Adds mix_source, mix_epoch (from 0), mix_block and mix_tokens. Columns of docs whose names begin with mix_ are left out.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
     tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")).cast("long")
     mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
