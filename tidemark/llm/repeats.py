@@ -11,9 +11,9 @@ equal strings are sampled alike wherever they stand, which is what a difference
 3. Recurse where the sample is shared and the stretches differ (about one in twenty): their LENGTH-byte strings are named,
    sorted within the same buckets and compared with their neighbours in order.
 
-Names are 64-bit hashes, compared only among equal samples (39 bits or more), in place of ranks: equality of prefixes is
-all that is asked, and ranks of all suffixes would need several sorts of every position. `suffix_array` in this
-subpackage is the rank-based form; README.md has its figures.
+Names are 64-bit hashes, compared only among equal samples (39 bits or more), in place of ranks: equality of 50-byte
+prefixes is all that is asked, and ranks of all suffixes would need several sorts of every position. README.md says where
+this departs from the algorithm with a fixed cover.
 
 Buckets and groups here are hash ranges, not values, and their number follows spark.sql.shuffle.partitions. Null and
 empty texts lose nothing. A null doc_id is not smaller or larger than any. Rows that repeat a doc_id do not remove from
