@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import scalar as fn
 from tidemark.functions.scalar import fixed
-from tidemark.operators import align, folds, kernels, precedent, scores, stats
+from tidemark.operators import align, folds, freshness, kernels, precedent, scores, stats
 from tidemark.operators import windows as w
 from tidemark.operators.align import ordered
 from tidemark.sources import tables as src
@@ -495,3 +495,110 @@ def r16_hidden_regimes(spark, d):
 @query()
 def r18_fair_value(spark, d):
     return kernels.fair_value(src.panel_daily(spark, d).withColumnRenamed("series", "name"), src.target_daily(spark, d))
+
+
+@query("""WITH t AS (SELECT CAST(o_orderdate AS DATE) AS dt, avg(o_totalprice) AS px FROM orders GROUP BY 1) SELECT 'target' AS series, dt FROM t WHERE isodow(dt) <= 5""")
+def p14_session_spine(spark, d):
+    target = src.target_daily(spark, d)
+    return freshness.in_sessions(target.select(F.lit("target").alias("series"), "dt"), weekdays(target)).select("series", "dt")
+
+
+@query(f"""WITH {PANEL} SELECT series, dt FROM panel WHERE dt >= (SELECT max(dt) - INTERVAL 6 MONTH FROM panel)""")
+def p23_recent_months(spark, d):
+    return freshness.recent_months(src.panel_daily(spark, d).select("series", "dt"), 6)
+
+
+@query("""SELECT o_orderkey, o_orderpriority FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT max(CAST(o_orderdate AS DATE)) - 400 FROM orders) AND contains(lower(o_orderpriority), 'urgent')""")
+def p24_table_filter(spark, d):
+    rows = src.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    return freshness.matching(rows, "o_orderdate", 400, "Urgent").select("o_orderkey", "o_orderpriority")
+
+
+FILLED = f"""g AS (SELECT s.series, k.dt, p.px FROM (SELECT DISTINCT series FROM panel) s CROSS JOIN weekdays k LEFT JOIN panel p ON p.series = s.series AND p.dt = k.dt),
+f AS (SELECT series, dt, last_value(px IGNORE NULLS) {over('UNBOUNDED PRECEDING')} AS px FROM g)"""
+
+
+def _filled(spark, d) -> DataFrame:
+    panel = src.panel_daily(spark, d)
+    return align.reindex_ffill(panel, weekdays(panel))
+
+
+@query(f"""WITH {PANEL}, {SPINE}, {FILLED}, {PRINTS.replace('FROM panel', 'FROM f')} SELECT series, dt FROM c WHERE n_prints >= 20 AND NOT printed AND dt = (SELECT max(dt) FROM c)""")
+def p22_absent(spark, d):
+    return freshness.absent(align.admitted(_filled(spark, d).withColumn("px", F.round("px", 0)), 20))
+
+
+@query(f"""WITH {PANEL}, {SPINE}, {FILLED}, t AS (SELECT series, dt, px, lag(px) {LAG} AS before, lag(px, 2) {LAG} AS older, row_number() OVER (PARTITION BY series ORDER BY dt DESC) AS k FROM f)
+SELECT count(*) AS n_judged, {r('CASE WHEN count(*) >= 3 THEN avg((px <> before)::INT) END')} AS share FROM t WHERE k = 1 AND px IS NOT NULL AND before IS NOT NULL""")
+def p26_fresh_share(spark, d):
+    return freshness.fresh_share(_filled(spark, d)).withColumn("share", fixed(F.col("share")))
+
+
+@query(f"""WITH {PANEL}, {SPINE}, {FILLED}, t AS (SELECT *, lag(px) {LAG} AS before FROM f), u AS (SELECT series, max(dt) FILTER (px IS DISTINCT FROM before) AS updated, max(dt) AS newest FROM t GROUP BY series)
+SELECT *, coalesce(updated < newest, true) AS stale FROM u""")
+def p27_stale_tail(spark, d):
+    return freshness.stale_since(_filled(spark, d))
+
+
+@query(f"""WITH {PANEL}, v AS (SELECT series, dt, series < 'Brand#3' AND px > 1000 AS valid FROM panel), s AS (SELECT *, bool_or(coalesce(valid, false)) OVER (PARTITION BY series) AS kept FROM v)
+SELECT series, dt, valid FROM s WHERE valid OR NOT kept""")
+def p28_valid_rows(spark, d):
+    rows = src.panel_daily(spark, d).select("series", "dt", ((F.col("series") < "Brand#3") & (F.col("px") > 1000)).alias("valid"))
+    return freshness.valid_rows(rows, "valid")
+
+
+@query("""WITH c AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+p AS (SELECT DISTINCT n, (i * n) // 4 AS k FROM (SELECT DISTINCT n FROM c), range(4) t(i))
+SELECT c_nationkey, c_custkey FROM c WHERE n <= 4 OR EXISTS (SELECT 1 FROM p WHERE p.n = c.n AND p.k = c.k)""")
+def p29_strided(spark, d):
+    return freshness.strided(src.table(spark, d, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey", 4)
+
+
+@query(f"""WITH {PANEL}, v AS (SELECT series, dt, CASE WHEN day(dt) % 3 > 0 THEN px END AS x FROM panel) SELECT series, max(dt) AS dt, {r('arg_max(x, dt)')} AS x FROM v WHERE x IS NOT NULL GROUP BY series""")
+def p30_last_settled(spark, d):
+    rows = src.panel_daily(spark, d).select("series", "dt", F.when(F.dayofmonth("dt") % 3 > 0, F.col("px")).alias("x"))
+    return freshness.last_settled(rows, "x").withColumn("x", fixed(F.col("x")))
+
+
+def _pivot_divergence_sql() -> str:
+    mean = f"ln(px) - avg(ln(px)) {over('60 PRECEDING')}"
+    before = over("UNBOUNDED PRECEDING", "1 PRECEDING")
+    return f"""WITH {PANEL}, u AS (SELECT *, {mean} AS e FROM panel), v AS ({_pivot_sql().replace('SELECT series, dt,', 'SELECT *,').replace('FROM panel', 'FROM u')}),
+y AS (SELECT *, CASE WHEN count(e) {over('UNBOUNDED PRECEDING')} >= 20 THEN stddev_samp(e) {over('UNBOUNDED PRECEDING')} ELSE 0 END AS s FROM v),
+z AS (SELECT *, count(e) {over('10 PRECEDING')} = 11 AS ok, lag(px, 5) {LAG} AS p5, lag(e, 5) {LAG} AS e5, lag(s, 5) {LAG} AS s5 FROM y),
+b AS (SELECT *, last_value(CASE WHEN ok AND bottom THEN p5 END IGNORE NULLS) {before} AS lp, last_value(CASE WHEN ok AND bottom THEN e5 END IGNORE NULLS) {before} AS le,
+last_value(CASE WHEN ok AND top THEN p5 END IGNORE NULLS) {before} AS hp, last_value(CASE WHEN ok AND top THEN e5 END IGNORE NULLS) {before} AS he FROM z)
+SELECT series, dt, coalesce(ok AND bottom AND p5 < lp AND e5 > le AND e5 < -0.5 * s5, false) AS bullish, coalesce(ok AND top AND p5 > hp AND e5 < he AND e5 > 0.5 * s5, false) AS bearish FROM b"""
+
+
+@query(_pivot_divergence_sql())
+def w22_pivot_divergence(spark, d):
+    mean = F.avg(F.log("px")).over(ordered().rowsBetween(-60, 0))
+    rows = w.pivots(src.panel_daily(spark, d).withColumn("e", F.log("px") - mean), "px").select("series", "dt", "px", "e", "top", "bottom")
+    return freshness.pivot_divergence(rows, "e").select("series", "dt", "bullish", "bearish")
+
+
+def _breaks_sql() -> str:
+    steps, gone = "", ""
+    for k in (1, 2, 3):
+        steps += f", k{k} AS (SELECT m.series, arg_max(t, (move, -t)) AS t, any_value(w) AS w FROM m {gone} WHERE move > 0 {''.join(f' AND (k{i}.t IS NULL OR m.t < k{i}.t - m.w OR m.t >= k{i}.t + m.w)' for i in range(1, k))} GROUP BY m.series)".replace("arg_max(t,", "arg_max(m.t,").replace("-t))", "-m.t))").replace("any_value(w)", "any_value(m.w)")
+        gone += f" LEFT JOIN k{k} ON k{k}.series = m.series"
+    return f"""WITH {PANEL}, s AS (SELECT series, px, row_number() {LAG} - 1 AS t, count(*) OVER (PARTITION BY series) AS n FROM panel),
+q AS (SELECT *, floor(n * 0.15::DOUBLE)::INT AS edge, greatest(floor(n * 0.15::DOUBLE)::INT, 5) AS w FROM s),
+h AS (SELECT series, abs(sum(px)) AS head FROM q WHERE t < w GROUP BY series),
+m AS (SELECT a.series, a.t - 1 AS t, a.w, CASE WHEN a.t - 1 < a.edge OR a.t - 1 >= a.n - 1 - a.edge THEN 0 WHEN a.t >= a.w THEN abs(a.px - b.px) / a.w WHEN a.t = a.w - 1 THEN head / a.w ELSE 0 END AS move
+FROM q a JOIN h USING (series) LEFT JOIN q b ON b.series = a.series AND b.t = a.t - a.w WHERE a.t >= 1 AND a.n >= 3) {steps}
+SELECT series, (t + 1)::INT AS place FROM (SELECT series, t FROM k1 UNION ALL SELECT series, t FROM k2 UNION ALL SELECT series, t FROM k3)"""
+
+
+@query(_breaks_sql())
+def w23_mean_breaks(spark, d):
+    return freshness.mean_breaks(src.panel_daily(spark, d))
+
+
+@query(f"""WITH {PANEL}, z AS (SELECT series, dt, px, {r(z_sql('px', 20))} AS z FROM panel), l AS (SELECT *, lag(z) {LAG} AS b, lag(px) {LAG} AS p FROM z)
+SELECT series, dt, CASE WHEN z < -0.5 THEN 'Oversold' WHEN z > 0.5 THEN 'Overbought' ELSE 'Neutral' END AS condition, coalesce(z > b AND px < p AND z < -0.5, false) AS bullish, coalesce(z < b AND px > p AND z > 0.5, false) AS bearish FROM l""")
+def w25_condition_divergence(spark, d):
+    rows = src.panel_daily(spark, d).withColumn("z", fixed(w.causal_z(F.col("px"), 20)))
+    bullish, bearish = freshness.divergence(F.col("z"), F.col("px"), -0.5, 0.5)
+    return rows.select("series", "dt", freshness.condition(F.col("z"), -0.5, 0.5).alias("condition"), bullish.alias("bullish"), bearish.alias("bearish"))
