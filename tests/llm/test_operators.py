@@ -255,3 +255,12 @@ def test_pipeline_stages(spark):
     rows = own.toPandas()
     assert 0 < len(rows) < 2 * docs.count() and (rows["n_tokens"] >= 0).all()
     assert isinstance(rows, pd.DataFrame) and docs.where(F.col("doc_id").isin(rows["doc_id"].tolist())).count() == rows["doc_id"].nunique()
+
+
+def test_components_of_very_large_ids(spark):
+    from tidemark.llm.near import components
+
+    big = 2**62
+    links = spark.createDataFrame([(big, big + 1), (big + 4, big + 5), (big, big + 5), (big + 8, big + 9)], "a long, b long")
+    found = {r["id"]: r["class"] for r in components(links).collect()}
+    assert found == {big: big, big + 1: big, big + 4: big, big + 5: big, big + 8: big + 8, big + 9: big + 8}
