@@ -222,6 +222,50 @@ def test_a_large_bucket_of_near_copies(spark):
     assert {r.class_id for r in near_duplicates(df).collect()} == {0} == set(classes(texts).values())
 
 
+def versions(seed: int, n: int, step: int) -> list[str]:
+    """n versions of a text, each with `step` more of its 400 words changed for good; only neighbours are near enough."""
+    own, out = [f"s{seed}x{k}" for k in range(400)], []
+    for v in range(n):
+        own = list(own)
+        for k in range(step):
+            own[(v * step + k) * 13 % 400] = f"v{seed}x{v}x{k}"
+        out.append(" ".join(own))
+    return out
+
+
+def with_bands(monkeypatch, bands: dict[int, list[int]]) -> None:
+    """near.signed with the given bands a doc_id instead of the texts' own."""
+    signed = near.signed
+    at = F.create_map(*[F.lit(x) if isinstance(x, int) else F.array(*map(F.lit, x)) for pair in bands.items() for x in pair])
+    monkeypatch.setattr(near, "signed", lambda docs: signed(docs).withColumn("bands", at[F.col("id")].cast("array<long>")))
+
+
+def test_a_link_between_the_later_texts_of_two_classes(spark, monkeypatch):
+    a1, a2, b2, b1 = versions(5, 4, 6)
+    texts = {1: a1, 2: b1, 3: a2, 4: b2} | {10 + k: prose(50 + k, 400) for k in range(14)}
+    bands = {i: [7] * 5 + [1000 * i + k for k in range(11)] for i in texts}
+    for i in texts:  # a small bucket each for a1, a2 and for b1, b2
+        bands[i][9] = {1: 1, 3: 1, 2: 2, 4: 2}.get(i, bands[i][9])
+    with_bands(monkeypatch, bands)
+    want = classes(texts)
+    assert [want[i] for i in (1, 2, 3, 4)] == [1] * 4
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == want
+
+
+def test_a_chain_of_versions_with_shuffled_ids(spark):
+    ids = np.random.default_rng(4).permutation(40)
+    texts = {int(i): t for i, t in zip(ids, versions(6, 40, 5), strict=True)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == classes(texts)
+
+
+def test_near_copies_of_one_of_several_texts_of_a_doc_id(spark):
+    one, other = prose(60, 100), prose(61, 100)
+    df = spark.createDataFrame([(5, one), (5, other), (3, one + " coda"), (9, other + " coda"), (7, prose(62, 100))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in near_duplicates(df).collect()) == [(3, 3, 4), (5, 3, 4), (5, 3, 4), (7, 7, 1), (9, 3, 4)]
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**63, 400).astype(np.uint64)

@@ -11,7 +11,9 @@ Candidates agree in a whole band of components; every candidate pair is then ver
 Only one of each set of texts with equal word sequences (`key`) takes part; the copies are joined back at the end, never
 paired. In a bucket of up to `SMALL` texts all pairs are candidates. A larger one is cut by the next bands; in a cut each
 text is paired with the first, and what stays apart is compared again: each component found so far sends its first text
-to the cut's texts of other components, until a round links nothing more. No text is left out for the size of its bucket.
+to the cut's texts of other components, until a round links nothing more. That finds most links with few pairs; the pairs
+still between components then go through an exact filter (`_crossing`), so that none as similar as the threshold is lost.
+No text is left out for the size of its bucket.
 
 Texts of under five words are their own single shingle; texts without words (null, empty) group with nothing.
 """
@@ -33,6 +35,7 @@ BANDS, ROWS = 16, 4
 M = BANDS * ROWS
 SMALL = 12
 FURTHER = 4
+SLOTS = 1 << 20  # of the table that orders shingles by how many texts hold them
 MAX_IDS = 2_000_000  # candidates' ids that may be broadcast: 16 MB; more are joined by a shuffle
 _MULT = np.random.default_rng(21).integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -109,9 +112,10 @@ def signatures(text: np.ndarray, h: np.ndarray, count: np.ndarray, n_texts: int)
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(key, id, total, bands) of docs (doc_id, text).
+    """(key, text_id, id, total, bands) of docs (doc_id, text); id is the doc_id.
 
-    key stands for the word sequence (null without words), total is the number of shingles and bands the signature.
+    key stands for the word sequence (null without words), text_id is 64 of its bits, total is the number of shingles and
+    bands the signature.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,10 +128,11 @@ def signed(docs: DataFrame) -> DataFrame:
                 bands = mixed(bands * np.uint64(31) + codes[:, r::ROWS] + np.uint64(r + 1))
             total = np.bincount(text, count, batch.num_rows).astype(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS, pa.array(bands.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([_keys(words, at), batch.column("doc_id"), pa.array(total), lists], ["key", "id", "total", "bands"])
+            keys = _keys(words, at)
+            yield pa.RecordBatch.from_arrays([keys, _text_ids(keys), batch.column("doc_id"), pa.array(total), lists], ["key", "text_id", "id", "total", "bands"])
         give_back()
 
-    return of_text(docs, "doc_id", "text").mapInArrow(run, "key binary, id long, total long, bands array<long>")
+    return of_text(docs, "doc_id", "text").mapInArrow(run, "key binary, text_id long, id long, total long, bands array<long>")
 
 
 def _keys(words: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -144,6 +149,11 @@ def _keys(words: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def _text_ids(keys: pa.Array) -> pa.Array:
+    """The first 64 bits of every key."""
+    return pa.array([None if k is None else int.from_bytes(k[:8], "big", signed=True) for k in keys.to_pylist()], pa.int64())
+
+
 def _bag(h: np.ndarray, count: np.ndarray) -> bytes:
     """Sorted shingle hashes, their upper 48 bits, and the counts over 1."""
     more = np.flatnonzero(count > 1).astype(np.uint32)
@@ -160,17 +170,18 @@ def _opened(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """(id, bag) of docs (id, text), one row an id; rows of one id have equal words here."""
+    """(id, bag) of docs (text), one row a text_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches, "text", 3 << 20):
-            text, h, count = shingles(*word_hashes(*text_bytes(batch, "text")))
+            words, at = word_hashes(*text_bytes(batch, "text"))
+            text, h, count = shingles(words, at)
             cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
             bags = [_bag(h[a:b], count[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bags, pa.binary())], ["id", "bag"])
+            yield pa.RecordBatch.from_arrays([_text_ids(_keys(words, at)), pa.array(bags, pa.binary())], ["id", "bag"])
         give_back()
 
-    return of_text(docs, "id", "text").mapInArrow(run, "id long, bag binary").groupBy("id").agg(F.first("bag").alias("bag"))
+    return of_text(docs, "text").mapInArrow(run, "id long, bag binary").groupBy("id").agg(F.first("bag").alias("bag"))
 
 
 def _similar(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -233,32 +244,99 @@ def components(links: DataFrame) -> DataFrame:
         found = after
 
 
+def _texts(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of docs that stand for ids, and others of the same doc_id, where it has several."""
+    wanted = staged(reps.join(small(ids, MAX_IDS), "id", "left_semi").select("doc_id").distinct(), "wanted")
+    return docs.where("doc_id is not null").join(small(wanted, MAX_IDS), "doc_id", "left_semi").select("text")
+
+
+def _crossing(docs: DataFrame, reps: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of rows (bucket, id, total, class) in different classes that may be as similar as threshold.
+
+    Shingles are put in one order, that of the counts of their slots (rarest first) and then their hashes. Two texts as
+    similar as threshold share a shingle; from the first they share on, both hold all that they share. So that one lies
+    where at least threshold of the text's total is left (prefix filter), and both have enough left there for the overlap
+    that the threshold asks of the two totals (positional filter). The order decides only how many pairs pass.
+    """
+    several = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
+    rest = staged(rows.join(several, "bucket", "left_semi").select("id", "total", "class").distinct(), "rest")
+    texts = _texts(docs, reps, rest.select("id"))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in cut(batches, "text", 3 << 20):
+            _, h, _ = shingles(*word_hashes(*text_bytes(batch, "text")))
+            n += np.bincount((h % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["slot", "n"])
+        give_back()
+
+    counts = np.zeros(SLOTS, np.int64)
+    seen = of_text(texts, "text").mapInArrow(slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts[seen["slot"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
+    order_of = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cut(batches, "text", 3 << 20):
+            words, at = word_hashes(*text_bytes(batch, "text"))
+            text, h, count = shingles(words, at)
+            order = np.lexsort((h, order_of.value[(h % np.uint64(SLOTS)).astype(np.int64)], text))
+            text, h, count = text[order], h[order], count[order]
+            total = np.bincount(text, count, batch.num_rows).astype(np.int64)
+            before = np.cumsum(count) - count
+            left = total[text] - (before - (np.cumsum(total) - total)[text])
+            head = left >= threshold * total[text] * (1 - 1e-12)
+            ids = _text_ids(_keys(words, at)).take(pa.array(text[head]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(h[head].view(np.int64)), pa.array(left[head])], ["id", "shingle", "left"])
+        give_back()
+
+    found = of_text(texts, "text").mapInArrow(heads, "id long, shingle long, left long").join(small(rest, MAX_IDS), "id")
+    found = staged(found, "heads")
+    several = found.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("shingle")
+    found = found.join(several, "shingle", "left_semi")
+    x, y = found.alias("x"), found.alias("y")
+    least_common = F.lit(threshold / (1 + threshold) * (1 - 1e-12)) * (F.col("x.total") + F.col("y.total"))
+    same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.class") != F.col("y.class"))
+    near = same & _alike(F.col("x.total"), F.col("y.total"), threshold) & (F.least("x.left", "y.left") >= least_common)
+    return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def similar_pairs(docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """The verified links (a, b), a < b, that join all of reps (id, total, bands) that are similar."""
+    """The verified links (a, b), a < b, that join all of reps (id, doc_id, total, bands) that are similar."""
     few, many = (staged(d, "buckets") for d in _buckets(reps))
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.bucket = y.bucket AND x.id < y.id")).where(_alike(F.col("x.total"), F.col("y.total"), threshold))
     star = many.where((F.col("id") > F.col("first.id")) & _alike(F.col("total"), F.col("first.total"), threshold))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).unionByName(star.select(F.col("first.id").alias("a"), F.col("id").alias("b")))
     pairs = staged(pairs.distinct(), "pairs")
     tried, links = pairs, None
-    while True:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null").join(small(ids, MAX_IDS), "id", "left_semi")
-        new = staged(_similar(pairs, staged(_counted(texts), "bags"), threshold), "links")
+    while not pairs.isEmpty():
+        new = _verified(docs, reps, pairs, threshold)
         if links is not None and new.isEmpty():
-            return links
+            break
         links = new if links is None else staged(links.unionByName(new), "links")
-        found = components(links)
-        rows = many.drop("first").join(found, "id", "left").withColumn("class", F.coalesce("class", "id"))
+        rows = _classed(many.drop("first"), links)
         firsts = rows.groupBy("bucket", "class").agg(F.min(F.struct("id", "total")).alias("first"))
         mixed_ = firsts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
         rows, firsts = rows.join(mixed_, "bucket"), firsts.join(mixed_, "bucket").withColumnRenamed("class", "other")
         across = rows.join(firsts, "bucket").where((F.col("class") != F.col("other")) & _alike(F.col("total"), F.col("first.total"), threshold))
         across = across.select(F.least("id", "first.id").alias("a"), F.greatest("id", "first.id").alias("b")).distinct()
         pairs = staged(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            return links
         tried = tried.unionByName(pairs)
+    links = pairs if links is None else links
+    if many.isEmpty():
+        return links
+    pairs = staged(_crossing(docs, reps, _classed(many.drop("first"), links), threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
+    return links if pairs.isEmpty() else staged(links.unionByName(_verified(docs, reps, pairs, threshold)), "links")
+
+
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return staged(_similar(pairs, staged(_counted(_texts(docs, reps, ids)), "bags"), threshold), "links")
+
+
+def _classed(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (id, ...) with the class that links have put each id in so far."""
+    return rows.join(components(links), "id", "left").withColumn("class", F.coalesce("class", "id"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -269,12 +347,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     signs = staged(signed(docs), "signs")
     usable = signs.where(F.col("key").isNotNull() & F.col("id").isNotNull())
-    reps = staged(usable.groupBy("key").agg(F.min("id").alias("id"), F.first("total").alias("total"), F.first("bands").alias("bands")), "reps")
-    # One doc_id may stand on rows of several texts: they are one class, as its least key's.
-    one = reps.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    reps_alone = reps.join(one, "id", "left_anti")
-    found = components(similar_pairs(docs, reps_alone, threshold))
-    classes = reps.select("key", "id").join(found, "id", "left").select("key", F.coalesce("class", "id").alias("class_id"))
+    reps = usable.groupBy("key").agg(F.min("text_id").alias("text_id"), F.min("id").alias("doc_id"), F.first("total").alias("total"), F.first("bands").alias("bands"))
+    reps = staged(reps.withColumnRenamed("text_id", "id"), "reps")
+    links = similar_pairs(docs, reps.drop("key"), threshold)
+    # One doc_id may stand on rows of several texts: they are one class.
+    one = usable.groupBy("id").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("a < b").select("id", "a")
+    one = usable.join(one, "id").where("text_id > a").select("a", F.col("text_id").alias("b")).distinct()
+    found = components(links.unionByName(one))
+    least = reps.join(found, "id").groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    found = found.join(least, "class").select("id", "class_id")
+    classes = reps.select("key", "id", "doc_id").join(found, "id", "left").select("key", F.coalesce("class_id", "doc_id").alias("class_id"))
     out = signs.select("key", F.col("id").alias("doc_id")).join(classes, "key", "left")
     out = staged(out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.col("class_id").isNotNull()).alias("grouped")), "members")
     sizes = out.where("grouped").groupBy("class_id").agg(F.count("*").alias("class_size"))
