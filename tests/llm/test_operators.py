@@ -253,6 +253,15 @@ def test_a_link_between_the_later_texts_of_two_classes(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == want
 
 
+def test_one_shared_band_makes_a_candidate_in_a_large_bucket(spark, monkeypatch):
+    one, other = versions(8, 2, 6)
+    texts = {1: one, 2: other} | {10 + k: prose(50 + k, 400) for k in range(14)}
+    with_bands(monkeypatch, {i: [7] + [1000 * i + k for k in range(15)] for i in texts})
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+    assert found == classes(texts) and found[2] == 1
+
+
 def test_a_chain_of_versions_with_shuffled_ids(spark):
     ids = np.random.default_rng(4).permutation(40)
     texts = {int(i): t for i, t in zip(ids, versions(6, 40, 5), strict=True)}

@@ -11,9 +11,9 @@ Candidates agree in a whole band of components; every candidate pair is then ver
 Only one of each set of texts with equal word sequences (`key`) takes part; the copies are joined back at the end, never
 paired. In a bucket of up to `SMALL` texts all pairs are candidates. A larger one is cut by the next bands; in a cut each
 text is paired with the first, and what stays apart is compared again: each component found so far sends its first text
-to the cut's texts of other components, until a round links nothing more. That finds most links with few pairs; the pairs
-still between components then go through an exact filter (`_crossing`), so that none as similar as the threshold is lost.
-No text is left out for the size of its bucket.
+to the cut's texts of other components, until a round links nothing more. That finds most links with few pairs; all pairs
+of the whole bucket still between components then go through an exact filter (`_crossing`), so that none as similar as the
+threshold is lost: one shared band makes a candidate in buckets of any size.
 
 Texts of under five words are their own single shingle; texts without words (null, empty) group with nothing.
 """
@@ -206,21 +206,23 @@ def _similar(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return joined.where(jaccard("bag_a", "bag_b") >= threshold).select("a", "b")
 
 
-def _buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bucket, id, total) of the buckets of up to SMALL texts, and (bucket, id, total, first) of cuts of the larger ones.
+def _buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bucket, id, total) of the buckets of up to SMALL texts and of the larger ones, and (bucket, id, total, first) of cuts of these.
 
     A bucket is the texts that share a band. Buckets over SMALL are cut by each of the next FURTHER bands (in a circle)
-    that texts share. Of pairs as similar as THRESHOLD, 99 in 100 share two bands so near to one another.
+    that texts share. Of pairs as similar as THRESHOLD, 99 in 100 share two bands so near to one another; the others are
+    found from the whole buckets.
     """
     rows = reps.select("id", "total", F.posexplode("bands").alias("band", "value"))
     sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, ["band", "value"])
-    few = rows.where(F.col("n") <= SMALL).select(F.xxhash64("band", "value").alias("bucket"), "id", "total")
+    whole = rows.select(F.xxhash64("band", "value").alias("bucket"), "id", "total", "n")
+    few, large = (whole.where(c).drop("n") for c in (F.col("n") <= SMALL, F.col("n") > SMALL))
     again = rows.where(F.col("n") > SMALL).select("id", "band", "value").join(reps.select("id", "total", "bands"), "id")
     further = F.expr(f"transform(sequence(1, {FURTHER}), k -> xxhash64(band, value, k, bands[(band + k) % {BANDS}]))")
     again = again.select("id", "total", F.explode(further).alias("bucket"))
     firsts = again.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("id", "total")).alias("first")).where("n > 1").drop("n")
-    return few, again.join(firsts, "bucket").select("bucket", "id", "total", "first")
+    return few, large, again.join(firsts, "bucket").select("bucket", "id", "total", "first")
 
 
 def _alike(x: Column, y: Column, threshold: float) -> Column:
@@ -303,7 +305,7 @@ def _crossing(docs: DataFrame, reps: DataFrame, rows: DataFrame, threshold: floa
 
 def similar_pairs(docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """The verified links (a, b), a < b, that join all of reps (id, doc_id, total, bands) that are similar."""
-    few, many = (staged(d, "buckets") for d in _buckets(reps))
+    few, large, many = (staged(d, "buckets") for d in _buckets(reps))
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.bucket = y.bucket AND x.id < y.id")).where(_alike(F.col("x.total"), F.col("y.total"), threshold))
     star = many.where((F.col("id") > F.col("first.id")) & _alike(F.col("total"), F.col("first.total"), threshold))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).unionByName(star.select(F.col("first.id").alias("a"), F.col("id").alias("b")))
@@ -323,9 +325,9 @@ def similar_pairs(docs: DataFrame, reps: DataFrame, threshold: float) -> DataFra
         pairs = staged(across.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
     links = pairs if links is None else links
-    if many.isEmpty():
+    if large.isEmpty():
         return links
-    pairs = staged(_crossing(docs, reps, _classed(many.drop("first"), links), threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = staged(_crossing(docs, reps, _classed(large, links), threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
     return links if pairs.isEmpty() else staged(links.unionByName(_verified(docs, reps, pairs, threshold)), "links")
 
 
