@@ -101,6 +101,14 @@ def test_suffix_dedup(docs, none, spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in suffix_dedup(twice).collect()) == [(0, 0), (1, 0), (1, 0), (2, len(PASSAGE))]
 
 
+def test_suffix_dedup_of_a_run_of_more_than_65535_strings(spark):
+    texts = {1: "a" * 60, 2: "a" * 100_000, 3: "b" + "a" * 70_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = by_id(suffix_dedup(df))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == removed(texts)
+    assert got[2].n_removed == 100_000
+
+
 def test_window_hashes_and_stretches():
     data = np.frombuffer((PASSAGE * 3).encode(), np.uint8)
     h = repeats.window_hashes(data, 50)

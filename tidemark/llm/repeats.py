@@ -177,7 +177,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: b
         give_back()
 
     def answer(bucket: int, kind: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarray, strings: np.ndarray, sample: np.ndarray) -> list[tuple[int, bytes]]:
-        """Replies by destination: stretches to remove (kind 0) and to look into (kind 1)."""
+        """Replies by destination: stretches to remove (kind 0; runs of any length among them) and to look into (kind 1)."""
         to = np.mod(marks, n_dest)
         order = np.lexsort((start, ids, to))
         to, kind, ids, marks, start, strings, sample = (c[order] for c in (to, kind, ids, marks, start, strings, sample))
@@ -185,7 +185,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: b
         made = []
         for d in np.flatnonzero(np.diff(cuts)):
             own = slice(cuts[d], cuts[d + 1])
-            made.append((int(d), pack(*_by_doc(ids[own], marks[own]), kind[own].astype(np.uint8), start[own].astype(np.uint32), strings[own].astype(np.uint16), sample[own].astype(np.uint32), np.array([bucket], np.int32))))
+            made.append((int(d), pack(*_by_doc(ids[own], marks[own]), kind[own].astype(np.uint8), start[own].astype(np.uint32), strings[own].astype(np.uint32), sample[own].astype(np.uint32), np.array([bucket], np.int32))))
         return made
 
     def compared(key: tuple, table: pa.Table) -> pa.Table:
