@@ -127,6 +127,19 @@ def test_mixing(docs, none, spark):
     assert set(hard["mix_source"]) == {"=a", "=b", "=c"} and mixed_rows(none).count() == 0  # the null source has no tokens
 
 
+def test_mixing_permutes_every_epoch(spark):
+    rows = spark.createDataFrame([(i, "w " * 50, "big" if i < 300 else "small") for i in range(320)], "doc_id long, text string, source string")
+    out = mixed_rows(rows, entropy_share=1.0, max_repeats=3.0, block_tokens=200).toPandas()
+    small = out[out["mix_source"] == "=small"].sort_values(["mix_epoch", "mix_block_place", "mix_block", "mix_row_place"])
+    epochs = [e for _, e in small.groupby("mix_epoch")]
+    assert len(epochs) == 3 and [len(e) for e in epochs[:2]] == [20, 20]
+    orders = [tuple(e["mix_block"].drop_duplicates()) for e in epochs[:2]]
+    assert set(orders[0]) == set(orders[1]) and orders[0] != orders[1]  # blocks in another order
+    assert all((e["mix_block"].diff().fillna(1) != 0).sum() == e["mix_block"].nunique() for e in epochs)  # each block together
+    inside = [{b: tuple(r["doc_id"]) for b, r in e.groupby("mix_block")} for e in epochs[:2]]
+    assert all(set(inside[0][b]) == set(inside[1][b]) for b in inside[0]) and inside[0] != inside[1]  # rows in another order
+
+
 def test_quality_and_toxicity_of_hard_cases(docs, none, labels):
     for f, folds, fold, at in ((quality, 3, 1, 0.5), (toxicity, 4, 2, 0.3)):
         rows = by_id(f(docs, labels))

@@ -6,11 +6,11 @@ least alpha at which no source is repeated more than max_repeats times; the larg
 is its weight of the token budget: whole epochs of the source, then the part of one more.
 
 A source is cut in blocks of about block_tokens by a hash of its rows. Each epoch permutes the blocks and the rows in
-them. In the last epoch blocks are taken in the permutation's order while they fit; of the one block that fits in part,
+them: a row of an epoch has its block's place and its own place in the block, which are hashes that give the order. In the last epoch blocks are taken in the permutation's order while they fit; of the one block that fits in part,
 rows are taken while they fit. So only sums of blocks, and the rows of one block a source, are ever ordered together.
 
-Tokens are runs of characters other than white space; null and empty texts have none and come with their block. A null
-source is a source of its own. Rows that repeat are rows of their own; rows equal in doc_id and text stand or fall together.
+Tokens are runs of characters other than white space; null and empty texts have none and come with their block. A
+source without any token has no weight, so none of its rows is taken. A null source is a source of its own. Rows that repeat are rows of their own; rows equal in doc_id and text stand or fall together.
 """
 
 from __future__ import annotations
@@ -81,7 +81,8 @@ def source_weights(sizes: DataFrame, entropy_share: float = 0.97, max_repeats: f
 def mixed_rows(docs: DataFrame, entropy_share: float = 0.97, max_repeats: float = 4.0, budget: int | None = None, block_tokens: int = 50_000, seed: int = 0) -> DataFrame:
     """The rows of docs (doc_id, text, source, ...) that the mix takes, once for each epoch.
 
-    Adds mix_source, mix_epoch (from 0), mix_block and mix_tokens. Columns of docs whose names begin with mix_ are left out.
+    Adds mix_source, mix_epoch (from 0), mix_block, mix_tokens, mix_block_place and mix_row_place. An epoch of a source is its
+    rows in the order of (mix_block_place, mix_block, mix_row_place). Columns of docs whose names begin with mix_ are left out.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
@@ -115,4 +116,7 @@ def mixed_rows(docs: DataFrame, entropy_share: float = 0.97, max_repeats: float
     rows = rows.join(small(marks.persist(), MAX_BLOCKS), ["mix_source", "mix_mark"], "left")
     copies = (F.col("mix_whole") + F.when(F.coalesce("mix_fits", F.lit(False)) | F.coalesce("mix_taken", F.lit(False)), 1).otherwise(0)).cast("int")
     epochs = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
-    return rows.select(*[docs[c] for c in docs.columns], "mix_source", F.explode(epochs).alias("mix_epoch"), "mix_block", "mix_tokens")
+    rows = rows.select(*[docs[c] for c in docs.columns], "mix_source", F.explode(epochs).alias("mix_epoch"), "mix_block", "mix_tokens", "mix_mark")
+    epoch = F.col("mix_epoch").cast("string")  # the last is mix_whole, so that its places are those it was taken by
+    rows = rows.withColumns({"mix_block_place": place("mix_source", F.col("mix_block").cast("string"), epoch), "mix_row_place": place("mix_mark", epoch)})
+    return rows.drop("mix_mark")

@@ -39,7 +39,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixed_rows(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_tokens").alias("n_tokens"))
+    return rows.select("doc_id", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_block_place").alias("block_place"), F.col("mix_row_place").alias("row_place"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
