@@ -9,13 +9,14 @@ all components must have been hit are not generated; where some component was mi
 Candidates agree in a whole band of components; every candidate pair is then verified exactly on the shingle counts.
 
 Only one of each set of texts with equal word sequences (`key`) takes part; the copies are joined back at the end, never
-paired. In a bucket of up to `SMALL` texts all pairs are candidates. A larger one is cut by the next bands; in a cut each
-text is paired with the first, and what stays apart is compared again: each component found so far sends its first text
-to the cut's texts of other components, until a round links nothing more. That finds most links with few pairs; all pairs
-of the whole bucket still between components then go through an exact filter (`_crossing`), so that none as similar as the
-threshold is lost: one shared band makes a candidate in buckets of any size.
-
-Texts of under five words are their own single shingle; texts without words (null, empty) group with nothing.
+paired. Pairs of a bucket are not listed. Each text meets the centre of each of its buckets, the text that shares most
+bands in all (`centre_pairs`); verified links make components. What is left are the pairs of a bucket in two components:
+they go through an exact prefix and positional filter on their shingles (`crossing_pairs`), so that none as similar as the
+threshold is lost. One shared band makes a candidate in buckets of any size, and rows grow with texts, not with pairs.
+
+Texts of under five words are their own single shingle; texts without words (null, empty) group with nothing. Very long
+texts are cut nowhere. Rows that repeat a doc_id with different texts are one class; equal rows are copies. Columns of docs
+but doc_id and text are not read; those of keep_one's input come back as they are.
 """
 
 from __future__ import annotations
@@ -26,15 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.llm.common import cut, give_back, mixed, of_text, small, staged, text_bytes, word_hashes
+from tidemark.llm.common import cut, free_name, give_back, mixed, of_text, small, staged, text_bytes, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 M = BANDS * ROWS
-SMALL = 12
-FURTHER = 4
 SLOTS = 1 << 20  # of the table that orders shingles by how many texts hold them
 MAX_IDS = 2_000_000  # candidates' ids that may be broadcast: 16 MB; more are joined by a shuffle
 _MULT = np.random.default_rng(21).integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -206,23 +206,22 @@ def _similar(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return joined.where(jaccard("bag_a", "bag_b") >= threshold).select("a", "b")
 
 
-def _buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(bucket, id, total) of the buckets of up to SMALL texts and of the larger ones, and (bucket, id, total, first) of cuts of these.
+def shared_bands(reps: DataFrame) -> DataFrame:
+    """(bucket, id, total, n): a row for each band that a text of reps (id, total, bands) shares with n - 1 others."""
+    rows = reps.select("id", "total", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "id", "total")
+    return rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+
+
+def centre_pairs(shared: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: each text with the centre of each of its buckets, once.
 
-    A bucket is the texts that share a band. Buckets over SMALL are cut by each of the next FURTHER bands (in a circle)
-    that texts share. Of pairs as similar as THRESHOLD, 99 in 100 share two bands so near to one another; the others are
-    found from the whole buckets.
+    A bucket's centre is the text that shares most bands with others in all. The original of a family of edited copies
+    does, so that most of its copies meet the one text to which they are nearest, whichever bands they kept.
     """
-    rows = reps.select("id", "total", F.posexplode("bands").alias("band", "value"))
-    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, ["band", "value"])
-    whole = rows.select(F.xxhash64("band", "value").alias("bucket"), "id", "total", "n")
-    few, large = (whole.where(c).drop("n") for c in (F.col("n") <= SMALL, F.col("n") > SMALL))
-    again = rows.where(F.col("n") > SMALL).select("id", "band", "value").join(reps.select("id", "total", "bands"), "id")
-    further = F.expr(f"transform(sequence(1, {FURTHER}), k -> xxhash64(band, value, k, bands[(band + k) % {BANDS}]))")
-    again = again.select("id", "total", F.explode(further).alias("bucket"))
-    firsts = again.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("id", "total")).alias("first")).where("n > 1").drop("n")
-    return few, large, again.join(firsts, "bucket").select("bucket", "id", "total", "first")
+    weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    centres = shared.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", "id", "total")).alias("centre"))
+    rows = shared.join(centres, "bucket").where((F.col("id") != F.col("centre.id")) & _alike(F.col("total"), F.col("centre.total"), threshold))
+    return rows.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
 
 
 def _alike(x: Column, y: Column, threshold: float) -> Column:
@@ -233,17 +232,16 @@ def _alike(x: Column, y: Column, threshold: float) -> Column:
 def components(links: DataFrame) -> DataFrame:
     """(id, class) of all ids in links (a, b): the least id each is linked to over any number of links."""
     edges = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    found = staged(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("class")), "classes")
+    found = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("class"))
+    found = staged(found, "classes")
     while True:
         near = edges.join(found.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("class").alias("m")).withColumnRenamed("a", "id")
-        lower = found.join(near, "id").select("id", F.least("class", "m").alias("class"))
+        lower = found.join(near, "id").select("id", F.least("class", "m").alias("class"), (F.col("m") < F.col("class")).alias("fell"))
         lower = staged(lower, "classes")
+        if lower.where("fell").isEmpty():
+            return lower.drop("fell")
         jump = lower.select(F.col("id").alias("class"), F.col("class").alias("next"))
-        after = staged(lower.join(jump, "class").select("id", "next").withColumnRenamed("next", "class"), "classes")
-        total = F.sum(F.col("class").cast("decimal(38,0)"))  # longs would overflow over many large ids
-        if after.agg(total).first() == found.agg(total).first():  # classes only ever fall
-            return after
-        found = after
+        found = staged(lower.join(jump, "class").select("id", F.col("next").alias("class")), "classes")
 
 
 def _texts(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
@@ -252,48 +250,49 @@ def _texts(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").join(small(wanted, MAX_IDS), "doc_id", "left_semi").select("text")
 
 
-def _crossing(docs: DataFrame, reps: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) of rows (bucket, id, total, class) in different classes that may be as similar as threshold.
+def crossing_pairs(bags: DataFrame, rest: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b), a < b, of rest (id, total, class) in different classes that may be as similar as threshold.
 
     Shingles are put in one order, that of the counts of their slots (rarest first) and then their hashes. Two texts as
     similar as threshold share a shingle; from the first they share on, both hold all that they share. So that one lies
     where at least threshold of the text's total is left (prefix filter), and both have enough left there for the overlap
-    that the threshold asks of the two totals (positional filter). The order decides only how many pairs pass.
+    that the threshold asks of the two totals (positional filter). The order decides only how many pairs pass: what a copy
+    has that no other text has comes first, so a copy that was changed too much has used up its prefix before it reaches
+    what the family shares.
     """
-    several = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
-    rest = staged(rows.join(several, "bucket", "left_semi").select("id", "total", "class").distinct(), "rest")
-    texts = _texts(docs, reps, rest.select("id"))
+    own = staged(bags.join(small(rest, MAX_IDS), "id"), "rest")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
-        for batch in cut(batches, "text", 3 << 20):
-            _, h, _ = shingles(*word_hashes(*text_bytes(batch, "text")))
-            n += np.bincount((h % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        for batch in batches:
+            for bag in batch.column("bag").to_pylist():
+                n += np.bincount((_opened(bag)[0] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["slot", "n"])
         give_back()
 
     counts = np.zeros(SLOTS, np.int64)
-    seen = of_text(texts, "text").mapInArrow(slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    seen = own.select("bag").mapInArrow(slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
     counts[seen["slot"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
-    order_of = docs.sparkSession.sparkContext.broadcast(counts)
+    order_of = bags.sparkSession.sparkContext.broadcast(counts)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches, "text", 3 << 20):
-            words, at = word_hashes(*text_bytes(batch, "text"))
-            text, h, count = shingles(words, at)
-            order = np.lexsort((h, order_of.value[(h % np.uint64(SLOTS)).astype(np.int64)], text))
-            text, h, count = text[order], h[order], count[order]
-            total = np.bincount(text, count, batch.num_rows).astype(np.int64)
-            before = np.cumsum(count) - count
-            left = total[text] - (before - (np.cumsum(total) - total)[text])
-            head = left >= threshold * total[text] * (1 - 1e-12)
-            ids = _text_ids(_keys(words, at)).take(pa.array(text[head]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(h[head].view(np.int64)), pa.array(left[head])], ["id", "shingle", "left"])
+        for batch in batches:
+            parts, sizes = [], []
+            for bag in batch.column("bag").to_pylist():
+                h, count = _opened(bag)
+                order = np.lexsort((h, order_of.value[(h % np.uint64(SLOTS)).astype(np.int64)]))
+                h, count = h[order], count[order]
+                left = count.sum() - (np.cumsum(count) - count)
+                head = left >= threshold * count.sum() * (1 - 1e-12)
+                parts.append((h[head].view(np.int64), left[head]))
+                sizes.append(int(head.sum()))
+            at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            h, left = (np.concatenate(c) for c in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("id", "total", "class")), pa.array(h), pa.array(left)], ["id", "total", "class", "shingle", "left"])
         give_back()
 
-    found = of_text(texts, "text").mapInArrow(heads, "id long, shingle long, left long").join(small(rest, MAX_IDS), "id")
-    found = staged(found, "heads")
+    found = staged(own.mapInArrow(heads, "id long, total long, class long, shingle long, left long"), "heads")
     several = found.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("shingle")
     found = found.join(several, "shingle", "left_semi")
     x, y = found.alias("x"), found.alias("y")
@@ -304,41 +303,16 @@ def _crossing(docs: DataFrame, reps: DataFrame, rows: DataFrame, threshold: floa
 
 
 def similar_pairs(docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """The verified links (a, b), a < b, that join all of reps (id, doc_id, total, bands) that are similar."""
-    few, large, many = (staged(d, "buckets") for d in _buckets(reps))
-    pairs = few.alias("x").join(few.alias("y"), F.expr("x.bucket = y.bucket AND x.id < y.id")).where(_alike(F.col("x.total"), F.col("y.total"), threshold))
-    star = many.where((F.col("id") > F.col("first.id")) & _alike(F.col("total"), F.col("first.total"), threshold))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).unionByName(star.select(F.col("first.id").alias("a"), F.col("id").alias("b")))
-    pairs = staged(pairs.distinct(), "pairs")
-    tried, links = pairs, None
-    while not pairs.isEmpty():
-        new = _verified(docs, reps, pairs, threshold)
-        if links is not None and new.isEmpty():
-            break
-        links = new if links is None else staged(links.unionByName(new), "links")
-        rows = _classed(many.drop("first"), links)
-        firsts = rows.groupBy("bucket", "class").agg(F.min(F.struct("id", "total")).alias("first"))
-        mixed_ = firsts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        rows, firsts = rows.join(mixed_, "bucket"), firsts.join(mixed_, "bucket").withColumnRenamed("class", "other")
-        across = rows.join(firsts, "bucket").where((F.col("class") != F.col("other")) & _alike(F.col("total"), F.col("first.total"), threshold))
-        across = across.select(F.least("id", "first.id").alias("a"), F.greatest("id", "first.id").alias("b")).distinct()
-        pairs = staged(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-    links = pairs if links is None else links
-    if large.isEmpty():
-        return links
-    pairs = staged(_crossing(docs, reps, _classed(large, links), threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
-    return links if pairs.isEmpty() else staged(links.unionByName(_verified(docs, reps, pairs, threshold)), "links")
-
-
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return staged(_similar(pairs, staged(_counted(_texts(docs, reps, ids)), "bags"), threshold), "links")
-
-
-def _classed(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows (id, ...) with the class that links have put each id in so far."""
-    return rows.join(components(links), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    """Verified links (a, b), a < b, of reps (id, doc_id, total, bands): enough to join all that candidates link."""
+    shared = staged(shared_bands(reps), "shared")
+    pairs = staged(centre_pairs(shared, threshold), "pairs")
+    bags = staged(_counted(_texts(docs, reps, shared.select("id").distinct())), "bags")
+    links = staged(_similar(pairs, bags, threshold), "links")
+    rows = shared.join(components(links), "id", "left").select("bucket", "id", "total", F.coalesce("class", "id").alias("class"))
+    apart = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
+    rest = staged(rows.join(apart, "bucket", "left_semi").select("id", "total", "class").distinct(), "rest")
+    more = staged(crossing_pairs(bags, rest, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(staged(_similar(more, bags, threshold), "links"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -367,9 +341,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with their columns, but one row only of each class of near_duplicates: its least doc_id's."""
-    members = near_duplicates(docs.select("doc_id", "text"), threshold)
-    gone = members.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept
+    """The rows of docs, with their columns, but one row only of each class of near_duplicates: its least doc_id's.
 
+    Of rows that repeat that doc_id, the one with the least text stays. Rows without words or without a doc_id all stay.
+    """
+    members = near_duplicates(docs.select("doc_id", "text"), threshold)
+    gone = staged(members.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "gone")
+    kept = docs.join(small(gone, MAX_IDS), "doc_id", "left_anti").select(*docs.columns)
+    again = staged(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    place = free_name(docs, "place")
+    worded = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))
+    several = kept.where(worded).join(again, "doc_id", "left_semi")
+    first = several.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(place) == 1).select(*docs.columns)
+    rest = kept.where(~worded).unionByName(kept.where(worded).join(again, "doc_id", "left_anti").select(*docs.columns))
+    return rest.unionByName(first)
