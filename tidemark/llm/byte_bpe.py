@@ -1,28 +1,32 @@
 """Byte-level BPE: ranked merges folded by higher-order functions over the bytes of distinct words.
 
 Bytes are held as pairs of hex digits, so that joining two parts is joining two strings. The rank map is a literal: an
-array of small JSON maps, addressed by the crc32 of a part. Its size is the vocabulary's, whatever the input.
-Null and empty texts have no ids. Repeated rows are encoded each.
+array of small JSON maps, addressed by the crc32 of a part. Its size is the vocabulary's, whatever the input. The fold
+copies its state at each merge, so words over LONG bytes are merged from a heap instead, to the same ids.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.pieces import joined_back, nullable, unpacked
+from tidemark.llm.pieces import joined_back, nullable
 from tidemark.llm.token_counts import splitter
 
 SLOTS = 1 << 14
 NONE = 2**31 - 1
+LONG = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -88,53 +92,89 @@ def merged_parts(word: Column, table: Column) -> Column:
 
 
 def encoded_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(piece, ids): the decimal ids, joined by spaces, of every distinct word that is not empty."""
-    hexed = words.select("piece", F.hex(F.col("piece").cast("binary")).alias("word"))
+    """words (piece, ...) with ids, the ids of every distinct word of up to LONG bytes."""
+    word = F.hex(F.col("piece").cast("binary"))
 
     def encode(table: Column) -> Column:
-        ids = F.transform(merged_parts(F.col("word"), table), lambda p: rank_of(table, p).cast("string"))
-        return _let(rank_of(table, F.col("word")), lambda whole: F.when(whole != NONE, whole.cast("string")).otherwise(F.array_join(ids, " ")))
-
-    return hexed.select("piece", _let(rank_map(ranks), encode).alias("ids"))
+        folded = lambda w: F.transform(merged_parts(w, table), lambda p: rank_of(table, p))
+        return _let(word, lambda w: _let(rank_of(table, w), lambda whole: F.when(whole != NONE, F.array(whole)).otherwise(folded(w))))
+
+    return words.select("*", F.when(~_long(), _let(rank_map(ranks), encode)).alias("ids"))
+
+
+def _long() -> Column:
+    return F.octet_length("piece") > LONG
+
+
+def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word by the same merges, from a heap of neighbouring pairs: n log n steps for n bytes."""
+    after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))  # starts of the parts beside the part at each start
+    heap = [(rank, k, k + 2) for k in range(len(word) - 1) if (rank := ranks.get(word[k : k + 2])) is not None]
+    heapq.heapify(heap)
+    alive = bytearray(b"\1" * len(word))
+    while heap:
+        _, start, end = heapq.heappop(heap)
+        middle = after[start]
+        if not alive[start] or middle >= len(word) or after[middle] != end:
+            continue  # one of the two has been merged since
+        alive[middle], after[start] = 0, end
+        if end < len(word):
+            before[end] = start
+            if (rank := ranks.get(word[start : after[end]])) is not None:
+                heapq.heappush(heap, (rank, start, after[end]))
+        if before[start] >= 0 and (rank := ranks.get(word[before[start] : end])) is not None:
+            heapq.heappush(heap, (rank, before[start], end))
+    at, out = 0, []
+    while at < len(word):
+        out.append(ranks[word[at : after[at]]])
+        at = after[at]
+    return out
 
 
 def byte_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_bytes, ids, n_tokens, ids_sha256, decoded and decoded_sha256 for every row of docs (doc_id, text, ...).
 
-    ids are joined by spaces and decoded is the decoded bytes; both are left out without keep_ids.
+    ids are joined by spaces and decoded is the decoded bytes; both are left out without keep_ids. Null and empty texts have
+    no ids, repeated rows and rows without a doc_id are encoded each, other columns of docs are not read, and an empty docs
+    gives no rows. Texts and words are of any length.
     """
     spark = docs.sparkSession
     missing = sorted({bytes([b]) for b in range(256)} - ranks.keys())
     if missing:
         raise ValueError(f"the ranks lack {len(missing)} single bytes")
-    tokens = spark.sparkContext.broadcast({rank: token for token, rank in ranks.items()})  # as large as the vocabulary
-
-    def prepare(ids: np.ndarray) -> tuple[list[str], list[bytes], np.ndarray]:
-        own = tokens.value
-        ids = ids.tolist()
-        parts = [i.split(" ") for i in ids]
-        return ids, [b"".join([own[int(i)] for i in p]) for p in parts], np.array([len(p) for p in parts], np.int64)
-
-    def finish(known, row) -> pd.DataFrame:
-        ids, pieces, n_ids = known
-        lengths = np.asarray(row.lengths)
-        numbers = unpacked(row.numbers, int(lengths.sum()))
-        total = np.append(0, np.cumsum(n_ids[numbers]))
-        ends = np.cumsum(lengths)
-        out = {"doc_id": nullable(row.ids), "n_bytes": np.asarray(row.sizes), "n_tokens": total[ends] - total[ends - lengths]}
-        texts, id_shas, decoded, shas = [], [], [], []
-        for end, length in zip(ends.tolist(), lengths.tolist(), strict=True):
-            seq = numbers[end - length : end].tolist()
-            text = " ".join(map(ids.__getitem__, seq))
-            raw = b"".join(map(pieces.__getitem__, seq))
-            id_shas.append(hashlib.sha256(text.encode()).hexdigest())
-            shas.append(hashlib.sha256(raw).hexdigest())
-            if keep_ids:
-                texts.append(text)
-                decoded.append(raw)
-        out |= {"ids_sha256": id_shas, "decoded_sha256": shas}
-        return pd.DataFrame(out | ({"ids": texts, "decoded": decoded} if keep_ids else {}))
+    known = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary
+
+    def late(pieces: list[str]) -> pa.Array:
+        return pa.array([heap_ids(p.encode(), known.value) for p in pieces], pa.list_(pa.int32()))
+
+    def prepare(ids: pa.ListArray) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """By number: the ids joined by spaces, the bytes that they stand for, and how many they are."""
+        tokens: list[bytes | None] = [None] * (max(known.value.values()) + 1)
+        for token, rank in known.value.items():
+            tokens[rank] = token
+        if not len(ids):
+            return pa.array([], pa.string()), pa.array([], pa.binary()), np.zeros(0, np.int64)
+        offsets, flat = ids.offsets, ids.values
+        texts = pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(map(str, range(len(tokens)))).take(flat)), " ")
+        raw = pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(tokens, pa.binary()).take(flat)), b"")
+        return texts, raw, pc.list_value_length(ids).to_numpy().astype(np.int64)
+
+    def finish(prepared, ids, sizes, lengths, numbers, _) -> pd.DataFrame:
+        texts, raw, n_ids = prepared
+        total, ends = np.append(0, np.cumsum(n_ids[numbers])), np.cumsum(lengths)
+        out = {"doc_id": nullable(ids), "n_bytes": np.asarray(sizes), "n_tokens": total[ends] - total[ends - lengths]}
+        offsets, at = pa.array(np.append(0, ends).astype(np.int32)), pa.array(numbers)
+        by_doc = [pc.binary_join(pa.ListArray.from_arrays(offsets, v.take(at)), gap) for v, gap in ((texts, " "), (raw, b""))]
+        out |= {"ids_sha256": _digests(by_doc[0]), "decoded_sha256": _digests(by_doc[1])}
+        return pd.DataFrame(out | ({"ids": by_doc[0].to_pylist(), "decoded": by_doc[1].to_pylist()} if keep_ids else {}))
 
     schema = "doc_id long, n_bytes long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids string, decoded binary" if keep_ids else "")
     once: Callable[[DataFrame], DataFrame] = lambda words: encoded_words(words, ranks)
-    return joined_back(docs, splitter(pattern), once, "ids", finish, schema, prepare=prepare, chunk_bytes=32 << 20)
+    return joined_back(docs, splitter(pattern), once, "ids", finish, schema, prepare=prepare, late=(_long(), late), chunk_bytes=32 << 20)
+
+
+def _digests(values: pa.Array) -> list[str]:
+    """The SHA-256 of every value's bytes."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1 + values.offset)[values.offset :].tolist()
+    data = memoryview(values.buffers()[2] or b"")
+    return [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]

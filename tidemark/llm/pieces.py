@@ -1,27 +1,36 @@
 """Work done once per distinct pre-token and joined back to documents.
 
-A chunk is a run of documents that one task reads (about CHUNK_BYTES of text). `pieces_of` gives each chunk's distinct
-pre-tokens, numbered by first appearance; `sequences_of` gives the same chunk's documents as those numbers. Both are
-functions of the task's rows alone, so a repeated task gives them again; a caller whose rows come in no fixed order
-(after a shuffle, say) stages them first. Chunks grow in number with the input, never in size, and no row holds more
-than one chunk, so neither hot sources nor frequent words make a large group.
+A chunk is a run of documents that one task reads (about CHUNK_BYTES of text). One pass cuts every text once and gives
+rows of two kinds: each chunk's distinct pre-tokens, numbered by first appearance, and the chunk's documents as those
+numbers. Both go through one exchange, which the distinct values, the join back and the documents all read. Chunks grow
+in number with the input, never in size, and no row holds more than one chunk, so neither hot sources nor frequent words
+make a large group.
+
+A chunk's name is a hash of its task, place and pre-tokens. A task that is run again over rows in another order (after a
+lost executor, on input that comes from a shuffle) gives chunks of other names; a chunk whose documents and values are not
+of one run is found out, and raises an error in place of wrong numbers.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, give_back, of_text
 
 CHUNK_BYTES = 16 << 20
 GROUP_WORDS = 1 << 19
+PACK_ROWS = 1 << 20
+TAGGED = "piece string, home long, chunk long, number int, blob binary"
 
 
 class _Numbers(dict):
@@ -43,110 +52,159 @@ def unpacked(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view(np.uint32).ravel()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], splitter: Callable[[], Callable[[str], list[str]]], chunk_bytes: int):
-    """(chunk, numbers by piece, doc ids, their bytes, their sequences) for each chunk of this task."""
-    split = splitter()
-    task, at = TaskContext.get().partitionId(), 0
-    numbers, ids, sizes, rows = _Numbers(), [], [], []
-    for batch in cut(batches, "text"):
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            found = split(text or "")
-            ids.append(doc_id)
-            sizes.append(len((text or "").encode()))
-            rows.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
-        at += 1
-        if sum(sizes) >= chunk_bytes:
-            yield (task << 32) | at, numbers, ids, sizes, rows
-            numbers, ids, sizes, rows = _Numbers(), [], [], []
-            give_back()
-    if ids:
-        yield (task << 32) | (at + 1), numbers, ids, sizes, rows
-    del numbers, ids, sizes, rows
-    give_back()
-
-
-def pieces_of(docs: DataFrame, splitter: Callable, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(piece, chunk, number): each chunk's distinct pre-tokens."""
-
-    def run(batches):
-        for chunk, numbers, *_ in _chunks(batches, splitter, chunk_bytes):
-            words = list(numbers)
-            for a in range(0, len(words), 50_000):
-                part = words[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.string()), pa.array(np.full(len(part), chunk)), pa.array(np.arange(a, a + len(part), dtype=np.int32))],
-                    ["piece", "chunk", "number"],
-                )
-
-    return of_text(docs, "doc_id", "text").mapInArrow(run, "piece string, chunk long, number int")
-
-
-def sequences_of(docs: DataFrame, splitter: Callable, counted: bool, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, part, ids, sizes, lengths, numbers, counts): the documents of a chunk, some in each row.
-
-    numbers holds the documents' pre-token numbers one after another; if counted, each number once per document with its
-    frequency in counts.
+def _rows(**columns: list | np.ndarray | pa.Array) -> pa.RecordBatch:
+    """A batch of TAGGED; a column that is left out is null."""
+    n = len(next(iter(columns.values())))
+    kinds = [("piece", pa.string()), ("home", pa.int64()), ("chunk", pa.int64()), ("number", pa.int32()), ("blob", pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in kinds], schema=pa.schema(kinds))
+
+
+def tagged(docs: DataFrame, splitter: Callable[[], Callable[[str], list[str]]], counted: bool, chunk_bytes: int) -> DataFrame:
+    """Rows of TAGGED: (piece, 0, chunk, number, null) for pre-tokens, ('', chunk, chunk, part, blob) for documents.
+
+    A blob holds the ids, byte sizes and lengths of some documents of the chunk, their pre-token numbers one after another
+    and how many pre-tokens the chunk has; if counted, each number stands once per document, with its frequency.
+    """
+
+    def out(task: int, at: int, numbers: dict[str, int], ids: list, sizes: list[int], rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words = list(numbers)
+        joined = "\n".join(words)
+        chunk = xxhash.xxh64_intdigest(f"{task} {at} {len(words)}\n{joined}".encode()) >> 1
+        del joined
+        for a in range(0, len(words), 50_000):
+            part = words[a : a + 50_000]
+            yield _rows(piece=part, home=np.zeros(len(part), np.int64), chunk=np.full(len(part), chunk), number=np.arange(a, a + len(part), dtype=np.int32))
+        counts = [np.zeros(0, np.uint32)] * len(rows)
+        if counted:
+            for k, row in enumerate(rows):
+                rows[k], counts[k] = np.unique(row, return_counts=True)
+        lengths = np.array([len(r) for r in rows])
+        part = np.cumsum(lengths) // GROUP_WORDS
+        for p in np.unique(part):
+            own = np.flatnonzero(part == p)
+            a, b = int(own[0]), int(own[-1]) + 1
+            blob = pickle.dumps((len(words), ids[a:b], sizes[a:b], lengths[a:b], packed(np.concatenate(rows[a:b])), packed(np.concatenate(counts[a:b])) if counted else b""))
+            yield _rows(piece=[""], home=[chunk], chunk=[chunk], number=[a], blob=[blob])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = splitter()
+        task, at = TaskContext.get().partitionId(), 0
+        numbers, ids, sizes, rows = _Numbers(), [], [], []
+        for batch in cut(batches, "text"):
+            sizes += pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            ids += batch.column("doc_id").to_pylist()
+            for text in batch.column("text").to_pylist():
+                found = split(text or "")
+                rows.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+            at += 1
+            if sum(sizes) >= chunk_bytes:
+                yield from out(task, at, numbers, ids, sizes, rows)
+                numbers, ids, sizes, rows = _Numbers(), [], [], []
+                give_back()
+        if ids:
+            yield from out(task, at + 1, numbers, ids, sizes, rows)
+        del numbers, ids, sizes, rows
+        give_back()
+
+    return of_text(docs, "doc_id", "text").mapInArrow(run, TAGGED)
+
+
+def _flat(values: pa.Array) -> tuple:
+    if pa.types.is_list(values.type):
+        return len(values), packed(pc.list_value_length(values).to_numpy()), packed(values.flatten().to_numpy())
+    return len(values), packed(values.to_numpy()), None
+
+
+def _opened(n: int, first: bytes, rest: bytes | None) -> pa.Array:
+    numbers = unpacked(first, n).astype(np.int32)
+    if rest is None:
+        return pa.array(numbers)
+    offsets = np.append(0, np.cumsum(numbers)).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(unpacked(rest, int(offsets[-1])).astype(np.int32)))
+
+
+def _packed_values(values: DataFrame, value: str, late: Callable[[list[str]], pa.Array] | None) -> DataFrame:
+    """Rows of TAGGED ('', chunk, chunk, null, blob) from (chunk, number, late, value): numbers and values by chunk.
+
+    The values of rows with a late piece are what the function late makes of those pieces.
     """
 
-    def run(batches):
-        for chunk, _, ids, sizes, rows in _chunks(batches, splitter, chunk_bytes):
-            counts = [None] * len(rows)
-            if counted:
-                for k, row in enumerate(rows):
-                    rows[k], counts[k] = np.unique(row, return_counts=True)
-            lengths = np.array([len(r) for r in rows])
-            part = np.cumsum(lengths) // GROUP_WORDS
-            for p in np.unique(part):
-                own = np.flatnonzero(part == p)
-                a, b = own[0], own[-1] + 1
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {
-                            "chunk": chunk,
-                            "part": int(a),
-                            "ids": ids[a:b],
-                            "sizes": sizes[a:b],
-                            "lengths": lengths[a:b].tolist(),
-                            "numbers": packed(np.concatenate(rows[a:b])),
-                            "counts": packed(np.concatenate(counts[a:b])) if counted else b"",
-                        }
-                    ],
-                    schema,
-                )
-
-    schema = pa.schema(
-        [("chunk", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("numbers", pa.binary()), ("counts", pa.binary())]
-    )
-    ddl = "chunk long, part int, ids array<long>, sizes array<long>, lengths array<long>, numbers binary, counts binary"
-    return of_text(docs, "doc_id", "text").mapInArrow(run, ddl)
-
-
-def joined_back(docs: DataFrame, splitter: Callable, once: Callable[[DataFrame], DataFrame], value: str, finish: Callable, schema: str, counted: bool = False, prepare: Callable = lambda values: values, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            chunk, number = (table.column(c).to_numpy() for c in ("chunk", "number"))
+            order = np.argsort(chunk, kind="stable")
+            edges = np.append(np.flatnonzero(np.append(True, np.diff(chunk[order]) != 0)), len(order))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                own = table.take(pa.array(order[a:b]))
+                parts = [own] if late is None else [own.filter(pc.is_null(own.column("late"))), own.filter(pc.is_valid(own.column("late")))]
+                for part, slow in zip(parts, (False, True), strict=False):
+                    if part.num_rows:
+                        made = late(part.column("late").to_pylist()) if slow else pa.concat_arrays(part.column(value).chunks)
+                        name = int(chunk[order[a]])
+                        yield _rows(piece=[""], home=[name], chunk=[name], blob=[pickle.dumps((packed(part.column("number").to_numpy()), *_flat(made)))])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PACK_ROWS:
+                yield from out()
+        if sum(b.num_rows for b in held):
+            yield from out()
+        give_back()
+
+    return values.mapInArrow(run, TAGGED)
+
+
+def joined_back(
+    docs: DataFrame, splitter: Callable, once: Callable[[DataFrame], DataFrame], value: str, finish: Callable, schema: str,
+    counted: bool = False, prepare: Callable = lambda values: values, late: tuple[Column, Callable[[list[str]], pa.Array]] | None = None, chunk_bytes: int = CHUNK_BYTES,
+) -> DataFrame:
     """Apply `once` to the distinct pre-tokens (piece) of all documents, then `finish` to each chunk.
 
-    once returns (piece, value). finish(prepare(values), row) takes the chunk's values by number and one row of
-    `sequences_of`, and returns a pandas frame of schema.
+    once takes (piece, home) and returns them with value, an int or an array of ints. late is a condition on piece and a
+    function: values of pieces that meet it are made by the function, where the others are gathered. finish(prepare(values),
+    ids, sizes, lengths, numbers, counts) takes the chunk's values by number (an Arrow array) and some of its documents, and
+    returns a pandas frame of schema.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pieces_of(docs, splitter, chunk_bytes).where("piece is not null").repartition(n, "piece")
-    # The tests on chunk and number hold for every row; they keep both columns, so that this reads the exchange of `pairs`.
-    first = pairs.groupBy("piece").agg(F.min("chunk").alias("chunk"), F.min("number").alias("number"))
-    done = once(first.where("chunk >= 0 and number >= 0").select("piece"))
-    values = pairs.join(done.hint("shuffle_hash"), "piece").select("chunk", "number", value)
-    rows = sequences_of(docs, splitter, counted, chunk_bytes)
-
-    def of_chunk(own: pd.DataFrame, sequences: pd.DataFrame) -> pd.DataFrame:
-        by_number = prepare(own.sort_values("number")[value].to_numpy())
-        parts = [finish(by_number, row) for row in sequences.itertuples(index=False)]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tagged(docs, splitter, counted, chunk_bytes).repartition(n, "piece", "home")
+
+    def only(documents: bool) -> DataFrame:
+        """The rows of one kind. The test reads every column and, as it isn't deterministic to the planner, stays above the exchange, so that there is one."""
+        kind = F.col("blob").isNotNull() if documents else F.col("blob").isNull()
+        every = kind & (F.col("number") >= 0) & (F.col("chunk") >= 0) & F.col("piece").isNotNull() & (F.col("home") >= 0)
+        return rows.where(F.when(every, F.monotonically_increasing_id()).otherwise(-1) >= 0)
+
+    pairs = only(False)
+    done = once(pairs.groupBy("piece", "home").agg(F.lit(1).alias("one")).select("piece", "home"))
+    condition, function = late if late is not None else (F.lit(False), None)
+    values = pairs.join(done.hint("shuffle_hash"), ["piece", "home"]).select("chunk", "number", F.when(condition, F.col("piece")).alias("late"), value)
+    gathered = _packed_values(values, value, function).repartition(n, "piece", "home")
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def of_chunk(own: pd.DataFrame, documents: pd.DataFrame) -> pd.DataFrame:
+        blobs = [pickle.loads(b) for b in own["blob"]]  # noqa: S301  (written above)
+        numbers = np.concatenate([unpacked(b[0], b[1]) for b in blobs]) if blobs else np.zeros(0, np.uint32)
+        made = pa.concat_arrays([_opened(*b[1:]) for b in blobs]) if blobs else pa.array([], pa.int32())
+        order = np.argsort(numbers)
+        parts, prepared = [], None
+        for blob in documents["blob"]:
+            n_words, ids, sizes, lengths, row, counts = pickle.loads(blob)  # noqa: S301
+            if prepared is None:
+                if len(order) != n_words or not np.array_equal(numbers[order], np.arange(n_words)):
+                    raise RuntimeError("the values of a chunk are not those of its documents; stage input whose order may change")
+                prepared = prepare(made.take(pa.array(order)))
+            total = int(lengths.sum())
+            parts.append(finish(prepared, ids, sizes, lengths, unpacked(row, total), unpacked(counts, total) if counted else None))
         give_back()
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns)
 
-    return values.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInPandas(of_chunk, schema)
+    return gathered.groupBy("piece", "home").cogroup(only(True).groupBy("piece", "home")).applyInPandas(of_chunk, schema)
 
 
 def nullable(values: list) -> pd.Series:
     """Doc ids, which may be null, as whole numbers."""
     return pd.array([None if v is None or v != v else int(v) for v in values], dtype="Int64")
-
-

@@ -1,6 +1,6 @@
 """Token counts: pieces counted once per distinct pre-token, joined to per-document pre-token frequencies and summed.
 
-Null and empty texts have no tokens. Repeated rows are counted each. Ids are never kept.
+Ids are never kept.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import give_back
-from tidemark.llm.pieces import joined_back, nullable, unpacked
+from tidemark.llm.pieces import joined_back, nullable
 
 
 def splitter(pattern: str, specials: tuple[str, ...] = ()) -> Callable[[], Callable[[str], list[str]]]:
@@ -50,7 +50,7 @@ def special_strings(tokenizer_json: str) -> tuple[str, ...]:
 
 
 def counts_once(pieces: DataFrame, tokenizer_json: str, specials: tuple[str, ...]) -> DataFrame:
-    """(piece, n): the tokens of every distinct pre-token."""
+    """pieces (piece, ...) with n, the tokens of every distinct pre-token."""
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -69,24 +69,23 @@ def counts_once(pieces: DataFrame, tokenizer_json: str, specials: tuple[str, ...
         del tokenizer
         give_back()
 
-    return pieces.select("piece", count("piece").alias("n"))
+    return pieces.select("*", count("piece").alias("n"))
 
 
 def token_counts(docs: DataFrame, tokenizer_json: str, pattern: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for every row of docs (doc_id, text, ...).
 
-    tokenizer_json is the content of a byte-level BPE file of the tokenizers library whose pre-tokens pattern gives.
+    tokenizer_json is the content of a byte-level BPE file of the tokenizers library whose pre-tokens pattern gives. Null and
+    empty texts have no tokens, repeated rows and rows without a doc_id are counted each, other columns of docs are not read,
+    and an empty docs gives no rows. Texts and words are of any length.
     """
     specials = special_strings(tokenizer_json)
 
-    def finish(n: np.ndarray, row) -> pd.DataFrame:
-        lengths = np.asarray(row.lengths)
-        total = np.zeros(int(lengths.sum()) + 1, np.int64)
-        if lengths.sum():
-            np.cumsum(n[unpacked(row.numbers, lengths.sum())].astype(np.int64) * unpacked(row.counts, lengths.sum()), out=total[1:])
+    def finish(n: np.ndarray, ids, sizes, lengths, numbers, counts) -> pd.DataFrame:
+        total = np.append(0, np.cumsum(n[numbers] * counts.astype(np.int64)))
         ends = np.cumsum(lengths)
-        return pd.DataFrame({"doc_id": nullable(row.ids), "n_bytes": np.asarray(row.sizes), "n_tokens": total[ends] - total[ends - lengths]})
+        return pd.DataFrame({"doc_id": nullable(ids), "n_bytes": np.asarray(sizes), "n_tokens": total[ends] - total[ends - lengths]})
 
     once = lambda pieces: counts_once(pieces, tokenizer_json, specials)
-    out = joined_back(docs, splitter(pattern, specials), once, "n", finish, "doc_id long, n_bytes long, n_tokens long", counted=True)
+    out = joined_back(docs, splitter(pattern, specials), once, "n", finish, "doc_id long, n_bytes long, n_tokens long", counted=True, prepare=lambda n: n.to_numpy().astype(np.int64))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
