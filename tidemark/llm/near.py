@@ -35,7 +35,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 M = BANDS * ROWS
-SLOTS = 1 << 20  # of the table that orders shingles by how many texts hold them
+SLOTS = 1 << 18  # of the table that orders shingles by how many texts hold them
 MAX_IDS = 2_000_000  # candidates' ids that may be broadcast: 16 MB; more are joined by a shuffle
 _MULT = np.random.default_rng(21).integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -272,8 +272,8 @@ def crossing_pairs(bags: DataFrame, rest: DataFrame, threshold: float) -> DataFr
         give_back()
 
     counts = np.zeros(SLOTS, np.int64)
-    seen = own.select("bag").mapInArrow(slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
-    counts[seen["slot"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
+    seen = own.select("bag").mapInArrow(slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    counts[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
     order_of = bags.sparkSession.sparkContext.broadcast(counts)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
