@@ -15,9 +15,10 @@ Names are 64-bit hashes, compared only among equal samples (39 bits or more), in
 prefixes is all that is asked, and ranks of all suffixes would need several sorts of every position. README.md says where
 this departs from the algorithm with a fixed cover.
 
-Buckets and groups here are hash ranges, not values, and their number follows spark.sql.shuffle.partitions. Null and
-empty texts lose nothing. A null doc_id is not smaller or larger than any. Rows that repeat a doc_id do not remove from
-one another.
+Buckets and groups here are hash ranges, not values, and their number follows the bytes of text. A stretch that a task finds
+to be removed goes to a bucket of its document, not of its string, so a string that many documents share fills no bucket;
+what stays is one document a task and string. Null and empty texts lose nothing. A null doc_id is not smaller or larger than
+any. Rows that repeat a doc_id do not remove from one another. Texts are of any length and are cut nowhere.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from tidemark.llm.common import byte_codes, cut, free_name, give_back, mixed, of
 
 LENGTH, K = 50, 20
 FLUSH = 400_000  # stretches that a task holds before it writes them out
+GROUP_BYTES = 4 << 20  # of text, for each group of documents and about for each bucket of stretches
 _CODES = byte_codes(31)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,13 +134,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: b
     (doc_id, text, ...); with_text, the columns of docs with text as it remains (bytes of a character cut in two are left
     out), and n_chars, where docs has it, to match.
     """
-    spark, names_out = docs.sparkSession, docs.columns
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, int(2 * n_parts - 1).bit_length())
+    names_out = docs.columns
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_dest = max(12, -(-total // GROUP_BYTES))
+    bits = max(6, int(n_dest - 1).bit_length())
     mark, dest = free_name(docs, "row_mark"), free_name(docs, "row_dest")
     rows = docs if with_text else docs.select("doc_id", "text")
     rows = rows.withColumn(mark, F.xxhash64("doc_id", "text"))
-    n_dest = 2 * n_parts
     rows = rows.withColumn(dest, F.pmod(F.col(mark), F.lit(n_dest)).cast("int"))
     blobs = "bucket int, blob binary"
     replies = f"{dest} int, blob binary"
@@ -152,7 +154,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: b
             ids, marks, start, strings, sample, content = (c[order] for c in (ids, marks, start, strings, sample, content))
             head = np.append(True, (sample[1:] != sample[:-1]) | (content[1:] != content[:-1]))
             later = ids > ids[np.flatnonzero(head)][np.cumsum(head) - 1]
-            bucket = (sample >> np.uint64(64 - bits)).astype(np.int64)
+            bucket = np.where(later, mixed(marks.view(np.uint64)), sample) >> np.uint64(64 - bits)
+            order = np.argsort(bucket, kind="stable")
+            bucket, ids, marks, start, strings, sample, content, later = (c[order] for c in (bucket.astype(np.int64), ids, marks, start, strings, sample, content, later))
             cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
             made = []
             for b in np.flatnonzero(np.diff(cuts)):
@@ -199,18 +203,21 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: b
         ids, marks, start, strings = ids[~done], marks[~done], start[~done], strings[~done]
         order = np.lexsort((ids, content, sample))
         ids, marks, start, strings, sample, content = (c[order] for c in (ids, marks, start, strings, sample, content))
-        group = np.append(True, sample[1:] != sample[:-1])
-        head = group | np.append(True, content[1:] != content[:-1])
+        group = np.append(True, sample[1:] != sample[:-1])[: len(sample)]  # all may be done
+        head = group | np.append(True, content[1:] != content[:-1])[: len(sample)]
         later = ids > ids[np.flatnonzero(head)][np.cumsum(head) - 1]
         at = np.flatnonzero(group)
-        several = np.add.reduceat(head.astype(np.int64), at) > 1
-        several &= np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at)
-        look = several[np.cumsum(group) - 1] & ~later
+        if len(at):
+            several = np.add.reduceat(head.astype(np.int64), at) > 1
+            several &= np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at)
+        look = several[np.cumsum(group) - 1] & ~later if len(group) else later
         removed.append((ids[later], marks[later], start[later], strings[later]))
         gone = [np.concatenate(c) for c in zip(*removed, strict=True)]
         kind = np.append(np.zeros(len(gone[0]), np.uint8), np.ones(int(look.sum()), np.uint8))
         ids, marks, start, strings = (np.append(a, b[look]) for a, b in zip(gone, (ids, marks, start, strings), strict=True))
         samples = np.append(np.zeros(len(gone[0]), np.uint32), sample[look])
+        del parts, removed, gone
+        give_back()
         return _table(answer(key[0].as_py(), kind, ids, marks, start, strings, samples), dest)
 
     def looked(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
@@ -232,6 +239,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: b
                 first, n = offsets[row[doc[look]]] + start[look], strings[look].astype(np.int64)
                 at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 made.append((int(bucket[0]), b"\1" + pack(u_ids, u_marks, doc[look], start[look], strings[look], sample[look], names[at])))
+        del data, names
+        give_back()
         return _table(made, "bucket")
 
     def compared_strings(key: tuple, table: pa.Table) -> pa.Table:
@@ -282,6 +291,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: b
         head[inner] = gone[inner]
         removed, spans = (np.append(0, np.cumsum(v)) for v in (gone, head))
         left = data[~gone]
+        del change, gone, head
+        give_back()
         at = offsets - removed[offsets]
         by_row = [left[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
         from_row = np.array(same)  # rows equal in doc_id and text take the verdict of the first
@@ -305,7 +316,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: b
     else:
         spark_result = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())])
         result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    placed = of_text(rows, *rows.columns).repartition(n_parts, dest)
+    placed = of_text(rows, *rows.columns).repartition(n_dest, dest)
     first = rows.select("doc_id", "text", mark).mapInArrow(sampled, blobs).groupBy("bucket").applyInArrow(compared, replies)
     second = placed.groupBy(dest).cogroup(first.groupBy(dest)).applyInArrow(looked, blobs).groupBy("bucket").applyInArrow(compared_strings, replies)
     return placed.groupBy(dest).cogroup(second.groupBy(dest)).applyInArrow(kept, spark_result)
