@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tidemark.plans.catalogue import ORACLE_SQL, QUERIES
+from tidemark.plans import ORACLE_SQL, QUERIES
 
 D = "/root/testdata/sf0.001"
 

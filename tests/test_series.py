@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import align, folds, kernels, precedent, scores
+from tidemark.operators import align, folds, kernels, precedent, regimes, scores
 from tidemark.operators import windows as w
 from tidemark.streaming import bars
 
@@ -22,7 +22,6 @@ COLUMNS = {
     "z": lambda: w.causal_z(F.col("px"), 10),
     "mean": lambda: w.sma(F.col("px"), 5),
     "quantile": lambda: w.quantile_z(F.col("px"), 20, 5),
-    "expanding": lambda: w.expanding_quantile(F.col("px"), 0.9, 10, 1.0),
     "norm": lambda: w.expanding_norm(F.col("px")),
 }
 
@@ -40,7 +39,7 @@ def test_prefixes_keep_their_values(spark, name):
 
 def test_kernels_keep_prefixes():
     x = np.random.default_rng(3).normal(0, 1, 200)
-    for kernel in (kernels.regimes, kernels.hidden_regimes):
+    for kernel in (regimes.regimes, kernels.hidden_regimes):
         whole, part = kernel(x), kernel(x[:150])
         for c in whole:
             assert list(map(str, whole[c][:150])) == list(map(str, part[c]))

@@ -21,8 +21,9 @@ def forward_fill(df: DataFrame, column: str, *by: str) -> DataFrame:
 
 
 def spine_of(df: DataFrame, spine: DataFrame) -> DataFrame:
-    """Every series of df at every date of spine (dt): the output's own size, series by dates."""
-    return df.select("series").distinct().withColumn("_one", F.lit(1)).join(F.broadcast(spine.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Every series of df at every date of spine (dt, ...): the output's own size, series by dates."""
+    dates = spine.agg(F.collect_list(F.struct(*spine.columns)).alias("_dates"))  # one row, the days or hours of a spine
+    return df.select("series").distinct().join(dates).select("series", F.inline("_dates"))
 
 
 def reindex_ffill(df: DataFrame, spine: DataFrame) -> DataFrame:

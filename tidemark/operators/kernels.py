@@ -108,52 +108,6 @@ def correlation_factors(z: np.ndarray, t_eff: float) -> tuple[int, np.ndarray]:
     return k, clean / d[:, None] / d[None]
 
 
-#: Transition, emission and change-point constants of the regime loop.
-STAY, MEANS, SDS, DRIFT, ALARM = 0.98, (0.6, 0.0, -0.6), (0.3, 0.25, 0.3), 0.5, 4.0
-
-
-def regimes(x: np.ndarray) -> dict[str, np.ndarray]:
-    """Level by an adaptive Kalman filter, variance by GARCH(1,1), three states by a forward filter, breaks by CUSUM; a label."""
-    n = len(x)
-    x = np.nan_to_num(x)
-    level, p, r = 0.0, 1.0, 0.1
-    var, long_run = 0.1, 0.1
-    weight = np.full(3, 1 / 3)
-    move = np.full((3, 3), (1 - STAY) / 2) + np.eye(3) * (STAY - (1 - STAY) / 2)
-    mean, sd = np.array(MEANS), np.array(SDS)
-    up = down = 0.0
-    news: list[float] = []
-    out = {"level": np.zeros(n), "variance": np.zeros(n), "bull": np.zeros(n), "bear": np.zeros(n), "change": np.zeros(n, bool), "regime": np.empty(n, object)}
-    for t in range(n):
-        p += 0.01
-        gap = x[t] - level
-        gain = p / (p + r)
-        level, p = level + gain * gap, (1 - gain) * p
-        recent = np.array(news[-20:])
-        news.append(gap)
-        if len(news) >= 5:
-            r = 0.9 * r + 0.1 * max(float(np.var(news[-20:])), 1e-6)
-        var = float(np.clip(1e-4 + 0.1 * gap**2 + 0.85 * var, 0.001, 1.0))
-        long_run = 0.95 * long_run + 0.05 * float(np.var(news[-50:])) if len(news) >= 10 else long_run
-        like = np.exp(-0.5 * ((level - mean) / sd) ** 2) / sd
-        weight = weight @ move * np.maximum(like, 1e-12)
-        weight /= weight.sum()
-        z = (gap - recent.mean()) / max(recent.std(), 0.1) if len(recent) >= 3 else 0.0
-        up, down = max(0.0, up + z - DRIFT), max(0.0, down - z - DRIFT)
-        change = up > ALARM or down > ALARM
-        if change:
-            up = down = 0.0
-        bull, _, bear = weight
-        label = "TRANSITION" if change else "BULL" if bull > 0.6 else "BEAR" if bear > 0.6 else "WEAK_BULL" if bull > 0.4 else "WEAK_BEAR" if bear > 0.4 else "NEUTRAL"
-        for c, v in zip(out, (level, var, bull, bear, change, label), strict=True):
-            out[c][t] = v
-    return out
-
-
-def regime_rows(df: DataFrame, column: str) -> DataFrame:
-    return by_series(df, column, regimes, "level double, variance double, bull double, bear double, change boolean, regime string")
-
-
 def hidden_rows(df: DataFrame, column: str) -> DataFrame:
     return by_series(df, column, hidden_regimes, "stress double, switch double, entropy double")
 

@@ -27,7 +27,7 @@ def full(value: Column, x: Column, over: Window, n: int) -> Column:
 
 
 def causal_z(x: Column, n: int, bound: float = 3.0) -> Column:
-    """z of x (null: 0) against the n rows before, clipped; 0 where they don't vary."""
+    """z of x against the n rows before, clipped; 0 where they don't vary. x is filled forward before (`align.forward_fill`); a null, before the first value, counts as 0."""
     own = F.coalesce(x, F.lit(0.0))
     mean, sd = F.avg(own).over(prior(n)), F.stddev_samp(own).over(prior(n))
     return F.when(F.coalesce(sd, F.lit(0.0)) > 1e-12, clip((own - mean) / sd, -bound, bound)).otherwise(0.0)
@@ -74,22 +74,6 @@ def crossings(z: Column, at: float = 1.0) -> tuple[Column, Column]:
     return F.coalesce((z < -at) & (before >= -at), no), F.coalesce((z > at) & (before <= at), no)
 
 
-def expanding_quantile(x: Column, q: float, least: int, default: float) -> Column:
-    """The nearest-rank quantile of all rows before; the default under `least` of them or where it isn't over 0."""
-    sorted_ = F.array_sort(F.collect_list(x).over(prior()))
-    value = F.get(sorted_, F.rint(F.lit(q) * (F.size(sorted_) - 1)).cast("int"))
-    return F.when((F.size(sorted_) >= least) & (value > 0), value).otherwise(F.lit(default))
-
-
-def expanding_cdf(df: DataFrame, column: str, name: str) -> DataFrame:
-    """df with the mid-rank of column among all earlier rows of its series: (0.5 (below + not above) + 0.5) / (n + 1)."""
-    before = F.collect_list(column).over(prior())
-    low = F.size(F.filter("_before", lambda v: v < F.col(column)))
-    high = F.size(F.filter("_before", lambda v: v <= F.col(column)))
-    mid = (0.5 * (low + high) + 0.5) / (F.size("_before") + 1)
-    return df.withColumn("_before", before).withColumn(name, F.when(F.size("_before") > 0, mid).otherwise(0.5)).drop("_before")
-
-
 def expanding_norm(x: Column) -> Column:
     """z against all rows so far, over 3, from -1 to 1."""
     sd = F.coalesce(F.stddev_samp(x).over(past()), F.lit(1.0))

@@ -5,67 +5,33 @@ Doubles are rounded (fixed) on both sides, since sums are taken in other orders.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import scalar as fn
 from tidemark.functions.scalar import fixed
-from tidemark.operators import align, folds, freshness, kernels, precedent, scores, stats
+from tidemark.operators import align, folds, freshness, kernels, precedent, regimes, scores, stats
 from tidemark.operators import windows as w
 from tidemark.operators.align import ordered
+from tidemark.plans.registry import BARS, LAG, PANEL, SPINE, TARGET, clip_sql, over, query, r, z_sql
 from tidemark.sources import tables as src
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-#: Common tables of the SQL.
-TARGET = "target AS (SELECT 'target' AS series, CAST(o_orderdate AS DATE) AS dt, avg(o_totalprice) AS px FROM orders GROUP BY 2)"
-PANEL = "panel AS (SELECT p_brand AS series, CAST(l_shipdate AS DATE) AS dt, avg(l_extendedprice / l_quantity) AS px FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
-BARS = """bars AS (SELECT event_type AS series, date_trunc('hour', ts) AS dt, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
-  last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2)"""
-SPINE = "spine AS (SELECT CAST(unnest(generate_series(min(dt), max(dt), INTERVAL 1 DAY)) AS DATE) AS dt FROM panel), weekdays AS (SELECT dt FROM spine WHERE isodow(dt) <= 5)"
-
-
-def r(x: str, digits: int = 6) -> str:
-    """fixed() in SQL."""
-    return f"floor(({x}) * 1e{digits} + 0.501) / 1e{digits}"
-
-
-def clip_sql(x: str, a: float, b: float) -> str:
-    return f"CASE WHEN ({x}) IS NOT NULL THEN greatest(least({x}, {b}::DOUBLE), {a}::DOUBLE) END"
-
-
-def z_sql(x: str, n: int, bound: int = 3, part: str = "series") -> str:
-    over = f"OVER (PARTITION BY {part} ORDER BY dt ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
-    own = f"coalesce({x}, 0)"
-    return f"CASE WHEN coalesce(stddev_samp({own}) {over}, 0) > 1e-12 THEN greatest(least(({own} - avg({own}) {over}) / stddev_samp({own}) {over}, {bound}), -{bound}) ELSE 0.0 END"
-
-
-def over(a: str, b: str = "CURRENT ROW") -> str:
-    return f"OVER (PARTITION BY series ORDER BY dt ROWS BETWEEN {a} AND {b})"
-
 
-LAG = "OVER (PARTITION BY series ORDER BY dt)"
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
+def weekdays(panel: DataFrame) -> DataFrame:
+    span = panel.agg(F.min("dt").alias("a"), F.max("dt").alias("b"))
+    return span.select(F.explode(F.sequence("a", "b")).alias("dt")).where(F.weekday("dt") < 5)
 
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
 
-    return add
+GAPS = f"gaps AS (SELECT series, dt, CASE WHEN day(dt) % 7 > 0 THEN px END AS px FROM panel), filled AS (SELECT series, dt, last_value(px IGNORE NULLS) {over('UNBOUNDED PRECEDING')} AS px FROM gaps)"
 
 
-def weekdays(panel: DataFrame) -> DataFrame:
-    span = panel.agg(F.min("dt").alias("a"), F.max("dt").alias("b"))
-    return span.select(F.explode(F.sequence("a", "b")).alias("dt")).where(F.weekday("dt") < 5)
+@query(f"""WITH {PANEL}, {GAPS}, z AS (SELECT series, dt, {r(z_sql('px', 20))} AS z FROM filled)
+SELECT *, CASE WHEN z > 2 THEN 'Extreme Over' WHEN z > 1 THEN 'Overvalued' WHEN z > -1 THEN 'Fair Value' WHEN z > -2 THEN 'Undervalued' ELSE 'Extreme Under' END AS zone FROM z""")
+def w04_causal_zscore(spark, d):
+    gaps = src.panel_daily(spark, d).withColumn("px", F.when(F.dayofmonth("dt") % 7 > 0, F.col("px")))
+    z = align.forward_fill(gaps, "px").select("series", "dt", fixed(w.causal_z(F.col("px"), 20)).alias("z"))
+    return z.withColumn("zone", fn.zone(F.col("z")))
 
 
 @query(f"""
@@ -73,10 +39,9 @@ WITH {TARGET}, z AS (SELECT *, {r(z_sql('px', 20))} AS z, lead(px, 5) {LAG} AS a
 f AS (SELECT CASE WHEN z > 2 THEN 'Extreme Over' WHEN z > 1 THEN 'Overvalued' WHEN z > -1 THEN 'Fair Value' WHEN z > -2 THEN 'Undervalued' ELSE 'Extreme Under' END AS zone,
   {clip_sql('(ahead / px - 1) * 100', -100, 100)} AS forward FROM z)
 SELECT zone, count(forward) AS n, {r('avg(forward)')} AS mean_forward, {r('avg(CASE WHEN forward IS NOT NULL THEN (forward > 0)::INT END)')} AS up_share FROM f GROUP BY zone""")
-def w04_causal_zscore(spark, d):
+def w02_forward_by_zone(spark, d):
     df = src.target_daily(spark, d).select("*", fixed(w.causal_z(F.col("px"), 20)).alias("z"), w.forward_change(F.col("px"), 5).alias("forward"))
-    rows = df.groupBy(fn.zone(F.col("z")).alias("zone")).agg(F.count("forward").alias("n"), fixed(F.avg("forward")).alias("mean_forward"), fixed(F.avg((F.col("forward") > 0).cast("int"))).alias("up_share"))
-    return rows.orderBy("zone")
+    return df.groupBy(fn.zone(F.col("z")).alias("zone")).agg(F.count("forward").alias("n"), fixed(F.avg("forward")).alias("mean_forward"), fixed(F.avg((F.col("forward") > 0).cast("int"))).alias("up_share"))
 
 
 @query(f"""WITH {PANEL}, {SPINE} SELECT series, {r('count(px) / (SELECT count(*) FROM weekdays)')} AS coverage FROM panel JOIN weekdays USING (dt) GROUP BY series
@@ -210,15 +175,14 @@ t AS (SELECT dt, x, CASE WHEN n >= 60 AND b[CAST(round_even(0.9 * (n - 1), 0) AS
 SELECT dt, {r('hi')} AS tier_strong, {r('least(lo, hi)')} AS tier_weak FROM t""")
 def w11_expanding_tiers(spark, d):
     rows = src.target_daily(spark, d).select("series", "dt", F.abs(fixed(w.causal_z(F.col("px"), 20))).alias("x"))
-    hi, lo = w.expanding_quantile(F.col("x"), 0.9, 60, 1.5), w.expanding_quantile(F.col("x"), 0.5, 60, 0.7)
-    rows = rows.select("dt", hi.alias("hi"), lo.alias("lo"))
-    return rows.select("dt", fixed(F.col("hi")).alias("tier_strong"), fixed(F.least("lo", "hi")).alias("tier_weak"))
+    tiers = folds.expanding_quantiles(rows, "x", {"hi": (0.9, 1.5), "lo": (0.5, 0.7)}, 60)
+    return tiers.select("dt", fixed(F.col("hi")).alias("tier_strong"), fixed(F.least("lo", "hi")).alias("tier_weak"))
 
 
 @query(f"""WITH {TARGET}, l AS (SELECT dt, px, list(px) {over('UNBOUNDED PRECEDING', '1 PRECEDING')} AS b FROM target)
 SELECT dt, {r("CASE WHEN len(b) > 0 THEN (0.5 * (len(list_filter(b, lambda v: v < px)) + len(list_filter(b, lambda v: v <= px))) + 0.5) / (len(b) + 1) ELSE 0.5 END")} AS percentile FROM l""")
 def w15_expanding_cdf(spark, d):
-    return w.expanding_cdf(src.target_daily(spark, d), "px", "percentile").select("dt", fixed(F.col("percentile")).alias("percentile"))
+    return folds.expanding_cdf(src.target_daily(spark, d), "px", "percentile").select("dt", fixed(F.col("percentile")).alias("percentile"))
 
 
 @query(f"""WITH {PANEL} SELECT series, dt, {r(clip_sql(f"(px - avg(px) {over('UNBOUNDED PRECEDING')}) / greatest(coalesce(stddev_samp(px) {over('UNBOUNDED PRECEDING')}, 1), 1e-10) / 3", -1, 1))} AS norm FROM panel""")
@@ -375,17 +339,18 @@ def r19_drift_filter(spark, d):
     return folds.drift_filter(x, "x").select("series", "dt", fixed(F.col("level")).alias("level"), fixed(F.col("variance")).alias("variance"), fixed(fn.soft_bound(F.col("level"))).alias("bounded"))
 
 
-@query(f"""WITH RECURSIVE {PANEL}, zp AS (SELECT series, dt, {r(z_sql('px', 20))} AS z, px FROM panel), c AS (SELECT series, dt, -lag(z, 5) {LAG} AS call, {r(f'px / lag(px, 5) {LAG} - 1')} AS y, row_number() {LAG} AS k FROM zp),
-g AS (SELECT *, CASE WHEN y IS NOT NULL AND y <> 0 AND call IS NOT NULL THEN sign(call) * sign(y) END AS a FROM c),
+@query(f"""WITH RECURSIVE {PANEL}, {TARGET}, zp AS (SELECT series, dt, {r(z_sql('px', 20))} AS z FROM panel), o AS (SELECT dt, {r(f'px / lag(px, 5) {LAG} - 1')} AS y FROM target),
+c AS (SELECT s.series, o.dt, y, -lag(z, 5) OVER (PARTITION BY s.series ORDER BY o.dt) AS call, row_number() OVER (PARTITION BY s.series ORDER BY o.dt) AS k FROM (SELECT DISTINCT series FROM panel) s CROSS JOIN o LEFT JOIN zp ON zp.series = s.series AND zp.dt = o.dt),
+g AS (SELECT *, CASE WHEN y IS NOT NULL AND y <> 0 THEN coalesce(sign(call) * sign(y), 0) END AS a FROM c),
 e(series, k, dt, m, w, q) AS (SELECT series, 0::BIGINT, NULL::DATE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM g WHERE k = 1 UNION ALL
  SELECT g.series, g.k, g.dt, CASE WHEN a IS NULL THEN m ELSE (0.5^(1/252.0) * w * m + a) / (0.5^(1/252.0) * w + 1) END, CASE WHEN a IS NULL THEN w ELSE 0.5^(1/252.0) * w + 1 END, CASE WHEN a IS NULL THEN q ELSE 0.5^(2/252.0) * q + 1 END FROM g JOIN e ON g.series = e.series AND g.k = e.k + 1),
 s AS (SELECT series, dt, 0.5 * sqrt(CASE WHEN q > 0 THEN w * w / q ELSE 0 END) * m AS e FROM e WHERE k > 0), x AS (SELECT dt, series, exp(e) AS x FROM s)
 SELECT dt, series, {r("(1 - least(0.02 * count(*) OVER (PARTITION BY dt), 1)) * x / sum(x) OVER (PARTITION BY dt) + least(0.02 * count(*) OVER (PARTITION BY dt), 1) / count(*) OVER (PARTITION BY dt)")} AS weight FROM x""")
 def r27_skill_weights(spark, d):
-    px = F.col("px")
-    z = src.panel_daily(spark, d).select("series", "dt", "px", fixed(w.causal_z(px, 20)).alias("z"))
-    rows = z.select("series", "dt", (-F.lag("z", 5).over(ordered())).alias("call"), fixed(w.percent_change(px, 5)).alias("outcome"))
-    return folds.skill_weights(folds.discounted_skill(rows, "call", "outcome")).withColumn("weight", fixed(F.col("weight")))
+    z = src.panel_daily(spark, d).select("series", "dt", fixed(w.causal_z(F.col("px"), 20)).alias("z"))
+    outcome = src.target_daily(spark, d).select("dt", fixed(w.percent_change(F.col("px"), 5)).alias("outcome"), "series").drop("series")
+    rounds = align.spine_of(z, outcome).join(z, ["series", "dt"], "left").withColumn("call", -F.lag("z", 5).over(ordered()))
+    return folds.skill_weights(folds.discounted_skill(rounds, "call", "outcome")).withColumn("weight", fixed(F.col("weight")))
 
 
 @query()
@@ -483,7 +448,8 @@ def st_hourly_bars(spark, d):
 
 @query()
 def r20_regimes(spark, d):
-    return kernels.regime_rows(_panel_z(spark, d).select("series", "dt", "z"), "z")
+    rows = regimes.regime_rows(_panel_z(spark, d).select("series", "dt", "z"), "z")
+    return rows.select("series", "dt", *[fixed(F.col(c)).alias(c) for c in ("level", "variance", "bull", "bear", "confidence")], "volatility", "change", "regime")
 
 
 @query()
