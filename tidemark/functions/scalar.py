@@ -33,11 +33,41 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - upper).otherwise(upper)
 
 
+def logistic(x: Column) -> Column:
+    return 1 / (1 + F.exp(-clip(x, -30, 30)))
+
+
 def decay(half_life: Column | float) -> Column:
     """The factor for each step that halves a weight in half_life steps."""
     return F.exp(-F.log(F.lit(2.0)) / half_life)
 
 
+def with_default(m: Column, key: str, default) -> Column:
+    return F.coalesce(F.try_element_at(m, F.lit(key)), F.lit(default))
+
+
+#: The ends of a ticker that name its exchange, in order; futures stand under one, currencies under weekdays.
+EXCHANGES = ((".NS", "XNSE"), (".BO", "XNSE"), ("=F", "CMES"), ("=X", "WEEK"), (".L", "XLON"), (".T", "XTKS"), (".HK", "XHKG"), (".DE", "XETR"), (".PA", "XPAR"))
+#: Indices by name.
+INDICES = {"^NSEI": "XNSE", "^BSESN": "XNSE", "^FTSE": "XLON", "^N225": "XTKS", "^HSI": "XHKG", "^GDAXI": "XETR", "^FCHI": "XPAR"}
+
+
+def exchange_of(ticker: Column, other: str = "XNYS") -> Column:
+    """The exchange of a ticker by its end, or by name for an index."""
+    out = F.lit(other)
+    for end, exchange in reversed(EXCHANGES):
+        out = F.when(ticker.endswith(end), exchange).otherwise(out)
+    for name, exchange in INDICES.items():
+        out = F.when(ticker == name, exchange).otherwise(out)
+    return out
+
+
+def clean_symbol(text: Column) -> Column:
+    """Upper case, trimmed, with - for a dot; null unless 1 to 6 characters long."""
+    symbol = F.replace(F.upper(F.trim(text)), F.lit("."), F.lit("-"))
+    return F.when(F.length(symbol).between(1, 6), symbol)
+
+
 def zone(z: Column) -> Column:
     """Bands of a z-score at 1 and 2."""
     return (

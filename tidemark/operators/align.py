@@ -88,3 +88,19 @@ def replicas(df: DataFrame, target: DataFrame, most: float = 0.98, least: int =
     joined = df.join(F.broadcast(target.select("dt", F.col("px").alias("target_px"))), "dt").where("px > 0 AND target_px > 0")
     out = joined.groupBy("series").agg(F.corr(F.log("px"), F.log("target_px")).alias("r"), F.count("*").alias("n"))
     return out.withColumn("kept", ~((F.abs("r") > most) & (F.col("n") >= least)))
+
+
+def available(df: DataFrame, least_sd: float = 1e-7) -> DataFrame:
+    """df (ret, sd, printed, admitted, ...) with `available`: a return of a day that printed, of an admitted series that varies."""
+    return df.withColumn("available", F.coalesce(F.col("ret").isNotNull() & F.col("printed") & F.col("admitted") & (F.col("sd") > least_sd), F.lit(False)))
+
+
+def published(df: DataFrame, publish: str, columns: list[str]) -> DataFrame:
+    """df with columns null where publish isn't true."""
+    return df.withColumns({c: F.when(F.col(publish), F.col(c)) for c in columns})
+
+
+def sessions(exchanges: DataFrame, first: str, last: str, holidays: DataFrame) -> DataFrame:
+    """(exchange, dt): weekdays between two dates that are not holidays (exchange, dt) of the exchange."""
+    days = exchanges.select("exchange", F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("dt")).where(F.weekday("dt") < 5)
+    return days.join(holidays, ["exchange", "dt"], "left_anti")

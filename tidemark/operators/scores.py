@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.scalar import clip, gate, scaled_sigmoid, soft_bound
+from tidemark.functions.scalar import clip, gate, scaled_sigmoid
 from tidemark.operators import windows as w
 from tidemark.operators.align import ordered, past
 from tidemark.operators.folds import ewm
@@ -148,5 +148,6 @@ def verdict(df: DataFrame) -> DataFrame:
     return df.withColumn("tier", tier)
 
 
-def bounded(level: Column) -> Column:
-    return soft_bound(level)
+def consensus_label(x: Column, cut: float, strong: float) -> Column:
+    """Five labels; a low value is a buy."""
+    return F.when(x > strong, "STRONG_SELL").when(x > cut, "SELL").when(x < -strong, "STRONG_BUY").when(x < -cut, "BUY").otherwise("HOLD")

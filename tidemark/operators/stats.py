@@ -105,3 +105,50 @@ def dfa(df: DataFrame, column: str, scales: list[int]) -> DataFrame:
     f = boxes.groupBy("series", "scale").agg((F.log(F.sum(F.greatest("_e", F.lit(0.0))) / (F.count("*") * F.col("scale"))) / 2).alias("_f"))
     slope = F.regr_slope("_f", F.log("scale"))
     return f.groupBy("series").agg(F.count("*").alias("n_scales"), F.greatest(F.least(slope, F.lit(0.99)), F.lit(0.01)).alias("hurst"))
+
+
+def label_counts(df: DataFrame, label: str) -> DataFrame:
+    """(label, n, now): rows of each label of df (dt, label), and whether the newest row has it."""
+    newest = df.agg(F.max_by(label, "dt").alias("_now"))
+    return df.groupBy(label).agg(F.count("*").alias("n")).join(newest).select(label, "n", (F.col(label) == F.col("_now")).alias("now"))
+
+
+def median_imputed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df (series, ...) with nulls of columns set to their series' median."""
+    medians = df.groupBy("series").agg(*[F.percentile(c, F.lit(0.5)).alias(f"_{c}") for c in columns])
+    out = df.join(medians, "series").withColumns({c: F.coalesce(c, f"_{c}") for c in columns})
+    return out.drop(*[f"_{c}" for c in columns])
+
+
+def half_life(df: DataFrame, column: str) -> DataFrame:
+    """(series, phi, half_life) from the correlation with the value before, corrected for its small-sample bias."""
+    rows = df.withColumn("_lag", F.lag(column).over(ordered())).where("_lag IS NOT NULL")
+    fit = rows.groupBy("series").agg(F.count("*").alias("n"), F.corr(column, "_lag").alias("c"))
+    fit = fit.withColumn("phi", F.least(F.greatest(F.col("c") + (1 + 3 * F.col("c")) / F.col("n"), F.lit(1e-6)), F.lit(0.9999)))
+    return fit.select("series", "phi", (F.log(F.lit(2.0)) / -F.log("phi")).alias("half_life"))
+
+
+def trend_fit(df: DataFrame, column: str, share: float) -> DataFrame:
+    """(series, slope, start, r_train, r_test): a line through the first share of a series' rows, and its correlation with both parts."""
+    one = Window.partitionBy("series")
+    rows = df.withColumn("_t", F.row_number().over(ordered())).withColumn("_train", F.col("_t") <= F.floor(share * F.count("*").over(one)))
+    fit = rows.where("_train").groupBy("series").agg(F.regr_slope(column, "_t").alias("slope"), F.regr_intercept(column, "_t").alias("start"))
+    rows = rows.join(fit, "series").withColumn("_fit", F.col("slope") * F.col("_t") + F.col("start"))
+    parts = {"r_train": F.col("_train"), "r_test": ~F.col("_train")}
+    return rows.groupBy("series").agg(F.first("slope").alias("slope"), F.first("start").alias("start"), *[F.corr(F.when(t, F.col(column)), F.when(t, F.col("_fit"))).alias(c) for c, t in parts.items()])
+
+
+def safe_summary(df: DataFrame, column: str, fill: float = 0.0) -> DataFrame:
+    """(series, n, mean, sd, low, high, total); fill where a series has too few values."""
+    made = {"mean": F.avg(column), "sd": F.stddev_samp(column), "low": F.min(column), "high": F.max(column), "total": F.sum(column)}
+    return df.groupBy("series").agg(F.count(column).alias("n"), *[F.coalesce(v, F.lit(fill)).alias(c) for c, v in made.items()])
+
+
+def current_tiers(df: DataFrame, column: str, wanted: dict[str, tuple[float, float]], least: int) -> DataFrame:
+    """(series, a column a name): nearest-rank quantiles of all rows so far; the default under `least` rows or at 0 and below.
+
+    A rank and a count stand in for a sorted list, so that a series may be of any length.
+    """
+    rows = df.where(F.col(column).isNotNull()).withColumn("_k", F.row_number().over(Window.partitionBy("series").orderBy(column)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("series")))
+    found = [F.max(F.when((F.col("_k") == F.rint(F.lit(q) * (F.col("_n") - 1))) & (F.col("_n") >= least) & (F.col(column) > 0), F.col(column))) for q, _ in wanted.values()]
+    return rows.groupBy("series").agg(*[F.coalesce(f, F.lit(default)).alias(name) for f, (name, (_, default)) in zip(found, wanted.items(), strict=True)])

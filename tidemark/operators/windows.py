@@ -119,3 +119,8 @@ def rolling_theta(x: Column, n: int = 60) -> tuple[Column, Column]:
     phi = phi + (1 + 3 * phi) / n
     phi = F.when(F.count(before).over(trailing(n)) >= n, clip(phi, 1e-6, 0.9999))
     return phi, -F.log(phi)
+
+
+def expanding_moments(x: Column) -> tuple[Column, Column]:
+    """Mean and variance of all rows so far; a single row varies by 0."""
+    return F.avg(x).over(past()), F.coalesce(F.var_samp(x).over(past()), F.lit(0.0))

@@ -115,11 +115,6 @@ def s11_sheet_rows(spark, d):
     return src.sheet_rows(text, "day", "cell", "event_id")
 
 
-@query("""SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '<a '))::BIGINT AS n_links, len(regexp_extract_all(coalesce(html, ''), '<td'))::BIGINT AS n_cells FROM pages""")
-def s17_html_cells(spark, d):
-    return src.linked_hosts(src.table(spark, d, "pages"))
-
-
 @query(f"""WITH {PANEL}, {SPINE}, v AS (SELECT 'a' AS source, 1 AS version, series, dt, px FROM panel WHERE extract('year' FROM dt) <= 1998 UNION ALL
 SELECT 'b', 2, series, dt, px FROM panel WHERE extract('year' FROM dt) > 1996 AND hash_free(series)),
 k AS (SELECT series, source, max(version) AS version, count(px) AS coverage FROM v SEMI JOIN weekdays USING (dt) GROUP BY 1, 2)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.scalar import clean_symbol
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,10 +50,20 @@ def sheet_rows(rows: DataFrame, date: str, value: str, order: str) -> DataFrame:
     return read.groupBy("dt").agg(F.max_by("value", "_order").alias("value"))
 
 
-def linked_hosts(pages: DataFrame) -> DataFrame:
-    """(page_id, n_links, n_cells): links and table cells in the HTML of each page."""
-    count = lambda pattern: F.regexp_count(F.coalesce("html", F.lit("")), F.lit(pattern)).cast("long")
-    return pages.select("page_id", count("<a ").alias("n_links"), count("<td").alias("n_cells"))
+def listed_symbols(pages: DataFrame, key: str, least: int = 10) -> DataFrame:
+    """(key, place, symbol): the cells of the symbol column of each page's first table that has one and `least` rows.
+
+    pages is (key, html). A symbol column's head holds "symbol" or "ticker". Places count the rows of the table from 1.
+    """
+    plain = lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", " "))
+    cells = lambda row, tag: F.transform(F.regexp_extract_all(row, F.lit(f"(?is)<{tag}\\b[^>]*>(.*?)</{tag}>"), F.lit(1)), plain)
+    tables = F.regexp_extract_all("html", F.lit("(?is)<table\\b.*?</table>"), F.lit(0))
+    rows = lambda t: F.regexp_extract_all(t, F.lit("(?is)<tr\\b.*?</tr>"), F.lit(0))
+    heads = F.transform(tables, lambda t: F.transform(cells(t, "th"), lambda h: F.coalesce(F.lower(h).rlike("symbol|ticker"), F.lit(False))))
+    read = F.transform(F.arrays_zip(tables.alias("t"), heads.alias("h")), lambda x: F.struct((F.array_position(x["h"], True) - 1).cast("int").alias("at"), F.filter(F.transform(rows(x["t"]), lambda row: cells(row, "td")), lambda c: F.size(c) > 0).alias("rows")))
+    first = F.get(F.filter(read, lambda x: (x["at"] >= 0) & (F.size(x["rows"]) >= least)), F.lit(0))
+    found = pages.select(key, first.alias("_t")).select(key, F.posexplode(F.transform("_t.rows", lambda c: clean_symbol(F.get(c, F.col("_t.at"))))).alias("place", "symbol"))
+    return found.where("symbol IS NOT NULL").select(key, (F.col("place") + 1).cast("long").alias("place"), "symbol")
 
 
 def best_source(spine: DataFrame, sources: DataFrame) -> DataFrame:
