@@ -21,6 +21,7 @@ from tidemark.llm.common import cut, give_back, of_text
 RATE, DOWN, BLOCK, TAPS = 48_000, 3, 192, 48
 FRAME, HOP, MELS = 64, 32, 16
 TENSOR_FRAMES = 32
+STRIDE = 8192  # blocks worked on at a time
 STEPS = 16  # steps of the fixed-point logarithm to an octave
 
 
@@ -91,22 +92,23 @@ def features(payloads: list[bytes]) -> list[dict]:
     """Log-mel frames (n x MELS, in sixteenths of an octave), frame energies and segments of each payload."""
     blocks = np.array([len(p) // BLOCK for p in payloads])
     first = np.cumsum(blocks + 1) - blocks  # a silent block stands before each payload
-    x = np.zeros((int((blocks + 1).sum()) + 1, BLOCK), np.float32)
-    for at, n, payload in zip(first, blocks, payloads, strict=True):
-        x[at : at + n] = np.frombuffer(payload, np.uint8).reshape(n, BLOCK)
-        x[at : at + n] -= 128
-    flat = np.concatenate([np.zeros(TAPS // 2, np.float32), x.ravel(), np.zeros(TAPS // 2, np.float32)])
-    windows = np.lib.stride_tricks.as_strided(flat, (len(x), BLOCK + TAPS), (BLOCK * 4, 4))
-    y = np.rint(windows @ RESAMPLE / 256).ravel()
-    frames = np.lib.stride_tricks.as_strided(y, (len(y) // HOP - 1, FRAME), (HOP * y.itemsize, y.itemsize))
-    out = []
-    for at, n in zip(first, blocks, strict=True):
-        own = frames[2 * at : 2 * (at + n) - 1]
-        parts = (own @ SPECTRA).astype(np.float64)
+    flat = np.full((int((blocks + 1).sum()) + 1) * BLOCK + TAPS, 128, np.uint8)
+    for at, payload in zip(first, payloads, strict=True):
+        start = TAPS // 2 + at * BLOCK
+        flat[start : start + len(payload)] = np.frombuffer(payload, np.uint8)
+    n_blocks = (len(flat) - TAPS) // BLOCK
+    mel, energy = np.zeros((2 * n_blocks, MELS), np.int16), np.zeros(2 * n_blocks, np.int16)
+    for a in range(0, n_blocks - 1, STRIDE):  # so many blocks at a time, whatever the length of a payload
+        b = min(a + STRIDE + 1, n_blocks)
+        x = flat[a * BLOCK : b * BLOCK + TAPS].astype(np.float32) - 128
+        windows = np.lib.stride_tricks.as_strided(x, (b - a, BLOCK + TAPS), (BLOCK * 4, 4))
+        y = np.rint(windows @ RESAMPLE / 256).ravel()
+        frames = np.lib.stride_tricks.as_strided(y, (len(y) // HOP - 1, FRAME), (HOP * y.itemsize, y.itemsize))
+        parts = (frames @ SPECTRA).astype(np.float64)
         power = np.square(parts[:, : FRAME // 2 + 1]) + np.square(parts[:, FRAME // 2 + 1 :])
-        energy = fixed_log2(power.sum(1))
-        out.append({"mel": fixed_log2(power @ MEL), "energy": energy, "segments": segments(energy)})
-    return out
+        mel[2 * a : 2 * a + len(frames)], energy[2 * a : 2 * a + len(frames)] = fixed_log2(power @ MEL), fixed_log2(power.sum(1))
+    spans = [slice(2 * at, 2 * (at + n) - 1) for at, n in zip(first, blocks, strict=True)]
+    return [{"mel": mel[s], "energy": energy[s], "segments": segments(energy[s])} for s in spans]
 
 
 def segments(energy: np.ndarray, up: int = STEPS // 2, down: int = STEPS // 2) -> np.ndarray:
@@ -119,22 +121,30 @@ def segments(energy: np.ndarray, up: int = STEPS // 2, down: int = STEPS // 2) -
     return np.stack([np.flatnonzero(np.diff(on) == 1), np.flatnonzero(np.diff(on) == -1)], axis=1)
 
 
-def tensors(mel: np.ndarray) -> list[dict]:
-    """The frames in tensors of TENSOR_FRAMES x MELS with their time spans; the last is filled up with zeros."""
-    out = []
-    for a in range(0, len(mel), TENSOR_FRAMES):
-        own = np.zeros((TENSOR_FRAMES, MELS), np.float32)
-        own[: len(mel[a : a + TENSOR_FRAMES])] = mel[a : a + TENSOR_FRAMES] / STEPS
-        b = min(a + TENSOR_FRAMES, len(mel))
-        out.append({"start_s": a * HOP * DOWN / RATE, "end_s": ((b - 1) * HOP + FRAME) * DOWN / RATE, "values": own.ravel().tolist()})
-    return out
+TENSOR = pa.fixed_shape_tensor(pa.float32(), [TENSOR_FRAMES, MELS])
 
 
-def as_arrow_tensors(values: pa.ListArray) -> pa.ExtensionArray:
-    """A tensor column's values (as collected with toArrow) as Arrow fixed-shape tensors."""
-    size = TENSOR_FRAMES * MELS
-    storage = pa.FixedSizeListArray.from_arrays(values.flatten().cast(pa.float32()), size)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), [TENSOR_FRAMES, MELS]), storage)
+def tensors(mels: list[np.ndarray]) -> tuple[pa.ExtensionArray, np.ndarray, np.ndarray, np.ndarray]:
+    """The frames of every payload as fixed-shape tensors, with the n + 1 offsets of the payloads in them and their time spans.
+
+    A payload's last tensor is filled up with zeros; its span ends with its frames.
+    """
+    n = np.array([len(m) for m in mels])
+    count = -(-n // TENSOR_FRAMES)
+    offsets = np.append(0, np.cumsum(count))
+    values = np.zeros((int(offsets[-1]) * TENSOR_FRAMES, MELS), np.float32)
+    for at, mel in zip(offsets[:-1] * TENSOR_FRAMES, mels, strict=True):
+        values[at : at + len(mel)] = mel
+    values /= STEPS
+    first = (np.arange(offsets[-1]) - np.repeat(offsets[:-1], count)) * TENSOR_FRAMES
+    last = np.minimum(first + TENSOR_FRAMES, np.repeat(n, count)) - 1
+    made = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), TENSOR_FRAMES * MELS))
+    return made, offsets, first * HOP * DOWN / RATE, (last * HOP + FRAME) * DOWN / RATE
+
+
+def as_arrow_tensors(values: pa.Array) -> pa.ExtensionArray:
+    """A column of tensors' values, as Spark gives it (lists of one length), as Arrow fixed-shape tensors again."""
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(values.flatten().cast(pa.float32()), TENSOR_FRAMES * MELS))
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -147,7 +157,9 @@ def audio_features(docs: DataFrame, with_media: bool = True) -> DataFrame:
     """The whole texts of docs (doc_id, text, ...) stored as WAV samples, read back, and their features.
 
     Returns the columns of DIGEST and, with_media, the stored file, the log-mel tensors (TENSOR_FRAMES x MELS values each)
-    and the segments with their time spans in seconds.
+    and the segments with their time spans in seconds. feature is made from the tensors. Null and empty texts are one block
+    of spaces; repeated rows and rows without a doc_id are rows like any other; other columns of docs are not read; an empty
+    docs gives no rows. A text of any length is worked on STRIDE blocks at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,33 +167,28 @@ def audio_features(docs: DataFrame, with_media: bool = True) -> DataFrame:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             media = [wav(padded(t)) for t in texts]
             payloads = [samples(m) for m in media]
-            rows = []
-            for doc_id, text, file, payload, f in zip(batch.column("doc_id").to_pylist(), texts, media, payloads, features(payloads), strict=True):
-                mel, spans = f["mel"], f["segments"]
-                active = int((spans[:, 1] - spans[:, 0]).sum())
-                edges = f"{spans[0, 0]}-{spans[-1, 1]}" if len(spans) else "-"
-                row = {
-                    "doc_id": doc_id,
-                    "n_bytes": len(text),
-                    "payload_bytes": len(payload),
-                    "payload_sha256": hashlib.sha256(payload).hexdigest(),
-                    "tail_crc32": zlib.crc32(payload[-16:]),
-                    "media_bytes": len(file),
-                    "media_sha256": hashlib.sha256(file).hexdigest(),
-                    "feature": f"{len(mel)}x{MELS}:{zlib.crc32(mel.tobytes()):08x}:{len(spans)}:{active}:{edges}",
-                }
-                if with_media:
-                    seconds = [{"start_s": a * HOP * DOWN / RATE, "end_s": ((b - 1) * HOP + FRAME) * DOWN / RATE} for a, b in spans.tolist()]
-                    row |= {"media": file, "tensors": tensors(mel), "segments": seconds}
-                rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            found = features(payloads)
+            made, offsets, starts, ends = tensors([f["mel"] for f in found])
+            stored = made.to_numpy_ndarray() if len(made) else np.zeros((0, TENSOR_FRAMES, MELS), np.float32)
+            spans = [f["segments"] for f in found]
+            digests = []
+            for f, own, a, b in zip(found, spans, offsets[:-1], offsets[1:], strict=True):
+                edges = f"{own[0, 0]}-{own[-1, 1]}" if len(own) else "-"
+                digests.append(f"{len(f['mel'])}x{MELS}:{zlib.crc32(stored[a:b].tobytes()):08x}:{len(own)}:{int((own[:, 1] - own[:, 0]).sum())}:{edges}")
+            columns = [
+                batch.column("doc_id"), pa.array([len(t) for t in texts]), pa.array([len(p) for p in payloads]), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
+                pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()), pa.array([len(m) for m in media]), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(digests),
+            ]
+            if with_media:
+                flat = np.concatenate(spans)
+                at = np.append(0, np.cumsum([len(s) for s in spans])).astype(np.int32)
+                values = pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * TENSOR_FRAMES * MELS, made.storage.flatten())
+                timed = pa.StructArray.from_arrays([pa.array(starts), pa.array(ends), values], ["start_s", "end_s", "values"])
+                loud = pa.StructArray.from_arrays([pa.array(flat[:, 0] * HOP * DOWN / RATE), pa.array(((flat[:, 1] - 1) * HOP + FRAME) * DOWN / RATE)], ["start_s", "end_s"])
+                columns += [pa.array(media, pa.binary()), pa.ListArray.from_arrays(offsets.astype(np.int32), timed), pa.ListArray.from_arrays(at, loud)]
+            yield pa.RecordBatch.from_arrays(columns, names)
         give_back()
 
-    span = [("start_s", pa.float64()), ("end_s", pa.float64())]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    schema = pa.schema(list(zip([c.split()[0] for c in DIGEST.split(", ")], kinds, strict=True)))
-    if with_media:
-        schema = schema.append(pa.field("media", pa.binary()))
-        schema = schema.append(pa.field("tensors", pa.list_(pa.struct([*span, ("values", pa.list_(pa.float32()))]))))
-        schema = schema.append(pa.field("segments", pa.list_(pa.struct(span))))
-    return of_text(docs, "doc_id", "text").mapInArrow(run, FULL if with_media else DIGEST)
+    schema = FULL if with_media else DIGEST
+    names = [c.split()[0] for c in DIGEST.split(", ")] + (["media", "tensors", "segments"] if with_media else [])
+    return of_text(docs, "doc_id", "text").mapInArrow(run, schema)

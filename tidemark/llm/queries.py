@@ -30,7 +30,7 @@ def _tokenizer_json() -> str:
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_features(table(spark, sf_dir, "documents"), with_media=False)
+    return audio_features(table(spark, sf_dir, "documents"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
