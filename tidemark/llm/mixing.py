@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import small
 
 STEPS = 48
+RANGE_DIGITS = 3  # hex digits of a place that make a range
 MAX_SOURCES, MAX_BLOCKS = 100_000, 500_000  # rows that may be broadcast
 
 
@@ -83,6 +84,9 @@ def mixed_rows(docs: DataFrame, entropy_share: float = 0.97, max_repeats: float
 
     Adds mix_source, mix_epoch (from 0), mix_block, mix_tokens, mix_block_place and mix_row_place. An epoch of a source is its
     rows in the order of (mix_block_place, mix_block, mix_row_place). Columns of docs whose names begin with mix_ are left out.
+    Null and empty texts come with their block; a source without any token has no weight, and its rows are not taken. Texts are
+    of any length; one longer than a block makes its block longer. Ties in places are broken by block and by row mark; repeated
+    rows stand or fall together. An empty docs gives no rows.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
@@ -102,12 +106,17 @@ def mixed_rows(docs: DataFrame, entropy_share: float = 0.97, max_repeats: float
     place = lambda *c: F.md5(F.concat_ws("|", *c).cast("binary"))
     last = F.col("mix_whole").cast("string")
     blocks = slim.join(weights, "mix_source").groupBy("mix_source", block.alias("mix_block"), "mix_whole", "mix_rest").agg(F.sum("mix_tokens").alias("size"))
-    by_place = Window.partitionBy("mix_source").orderBy(place("mix_source", F.col("mix_block").cast("string"), last), "mix_block")
-    blocks = blocks.withColumn("upto", F.sum("size").over(by_place))
+    # Running sums in the order of the blocks' places, by ranges of places: no task holds all blocks of a source.
+    blocks = blocks.withColumn("place", place("mix_source", F.col("mix_block").cast("string"), last)).withColumn("range", F.substring("place", 1, RANGE_DIGITS)).persist()
+    before = Window.partitionBy("mix_source").orderBy("range")  # 16 ** RANGE_DIGITS rows a source
+    ranges = blocks.groupBy("mix_source", "range").agg(F.sum("size").alias("held"))
+    ranges = ranges.select("mix_source", "range", (F.sum("held").over(before) - F.col("held")).alias("ahead"))
+    blocks = blocks.join(ranges, ["mix_source", "range"])
+    blocks = blocks.withColumn("upto", F.col("ahead") + F.sum("size").over(Window.partitionBy("mix_source", "range").orderBy("place", "mix_block")))
     blocks = blocks.select("mix_source", "mix_block", (F.col("upto") <= F.col("mix_rest")).alias("mix_fits"), (F.col("mix_rest") - F.col("upto") + F.col("size")).alias("mix_room"))
     blocks = blocks.where("mix_fits OR mix_room > 0").persist()
     # Of each block that fits in part (one a source at most): the marks of the rows that fit.
-    partial = slim.join(weights, "mix_source").withColumn("mix_block", block).join(F.broadcast(blocks.where("NOT mix_fits").select("mix_source", "mix_block", "mix_room")), ["mix_source", "mix_block"])
+    partial = slim.join(weights, "mix_source").withColumn("mix_block", block).join(small(blocks.where("NOT mix_fits").select("mix_source", "mix_block", "mix_room"), MAX_SOURCES), ["mix_source", "mix_block"])
     marks = partial.groupBy("mix_source", "mix_block", "mix_mark", "mix_room", "mix_whole").agg(F.sum("mix_tokens").alias("size"))
     in_block = Window.partitionBy("mix_source", "mix_block").orderBy(place("mix_mark", last), "mix_mark")
     marks = marks.withColumn("upto", F.sum("size").over(in_block)).where("upto <= mix_room").select("mix_source", "mix_mark", F.lit(True).alias("mix_taken"))
