@@ -30,7 +30,8 @@ from tidemark.llm.common import cut, give_back, of_text
 CHUNK_BYTES = 16 << 20
 GROUP_WORDS = 1 << 19
 PACK_ROWS = 1 << 20
-TAGGED = "piece string, home long, chunk long, number int, blob binary"
+KINDS = {"home": pa.int64(), "chunk": pa.int64(), "number": pa.int32(), "blob": pa.binary()}
+PIECE = {"piece": pa.string()}
 
 
 class _Numbers(dict):
@@ -52,15 +53,25 @@ def unpacked(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view(np.uint32).ravel()
 
 
-def _rows(**columns: list | np.ndarray | pa.Array) -> pa.RecordBatch:
-    """A batch of TAGGED; a column that is left out is null."""
+def batch_of(key: dict[str, pa.DataType], **columns: list | np.ndarray | pa.Array) -> pa.RecordBatch:
+    """A batch of key's columns and KINDS; a column that is left out is null, one of key is empty or 0."""
     n = len(next(iter(columns.values())))
-    kinds = [("piece", pa.string()), ("home", pa.int64()), ("chunk", pa.int64()), ("number", pa.int32()), ("blob", pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in kinds], schema=pa.schema(kinds))
+    kinds = key | KINDS
+    blank = lambda c, kind: pa.array([""] * n if kind == pa.string() else np.zeros(n, np.int64), kind) if c in key else pa.nulls(n, kind)
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else blank(c, kind) for c, kind in kinds.items()], names=list(kinds))
+
+
+def tagged_ddl(key: dict[str, pa.DataType]) -> str:
+    names = {pa.string(): "string", pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return ", ".join(f"{c} {names[kind]}" for c, kind in (key | KINDS).items())
+
+
+def chunk_name(task: int, at: int, content: bytes) -> int:
+    return xxhash.xxh64_intdigest(f"{task} {at} {len(content)}\n".encode() + content) >> 1
 
 
 def tagged(docs: DataFrame, splitter: Callable[[], Callable[[str], list[str]]], counted: bool, chunk_bytes: int) -> DataFrame:
-    """Rows of TAGGED: (piece, 0, chunk, number, null) for pre-tokens, ('', chunk, chunk, part, blob) for documents.
+    """Rows (piece, 0, chunk, number, null) for pre-tokens, ('', chunk, chunk, part, blob) for documents.
 
     A blob holds the ids, byte sizes and lengths of some documents of the chunk, their pre-token numbers one after another
     and how many pre-tokens the chunk has; if counted, each number stands once per document, with its frequency.
@@ -68,12 +79,10 @@ def tagged(docs: DataFrame, splitter: Callable[[], Callable[[str], list[str]]],
 
     def out(task: int, at: int, numbers: dict[str, int], ids: list, sizes: list[int], rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         words = list(numbers)
-        joined = "\n".join(words)
-        chunk = xxhash.xxh64_intdigest(f"{task} {at} {len(words)}\n{joined}".encode()) >> 1
-        del joined
+        chunk = chunk_name(task, at, "\n".join(words).encode())
         for a in range(0, len(words), 50_000):
             part = words[a : a + 50_000]
-            yield _rows(piece=part, home=np.zeros(len(part), np.int64), chunk=np.full(len(part), chunk), number=np.arange(a, a + len(part), dtype=np.int32))
+            yield batch_of(PIECE, piece=part, home=np.zeros(len(part), np.int64), chunk=np.full(len(part), chunk), number=np.arange(a, a + len(part), dtype=np.int32))
         counts = [np.zeros(0, np.uint32)] * len(rows)
         if counted:
             for k, row in enumerate(rows):
@@ -83,8 +92,8 @@ def tagged(docs: DataFrame, splitter: Callable[[], Callable[[str], list[str]]],
         for p in np.unique(part):
             own = np.flatnonzero(part == p)
             a, b = int(own[0]), int(own[-1]) + 1
-            blob = pickle.dumps((len(words), ids[a:b], sizes[a:b], lengths[a:b], packed(np.concatenate(rows[a:b])), packed(np.concatenate(counts[a:b])) if counted else b""))
-            yield _rows(piece=[""], home=[chunk], chunk=[chunk], number=[a], blob=[blob])
+            blob = pickle.dumps((len(words), ids[a:b], sizes[a:b], lengths[a:b], packed(np.concatenate(rows[a:b])), packed(np.concatenate(counts[a:b])) if counted else b""))  # zstd of nothing isn't empty
+            yield batch_of(PIECE, home=[chunk], chunk=[chunk], number=[a], blob=[blob])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter()
@@ -106,25 +115,25 @@ def tagged(docs: DataFrame, splitter: Callable[[], Callable[[str], list[str]]],
         del numbers, ids, sizes, rows
         give_back()
 
-    return of_text(docs, "doc_id", "text").mapInArrow(run, TAGGED)
+    return of_text(docs, "doc_id", "text").mapInArrow(run, tagged_ddl(PIECE))
 
 
 def _flat(values: pa.Array) -> tuple:
     if pa.types.is_list(values.type):
         return len(values), packed(pc.list_value_length(values).to_numpy()), packed(values.flatten().to_numpy())
-    return len(values), packed(values.to_numpy()), None
+    return len(values), packed(values.to_numpy().view(np.uint32)), str(values.type)
 
 
-def _opened(n: int, first: bytes, rest: bytes | None) -> pa.Array:
-    numbers = unpacked(first, n).astype(np.int32)
-    if rest is None:
-        return pa.array(numbers)
+def _opened(n: int, first: bytes, rest: bytes | str) -> pa.Array:
+    numbers = unpacked(first, n)
+    if isinstance(rest, str):
+        return pa.array(numbers.view({"int32": np.int32, "float": np.float32}[rest]))
     offsets = np.append(0, np.cumsum(numbers)).astype(np.int32)
     return pa.ListArray.from_arrays(offsets, pa.array(unpacked(rest, int(offsets[-1])).astype(np.int32)))
 
 
-def _packed_values(values: DataFrame, value: str, late: Callable[[list[str]], pa.Array] | None) -> DataFrame:
-    """Rows of TAGGED ('', chunk, chunk, null, blob) from (chunk, number, late, value): numbers and values by chunk.
+def _packed_values(values: DataFrame, key: dict[str, pa.DataType], value: str, late: Callable[[list[str]], pa.Array] | None) -> DataFrame:
+    """Rows ('', chunk, chunk, null, blob) from (chunk, number, late, value): numbers and values by chunk.
 
     The values of rows with a late piece are what the function late makes of those pieces.
     """
@@ -145,7 +154,7 @@ def _packed_values(values: DataFrame, value: str, late: Callable[[list[str]], pa
                     if part.num_rows:
                         made = late(part.column("late").to_pylist()) if slow else pa.concat_arrays(part.column(value).chunks)
                         name = int(chunk[order[a]])
-                        yield _rows(piece=[""], home=[name], chunk=[name], blob=[pickle.dumps((packed(part.column("number").to_numpy()), *_flat(made)))])
+                        yield batch_of(key, home=[name], chunk=[name], blob=[pickle.dumps((packed(part.column("number").to_numpy()), *_flat(made)))])
 
         for batch in batches:
             held.append(batch)
@@ -155,34 +164,41 @@ def _packed_values(values: DataFrame, value: str, late: Callable[[list[str]], pa
             yield from out()
         give_back()
 
-    return values.mapInArrow(run, TAGGED)
+    return values.mapInArrow(run, tagged_ddl(key))
+
+
+def joined_back(docs: DataFrame, splitter: Callable, once: Callable[[DataFrame], DataFrame], value: str, finish: Callable, schema: str, counted: bool = False, chunk_bytes: int = CHUNK_BYTES, **rest) -> DataFrame:
+    """Apply `once` to the distinct pre-tokens (piece) of all documents, then `finish` to each chunk; see `through_one_exchange`."""
+    return through_one_exchange(tagged(docs, splitter, counted, chunk_bytes), PIECE, once, value, finish, schema, **rest)
 
 
-def joined_back(
-    docs: DataFrame, splitter: Callable, once: Callable[[DataFrame], DataFrame], value: str, finish: Callable, schema: str,
-    counted: bool = False, prepare: Callable = lambda values: values, late: tuple[Column, Callable[[list[str]], pa.Array]] | None = None, chunk_bytes: int = CHUNK_BYTES,
+def through_one_exchange(
+    rows: DataFrame, key: dict[str, pa.DataType], once: Callable[[DataFrame], DataFrame], value: str, finish: Callable, schema: str,
+    prepare: Callable = lambda values: values, late: tuple[Column, Callable[[list[str]], pa.Array]] | None = None,
 ) -> DataFrame:
-    """Apply `once` to the distinct pre-tokens (piece) of all documents, then `finish` to each chunk.
+    """Apply `once` to the distinct keys of rows as `tagged` gives them, then `finish` to each chunk.
 
-    once takes (piece, home) and returns them with value, an int or an array of ints. late is a condition on piece and a
-    function: values of pieces that meet it are made by the function, where the others are gathered. finish(prepare(values),
-    ids, sizes, lengths, numbers, counts) takes the chunk's values by number (an Arrow array) and some of its documents, and
-    returns a pandas frame of schema.
+    once takes the key's columns and home and returns them with value: an int, a float or an array of ints. late is a
+    condition on piece and a function: values of pieces that meet it are made by the function, where the others are
+    gathered. finish(prepare(values), ids, sizes, lengths, numbers, counts) takes the chunk's values by number (an Arrow
+    array) and some of its documents, counts being None where the blobs hold none, and returns a pandas frame of schema.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = tagged(docs, splitter, counted, chunk_bytes).repartition(n, "piece", "home")
+    n, by = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*key, "home"]
+    rows = rows.repartition(n, *by)
 
     def only(documents: bool) -> DataFrame:
         """The rows of one kind. The test reads every column and, as it isn't deterministic to the planner, stays above the exchange, so that there is one."""
         kind = F.col("blob").isNotNull() if documents else F.col("blob").isNull()
-        every = kind & (F.col("number") >= 0) & (F.col("chunk") >= 0) & F.col("piece").isNotNull() & (F.col("home") >= 0)
-        return rows.where(F.when(every, F.monotonically_increasing_id()).otherwise(-1) >= 0)
+        for c in (*by, "number", "chunk"):
+            kind = kind & F.col(c).isNotNull()
+        return rows.where(F.when(kind, F.monotonically_increasing_id()).otherwise(-1) >= 0)
 
     pairs = only(False)
-    done = once(pairs.groupBy("piece", "home").agg(F.lit(1).alias("one")).select("piece", "home"))
+    done = once(pairs.groupBy(*by).agg(F.lit(1).alias("one")).select(*by))
     condition, function = late if late is not None else (F.lit(False), None)
-    values = pairs.join(done.hint("shuffle_hash"), ["piece", "home"]).select("chunk", "number", F.when(condition, F.col("piece")).alias("late"), value)
-    gathered = _packed_values(values, value, function).repartition(n, "piece", "home")
+    late_piece = F.when(condition, F.col("piece")) if late is not None else F.lit(None).cast("string")
+    values = pairs.join(done.hint("shuffle_hash"), by).select("chunk", "number", late_piece.alias("late"), value)
+    gathered = _packed_values(values, key, value, function).repartition(n, *by)
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def of_chunk(own: pd.DataFrame, documents: pd.DataFrame) -> pd.DataFrame:
@@ -198,11 +214,11 @@ def joined_back(
                     raise RuntimeError("the values of a chunk are not those of its documents; stage input whose order may change")
                 prepared = prepare(made.take(pa.array(order)))
             total = int(lengths.sum())
-            parts.append(finish(prepared, ids, sizes, lengths, unpacked(row, total), unpacked(counts, total) if counted else None))
+            parts.append(finish(prepared, ids, sizes, lengths, unpacked(row, total), unpacked(counts, total) if counts else None))
         give_back()
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns)
 
-    return gathered.groupBy("piece", "home").cogroup(only(True).groupBy("piece", "home")).applyInPandas(of_chunk, schema)
+    return gathered.groupBy(*by).cogroup(only(True).groupBy(*by)).applyInPandas(of_chunk, schema)
 
 
 def nullable(values: list) -> pd.Series:
