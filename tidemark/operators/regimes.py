@@ -143,6 +143,6 @@ def regimes(x: np.ndarray) -> dict[str, np.ndarray]:
     return dict(zip(("level", "variance", "bull", "bear", "confidence", "volatility", "change", "regime"), map(list, columns), strict=True))
 
 
-def regime_rows(df: DataFrame, column: str, *by: str) -> DataFrame:
-    """(by, dt, level, variance, bull, bear, confidence, volatility, change, regime) of column along each series."""
-    return along(df, [column], regimes, "level double, variance double, bull double, bear double, confidence double, volatility string, change boolean, regime string", *by)
+def regime_rows(df: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
+    """(series, dt, keep, level, variance, bull, bear, confidence, volatility, change, regime) of column along each series."""
+    return along(df, [column], regimes, "level double, variance double, bull double, bear double, confidence double, volatility string, change boolean, regime string", keep=keep)

@@ -14,41 +14,75 @@ from tidemark.operators.align import ordered, past
 from tidemark.operators.folds import ewm
 
 
-def strength(bars: DataFrame, n: int = 14, roc: int = 12) -> DataFrame:
-    """(series, dt, momentum, structure, flow, strength) of OHLCV bars. Columns are worked out level by level."""
+PARTS = ("momentum", "structure", "flow")
+
+
+def strength_parts(bars: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
+    """(series, dt, close, length, momentum, structure, flow) of OHLCV bars, for each (length, rate-of-change length) of sizes.
+
+    All lengths are columns of one ordered pass, worked out level by level; they become rows at the end.
+    """
     c = F.col
     atr = ewm(bars.withColumn("tr", w.true_range()), "tr", 1 / 14).select("series", "dt", c("mean").alias("atr"))
     df = bars.join(atr, ["series", "dt"])
-    df = df.withColumns({"d1": w.change(c("close"), 1), "d5": w.change(c("close"), 5), "m5": w.sma(c("close"), 5), "mn": w.sma(c("close"), n), "vn": w.sma(c("volume"), n), "roc": w.percent_change(c("close"), roc)})
-    df = df.withColumn("vr", F.coalesce(c("volume") / c("vn"), F.lit(1.0)))
-    df = df.withColumns({"push": w.sma(((c("high") + c("low")) / 2 - c("open")) * c("vr"), n), "drive": w.sma(w.change(c("close"), 5) * c("vr"), n), "dd5": w.change(c("d5"), 5)})
-    moved = F.when(c("d1") / F.lag("close").over(ordered()) > 0.0033, 1.0).when(c("d1") / F.lag("close").over(ordered()) < -0.0033, -1.0).otherwise(0.0)
-    df = df.withColumn("steps", moved).withColumn("walk", F.sum("steps").over(past()))
-    df = df.withColumns({"accum": w.accumulation(n), "regime": c("walk") - w.sma(c("walk"), n)})
-    z = lambda x: w.causal_z(x, n)
-    trend = (z(c("m5") - c("mn")) + z(c("dd5")) + z(F.try_divide(c("d5"), c("atr"))) + z(c("close") - c("mn"))) / 2
-    df = df.withColumns({"momentum": scaled_sigmoid(z(c("roc"))), "micro": scaled_sigmoid(z(c("push") - c("drive"))), "trend": scaled_sigmoid(trend), "reg": scaled_sigmoid(z(c("regime")))})
-    df = df.withColumns({"structure": (c("micro") + c("trend")) / 2**0.5, "flow": (c("accum") + c("reg")) / 2**0.5})
-    total = c("momentum") + c("structure") + c("flow")
-    return df.select("series", "dt", "momentum", "structure", "flow", scaled_sigmoid(total, 1.0).alias("strength"))
+    each = lambda make: {name: x for n, roc in sizes for name, x in make(n, roc).items()}
+    df = df.withColumns({"d1": w.change(c("close"), 1), "c1": F.lag("close").over(ordered()), "d5": w.change(c("close"), 5), "m5": w.sma(c("close"), 5)} | each(
+        lambda n, roc: {f"mn{n}": w.sma(c("close"), n), f"vn{n}": w.sma(c("volume"), n), f"roc{n}": w.percent_change(c("close"), roc), f"accum{n}": w.accumulation(n)}))
+    moved = F.when(c("d1") / c("c1") > 0.0033, 1.0).when(c("d1") / c("c1") < -0.0033, -1.0).otherwise(0.0)
+    df = df.withColumns({"dd5": w.change(c("d5"), 5), "steps": moved} | each(lambda n, _: {f"vr{n}": F.coalesce(c("volume") / c(f"vn{n}"), F.lit(1.0))}))
+    df = df.withColumns({"walk": F.sum("steps").over(past())} | each(lambda n, _: {f"push{n}": w.sma(((c("high") + c("low")) / 2 - c("open")) * c(f"vr{n}"), n) - w.sma(c("d5") * c(f"vr{n}"), n)}))
+    df = df.withColumns({"pace": F.try_divide(c("d5"), c("atr"))} | each(lambda n, _: {f"over5{n}": c("m5") - c(f"mn{n}"), f"over{n}": c("close") - c(f"mn{n}"), f"lead{n}": c("walk") - w.sma(c("walk"), n)}))
 
+    def parts(n: int, _: int) -> dict[str, Column]:
+        z = lambda name: w.causal_z(c(name), n)
+        trend = (z(f"over5{n}") + z("dd5") + z("pace") + z(f"over{n}")) / 2
+        structure = (scaled_sigmoid(z(f"push{n}")) + scaled_sigmoid(trend)) / 2**0.5
+        return {f"momentum{n}": scaled_sigmoid(z(f"roc{n}")), f"structure{n}": structure, f"flow{n}": (c(f"accum{n}") + scaled_sigmoid(z(f"lead{n}"))) / 2**0.5}
+
+    df = df.withColumns(each(parts))
+    return df.select("series", "dt", "close", F.inline(F.array(*[F.struct(F.lit(n).alias("length"), *[c(f"{p}{n}").alias(p) for p in PARTS]) for n, _ in sizes])))
+
+
+def strength_of(parts: tuple[str, ...] = PARTS) -> Column:
+    """The sum of the active parts, bounded."""
+    unknown = set(parts) - set(PARTS)
+    if unknown or not parts:
+        raise ValueError(f"parts are some of {PARTS}, not {sorted(unknown) or parts}")
+    return scaled_sigmoid(sum((F.col(p) for p in parts), F.lit(0.0)), 1.0)
 
-def macro_deviation(panel: DataFrame, target: DataFrame, n: int = 60, drivers: int = 4) -> DataFrame:
-    """(dt, px, fitted, quality, signal): the target against the blend of its `drivers` most correlated series.
+
+def strength(bars: DataFrame, n: int = 14, roc: int = 12, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """(series, dt, momentum, structure, flow, strength) of OHLCV bars, by the active parts."""
+    return strength_parts(bars, [(n, roc)]).select("series", "dt", *PARTS, strength_of(parts).alias("strength"))
+
+
+def macro_deviations(panel: DataFrame, target: DataFrame, lengths: list[int], drivers: int = 4) -> DataFrame:
+    """(length, dt, px, fitted, quality, signal): the target against the blend of its `drivers` most correlated series, by each length.
 
     For each series a rolling regression on earlier rows predicts the target; of each date the largest squared correlations
-    count, in that proportion.
+    count, in that proportion. All lengths come from one ordered pass over the panel.
     """
-    rows = panel.join(F.broadcast(target.select("dt", F.col("px").alias("y"))), "dt").where("y IS NOT NULL AND px IS NOT NULL")
-    before = w.prior(n)
-    rows = rows.withColumns({"r": w.rolling_corr(F.col("px"), F.col("y"), n), "mx": F.avg("px").over(before), "my": F.avg("y").over(before), "sx": F.stddev_samp("px").over(before), "sy": F.stddev_samp("y").over(before)})
-    rows = rows.withColumn("pred", F.col("my") + F.when(F.col("sx") > 1e-12, F.col("r") * F.col("sy") / F.col("sx")).otherwise(0.0) * (F.col("px") - F.col("mx")))
-    rows = rows.withColumn("r2", F.round(F.pow("r", 2), 9))
-    best = rows.where("pred IS NOT NULL").withColumn("place", F.row_number().over(Window.partitionBy("dt").orderBy(F.desc("r2"), "series"))).where(F.col("place") <= drivers)
+    c = F.col
+    rows = panel.join(target.select("dt", c("px").alias("y")), "dt").where("y IS NOT NULL AND px IS NOT NULL")
+    for n in lengths:
+        before = w.prior(n)
+        rows = rows.withColumns({f"r{n}": w.rolling_corr(c("px"), c("y"), n), f"mx{n}": F.avg("px").over(before), f"my{n}": F.avg("y").over(before), f"sx{n}": F.stddev_samp("px").over(before), f"sy{n}": F.stddev_samp("y").over(before)})
+    slope = lambda n: F.when(c(f"sx{n}") > 1e-12, c(f"r{n}") * c(f"sy{n}") / c(f"sx{n}")).otherwise(0.0)
+    each = [F.struct(F.lit(n).alias("length"), F.round(F.pow(f"r{n}", F.lit(2)), 9).alias("r2"), c(f"my{n}").alias("my"), (c(f"my{n}") + slope(n) * (c("px") - c(f"mx{n}"))).alias("pred")) for n in lengths]
+    rows = rows.select("series", "dt", "y", F.inline(F.array(*each))).where("pred IS NOT NULL")
+    best = rows.withColumn("place", F.row_number().over(Window.partitionBy("length", "dt").orderBy(F.desc("r2"), "series"))).where(c("place") <= drivers)
     weight = F.sum("r2")
-    day = best.groupBy("dt").agg(F.first("y").alias("px"), F.when(weight > 0, F.sum(F.col("r2") * F.col("pred")) / weight).otherwise(F.avg("my")).alias("fitted"), F.sqrt(F.try_divide(F.sum(F.pow("r2", 2)), weight)).alias("quality"))
-    day = day.withColumn("series", F.lit("target")).withColumn("gap", F.col("px") - F.col("fitted"))
-    return day.select("dt", "px", "fitted", F.coalesce("quality", F.lit(0.0)).alias("quality"), scaled_sigmoid(w.causal_z(F.col("gap"), n)).alias("signal"))
+    day = best.groupBy("length", "dt").agg(F.first("y").alias("px"), F.when(weight > 0, F.sum(c("r2") * c("pred")) / weight).otherwise(F.avg("my")).alias("fitted"), F.sqrt(F.try_divide(F.sum(F.pow("r2", 2)), weight)).alias("quality"))
+    day = day.withColumn("series", c("length")).withColumn("gap", c("px") - c("fitted"))
+    z = F.lit(None).cast("double")
+    for n in lengths:
+        z = F.when(c("length") == n, w.causal_z(c("gap"), n)).otherwise(z)
+    return day.select("length", "dt", "px", "fitted", F.coalesce("quality", F.lit(0.0)).alias("quality"), scaled_sigmoid(z).alias("signal"))
+
+
+def macro_deviation(panel: DataFrame, target: DataFrame, n: int = 60, drivers: int = 4) -> DataFrame:
+    """(dt, px, fitted, quality, signal) of `macro_deviations` for one length."""
+    return macro_deviations(panel, target, [n], drivers).drop("length")
 
 
 def weighted_breadth(views: DataFrame, cut: float) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,29 +55,43 @@ def spearman(df: DataFrame, x: str, y: str, least: int = 5) -> DataFrame:
     return rows.groupBy("series").agg(F.corr("_x", "_y").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def correlations(wide: DataFrame, names: list[str]) -> DataFrame:
-    """One row with corr of each pair of columns, named a|b."""
-    return wide.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in combinations(names, 2)])
+def cross_moments(df: DataFrame, column: str) -> DataFrame:
+    """(a, b, n, covariance, correlation) of the components a and b of an array column; rows with a null or NaN don't count.
 
+    Every task sums outer products, so only p x p sums a task are shuffled, whatever the number of rows.
+    """
 
-def effective_count(wide: DataFrame, names: list[str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, outer = 0, None, None
+        for batch in batches:
+            rows = [v for v in batch.column(0).to_pylist() if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+            if rows:
+                x = np.array(rows)
+                total, outer, n = (x.sum(0), x.T @ x, len(x)) if n == 0 else (total + x.sum(0), outer + x.T @ x, n + len(x))
+        if n:
+            p = len(total)
+            a, b = np.repeat(np.arange(p), p), np.tile(np.arange(p), p)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a, b, np.full(p * p, n), total[a], total[b], outer.ravel())], ["a", "b", "n", "sa", "sb", "sab"])
+
+    rows = df.select(F.col(column).cast("array<double>")).mapInArrow(run, "a long, b long, n long, sa double, sb double, sab double")
+    sums = rows.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "sab")])
+    sums = sums.select("a", "b", "n", ((F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / (F.col("n") - 1)).alias("covariance"))
+    own = sums.where("a = b").select("a", F.sqrt("covariance").alias("sd"))
+    sums = sums.join(own.withColumnRenamed("sd", "_x"), "a").join(own.select(F.col("a").alias("b"), F.col("sd").alias("_y")), "b")
+    return sums.select("a", "b", "n", "covariance", F.coalesce(F.try_divide("covariance", F.col("_x") * F.col("_y")), F.lit(0.0)).alias("correlation"))
+
+
+def effective_count(df: DataFrame, column: str) -> DataFrame:
     """(n_members, n_effective): the participation ratio of the correlation matrix, p² over the sum of its squares."""
-    r = correlations(wide.na.drop(subset=names), names)
-    squares = sum((F.pow(F.coalesce(F.col(f"`{c}`"), F.lit(0.0)), 2) for c in r.columns), F.lit(0.0))
-    p = len(names)
-    return r.select(F.lit(p).alias("n_members"), (p * p / (p + 2 * squares)).alias("n_effective"))
+    return cross_moments(df, column).agg(F.countDistinct("a").alias("n_members"), (F.pow(F.countDistinct("a"), 2) / F.sum(F.pow("correlation", 2))).alias("n_effective"))
 
 
-def shrinkage(df: DataFrame, names: list[str]) -> DataFrame:
+def shrinkage(df: DataFrame, column: str) -> DataFrame:
     """(n, mu, alpha, rho): the weight that oracle-approximating shrinkage gives to mu times the identity."""
-    p = len(names)
-    pairs = [(a, b) for k, a in enumerate(names) for b in names[k:]]
-    s = df.agg(F.count("*").alias("n"), *[F.covar_samp(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    mu = sum((F.col(f"`{a}|{a}`") for a in names), F.lit(0.0)) / p
-    alpha = sum((F.pow(F.col(f"`{a}|{b}`"), 2) * (1 if a == b else 2) for a, b in pairs), F.lit(0.0)) / (p * p)
-    s = s.select("n", mu.alias("mu"), alpha.alias("alpha"))
-    top, low = F.col("alpha") + F.col("mu") ** 2, (F.col("n") + 1) * (F.col("alpha") - F.col("mu") ** 2 / p)
-    return s.withColumn("rho", F.when(low <= 0, 1.0).otherwise(F.greatest(F.least(top / low, F.lit(1.0)), F.lit(0.0))))
+    p = F.countDistinct("a")
+    s = cross_moments(df, column).agg(F.max("n").alias("n"), p.alias("p"), (F.sum(F.when(F.col("a") == F.col("b"), F.col("covariance"))) / p).alias("mu"), F.avg(F.pow("covariance", 2)).alias("alpha"))
+    top, low = F.col("alpha") + F.col("mu") ** 2, (F.col("n") + 1) * (F.col("alpha") - F.col("mu") ** 2 / F.col("p"))
+    return s.select("n", "mu", "alpha", F.when(low <= 0, 1.0).otherwise(F.greatest(F.least(top / low, F.lit(1.0)), F.lit(0.0))).alias("rho"))
 
 
 def weighted_quantiles(df: DataFrame, key: str, value: str, weight: str, quantiles: dict[str, float]) -> DataFrame:

@@ -284,25 +284,6 @@ def a07_spearman_ic(spark, d):
     return stats.spearman(rows, "x", "y").withColumn("ic", fixed(F.col("ic")))
 
 
-EMB = "m AS (SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings)"
-
-
-def _emb(spark, d) -> DataFrame:
-    return src.table(spark, d, "embeddings").select(*[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate("abc")])
-
-
-@query(f"WITH {EMB} SELECT 3 AS n_members, {r('9 / (3 + 2 * (corr(a, b)^2 + corr(a, c)^2 + corr(b, c)^2))')} AS n_effective FROM m")
-def a08_effective_count(spark, d):
-    return stats.effective_count(_emb(spark, d), ["a", "b", "c"]).withColumn("n_effective", fixed(F.col("n_effective")))
-
-
-@query(f"""WITH {EMB}, s AS (SELECT count(*) AS n, (var_samp(a) + var_samp(b) + var_samp(c)) / 3 AS mu, (var_samp(a)^2 + var_samp(b)^2 + var_samp(c)^2 + 2 * (covar_samp(a, b)^2 + covar_samp(a, c)^2 + covar_samp(b, c)^2)) / 9 AS alpha FROM m)
-SELECT n, {r('mu', 9)} AS mu, {r('alpha', 9)} AS alpha, {r('greatest(least((alpha + mu^2) / ((n + 1) * (alpha - mu^2 / 3)), 1), 0)')} AS rho FROM s""")
-def a10_shrinkage(spark, d):
-    s = stats.shrinkage(_emb(spark, d), ["a", "b", "c"])
-    return s.select("n", fixed(F.col("mu"), 9).alias("mu"), fixed(F.col("alpha"), 9).alias("alpha"), fixed(F.col("rho")).alias("rho"))
-
-
 @query(f"""WITH e AS (SELECT event_type, value, hour(ts) + 1 AS weight FROM events WHERE value IS NOT NULL), c AS (SELECT *, sum(weight) OVER (PARTITION BY event_type ORDER BY value) AS upto, sum(weight) OVER (PARTITION BY event_type) AS total FROM e)
 SELECT event_type, min(CASE WHEN upto >= 0.25 * total - 1e-12 THEN value END) AS p25, min(CASE WHEN upto >= 0.5 * total - 1e-12 THEN value END) AS median, min(CASE WHEN upto >= 0.75 * total - 1e-12 THEN value END) AS p75, {r('sum(weight)^2 / sum(weight^2)')} AS n_effective FROM c GROUP BY event_type""")
 def a13_weighted_quantiles(spark, d):
@@ -348,21 +329,17 @@ def r27_skill_weights(spark, d):
     return folds.skill_weights(folds.discounted_skill(rounds, "call", "outcome")).withColumn("weight", fixed(F.col("weight")))
 
 
-@query()
-def d01_strength(spark, d):
-    out = scores.strength(src.bars_hourly(spark, d))
-    return out.select("series", "dt", *[fixed(F.col(c)).alias(c) for c in ("momentum", "structure", "flow", "strength")])
-
-
-def _between(a: str) -> str:
-    return f"{a} {over('60 PRECEDING', '1 PRECEDING')}"
+def deviation_sql(n: int) -> str:
+    """CTEs from panel and target to sig (dt, px, fitted, quality, signal)."""
+    before = lambda x: f"{x} {over(f'{n} PRECEDING', '1 PRECEDING')}"
+    return f"""j AS (SELECT p.series, dt, p.px, t.px AS y FROM panel p JOIN target t USING (dt)),
+s AS (SELECT *, coalesce({clip_sql(f"CASE WHEN {before('count(px)')} >= {n} THEN {before('corr(px, y)')} END", -1, 1)}, 0) AS r, {before('avg(px)')} AS mx, {before('avg(y)')} AS my, {before('stddev_samp(px)')} AS sx, {before('stddev_samp(y)')} AS sy FROM j),
+p AS (SELECT dt, series, y, my, round(r^2, 9) AS r2, my + CASE WHEN sx > 1e-12 THEN r * sy / sx ELSE 0 END * (px - mx) AS pred FROM s), dk AS (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY r2 DESC, series) AS place FROM p WHERE pred IS NOT NULL),
+dg AS (SELECT dt, first(y) AS px, CASE WHEN sum(r2) > 0 THEN sum(r2 * pred) / sum(r2) ELSE avg(my) END AS fitted, coalesce(sqrt(sum(r2^2) / nullif(sum(r2), 0)), 0) AS quality FROM dk WHERE place <= 4 GROUP BY dt),
+dh AS (SELECT 'target' AS series, *, px - fitted AS gap FROM dg), sig AS (SELECT dt, px, fitted, quality, 2 / (1 + exp(-({z_sql('gap', n)}) / 1.5)) - 1 AS signal FROM dh)"""
 
 
-@query(f"""WITH {PANEL}, {TARGET}, j AS (SELECT p.series, dt, p.px, t.px AS y FROM panel p JOIN target t USING (dt)),
-s AS (SELECT *, coalesce({clip_sql(f"CASE WHEN {_between('count(px)')} >= 60 THEN {_between('corr(px, y)')} END", -1, 1)}, 0) AS r, {_between('avg(px)')} AS mx, {_between('avg(y)')} AS my, {_between('stddev_samp(px)')} AS sx, {_between('stddev_samp(y)')} AS sy FROM j),
-p AS (SELECT dt, series, y, my, round(r^2, 9) AS r2, my + CASE WHEN sx > 1e-12 THEN r * sy / sx ELSE 0 END * (px - mx) AS pred FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY r2 DESC, series) AS place FROM p WHERE pred IS NOT NULL),
-g AS (SELECT dt, first(y) AS px, CASE WHEN sum(r2) > 0 THEN sum(r2 * pred) / sum(r2) ELSE avg(my) END AS fitted, coalesce(sqrt(sum(r2^2) / nullif(sum(r2), 0)), 0) AS quality FROM k WHERE place <= 4 GROUP BY dt),
-h AS (SELECT 'target' AS series, *, px - fitted AS gap FROM g) SELECT dt, {r('fitted', 3)} AS fitted, {r('quality', 5)} AS quality, {r(f"2 / (1 + exp(-({z_sql('gap', 60)}) / 1.5)) - 1", 5)} AS signal FROM h""")
+@query(f"WITH {PANEL}, {TARGET}, {deviation_sql(60)} SELECT dt, {r('fitted', 3)} AS fitted, {r('quality', 5)} AS quality, {r('signal', 5)} AS signal FROM sig")
 def d02_macro_deviation(spark, d):
     out = scores.macro_deviation(src.panel_daily(spark, d), src.target_daily(spark, d))
     return out.select("dt", fixed(F.col("fitted"), 3).alias("fitted"), fixed(F.col("quality"), 5).alias("quality"), fixed(F.col("signal"), 5).alias("signal"))

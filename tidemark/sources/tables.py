@@ -38,6 +38,15 @@ def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series, dt, open, high, low, close, volume): daily bars of order prices, as the series 'target'."""
+    orders = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("dt"), "o_orderkey", "o_totalprice")
+    rows = orders.groupBy("dt").agg(
+        F.min_by("o_totalprice", "o_orderkey").alias("open"), F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"), F.max_by("o_totalprice", "o_orderkey").alias("close"), F.count("*").cast("double").alias("volume")
+    )
+    return rows.select(F.lit("target").alias("series"), "*")
+
+
 def number(text: Column) -> Column:
     """A number written with thousands commas and blanks; null where it isn't one."""
     return F.regexp_replace(F.trim(text), ",", "").try_cast("double")
