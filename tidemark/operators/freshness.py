@@ -134,3 +134,18 @@ def mean_breaks(df: DataFrame, most: int = 3, trim: float = 0.15) -> DataFrame:
     start = F.struct(F.transform(F.sequence(F.lit(0), F.col("n") - 2), move).alias("moves"), F.array().cast("array<int>").alias("places"))
     places = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, pick, lambda s: s["places"])
     return rows.select("series", F.explode(places).alias("place"))
+
+
+def notices(df: DataFrame, sessions: DataFrame, stale: int = 10) -> DataFrame:
+    """(series, newest, behind, notice): how many sessions (dt) came after each series' newest row."""
+    newest = df.groupBy("series").agg(F.max("dt").alias("newest"))
+    dates = sessions.agg(F.array_sort(F.collect_set("dt")).alias("_all"))  # one row, the days of a spine
+    out = newest.join(dates).withColumn("behind", F.size(F.filter("_all", lambda x: x > F.col("newest"))).cast("long")).drop("_all")
+    notice = F.when(F.col("behind") == 0, "current").when(F.col("behind") == 1, "one session behind").when(F.col("behind") <= stale, "behind").otherwise("stale")
+    return out.withColumn("notice", notice)
+
+
+def provisional(df: DataFrame, today: str) -> DataFrame:
+    """df (series, dt, ...) with provisional: a series' newest row, where it isn't older than today, may still change."""
+    newest = F.max("dt").over(Window.partitionBy("series"))
+    return df.withColumn("provisional", (F.col("dt") == newest) & (F.col("dt") >= F.to_date(F.lit(today))))

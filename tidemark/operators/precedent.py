@@ -1,13 +1,20 @@
-"""Nearest historical states with temporal exclusion, and what followed them."""
+"""Nearest historical states with temporal exclusion, what followed them, and how well that would have foretold."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators import windows as w
 from tidemark.operators.align import ordered
-from tidemark.operators.stats import weighted_quantiles
+from tidemark.operators.stats import spearman, weighted_quantiles
+
+FEATURES = ("momentum", "vol")
+#: The 99.9 % points of chi-squared for 1 to 6 degrees of freedom.
+CHI2 = (10.828, 13.816, 16.266, 18.467, 20.515, 22.458)
 
 
 def states(df: DataFrame, n: int = 20) -> DataFrame:
@@ -16,6 +23,12 @@ def states(df: DataFrame, n: int = 20) -> DataFrame:
     return df.select("series", "dt", F.row_number().over(ordered()).alias("place"), "px", w.full(F.sum("ret").over(w.trailing(n)), F.col("ret"), w.trailing(n), n).alias("momentum"), w.full(F.stddev_samp("ret").over(w.trailing(n)), F.col("ret"), w.trailing(n), n).alias("vol"))
 
 
+def with_context(df: DataFrame, context: DataFrame, columns: list[str], valid: str) -> DataFrame:
+    """States with more features of the date from context (dt, columns, valid); null where it isn't valid."""
+    own = context.select("dt", *[F.when(F.col(valid), F.col(c)).alias(c) for c in columns])
+    return df.join(own, "dt", "left")
+
+
 def distances(df: DataFrame, horizon: int = 20) -> DataFrame:
     """(series, dt, place, distance) of the states of each series, but the last `horizon`, from its newest one.
 
@@ -34,25 +47,111 @@ def distances(df: DataFrame, horizon: int = 20) -> DataFrame:
     return pool.join(s, "series").select("series", "dt", "place", F.sqrt(squared).alias("distance"))
 
 
-def apart(candidates: Column, gap: int, most: int) -> Column:
-    """From candidates (structs with place, best first), those taken in turn that lie `gap` places from all taken, up to most."""
-    return F.aggregate(
-        candidates, F.slice(candidates, 1, 0), lambda taken, c: F.when((F.size(taken) < most) & F.forall(taken, lambda t: F.abs(t["place"] - c["place"]) >= gap), F.array_append(taken, c)).otherwise(taken)
-    )
+def shrunk(x: np.ndarray) -> np.ndarray:
+    """The covariance of rows of x, shrunk to its mean variance by the oracle-approximating weight."""
+    s = np.atleast_2d(np.cov(x, rowvar=False))
+    p, mu, alpha = len(s), np.trace(s) / len(s), np.mean(s**2)
+    low = (len(x) + 1) * (alpha - mu**2 / p)
+    rho = 1.0 if low <= 0 else min(max((alpha + mu**2) / low, 0.0), 1.0)
+    return (1 - rho) * s + rho * mu * np.eye(p)
+
+
+def nearest(pool: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Mahalanobis distances of the rows of pool from now; missing values take the pool's medians."""
+    known = np.where(np.isfinite(pool).any(0), np.nanmedian(np.where(np.isfinite(pool), pool, np.nan), axis=0, keepdims=False), 0.0)
+    pool, now = np.where(np.isfinite(pool), pool, known), np.where(np.isfinite(now), now, known)
+    gap = pool - now
+    return np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", gap, np.linalg.pinv(shrunk(pool)), gap), 0.0))
+
+
+def apart(places: np.ndarray, order: np.ndarray, gap: int, most: int) -> list[int]:
+    """Of rows in order, those taken in turn whose places lie gap from all taken, up to most."""
+    taken: list[int] = []
+    for k in order.tolist():
+        if len(taken) == most:
+            break
+        if all(abs(places[k] - places[t]) >= gap for t in taken):
+            taken.append(k)
+    return taken
+
+
+def chosen(pool: DataFrame, keys: list[str], features: tuple[str, ...], gap: int, most: int, least: int = 30) -> DataFrame:
+    """(keys, dt, place, distance, weight, unprecedented) of pool (keys, dt, place, features, now_features).
+
+    weight is a Gaussian kernel of half the pool's median distance. unprecedented: even the nearest lies beyond the 99.9 %
+    point of chi-squared. Pools under `least` rows give none. One group a key, as long as a series.
+    """
+    kinds = dict(pool.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        out = rows[[*keys, "dt", "place"]]
+        if len(rows) < least:
+            return out.head(0).assign(distance=0.0, weight=0.0, unprecedented=False)
+        d = nearest(rows[list(features)].to_numpy(float), rows[[f"now_{f}" for f in features]].to_numpy(float)[0])
+        width = max(0.5 * float(np.median(d)), 1e-12)
+        taken = apart(rows["place"].to_numpy(), np.argsort(d, kind="stable"), gap, most)
+        made = out.iloc[taken].assign(distance=d[taken], unprecedented=bool(d.min() ** 2 > CHI2[len(features) - 1]))
+        return made.assign(weight=np.exp(-0.5 * (d[taken] / width) ** 2))[[*keys, "dt", "place", "distance", "weight", "unprecedented"]]
+
+    head = ", ".join(f"{c} {kinds[c]}" for c in (*keys, "dt", "place"))
+    return pool.groupBy(*keys).applyInPandas(run, f"{head}, distance double, weight double, unprecedented boolean")
 
 
-def similar_periods(df: DataFrame, horizon: int = 20, most: int = 40) -> DataFrame:
-    """(series, dt, place, distance, weight): the nearest states at least `horizon` rows from one another, with kernel weights."""
-    near = distances(df, horizon).groupBy("series").agg(F.array_sort(F.collect_list(F.struct("distance", "place", "dt"))).alias("all"))
-    near = near.select("series", apart(F.col("all"), max(20, horizon), most).alias("taken"))
-    band = F.get(F.array_sort(F.transform("taken", lambda t: t["distance"])), F.floor(F.size("taken") / 2).cast("int")) / 2
-    rows = near.select("series", band.alias("h"), F.explode("taken").alias("t"))
-    return rows.select("series", "t.dt", "t.place", "t.distance", F.exp(-0.5 * F.pow(F.col("t.distance") / F.greatest("h", F.lit(1e-12)), 2)).alias("weight"))
+def similar_periods(df: DataFrame, horizon: int = 20, most: int = 40, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """(series, dt, place, distance, weight, unprecedented): the states most like the newest, `horizon` rows from one another."""
+    newest = df.groupBy("series").agg(F.max("place").alias("_n"), F.max_by(F.struct(*features), "place").alias("_now"))
+    pool = df.where(" AND ".join(f"{f} IS NOT NULL" for f in FEATURES)).join(newest, "series").where(F.col("place") <= F.col("_n") - horizon)
+    return chosen(pool.select("series", "dt", "place", *features, *[F.col(f"_now.{f}").alias(f"now_{f}") for f in features]), ["series"], features, max(20, horizon), most)
 
 
 def base_rates(periods: DataFrame, df: DataFrame, horizons: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
-    """(horizon, p25, median, p75, n_effective): weighted quantiles of what followed the periods, over each horizon."""
+    """(horizon, p25, median, p75, n_effective, n, up_share, usable): what followed the periods, by their weights.
+
+    usable: worth 4 periods or more, and not unprecedented.
+    """
     ahead = [F.struct(F.lit(h).alias("horizon"), w.forward_change(F.col("px"), h).alias("forward")) for h in horizons]
-    rows = df.withColumn("_ahead", F.array(*ahead)).join(periods.select("series", "place", "weight"), ["series", "place"])
-    rows = rows.select("weight", F.explode("_ahead").alias("a")).select("weight", "a.horizon", "a.forward")
-    return weighted_quantiles(rows, "horizon", "forward", "weight", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    rows = df.withColumn("_ahead", F.array(*ahead)).join(periods.select("series", "place", "weight", "unprecedented"), ["series", "place"])
+    rows = rows.select("weight", "unprecedented", F.inline("_ahead")).where("forward IS NOT NULL")
+    up = rows.groupBy("horizon").agg(F.count("*").alias("n"), (F.sum(F.when(F.col("forward") > 0, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("up_share"), F.max("unprecedented").alias("_far"))
+    out = weighted_quantiles(rows, "horizon", "forward", "weight", {"p25": 0.25, "median": 0.5, "p75": 0.75}).join(up, "horizon")
+    return out.withColumn("usable", (F.col("n_effective") >= 4) & ~F.col("_far")).drop("_far")
+
+
+def at_horizon(rates: DataFrame, horizon: int) -> DataFrame:
+    """The row of rates for the horizon, or for the longest one below it."""
+    best = rates.where(F.col("horizon") <= horizon).agg(F.max_by(F.struct(*rates.columns), "horizon").alias("r"))
+    return best.where("r IS NOT NULL").select("r.*")
+
+
+def foretold(df: DataFrame, horizon: int, n: int = 20, most: int = 10, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """(series, place, dt, predicted, realised): what the states like each past one would have foretold, known then only.
+
+    Every horizon-th row is asked, and the newest; its pool are the rows whose outcome it knew. Pools meet the rows asked by a
+    join of the series on their places, so each (series, asked row) is a group of its own.
+    """
+    start = max(n + 30, horizon + 30)
+    last = Window.partitionBy("series")
+    rows = df.withColumn("_n", F.max("place").over(last)).withColumn("_realised", F.lead("px", horizon).over(ordered()) / F.col("px") * 100 - 100)
+    known = rows.where(" AND ".join(f"{f} IS NOT NULL" for f in FEATURES))
+    asked = known.where(((F.col("place") - 1 >= start) & ((F.col("place") - 1 - start) % horizon == 0)) | ((F.col("place") == F.col("_n")) & (F.col("_n") > start)))
+    asked = asked.select("series", F.col("place").alias("asked"), *[F.col(f).alias(f"now_{f}") for f in features])
+    pool = known.join(asked, "series").where(F.col("place") <= F.col("asked") - horizon)
+    found = chosen(pool.select("series", "asked", "dt", "place", *features, *[f"now_{f}" for f in features]), ["series", "asked"], features, max(n, horizon), most)
+    outcome = rows.select("series", "place", "dt", "_realised")
+    told = found.join(outcome.drop("dt"), ["series", "place"]).groupBy("series", F.col("asked").alias("place")).agg(F.percentile("_realised", F.lit(0.5)).alias("predicted"))
+    return told.join(outcome, ["series", "place"]).select("series", "place", "dt", "predicted", F.col("_realised").alias("realised"))
+
+
+def skill(told: DataFrame, least: int = 10) -> DataFrame:
+    """(series, n, ic, hit, base, edge) of told (series, predicted, realised); null under `least` outcomes.
+
+    base is the share of the commoner direction, edge what hits exceed it by, both in per cent.
+    """
+    done = told.where("predicted IS NOT NULL AND realised IS NOT NULL")
+    ic = spearman(done, "predicted", "realised", least).select("series", "ic")
+    up = F.avg((F.col("realised") > 0).cast("double"))
+    out = done.groupBy("series").agg(F.count("*").alias("n"), (100 * F.avg((F.signum("predicted") == F.signum("realised")).cast("double"))).alias("hit"), (100 * F.greatest(up, 1 - up)).alias("base"))
+    out = out.withColumns({c: F.when(F.col("n") >= least, F.col(c)) for c in ("hit", "base")}).join(ic, "series", "left")
+    return out.select("series", "n", "ic", "hit", "base", (F.col("hit") - F.col("base")).alias("edge"))
+

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.scalar import clip, gate, scaled_sigmoid
+from tidemark.functions.scalar import clip, gate, scaled_sigmoid, zone
 from tidemark.operators import windows as w
 from tidemark.operators.align import ordered, past
 from tidemark.operators.folds import ewm
@@ -102,7 +102,7 @@ DIMENSIONS = {"direction": 0.5, "breadth": 0.2, "magnitude": 0.2, "regime": 0.1}
 
 
 def convergence(df: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """df with dim_* (agreement in four dimensions, 0 to 1), agreement, score and zone; negative is bullish.
+    """df with dim_* (agreement in four dimensions, 0 to 1), lean, agreement, score (both rounded, and raw) and zone; negative is bullish.
 
     df has conviction, v_oversold (valuation, %), oversold and overbought (breadth, %), avg_score (-10 to 10), regime
     (text) and bull and bear (%).
@@ -119,10 +119,14 @@ def convergence(df: DataFrame, weights: dict[str, float] | None = None) -> DataF
     df = df.withColumns({"dim_direction": direction, "dim_breadth": breadth, "dim_magnitude": magnitude, "dim_regime": regime})
     composite = sum((weight * (2 * c(f"dim_{k}") - 1) for k, weight in weights.items()), F.lit(0.0))
     lean = 0.5 * (clip(-c("conviction") / 100, -1, 1) + clip(spread / 100, -1, 1))
-    score = F.round(-lean * (composite + 1) / 2 * 100, 2)
+    score = -lean * (composite + 1) / 2 * 100
     agreement = sum((weight * c(f"dim_{k}") for k, weight in weights.items()), F.lit(0.0))
-    df = df.withColumn("agreement", F.round(agreement, 3)).withColumn("score", score)
-    return df.withColumn("zone", _tiers(c("score"), (4.46, 9.18, 15.61), ("WEAK", "MODERATE", "STRONG"), "BULL", "BEAR"))
+    df = df.withColumns({"lean": lean, "raw_agreement": agreement, "raw_score": score, "agreement": F.round(agreement, 3), "score": F.round(score, 2)})
+    return df.withColumn("zone", convergence_zone(c("score")))
+
+
+def convergence_zone(x: Column) -> Column:
+    return _tiers(x, (4.46, 9.18, 15.61), ("WEAK", "MODERATE", "STRONG"), "BULL", "BEAR")
 
 
 def _tiers(x: Column, cuts: tuple[float, ...], words: tuple[str, ...], low: str, high: str) -> Column:
@@ -158,6 +162,30 @@ def conviction_raw(zones: list[Column]) -> Column:
     return 100 * (tally("Overvalued") - tally("Undervalued")) / n + 150 * (tally("Extreme Over") - tally("Extreme Under")) / n
 
 
+def lookback_breadth(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with oversold and overbought (per cent of lookbacks), conviction and mean_z of several lookbacks' z."""
+    n = len(columns)
+    count = lambda test: reduce(lambda a, b: a + b, [F.when(test(F.col(c)), 1).otherwise(0) for c in columns])
+    known = F.array_compact(F.array(*columns))
+    mean = F.aggregate(known, F.lit(0.0), lambda a, b: a + b) / F.size(known)
+    return df.withColumns({
+        "oversold": 100 * count(lambda z: z <= -1) / n, "overbought": 100 * count(lambda z: z > 1) / n, "conviction": conviction_raw([zone(F.col(c)) for c in columns]), "mean_z": F.when(F.size(known) > 0, mean).otherwise(0.0),
+    })
+
+
+def signal_of(df: DataFrame, x: Column, weak: float, strong: float, calm: float, quiet: float) -> DataFrame:
+    """df (oversold, overbought, ...) with signal, strength (the middle of both cuts between them) and confidence of x.
+
+    A hold is surer the smaller |x| is, a signal the more lookbacks agree.
+    """
+    size = F.abs(x)
+    signal = F.when(x < -weak, "BUY").when(x > weak, "SELL").otherwise("HOLD")
+    strength = F.when(size > strong, "STRONG").when(size > (weak + strong) / 2, "MODERATE").when(size > weak, "WEAK").otherwise("NONE")
+    most = F.greatest("oversold", "overbought")
+    held = F.when(size < calm, "HIGH").when(size < quiet, "MEDIUM").otherwise("LOW")
+    return df.withColumns({"signal": signal, "strength": strength, "confidence": F.when(size <= weak, held).when(most >= 80, "HIGH").when(most >= 60, "MEDIUM").otherwise("LOW")})
+
+
 def verdict(df: DataFrame) -> DataFrame:
     """df with gate_*, binding (the least gate), conviction (their product), direction and tier.
 

@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,3 +170,52 @@ def current_tiers(df: DataFrame, column: str, wanted: dict[str, tuple[float, flo
     rows = df.where(F.col(column).isNotNull()).withColumn("_k", F.row_number().over(Window.partitionBy("series").orderBy(column)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("series")))
     found = [F.max(F.when((F.col("_k") == F.rint(F.lit(q) * (F.col("_n") - 1))) & (F.col("_n") >= least) & (F.col(column) > 0), F.col(column))) for q, _ in wanted.values()]
     return rows.groupBy("series").agg(*[F.coalesce(f, F.lit(default)).alias(name) for f, (name, (_, default)) in zip(found, wanted.items(), strict=True)])
+
+
+def unit_root(df: DataFrame, column: str, critical: float = -2.86) -> DataFrame:
+    """(series, n, t, reverts): the t of the slope of changes on the value before; under the 5 % point a series reverts."""
+    rows = df.withColumn("_lag", F.lag(column).over(ordered())).where("_lag IS NOT NULL").withColumn("_d", F.col(column) - F.col("_lag"))
+    fit = rows.groupBy("series").agg(F.count("*").alias("n"), F.regr_slope("_d", "_lag").alias("_s"), F.regr_sxx("_d", "_lag").alias("_x"), F.regr_syy("_d", "_lag").alias("_y"), F.regr_sxy("_d", "_lag").alias("_xy"))
+    t = F.col("_s") / F.sqrt((F.col("_y") - F.col("_s") * F.col("_xy")) / (F.col("n") - 2) / F.col("_x"))
+    return fit.select("series", "n", t.alias("t"), (t < critical).alias("reverts"))
+
+
+def gated_hurst(hurst: DataFrame, roots: DataFrame, least: int = 200) -> DataFrame:
+    """(series, hurst): the exponent of series that revert and have over `least` rows, else a half."""
+    out = roots.join(hurst, "series", "left")
+    return out.select("series", F.when((F.col("n") > least) & F.col("reverts"), F.coalesce("hurst", F.lit(0.5))).otherwise(0.5).alias("hurst"))
+
+
+def incomplete_beta(a: np.ndarray, b: float, x: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """The regularised incomplete beta function by its continued fraction."""
+    tiny = 1e-300
+    flip = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    front = np.exp(np.array([math.lgamma(s + t) - math.lgamma(s) - math.lgamma(t) for s, t in zip(p, q, strict=True)]) + p * np.log(np.maximum(z, tiny)) + q * np.log(np.maximum(1 - z, tiny))) / p
+    c, d = np.ones(len(z)), 1 / np.where(np.abs(1 - (p + q) * z / (p + 1)) < tiny, tiny, 1 - (p + q) * z / (p + 1))
+    f = d.copy()
+    for m in range(1, rounds):
+        for step in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 / np.where(np.abs(1 + step * d) < tiny, tiny, 1 + step * d)
+            c = np.where(np.abs(1 + step / c) < tiny, tiny, 1 + step / c)
+            f = f * d * c
+    return np.where(flip, 1 - front * f, front * f)
+
+
+def t_p_values(t: pd.Series, df: pd.Series) -> pd.Series:
+    out = pd.Series(np.nan, index=t.index, dtype=float)
+    known = (t.notna() & df.notna() & (df >= 2)).to_numpy()
+    x, n = t.to_numpy(float)[known], df.to_numpy(float)[known]
+    finite = np.where(np.isinf(x), 0.0, x)
+    out[known] = np.where(np.isinf(x), 0.0, incomplete_beta(n / 2, 0.5, n / (n + finite**2)))
+    return out
+
+
+def t_p_value(t: Column, df: Column) -> Column:
+    """The two-sided p of Student's t; null for a null t or under 2 degrees of freedom, 0 for an infinite t."""
+
+    @F.pandas_udf("double")
+    def p(t: pd.Series, df: pd.Series) -> pd.Series:
+        return t_p_values(t, df)
+
+    return p(t, df.cast("double"))

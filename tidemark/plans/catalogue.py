@@ -370,11 +370,6 @@ def d11_convergence_dimensions(spark, d):
     return out.select("dt", "dim_direction", fixed(F.col("dim_breadth"), 4).alias("dim_breadth"), fixed(F.col("dim_magnitude"), 4).alias("dim_magnitude"), "dim_regime")
 
 
-@query()
-def d11_convergence(spark, d):
-    return scores.convergence(_daily(spark, d)).select("dt", "agreement", "score", "zone", scores.conviction_label(F.col("conviction")).alias("label"))
-
-
 @query(f"""WITH {PANEL}, {TARGET}, {ZP}, {DAILY}, s AS (SELECT *, CASE WHEN c < -60 AND vo > 70 THEN 'EXTREME_BULLISH' WHEN c < -20 AND vo > 60 THEN 'BULLISH' WHEN c > 60 AND vo < 30 THEN 'EXTREME_BEARISH' WHEN c > 20 AND vo < 40 THEN 'BEARISH' ELSE 'NEUTRAL' END AS a,
  CASE WHEN lo > 60 AND av < -3 THEN 'BULLISH' WHEN hi > 60 AND av > 3 THEN 'BEARISH' ELSE 'NEUTRAL' END AS b FROM da),
 k AS (SELECT *, CASE WHEN (a = 'EXTREME_BULLISH' AND b <> 'BULLISH') OR (a = 'EXTREME_BEARISH' AND b <> 'BEARISH') THEN 'VALUATION_LEADS' WHEN (b = 'BULLISH' AND a NOT LIKE '%BULLISH%') OR (b = 'BEARISH' AND a NOT LIKE '%BEARISH%') THEN 'BREADTH_LEADS' END AS kind FROM s)
@@ -394,25 +389,6 @@ def d17_state_distances(spark, d):
     return out.select("dt", F.col("place").cast("long").alias("place"), fixed(F.col("distance"), 4).alias("distance"))
 
 
-@query()
-def d17_similar_periods(spark, d):
-    return precedent.similar_periods(precedent.states(src.panel_daily(spark, d)))
-
-
-@query()
-def a15_base_rates(spark, d):
-    df = precedent.states(src.target_daily(spark, d))
-    return precedent.base_rates(precedent.similar_periods(df), df)
-
-
-@query()
-def d22_verdict(spark, d):
-    df = scores.convergence(_daily(spark, d))
-    now = df.orderBy(F.desc("dt")).limit(1)  # the verdict is of the newest row
-    inputs = now.select("dt", (F.col("conviction") / 33).alias("oscillator"), F.lit(0.6).alias("confidence"), ((F.col("oversold") - F.col("overbought")) / 100 * -F.signum("conviction")).alias("net_breadth"), F.lit(0.1).alias("consensus"), "agreement", F.lit(0.05).alias("ic"), F.lit(0.5).alias("precedent_share"), F.lit(10).alias("precedent_n"))
-    return scores.verdict(inputs)
-
-
 @query("""SELECT event_type AS series, date_trunc('hour', ts) AS dt, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2""")
 def st_hourly_bars(spark, d):
     return src.bars_hourly(spark, d)
