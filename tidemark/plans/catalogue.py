@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import scalar as fn
 from tidemark.functions.scalar import fixed
-from tidemark.operators import align, folds, freshness, kernels, precedent, regimes, scores, stats
+from tidemark.operators import align, folds, freshness, precedent, regimes, scores, stats
 from tidemark.operators import windows as w
 from tidemark.operators.align import ordered
 from tidemark.plans.registry import BARS, LAG, PANEL, SPINE, TARGET, clip_sql, over, query, r, z_sql
@@ -400,17 +400,6 @@ def r20_regimes(spark, d):
     return rows.select("series", "dt", *[fixed(F.col(c)).alias(c) for c in ("level", "variance", "bull", "bear", "confidence")], "volatility", "change", "regime")
 
 
-@query()
-def r16_hidden_regimes(spark, d):
-    rows = src.panel_daily(spark, d).withColumn("ret", F.log("px") - F.lag(F.log("px")).over(ordered()))
-    return kernels.hidden_rows(rows, "ret")
-
-
-@query()
-def r18_fair_value(spark, d):
-    return kernels.fair_value(src.panel_daily(spark, d).withColumnRenamed("series", "name"), src.target_daily(spark, d))
-
-
 @query("""WITH t AS (SELECT CAST(o_orderdate AS DATE) AS dt, avg(o_totalprice) AS px FROM orders GROUP BY 1) SELECT 'target' AS series, dt FROM t WHERE isodow(dt) <= 5""")
 def p14_session_spine(spark, d):
     target = src.target_daily(spark, d)
