@@ -74,12 +74,18 @@ def admitted(df: DataFrame, floor: int = 250) -> DataFrame:
     return printed(df).withColumn("admitted", F.col("n_prints") >= floor)
 
 
-def complete_days(df: DataFrame, share: float = 0.6, least: int = 30) -> DataFrame:
-    """(dt, n_admitted, n_printed, coverage, complete, reason) of rows with `admitted` and `printed`."""
-    n = df.groupBy("dt").agg(F.count_if("admitted").alias("n_admitted"), F.count_if(F.col("admitted") & F.col("printed")).alias("n_printed"))
-    n = n.withColumn("coverage", F.when(F.col("n_admitted") > 0, F.col("n_printed") / F.col("n_admitted")).otherwise(0.0))
+def complete_days(df: DataFrame, share: float = 0.6, least: int = 30, burn_in: int = 0) -> DataFrame:
+    """(dt, n_admitted, n_open, n_printed, coverage, complete, reason) of rows with `admitted`, `open` and `printed`.
+
+    coverage is what printed of the admitted series whose market was open. Of the reasons the first that holds is given: the
+    first burn_in dates, fewer than least admitted, markets open for under share of them, too few prints.
+    """
+    own = F.col("admitted")
+    n = df.groupBy("dt").agg(F.count_if(own).alias("n_admitted"), F.count_if(own & F.col("open")).alias("n_open"), F.count_if(own & F.col("open") & F.col("printed")).alias("n_printed"))
+    n = n.withColumn("coverage", F.coalesce(F.try_divide("n_printed", "n_open"), F.lit(0.0)))
     n = n.withColumn("complete", (F.col("coverage") >= share) & (F.col("n_printed") >= least))
-    reason = F.when(F.col("n_admitted") == 0, "burn-in").when(F.col("n_admitted") < least, "warming up").when(F.col("coverage") < share, "market closed").when(~F.col("complete"), "incomplete")
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("dt"))  # a row a date
+    reason = F.when(place <= burn_in, "burn-in").when(F.col("n_admitted") < least, "warming up").when(F.col("n_open") < share * F.col("n_admitted"), "market closed").when(~F.col("complete"), "incomplete fetch")
     return n.withColumn("reason", F.coalesce(reason, F.lit("published")))
 
 

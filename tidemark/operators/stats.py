@@ -112,13 +112,18 @@ def ou_parameters(df: DataFrame, column: str) -> DataFrame:
     return fit.select("series", "n", "phi", "theta", (F.col("start") / (1 - F.col("phi"))).alias("mu"), (F.log(F.lit(2.0)) / F.col("theta")).alias("half_life"))
 
 
-def dfa(df: DataFrame, column: str, scales: list[int]) -> DataFrame:
-    """(series, n_scales, hurst): detrended fluctuation analysis. Each scale's boxes are fitted by grouped regressions."""
+def dfa(df: DataFrame, column: str, first: int = 8, most: int = 20) -> DataFrame:
+    """(series, n_scales, hurst): detrended fluctuation analysis at up to `most` log-spaced scales from first to a quarter of the rows.
+
+    Each scale's boxes are fitted by grouped regressions. Series under 4 * first rows have none.
+    """
     rows = df.where(F.col(column).isNotNull()).withColumn("_i", F.row_number().over(ordered()) - 1)
-    mean = F.avg(column).over(Window.partitionBy("series"))
-    rows = rows.withColumn("_d", F.col(column) - mean).withColumn("_n", F.count("*").over(Window.partitionBy("series")))
+    one = Window.partitionBy("series")
+    rows = rows.withColumn("_d", F.col(column) - F.avg(column).over(one)).withColumn("_n", F.count("*").over(one)).where(F.col("_n") >= 4 * first)
     rows = rows.withColumn("_y", F.sum("_d").over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
-    boxes = rows.withColumn("scale", F.explode(F.array(*map(F.lit, scales)))).withColumn("box", F.floor(F.col("_i") / F.col("scale")))
+    ratio = F.col("_n") / F.lit(4.0 * first)
+    scales = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.floor(first * F.pow(ratio, k / F.lit(float(most - 1))) + 1e-9)))
+    boxes = rows.withColumn("scale", F.explode(scales)).withColumn("box", F.floor(F.col("_i") / F.col("scale")))
     boxes = boxes.where("box < floor(_n / scale)").groupBy("series", "scale", "box").agg((F.regr_syy("_y", "_i") - F.pow(F.regr_sxy("_y", "_i"), 2) / F.regr_sxx("_y", "_i")).alias("_e"))
     f = boxes.groupBy("series", "scale").agg((F.log(F.sum(F.greatest("_e", F.lit(0.0))) / (F.count("*") * F.col("scale"))) / 2).alias("_f"))
     slope = F.regr_slope("_f", F.log("scale"))

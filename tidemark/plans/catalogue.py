@@ -96,13 +96,14 @@ def p16_print_mask(spark, d):
     return align.admitted(src.panel_daily(spark, d).withColumn("px", F.round("px", 0))).select("series", "dt", "printed", "n_prints", "admitted")
 
 
-@query(f"""WITH {PANEL}, {PRINTS}, n AS (SELECT dt, count_if(n_prints >= 100) AS n_admitted, count_if(n_prints >= 100 AND printed) AS n_printed FROM c GROUP BY dt),
-v AS (SELECT *, CASE WHEN n_admitted > 0 THEN n_printed / n_admitted::DOUBLE ELSE 0 END AS share FROM n)
-SELECT dt, n_admitted::BIGINT AS n_admitted, n_printed::BIGINT AS n_printed, {r('share')} AS coverage, share >= 0.6 AND n_printed >= 10 AS complete,
-CASE WHEN n_admitted = 0 THEN 'burn-in' WHEN n_admitted < 10 THEN 'warming up' WHEN share < 0.6 THEN 'market closed' WHEN n_printed < 10 THEN 'incomplete' ELSE 'published' END AS reason FROM v""")
+@query(f"""WITH {PANEL}, {PRINTS}, o AS (SELECT *, n_prints >= 100 AS adm, isodow(dt) <= 5 OR right(series, 1) = '1' AS op FROM c), n AS (SELECT dt, count_if(adm) AS n_admitted, count_if(adm AND op) AS n_open, count_if(adm AND op AND printed) AS n_printed FROM o GROUP BY dt),
+v AS (SELECT *, CASE WHEN n_open > 0 THEN n_printed / n_open::DOUBLE ELSE 0 END AS share, row_number() OVER (ORDER BY dt) AS k FROM n)
+SELECT dt, n_admitted::BIGINT AS n_admitted, n_open::BIGINT AS n_open, n_printed::BIGINT AS n_printed, {r('share')} AS coverage, share >= 0.6 AND n_printed >= 10 AS complete,
+CASE WHEN k <= 250 THEN 'burn-in' WHEN n_admitted < 10 THEN 'warming up' WHEN n_open < 0.6 * n_admitted THEN 'market closed' WHEN NOT (share >= 0.6 AND n_printed >= 10) THEN 'incomplete fetch' ELSE 'published' END AS reason FROM v""")
 def p20_completeness_gate(spark, d):
     rows = align.admitted(src.panel_daily(spark, d).withColumn("px", F.round("px", 0)), 100)
-    return align.complete_days(rows, least=10).withColumn("coverage", fixed(F.col("coverage")))
+    rows = rows.withColumn("open", (F.weekday("dt") < 5) | (F.right("series", F.lit(1)) == "1"))
+    return align.complete_days(rows, least=10, burn_in=250).withColumn("coverage", fixed(F.col("coverage")))
 
 
 @query("""WITH t AS (SELECT event_id, strftime(ts, '%d/%m/%Y') AS day, CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE format('{:,}', CAST(floor(value * 100) AS BIGINT)) END AS cell FROM events),
@@ -298,11 +299,22 @@ def a21_ou_parameters(spark, d):
     return out.select("series", "n", fixed(F.col("phi")).alias("phi"), fixed(F.col("theta"), 5).alias("theta"), fixed(F.col("mu")).alias("mu"), fixed(F.col("half_life"), 4).alias("half_life"))
 
 
-@query(f"""WITH {PANEL}, m AS (SELECT series, dt, ln(px) - avg(ln(px)) OVER (PARTITION BY series) AS d, row_number() {LAG} - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM panel),
-y AS (SELECT *, sum(d) {over('UNBOUNDED PRECEDING')} AS y FROM m), b AS (SELECT series, s AS scale, i // s AS box, regr_syy(y, i) - regr_sxy(y, i)^2 / regr_sxx(y, i) AS e FROM y, (SELECT unnest([8, 16, 32, 64, 128]) AS s) WHERE i // s < n // s GROUP BY 1, 2, 3),
-f AS (SELECT series, scale, ln(sum(greatest(e, 0)) / (count(*) * scale)) / 2 AS f FROM b GROUP BY 1, 2) SELECT series, count(*) AS n_scales, {r('greatest(least(regr_slope(f, ln(scale)), 0.99), 0.01)')} AS hurst FROM f GROUP BY series""")
+FLUCTUATION = f"""fm AS (SELECT series, dt, ln(px) - avg(ln(px)) OVER (PARTITION BY series) AS d, row_number() {LAG} - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM panel),
+fy AS (SELECT *, sum(d) {over('UNBOUNDED PRECEDING')} AS y, list_distinct(list_transform(range(20), lambda k: floor(8 * pow(n / 32.0::DOUBLE, k / 19.0::DOUBLE) + 1e-9)::BIGINT)) AS scales FROM fm WHERE n >= 32), fu AS (SELECT series, i, y, n, unnest(scales) AS s FROM fy),
+fb AS (SELECT series, s AS scale, i // s AS box, regr_syy(y, i) - regr_sxy(y, i)^2 / regr_sxx(y, i) AS e FROM fu WHERE i // s < n // s GROUP BY 1, 2, 3),
+ff AS (SELECT series, scale, ln(sum(greatest(e, 0)) / (count(*) * scale)) / 2 AS f FROM fb GROUP BY 1, 2), hurst AS (SELECT series, count(*) AS n_scales, greatest(least(regr_slope(f, ln(scale)), 0.99), 0.01) AS h FROM ff GROUP BY series)"""
+
+
+@query(f"WITH {PANEL}, {FLUCTUATION} SELECT series, n_scales, {r('h', 5)} AS hurst FROM hurst")
 def a24_fluctuation(spark, d):
-    return stats.dfa(src.panel_daily(spark, d).withColumn("x", F.log("px")), "x", [8, 16, 32, 64, 128]).withColumn("hurst", fixed(F.col("hurst")))
+    return stats.dfa(src.panel_daily(spark, d).withColumn("x", F.log("px")), "x").withColumn("hurst", fixed(F.col("hurst"), 5))
+
+
+@query(f"""WITH {PANEL}, {FLUCTUATION}, l AS (SELECT series, ln(px) AS x, lag(ln(px)) {LAG} AS b FROM panel), k AS (SELECT series, x - b AS dx, b FROM l WHERE b IS NOT NULL),
+u AS (SELECT series, count(*) AS n, regr_slope(dx, b) / sqrt((regr_syy(dx, b) - regr_slope(dx, b) * regr_sxy(dx, b)) / (count(*) - 2) / regr_sxx(dx, b)) AS t FROM k GROUP BY series) SELECT u.series, {r('CASE WHEN n > 200 AND t < -2.86 THEN coalesce(h, 0.5) ELSE 0.5 END', 5)} AS hurst FROM u LEFT JOIN hurst USING (series)""")
+def d21_gated_hurst(spark, d):
+    px = src.panel_daily(spark, d).withColumn("x", F.log("px"))
+    return stats.gated_hurst(stats.dfa(px, "x"), stats.unit_root(px, "x")).withColumn("hurst", fixed(F.col("hurst"), 5))
 
 
 DDM = f"""zp AS (SELECT series, dt, 20 * {r(z_sql('px', 60))} AS x, row_number() {LAG} AS k FROM panel),

@@ -158,7 +158,7 @@ def p18_availability(spark, d):
 SELECT series, dt, {r('px', 3)} AS actual, {r('CASE WHEN publish THEN px END', 3)} AS px FROM panel JOIN g USING (dt)""")
 def p19_publish_mask(spark, d):
     panel = src.panel_daily(spark, d)
-    days = align.complete_days(align.admitted(panel.withColumn("px", F.round("px", 0)), 100), least=10).select("dt", F.col("complete").alias("publish"))
+    days = align.complete_days(align.admitted(panel.withColumn("px", F.round("px", 0)), 100).withColumn("open", F.lit(True)), least=10).select("dt", F.col("complete").alias("publish"))
     rows = align.published(panel.withColumn("actual", F.col("px")).join(days, "dt"), "publish", ["px"])
     return rows.select("series", "dt", fixed(F.col("actual"), 3).alias("actual"), fixed(F.col("px"), 3).alias("px"))
 
@@ -360,3 +360,25 @@ SELECT series, dt, CASE WHEN z > 0.404 THEN 'STRONG_SELL' WHEN z > 0.279 THEN 'S
 def d15_consensus_label(spark, d):
     rows = _filled(spark, d).select("series", "dt", fixed(w.causal_z(F.col("px"), 20)).alias("z"))
     return rows.select("series", "dt", scores.consensus_label(F.col("z"), 0.279, 0.404).alias("label"))
+
+
+@query(f"""WITH {TICKERS} SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN 'ABC' WHEN 1 THEN 'XYZ' WHEN 2 THEN 'GOLD' WHEN 3 THEN 'EURUSD' WHEN 4 THEN 'NSEI' WHEN 5 THEN 'SPX' WHEN 6 THEN 'SHEL' ELSE 'IBM' END AS symbol,
+s_suppkey % 8 IN (0, 1, 4) AS indian, s_suppkey % 8 = 6 AS british FROM tk""")
+def f_symbols_and_masks(spark, d):
+    rows = _tickers(spark, d)
+    mask = fn.one_hot(fn.exchange_of(F.col("ticker")), ["XNSE", "XLON"])
+    return rows.select("s_suppkey", fn.tape_symbol(F.col("ticker"), {"GC": "GOLD", "GSPC": "SPX"}).alias("symbol"), F.get(mask, F.lit(0)).alias("indian"), F.get(mask, F.lit(1)).alias("british"))
+
+
+@query("""SELECT event_id, floor(1 / (1 + exp(-greatest(least(value - 50, 30), -30))) * 1e6 + 0.501) / 1e6 AS logistic, CASE WHEN value > 0 AND value < 100 THEN true END AS inside FROM events WHERE value IS NOT NULL""")
+def f_curves(spark, d):
+    """The logistic curve; the normal distribution function and its quantile give back what went in."""
+    rows = src.table(spark, d, "events").where("value IS NOT NULL")
+    back = fn.normal_cdf(fn.probit(F.col("value") / 100))
+    return rows.select("event_id", fixed(fn.logistic(F.col("value") - 50)).alias("logistic"), (F.abs(back - F.col("value") / 100) < 1e-3).alias("inside"))
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_type || ' ' || p_name, '(?i)treasury|bond|yield|gilt') THEN 'Rates' WHEN regexp_matches(p_type || ' ' || p_name, '(?i)gold|silver|copper|platinum|steel|brass|tin|nickel') THEN 'Metals'
+WHEN regexp_matches(p_type || ' ' || p_name, '(?i)oil|gas|brent|fuel') THEN 'Energy' WHEN regexp_matches(p_type || ' ' || p_name, '(?i)wheat|corn|soy|sugar|coffee') THEN 'Softs' WHEN regexp_matches(p_type || ' ' || p_name, '(?i)usd|eur|jpy|fx') THEN 'FX' ELSE 'Other' END AS class FROM part""")
+def j13_asset_classes(spark, d):
+    return src.table(spark, d, "part").select("p_partkey", fn.asset_class(F.concat("p_type", F.lit(" "), "p_name")).alias("class"))
