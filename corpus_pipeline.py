@@ -1,7 +1,10 @@
 """From raw documents to encoded training rows: five stages, each an operator of tidemark.llm.
 
 Every stage takes all rows that the one before kept. All but the last return the columns of documents; the last returns
-one row a document with its token ids.
+one row a document with its token ids. Null and empty texts pass every stage but the classifier, which judges them by their
+statistics; rows without a doc_id are no copies and lose nothing; repeated rows are near copies of one another, of which one
+stays; texts are of any length; no documents give no rows; other columns go through to the mixing unchanged, and those of the
+operators' own names (score, bucket) too, but for names that begin with mix_, which the mixing leaves out.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows taken by the source weights: a row for each epoch, whole documents."""
-    return mixed_rows(docs).select(*docs.columns)
+    return mixed_rows(docs).select(*[c for c in docs.columns if not c.lower().startswith("mix_")])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,10 +93,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int =
     """Trees fitted to labels.quality of the documents outside the held-out fold."""
     own = label_of(labels, "quality").where(~held_out(F.col("doc_id"), folds, fold))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)  # bounded by max_fit
-    rows = _measured(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("label", "text")).toPandas()
-    x = np.array(rows["features"].tolist()).reshape(-1, len(NAMES))
+    rows = _measured(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("label", "text")).toArrow()  # bounded by max_fit
+    x = pa.concat_arrays(rows.column("features").chunks).flatten().to_numpy().reshape(-1, len(NAMES)) if rows.num_rows else np.zeros((0, len(NAMES)))
     order = np.lexsort(x.T)  # the fit must not depend on the order in which rows arrive
-    return fit(x[order], rows["label"].to_numpy(float)[order])
+    return fit(x[order], rows.column("label").to_numpy().astype(float)[order])
 
 
 def score_quality(docs: DataFrame, trees: Trees, name: str = "score") -> DataFrame:
@@ -114,12 +114,17 @@ def score_quality(docs: DataFrame, trees: Trees, name: str = "score") -> DataFra
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:
-    """doc_id, held_out, score and predicted (1 from a score of 0.5) for every row of docs (doc_id, text, ...)."""
+    """doc_id, held_out, score and predicted (1 from a score of 0.5) for every row of docs (doc_id, text, ...).
+
+    Null and empty texts have the statistics of no words; repeated rows are scored each; a null doc_id is not held out and has
+    no label; other columns of docs are not read; an empty docs gives no rows, and without labels every score is a half. Texts
+    are of any length. Equal statistics give equal scores.
+    """
     scored = score_quality(docs.select("doc_id", "text"), fit_quality(docs, labels, folds, fold))
     return scored.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, at_least: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is at_least or more, with their columns."""
+    """The rows of docs whose score is at_least or more, with their columns, whatever their names. Cases as in `quality`."""
     name = free_name(docs, "score")
     return score_quality(docs, fit_quality(docs, labels), name).where(F.col(name) >= at_least).drop(name)

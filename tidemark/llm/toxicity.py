@@ -32,6 +32,7 @@ HEADS = (4, 6, 8)
 WORD = {"head": pa.int64(), "tail": pa.int64()}
 LEAST_DISCOUNT, MOST_DISCOUNT = 0.5, 0.98
 STRONG = 1.5
+MAX_LINKS = 1_000_000  # links of the chain that may be broadcast: 24 MB; more are joined by a shuffle
 MAX_LABELS = 4_000_000  # rows of (doc_id, label) that may be broadcast: 64 MB
 
 
@@ -128,15 +129,15 @@ def word_ratios(words: DataFrame, counts: DataFrame) -> DataFrame:
         by = keys(k)
         # The ratio of what backs off after this link; of the last link, of the word itself.
         above = staged(linked.select(*by, *(F.col(c).alias(f"p_{c}") for c in columns), "upto", made.alias("p_back")), f"chain{k}")
-        found = above.select(*by, F.col("p_back").alias(f"back{k}"))
-        words = named(words) if k == 0 else words
-        words = words.join(found, by, "left")
-    backs = F.coalesce(*[F.col(f"back{k}") for k in reversed(range(len(levels)))])
-    start = root.select(unseen.alias("unseen"))
-    return words.join(start).select("head", "tail", "home", F.coalesce(backs, "unseen").cast("float").alias("ratio"))
+        found = above.select(*by, F.col("p_back").cast("float").alias("found"))
+        asked = words.select("head", "tail", "home", *([] if k == 0 else ["ratio"]), *[levels[int(link[-1])].alias(link) for link in by])
+        before = F.lit(None).cast("float") if k == 0 else F.col("ratio")
+        words = asked.join(small(found, MAX_LINKS), by, "left").select("head", "tail", "home", F.coalesce("found", before).alias("ratio"))
+    start = root.select(unseen.cast("float").alias("unseen"))
+    return words.join(start).select("head", "tail", "home", F.coalesce("ratio", "unseen").alias("ratio"))
 
 
-def _tagged(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def _tagged(docs: DataFrame, chunk_bytes: int = 2 * CHUNK_BYTES) -> DataFrame:
     """docs (doc_id, text) as `pieces.tagged` gives them, with words of two numbers in place of pieces, counted by document."""
 
     def out(task: int, at: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
