@@ -120,7 +120,7 @@ _PCT = ("oversold", "overbought", "neutral", "rising", "falling", "wide", "narro
 _MEANS = {"mean_oscillator": "osc", "mean_strength": "osc", "mean_deviation": "-osc", "mean_bull": "osc / 30", "mean_bear": "-osc / 30"}
 
 
-@query(f"""WITH {PANEL}, {ROWS} SELECT dt, count(*) AS n_views, {', '.join(f"{r(_count(t), 4)} AS {c}" for c, t in _COUNTS.items())}, {r('sum(osc * w)', 4)} AS sum_oscillator,
+@query(f"""WITH {PANEL}, {ROWS} SELECT dt, count(*) AS n_views, {', '.join(f"{r(_count(t), 4)} AS {c}" for c, t in _COUNTS.items())}, {r('sum(osc * w)', 8)} AS sum_oscillator,
 {', '.join(f"{r(f'sum(({x}) * w) / sum(w)', 5)} AS {c}" for c, x in _MEANS.items())}, {', '.join(f"{r(f'{_count(_COUNTS[c])} / count(*) * 100', 4)} AS {c}_pct" for c in _PCT)} FROM x GROUP BY dt""")
 def a01_breadth(spark, d):
     z = F.col("z")
@@ -131,7 +131,7 @@ def a01_breadth(spark, d):
     weight = F.when(F.dayofmonth("dt") % 6 > 0, 1 + (F.ascii(F.right("series", F.lit(1))) - 48) / 10)
     rows = df.select("dt", (3 * z).alias("oscillator"), views.condition(z, -1.0, 1.0).alias("condition"), (z < -2).alias("buy"), (z > 2).alias("sell"), bullish.alias("bullish"), bearish.alias("bearish"), regime.alias("regime"), width.alias("volatility"), (z > 2.5).alias("change"), (0.3 * z).alias("strength"), (-0.3 * z).alias("deviation"), (z / 10).alias("bull"), (-z / 10).alias("bear"), weight.alias("weight"))
     out = views.breadth(rows)
-    return out.select("dt", "n_views", *[fixed(F.col(c), 5 if c in _MEANS else 4).alias(c) for c in out.columns if c not in ("dt", "n_views")])
+    return out.select("dt", "n_views", *[fixed(F.col(c), 8 if c == "sum_oscillator" else 5 if c in _MEANS else 4).alias(c) for c in out.columns if c not in ("dt", "n_views")])
 
 
 @query(f"""WITH RECURSIVE {BANK}, pa AS (SELECT a.series AS a, b.series AS b, corr(a.osc, b.osc) AS r FROM un a JOIN un b USING (dt) GROUP BY 1, 2), q AS (SELECT a, CASE WHEN a = b THEN 1.0 ELSE coalesce(r, 0) END AS r FROM pa)

@@ -267,7 +267,7 @@ def a22_half_life(spark, d):
     return out.select("series", fixed(F.col("phi")).alias("phi"), fixed(F.col("half_life"), 4).alias("half_life"))
 
 
-@query(f"""WITH {PANEL}, k AS (SELECT series, px, row_number() {LAG} AS t, count(*) OVER (PARTITION BY series) AS n FROM panel), s AS (SELECT *, t <= floor(0.7 * n) AS train FROM k),
+@query(f"""WITH {PANEL}, k AS (SELECT series, px, row_number() {LAG} AS t, count(*) OVER (PARTITION BY series) AS n FROM panel), s AS (SELECT *, t <= floor(0.7::DOUBLE * n) AS train FROM k),
 f AS (SELECT series, regr_slope(px, t) AS a, regr_intercept(px, t) AS b FROM s WHERE train GROUP BY series)
 SELECT series, {r('any_value(a)')} AS slope, {r('any_value(b)', 3)} AS start, {r('corr(px, a * t + b) FILTER (train)')} AS r_train, {r('corr(px, a * t + b) FILTER (NOT train)')} AS r_test FROM s JOIN f USING (series) GROUP BY series""")
 def a25_trend_fit(spark, d):
