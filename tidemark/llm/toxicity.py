@@ -32,7 +32,7 @@ HEADS = (4, 6, 8)
 WORD = {"head": pa.int64(), "tail": pa.int64()}
 LEAST_DISCOUNT, MOST_DISCOUNT = 0.5, 0.98
 STRONG = 1.5
-MAX_LINKS = 1_000_000  # links of the chain that may be broadcast: 24 MB; more are joined by a shuffle
+MAX_LINKS = 1_000_000  # links of the chain that may be broadcast: about 100 MB as a hash table; more are joined by a shuffle
 MAX_LABELS = 4_000_000  # rows of (doc_id, label) that may be broadcast: 64 MB
 
 
