@@ -279,7 +279,7 @@ def aligned(docs: DataFrame, tokenizer_json: str, pattern: str, model: bytes, ke
     count = pairs.groupBy("pair").agg(F.sum("held").alias("count"))
     of_a = Window.partitionBy(F.shiftright("pair", 32))  # at most as many rows as B has ids
     scored = count.select("pair", "count", (F.col("count") == F.max("count").over(of_a)).alias("best"))
-    values = pairs.join(scored, "pair").select("chunk", "number", "count", "best").repartition(n, "chunk")
+    values = pairs.join(scored, "pair").select(F.col("chunk").alias("of_chunk"), "number", "count", "best").repartition(n, "of_chunk")
 
     def finish(own: pa.Table, held: pa.Table) -> pa.Table:
         order = np.argsort(own.column("number").to_numpy())
@@ -291,5 +291,5 @@ def aligned(docs: DataFrame, tokenizer_json: str, pattern: str, model: bytes, ke
         return held.drop_columns(["chunk", "links", "times"]).append_column("n_best", pa.array(sums[0])).append_column("count_sum", pa.array(sums[1]))
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, n_best long, count_sum long"
-    out = values.groupBy("chunk").cogroup(documents.repartition(n, "chunk").groupBy("chunk")).applyInArrow(finish, schema)
+    out = values.groupBy("of_chunk").cogroup(documents.repartition(n, "chunk").groupBy("chunk")).applyInArrow(finish, schema)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(["groups"] if keep_groups else []))

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.alignment import aligned
 from tidemark.llm.audio import audio_features
 from tidemark.llm.byte_bpe import byte_bpe, read_ranks
 from tidemark.llm.common import table
@@ -17,10 +18,12 @@ from tidemark.llm.mixing import mixed_rows
 from tidemark.llm.near import near_duplicates
 from tidemark.llm.quality import quality
 from tidemark.llm.repeats import suffix_dedup
+from tidemark.llm.rules import quality_rules, rules_sql
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.toxicity import toxicity
+from tidemark.llm.turns import damaged, repair_sql, repaired_conversations
 
-RANK_FILE, TOKENIZER_FILE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+RANK_FILE, TOKENIZER_FILE, PIECE_FILE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 @cache
@@ -29,6 +32,12 @@ def _tokenizer_json() -> str:
         return file.read()
 
 
+@cache
+def _piece_model() -> bytes:
+    with open(public_tokenizers.path(PIECE_FILE), "rb") as file:
+        return file.read()
+
+
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_features(table(spark, sf_dir, "documents"))
 
@@ -73,10 +82,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer_json(), public_tokenizers.PATTERN)
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(table(spark, sf_dir, "documents"), _tokenizer_json(), public_tokenizers.PATTERN, _piece_model())
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_audio_features, op2_suffix_dedup, op3_mixing, op4_toxicity, op5_inner_products, op6_byte_bpe, op7_near_duplicates, op8_license_scan, op9_quality, op10_token_counts,
+        op11_quality_rules, op12_alignment, op13_conversation_repair,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -90,4 +112,6 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op8_license_scan": scan_sql(),
+    "op11_quality_rules": rules_sql(),
+    "op13_conversation_repair": repair_sql(),
 }

@@ -3,7 +3,9 @@
 Each rule votes good, bad or not at all on a document's statistics. Documents with the same votes count alike, so the
 expectation-maximisation that estimates how often each rule is right (of good and of bad documents apart) and how many are
 good runs over vote patterns, of which there are at most 3 ** rules whatever the input: they are gathered into one row, over
-which an aggregate fold repeats its steps. The posterior of each pattern goes back to the documents by a join.
+which an aggregate fold repeats its steps. The posterior of each pattern goes back to the documents by a join. Estimates come
+from the documents that the base rules leave open: those they reject repeat themselves, fire several rules at once and would
+make repetition the only fault there is.
 
 Only built-in functions are used. The conditions of the rules are plain SQL, so that the test query reads the same ones.
 """
@@ -29,12 +31,17 @@ RULES = (
     ("ends_of_lines", "n_ended_lines >= 0.6 * n_lines", "n_ended_lines < 0.2 * n_lines"),
     ("variety", "n_words >= 50 AND n_words <= 1000 AND n_distinct >= 0.3 * n_words", "n_words >= 50 AND n_distinct < 0.1 * n_words"),
     ("length", "n_words >= 50 AND n_words <= 100000", "n_words < 10"),
+    ("marked_words", "n_symbols <= 0.05 * n_words", "n_symbols > 0.3 * n_words"),
     ("digits", "n_digits <= 0.05 * word_chars", "n_digits > 0.2 * word_chars"),
 )
 MIN_WORDS, MAX_REPEATED = 50, 50
 STEPS = 40
 #: Before any vote is seen: the share of good documents, how often a vote is right of good and of bad ones, and the weight of that.
 PRIOR, RIGHT_GOOD, RIGHT_BAD, WEIGHT = 0.8, 0.9, 0.6, 2.0
+#: A rule keeps its sense: of the votes on bad documents at least this share is bad.
+LEAST_BAD = 0.2
+#: Documents that fail, whatever the votes.
+FAILED = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -83,12 +90,13 @@ def votes(rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:
 
 
 def accuracies(documents: DataFrame, n_rules: int, steps: int = STEPS) -> DataFrame:
-    """Of documents (votes), one row: prior, right_good and right_bad by rule, and patterns (votes, v, n).
+    """Of documents (votes, open), one row: prior, right_good and right_bad by rule, and patterns (votes, v, n).
 
-    right_good is how often a rule's vote on a good document is good, right_bad how often on a bad one it is bad.
+    right_good is how often a rule's vote on a good document is good, right_bad how often on a bad one it is bad. n counts the
+    open documents, which alone are learned from; every pattern is there.
     """
     digits = F.array(*[(F.floor(F.col("votes") / 3**k) % 3).cast("int") for k in range(n_rules)])
-    patterns = documents.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n")).select(F.struct("votes", digits.alias("v"), "n").alias("p"))
+    patterns = documents.groupBy("votes").agg(F.count_if("open").cast("double").alias("n")).select(F.struct("votes", digits.alias("v"), "n").alias("p"))
     one = patterns.agg(F.sort_array(F.collect_list("p")).alias("patterns"))  # at most 3 ** n_rules
     same = lambda x: F.array(*[F.lit(x)] * n_rules)
     start = F.struct(F.lit(PRIOR).alias("prior"), same(RIGHT_GOOD).alias("right_good"), same(RIGHT_BAD).alias("right_bad"))
@@ -105,7 +113,7 @@ def accuracies(documents: DataFrame, n_rules: int, steps: int = STEPS) -> DataFr
         def made(held: Column) -> Column:
             total = lambda weight: F.aggregate(held, F.lit(0.0), lambda a, x: a + x[weight])
             prior = (total("good") + WEIGHT * PRIOR) / (total("good") + total("bad") + WEIGHT)
-            return F.struct(prior.alias("prior"), F.transform(rules, lambda k: share(held, "good", k, 2, RIGHT_GOOD)).alias("right_good"), F.transform(rules, lambda k: share(held, "bad", k, 0, RIGHT_BAD)).alias("right_bad"))
+            return F.struct(prior.alias("prior"), F.transform(rules, lambda k: share(held, "good", k, 2, RIGHT_GOOD)).alias("right_good"), F.transform(rules, lambda k: F.greatest(F.lit(LEAST_BAD), share(held, "bad", k, 0, RIGHT_BAD))).alias("right_bad"))
 
         return _let(F.transform("patterns", parted), made)
 
@@ -126,9 +134,43 @@ def quality_rules(docs: DataFrame, rules: tuple[tuple[str, str, str], ...] = RUL
     whether the posterior reaches threshold. Null and empty texts have no words, fail, and get no votes; repeated rows, and rows
     without a doc_id, are judged each; other columns are not read; an empty docs gives no rows. Texts are of any length.
     """
-    held = staged(statistics(docs).withColumn("votes", votes(rules)), "rules")
+    held = staged(statistics(docs).withColumns({"votes": votes(rules), "open": ~F.expr(FAILED)}), "rules")
     state = F.struct("prior", "right_good", "right_bad")
     found = accuracies(held, len(rules)).select(F.explode(F.transform("patterns", lambda p: F.struct(p["votes"].alias("votes"), posterior(p["v"], state).alias("posterior")))).alias("p")).select("p.*")
     rows = held.join(F.broadcast(found), "votes")  # at most 3 ** rules rows
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return rows.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & (F.col("posterior") >= threshold)).alias("kept"), "votes", F.round("posterior", 4).alias("posterior"))
+    return rows.select("doc_id", *BASE, (~F.col("open")).alias("base_failed"), (F.col("open") & (F.col("posterior") >= threshold)).alias("kept"), "votes", F.round("posterior", 4).alias("posterior"))
+
+
+def rules_sql(rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = 0.5) -> str:
+    """The same over the table documents, for DuckDB: windows by a window function, the estimation by a recursive query."""
+    k = range(len(rules))
+    vote = lambda good, bad: f"CASE WHEN n_words = 0 THEN 1 WHEN {good} THEN 2 WHEN {bad} THEN 0 ELSE 1 END"
+    chance = lambda rates, agree: " * ".join(f"CASE v[{j + 1}] WHEN 1 THEN 1.0::DOUBLE WHEN {agree} THEN {rates}[{j + 1}] ELSE 1 - {rates}[{j + 1}] END" for j in k)
+    good, bad = f"prior * {chance('rg', 2)}", f"(1 - prior) * {chance('rb', 0)}"
+    share = lambda w, j, agree, right: f"(sum(CASE WHEN v[{j + 1}] = {agree} THEN n * {w} ELSE 0 END) + {WEIGHT * right}) / (sum(CASE WHEN v[{j + 1}] <> 1 THEN n * {w} ELSE 0 END) + {WEIGHT})"
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), s AS (
+  SELECT row, doc_id, text, list_filter(string_split_regex(text, '{SPACES}'), lambda w: w <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines,
+         length(regexp_replace(text, '{SPACES}', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         length(regexp_replace(text, '[^0-9]+', '', 'g')) AS n_digits
+  FROM d
+), p AS (SELECT row, words, unnest(range(1, len(words) - 1)) AS i FROM s WHERE len(words) >= 3
+), w AS (SELECT row, i, count(*) OVER (PARTITION BY row, words[i], words[i + 1], words[i + 2]) AS times FROM p
+), r AS (SELECT row, CAST(count(DISTINCT x) AS BIGINT) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS x FROM w WHERE times > 1) GROUP BY row
+), f AS (
+  SELECT s.doc_id, len(words) AS n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+         n_digits, len(list_distinct(words)) AS n_distinct, len(lines) AS n_lines, len(list_filter(lines, lambda x: regexp_matches(x, '[.!?][ 	-]*\z'))) AS n_ended_lines
+  FROM s LEFT JOIN r USING (row)
+), g AS (SELECT *, [{", ".join(vote(a, b) for _, a, b in rules)}] AS v, {FAILED} AS failed FROM f
+), patterns AS (SELECT v, CAST(count(*) FILTER (NOT failed) AS DOUBLE) AS n FROM g GROUP BY v
+), em AS (
+  SELECT 0 AS step, {PRIOR}::DOUBLE AS prior, [{", ".join([f"{RIGHT_GOOD}::DOUBLE"] * len(rules))}] AS rg, [{", ".join([f"{RIGHT_BAD}::DOUBLE"] * len(rules))}] AS rb
+  UNION ALL
+  SELECT step + 1, (sum(n * r) + {WEIGHT * PRIOR}) / (sum(n) + {WEIGHT}), [{", ".join(share("r", j, 2, RIGHT_GOOD) for j in k)}], [{", ".join(f"greatest({LEAST_BAD}, {share('(1 - r)', j, 0, RIGHT_BAD)})" for j in k)}]
+  FROM (SELECT step, v, n, good / (good + bad) AS r FROM (SELECT step, v, n, {good} AS good, {bad} AS bad FROM em, patterns WHERE step < {STEPS})) GROUP BY step
+), found AS (SELECT v, good / (good + bad) AS posterior FROM (SELECT v, {good} AS good, {bad} AS bad FROM em, patterns WHERE step = {STEPS}))
+SELECT doc_id, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in BASE)}, failed AS base_failed, NOT failed AND posterior >= {threshold} AS kept,
+       CAST({" + ".join(f"v[{j + 1}] * {3**j}" for j in k)} AS BIGINT) AS votes, round(posterior, 4) AS posterior
+FROM g JOIN found USING (v)"""

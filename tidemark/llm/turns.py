@@ -271,3 +271,71 @@ def repaired_turns(rows: DataFrame) -> DataFrame:
 def _plain(rows: DataFrame) -> DataFrame:
     absent = F.coalesce(F.col("absent"), F.lit(False)) if "absent" in rows.columns else F.lit(False)
     return rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *[F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")], absent.alias("absent"))
+
+
+def repair_sql() -> str:
+    """Faults, cheapest edits and digests of the damaged table conversations, for DuckDB.
+
+    The lattice is gone through turn by turn, its four states as strings of nine digits of cost and the audit, whose least is
+    the least of (cost, audit).
+    """
+    said = lambda c: f"coalesce(CAST({c} AS VARCHAR), ' ')"
+    add = lambda state, cost, letter: f"(lpad(CAST(CAST(substr({state}, 1, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10) || '{letter}')"
+    only = lambda condition, value: f"CASE WHEN {condition} THEN {value} END"
+
+    def turned(after: int) -> str:
+        """The least way to a state by one turn from s0, s1, s2, s3."""
+        ways = [add(f"s{after}", DELETE, "D")]
+        for letter, cost in (("K", 0), ("R", REROLE)):
+            for role, steps in STEP.items():
+                if letter == "R" and role == "s":
+                    continue
+                asked = "fault IN (0, 3)" + (f" AND initial = '{role}'" if letter == "K" else "")
+                ways += [only(asked, add(f"s{before}", f"({cost} + CASE fault WHEN 3 THEN {CUT_SHORT} ELSE 0 END)", letter)) for before, to in steps.items() if to == after]
+        return f"least({', '.join(ways)})" if len(ways) > 1 else ways[0]
+
+    user = f"least(s2, {add('s0', INSERT, 'I')}, {add('s1', INSERT, 'I')}, {add('s3', INSERT, 'I')})"
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), c AS (
+  SELECT conv_id, turn, {said("role")} AS role, {said("text")} AS text,
+         list_transform(string_split({said("conv_id")} || ':' || {said("turn")}, ''), lambda x: CAST(ascii(x) AS BIGINT)) AS name FROM conversations
+), k AS (
+  SELECT c.*, xor(list_reduce(list_prepend(4294967295, name), lambda h, b: xor(h // 256, t[xor(h % 256, b) + 1])), 4294967295) % 20 AS kind FROM c, crc
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN replace(replace(replace(text, '.', ''), '!', ''), '?', '') ELSE text END AS text,
+         unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM k
+), o AS (
+  SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen FROM d
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '{NOT_BLANK}') THEN 1 WHEN seen THEN 2 WHEN NOT regexp_matches(text, '{WHOLE_END}') THEN 3 ELSE 0 END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o
+), n AS (SELECT conv_id, max(i) AS n FROM f GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, n, 0 AS i, '000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, '000000005I' AS s2, '000000010II' AS s3 FROM n
+  UNION ALL
+  SELECT conv_id, n, i, s0, s1, s2, least(s3, {add("s2", INSERT, "I")}) AS s3 FROM (
+    SELECT conv_id, n, i, s0, s1, {user} AS s2, s3 FROM (
+      SELECT w.conv_id, w.n, w.i + 1 AS i, {turned(START)} AS s0, {turned(SYSTEM)} AS s1, {turned(USER)} AS s2, {turned(ASSISTANT)} AS s3
+      FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 WHERE w.i < w.n))
+), best AS (SELECT conv_id, least(s0, s3) AS way FROM walk WHERE i = n
+), letters AS (
+  SELECT conv_id, p, substr(way, 9 + p, 1) AS letter, p - length(replace(substr(way, 10, p), 'I', '')) AS inserted FROM (SELECT conv_id, way, unnest(range(1, length(way) - 8)) AS p FROM best)
+), edits AS (
+  SELECT l.conv_id, p, letter, role, text, initial FROM letters l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = p - inserted AND letter <> 'I' WHERE letter <> 'D'
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY p) - 1 - max(CASE WHEN initial = 's' AND letter = 'K' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS place FROM edits
+), whole AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN place % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS repaired FROM placed GROUP BY conv_id
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS turns FROM f GROUP BY conv_id
+)
+SELECT g.conv_id, {", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {x}" for x in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
+       CAST(coalesce(CAST(substr(way, 1, 9) AS INTEGER), 0) AS BIGINT) AS cost, coalesce(substr(way, 10), '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256,
+       CAST(coalesce(turns, 0) AS BIGINT) AS turns
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM g.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN whole h ON h.conv_id IS NOT DISTINCT FROM g.conv_id"""
