@@ -15,22 +15,24 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache, lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, give_back, of_text, staged
 
-CHUNK_BYTES = 24 << 20
-BATCH_BYTES = 4 << 20
-MAX_KNOWN, MAX_KNOWN_CHARS = 200_000, 1 << 24
+CHUNK_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
+MAX_KNOWN, MAX_KNOWN_CHARS = 250_000, 1 << 22
 SPACE = "▁"
+CUT = re.compile(r"(?<=\S) ")
 OUT = {"chunk": pa.string(), "number": pa.int32(), "pair": pa.int64(), "held": pa.int64(), "doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups": pa.string(), "groups_sha256": pa.string(), "links": pa.list_(pa.int32()), "times": pa.list_(pa.int32())}
 OUT_DDL = "chunk string, number int, pair long, held long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, links array<int>, times array<int>"
 
@@ -49,7 +51,7 @@ def _byte_of() -> dict[str, int]:
 
 def piece_bytes(piece: str) -> bytes:
     """The bytes of a piece: <0xHH> is a byte, the lower block a space."""
-    if regex.fullmatch(r"<0x[0-9A-F]{2}>", piece):
+    if re.fullmatch(r"<0x[0-9A-F]{2}>", piece):
         return bytes([int(piece[3:5], 16)])
     return piece.replace(SPACE, " ").encode()
 
@@ -60,7 +62,17 @@ class Ragged:
     def __init__(self, rows: list) -> None:
         self.sizes = np.array([len(r) for r in rows], np.int64)
         self.starts = np.append(0, np.cumsum(self.sizes))[:-1]
-        self.values = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
+        self.values = np.fromiter(chain.from_iterable(rows), np.int32, int(self.sizes.sum()))
+
+    def extend(self, rows: list) -> None:
+        more = Ragged(rows)
+        self.starts = np.append(self.starts, more.starts + len(self.values))
+        self.sizes, self.values = np.append(self.sizes, more.sizes), np.append(self.values, more.values)
+
+    def cut(self, n: int) -> None:
+        if n < len(self.sizes):
+            self.values = self.values[: self.starts[n]]
+            self.sizes, self.starts = self.sizes[:n], self.starts[:n]
 
     def take(self, which: np.ndarray) -> np.ndarray:
         sizes = self.sizes[which]
@@ -74,37 +86,32 @@ class _Numbers(dict):
         return number
 
 
-class Encoder:
-    """Texts to ids by pieces that are encoded once: cut gives a text's pieces, encode the ids of each of many pieces."""
-
-    def __init__(self, cut_text: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]]) -> None:
-        self.cut_text, self.encode = cut_text, encode
-        self._forget()
+class Side:
+    """One tokenizer: how it encodes pieces, its tokens' bytes, and how ids are written within a group and at its end."""
 
-    def _forget(self) -> None:
-        self.numbers, self.rows, self.known, self.chars = _Numbers(), [], Ragged([]), 0
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], vocabulary: list[bytes], within: str, last: str) -> None:
+        self.encode, self.bytes = encode, Ragged(vocabulary)
+        self.within = np.array([f"{k}{within}" for k in range(len(vocabulary))], object)
+        self.last = np.array([f"{k}{last}" for k in range(len(vocabulary))], object)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and how many each has."""
-        if len(self.numbers) > MAX_KNOWN or self.chars > MAX_KNOWN_CHARS:
-            self._forget()
-        parts = []
-        for text in texts:
-            pieces = self.cut_text(text)
-            parts.append(np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces)))
-        new = list(self.numbers)[len(self.rows) :]
-        if new:
-            self.rows += [np.array(r, np.int32) for r in self.encode(new)]
-            self.known = Ragged(self.rows)
-            self.chars += sum(map(len, new))
-        which = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-        upto = np.append(0, np.cumsum(self.known.sizes[which]))[np.append(0, ends)]
-        return self.known.take(which), np.diff(upto)
+    def agrees(self, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each document, whether its tokens' bytes are its own (data up to ends)."""
+        size = np.diff(np.append(0, ends))
+        made_ends = np.append(0, np.cumsum(self.bytes.sizes[ids]))[np.cumsum(counts)]
+        made = np.diff(np.append(0, made_ends))
+        good = made == size
+        if good.all():
+            unlike = np.append(0, np.cumsum(self.bytes.take(ids).astype(np.uint8) != data))
+            return unlike[ends] == unlike[ends - size]
+        kept = ids[np.repeat(good, counts)]
+        out = np.zeros(len(ends), bool)
+        if good.any():
+            out[good] = self.agrees(kept, counts[good], data[np.repeat(good, size)], np.cumsum(size[good]))
+        return out
 
 
-def encoder_a(tokenizer_json: str, pattern: str) -> tuple[Encoder, list[bytes]]:
-    """Of a byte-level BPE of the tokenizers library, whose pre-tokens pattern gives, and the bytes of its ids."""
+def side_a(tokenizer_json: str) -> Side:
+    """A byte-level BPE of the tokenizers library; a piece is encoded after a space."""
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
@@ -113,63 +120,66 @@ def encoder_a(tokenizer_json: str, pattern: str) -> tuple[Encoder, list[bytes]]:
     tokenizer.no_padding()
     tokenizer.encode_special_tokens = True
     made = {k: byte_level_bytes(entry) for entry, k in json.loads(tokenizer_json)["model"]["vocab"].items()}
-    encode = lambda words: [e.ids for a in range(0, len(words), 10_000) for e in tokenizer.encode_batch(words[a : a + 10_000], add_special_tokens=False)]
-    return Encoder(regex.compile(pattern).findall, encode), [made.get(k, b"") for k in range(max(made) + 1)]
+    encode = lambda pieces: [e.ids for e in tokenizer.encode_batch([" " + p for p in pieces], add_special_tokens=False)]
+    return Side(encode, [made.get(k, b"") for k in range(max(made) + 1)], ",", "|")
 
 
-def encoder_b(model: bytes) -> tuple[Encoder, list[bytes]]:
-    """Of a sentencepiece BPE that puts a space before a text, and the bytes of its ids.
-
-    Where no piece has a space after another character, no merge crosses the start of a run of spaces, and texts are cut there.
-    """
+def side_b(model: bytes) -> Side:
+    """A sentencepiece BPE, which puts a space before a piece itself."""
     import sentencepiece
 
     processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-    pieces = [processor.id_to_piece(k) for k in range(processor.get_piece_size())]
     lone = processor.piece_to_id(SPACE)
-    parted = not any(regex.search(f"[^{SPACE}]{SPACE}", p) for p in pieces) and not processor.is_unknown(lone) and processor.encode("a") == processor.encode(["a"])[0]
-    words = regex.compile(" +[^ ]*").findall if parted else lambda text: [text]  # every text begins with a space
+    names = [processor.id_to_piece(k) for k in range(processor.get_piece_size())]
+    encode = lambda pieces: [i if p else [lone] for p, i in zip(pieces, processor.encode(pieces, num_threads=1), strict=True)]
+    return Side(encode, [b"" if processor.is_control(k) or processor.is_unknown(k) else piece_bytes(p) for k, p in enumerate(names)], ",", ";")
 
-    def encode(found: list[str]) -> list[list[int]]:
-        ids = processor.encode([w[1:] for w in found], num_threads=1)
-        return [[lone] if w == " " and parted else i for w, i in zip(found, ids, strict=True)]
 
-    return Encoder(words, encode), [b"" if processor.is_control(k) or processor.is_unknown(k) else piece_bytes(p) for k, p in enumerate(pieces)]
+class Encoder:
+    """Texts to the ids of several tokenizers by pieces, each piece encoded once.
 
+    A text is cut before every space that stands behind a character other than white space. No token of a byte-level BPE with
+    the usual pattern, and none of a sentencepiece BPE without pieces of that kind, holds such a place, so that the pieces'
+    tokens are the text's.
+    """
 
-class Side:
-    """One tokenizer: ids of texts, their sizes and bytes, and how they are written."""
+    def __init__(self, sides: tuple[Side, ...]) -> None:
+        self.sides, self.numbers, self.known = sides, _Numbers(), [Ragged([]) for _ in sides]
 
-    def __init__(self, encoder: Encoder, vocabulary: list[bytes], within: str, last: str) -> None:
-        self.encoder, self.bytes = encoder, Ragged([np.frombuffer(b, np.uint8) for b in vocabulary])
-        self.within = np.array([f"{k}{within}" for k in range(len(vocabulary))], object)
-        self.last = np.array([f"{k}{last}" for k in range(len(vocabulary))], object)
-
-    def agrees(self, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each document, whether its tokens' bytes are its own (data up to ends)."""
-        size = np.diff(np.append(0, ends))
-        made_ends = np.append(0, np.cumsum(self.bytes.sizes[ids]))[np.cumsum(counts)]
-        made = np.diff(np.append(0, made_ends))
-        good = made == size
-        if good.all():
-            unlike = np.append(0, np.cumsum(self.bytes.take(ids).astype(np.uint8) != data))
-            return unlike[ends] == unlike[ends - size]
-        kept = ids[np.repeat(good, counts)]
-        out = np.zeros(len(ends), bool)
-        if good.any():
-            out[good] = self.agrees(kept, counts[good], data[np.repeat(good, size)], np.cumsum(size[good]))
+    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By tokenizer: the ids of all texts one after another, and how many each has."""
+        parts = []
+        for text in texts:
+            pieces = CUT.split(text)
+            parts.append(np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces)))
+        new = list(islice(self.numbers, len(self.known[0].sizes), None))
+        for a in range(0, len(new), 10_000):
+            for side, known in zip(self.sides, self.known, strict=True):
+                known.extend(side.encode(new[a : a + 10_000]))
+        which = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        ends = np.append(0, np.cumsum([len(p) for p in parts], dtype=np.int64))
+        out = [(known.take(which), np.diff(np.append(0, np.cumsum(known.sizes[which]))[ends])) for known in self.known]
+        # The first pieces stay known, as frequent ones come early; memory is theirs and one batch's
+        chars = sum(map(len, new))
+        while len(self.numbers) > MAX_KNOWN or (chars > MAX_KNOWN_CHARS and new):
+            last, _ = self.numbers.popitem()
+            if chars > MAX_KNOWN_CHARS:
+                new.pop()
+                chars -= len(last)
+        for known in self.known:
+            known.cut(len(self.numbers))
         return out
 
 
-def alignment(a: Side, b: Side, texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Of a batch of texts, each with a space before it: tokens of A and B, groups, links and written groups by document.
+def alignment(encoder: Encoder, texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Of a batch of texts, each taken after a space: tokens of A and B, groups, links and written groups by document.
 
     Returns (n_a, n_b, n_groups, n_links, written, pairs of all links), where a pair is A id * 2**32 + B id. Texts that
     either tokenizer does not give back have no tokens.
     """
-    n = len(texts)
-    raw = [t.encode() for t in texts]
-    ids, counts = zip(a.encoder(texts), b.encoder(texts), strict=True)
+    n, (a, b) = len(texts), encoder.sides
+    raw = [b" " + t.encode() for t in texts]
+    ids, counts = zip(*encoder(texts), strict=True)
     size = np.array([len(r) for r in raw], np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
     good = a.agrees(ids[0], counts[0], data, np.cumsum(size)) & b.agrees(ids[1], counts[1], data, np.cumsum(size))
@@ -197,9 +207,9 @@ def alignment(a: Side, b: Side, texts: list[str]) -> tuple[np.ndarray, ...]:
 
 
 @lru_cache(1)
-def both_sides(tokenizer_json: str, pattern: str, model: bytes) -> tuple[Side, Side]:
-    """A and B, made once a worker."""
-    return Side(*encoder_a(tokenizer_json, pattern), ",", "|"), Side(*encoder_b(model), ",", ";")
+def both(tokenizer_json: str, model: bytes) -> Encoder:
+    """Tokenizers and the pieces they know, kept by a worker for its next task."""
+    return Encoder((side_a(tokenizer_json), side_b(model)))
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -207,11 +217,11 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[c].cast(kind) if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in OUT.items()], names=list(OUT))
 
 
-def tokens_of(docs: DataFrame, tokenizer_json: str, pattern: str, model: bytes, keep_groups: bool, chunk_bytes: int) -> DataFrame:
+def tokens_of(docs: DataFrame, tokenizer_json: str, model: bytes, keep_groups: bool, chunk_bytes: int) -> DataFrame:
     """Rows of two kinds: (chunk, number, pair, held) for the pairs of a chunk, and the chunk's documents with their links by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = both_sides(tokenizer_json, pattern, model)
+        encoder = both(tokenizer_json, model)
         held: list[tuple] = []
         size = 0
 
@@ -235,7 +245,7 @@ def tokens_of(docs: DataFrame, tokenizer_json: str, pattern: str, model: bytes,
         for batch in cut(batches, "text", BATCH_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             own = np.flatnonzero([t != "" for t in texts])
-            n_a, n_b, n_groups, n_links, said, pairs = alignment(a, b, [" " + texts[k] for k in own])
+            n_a, n_b, n_groups, n_links, said, pairs = alignment(encoder, [texts[k] for k in own])
             whole = {"doc_id": batch.column("doc_id")}
             for name, values in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("n_links", n_links)):
                 whole[name] = np.zeros(len(texts), np.int64)
@@ -261,17 +271,17 @@ def tokens_of(docs: DataFrame, tokenizer_json: str, pattern: str, model: bytes,
     return of_text(docs, "doc_id", "text").mapInArrow(run, OUT_DDL)
 
 
-def aligned(docs: DataFrame, tokenizer_json: str, pattern: str, model: bytes, keep_groups: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def aligned(docs: DataFrame, tokenizer_json: str, model: bytes, keep_groups: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 (and groups, if kept) of every row of docs (doc_id, text).
 
-    A is a byte-level BPE of the tokenizers library, whose pre-tokens pattern gives; B a sentencepiece BPE. Both encode a space
-    and the text. A link is a pair of tokens whose byte ranges overlap; its count is the number of rows of docs that hold the
+    A is a byte-level BPE of the tokenizers library; B a sentencepiece BPE without pieces that have a space behind another
+    character. Both encode a space and the text. A link is a pair of tokens whose byte ranges overlap; its count is the number of rows of docs that hold the
     pair of ids, n_best the links whose count is their A id's highest (ties too), count_sum the sum over links. groups writes
     the ids as a1,a2|b1;a3|b2,b3. Null and empty texts, and those whose bytes a tokenizer does not give back, have no tokens:
     zeros and ''. Repeated rows, and rows without a doc_id, are documents of their own; other columns of docs are not read; an
     empty docs gives no rows. A text of any length is encoded as a whole, in the memory of one task (about 100 bytes a byte).
     """
-    rows = staged(tokens_of(docs, tokenizer_json, pattern, model, keep_groups, chunk_bytes), "alignment")
+    rows = staged(tokens_of(docs, tokenizer_json, model, keep_groups, chunk_bytes), "alignment")
     pairs = rows.where(F.col("pair").isNotNull()).select("chunk", "number", "pair", "held")
     documents = rows.where(F.col("pair").isNull()).drop("number", "pair", "held")
     # One or two chunks a task, however many there are

@@ -87,7 +87,7 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aligned(table(spark, sf_dir, "documents"), _tokenizer_json(), public_tokenizers.PATTERN, _piece_model())
+    return aligned(table(spark, sf_dir, "documents"), _tokenizer_json(), _piece_model())
 
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
