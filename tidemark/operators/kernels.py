@@ -18,6 +18,7 @@ TINY = 1e-10
 DELTAS, FORGET, LEAST_WEIGHT = (0.999, 0.9995, 0.9999, 1.0), 0.99, 1e-6
 VOLATILITY_LIVES, MEAN_LIFE = (10.0, 21.0, 63.0, 252.0), 504.0
 MEMORY_LIVES, MOST_FACTORS, EDGE_MARGIN, LEAST_SEEN, LEAST_ALIKE = (126.0, 252.0, 504.0), 20, 2.0, 0.25, 0.3
+LONGEST_WAIT = 63
 STATES, STATE_LIFE, STATE_BURN_IN = (2, 3, 4), 504.0, 60
 
 
@@ -148,20 +149,30 @@ def block_level(x: np.ndarray, half_life: float = 252.0, most: float = 6.0) -> d
     return {"level": out}
 
 
-def clipped_spectrum(c: np.ndarray, t_eff: float, before: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """(vectors, values, bulk): the eigenvectors of a correlation that stand out of noise, and the mean of the other values.
+def spectrum(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a correlation, greatest first, and the vectors of as many as can be factors."""
+    values, vectors = np.linalg.eigh((c + c.T) / 2)
+    return values[::-1], vectors[:, ::-1][:, :MOST_FACTORS]
+
+
+def kept_factors(values: np.ndarray, vectors: np.ndarray, t_eff: float, before: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """(vectors, values, bulk): those that stand out of noise, and the mean of the other values.
 
     The number kept changes only once a value is clear of the Marchenko-Pastur edge by a margin. Signs make the largest part positive.
     """
-    values, vectors = np.linalg.eigh((c + c.T) / 2)
-    values, vectors = values[::-1], vectors[:, ::-1]
-    edge, margin = (1 + math.sqrt(len(c) / max(t_eff, 1.0))) ** 2, EDGE_MARGIN / math.sqrt(max(t_eff, 1.0))
+    n = len(values)
+    edge, margin = (1 + math.sqrt(n / max(t_eff, 1.0))) ** 2, EDGE_MARGIN / math.sqrt(max(t_eff, 1.0))
     above = int((values > edge * (1 + margin)).sum())
     k = above if before <= 0 else min(max(before, above), int((values > edge * (1 - margin)).sum()))
-    k = max(1, min(k, MOST_FACTORS, int(max(2, t_eff // 25)), len(c)))
+    k = max(1, min(k, MOST_FACTORS, int(max(2, t_eff // 25)), n))
     own = vectors[:, :k]
     signs = np.sign(own[np.abs(own).argmax(0), np.arange(k)])
-    return own * np.where(signs == 0, 1, signs), values[:k], max(float(values[k:].sum()) / max(len(c) - k, 1), 1e-6)
+    return own * np.where(signs == 0, 1, signs), values[:k], max(float(values[k:].sum()) / max(n - k, 1), 1e-6)
+
+
+def clipped_spectrum(c: np.ndarray, t_eff: float, before: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """The factors of a correlation; see `kept_factors`."""
+    return kept_factors(*spectrum(c), t_eff, before)
 
 
 def aligned(new: np.ndarray, old: np.ndarray) -> np.ndarray:
@@ -185,6 +196,10 @@ def aligned(new: np.ndarray, old: np.ndarray) -> np.ndarray:
     return order, sign
 
 
+def shortest_wait(n_known: int) -> int:
+    return max(5, n_known // 40)
+
+
 class CorrelationMemory:
     """A correlation of one half-life over the pairs seen, with its factors, renewed when it has moved by more than noise."""
 
@@ -197,15 +212,12 @@ class CorrelationMemory:
         self.s, self.w = self.keep * self.s + fresh * np.outer(z, z), self.keep * self.w + fresh * np.outer(seen, seen)
         self.filled = self.keep * self.filled + fresh * seen.sum() / max(known.sum(), 1)
         self.since += 1
-        if self.vectors.shape[1] and self.since < max(5, int(known.sum()) // 40):
+        if self.vectors.shape[1] and self.since < shortest_wait(int(known.sum())):
             return
         most = 1 / fresh
         t_eff = min(max(self.filled * most, 1.0), most)
-        c = self.s / np.maximum(self.w, TINY)
-        d = np.sqrt(np.maximum(np.diag(c), TINY))
-        c = np.clip(c / np.outer(d, d), -0.999, 0.999)
-        np.fill_diagonal(c, 1.0)
-        if self.reference is not None and self.since < 63 and np.linalg.norm(c - self.reference) / max(np.linalg.norm(self.reference), TINY) < 1 / math.sqrt(t_eff):
+        c = correlation(self.s, self.w)
+        if self.reference is not None and self.since < LONGEST_WAIT and np.linalg.norm(c - self.reference) / max(np.linalg.norm(self.reference), TINY) < 1 / math.sqrt(t_eff):
             return
         own = np.flatnonzero(known)
         if len(own) < 3:
@@ -217,12 +229,32 @@ class CorrelationMemory:
         self.vectors, self.values, self.reference, self.since = vectors[:, order] * sign, values[order], c, 0
 
     def density(self, z: np.ndarray, n_seen: int) -> float:
-        """The log density of z under the factors and the bulk."""
-        if not self.vectors.shape[1] or n_seen < 5:
-            return 0.0
-        values, p = np.maximum(self.values, self.bulk + 1e-9), self.vectors.T @ z
-        square = (z @ z - ((values - self.bulk) / values * p * p).sum()) / self.bulk
-        return -0.5 * (n_seen * math.log(self.bulk) + np.log(values / self.bulk).sum() + square + n_seen * math.log(2 * math.pi))
+        return factor_density(self.vectors, self.values, self.bulk, z, n_seen)
+
+
+def factor_density(vectors: np.ndarray, values: np.ndarray, bulk: float, z: np.ndarray, n_seen: int) -> float:
+    """The log density of z under the factors and the bulk."""
+    if not vectors.shape[1] or n_seen < 5:
+        return 0.0
+    values, p = np.maximum(values, bulk + 1e-9), vectors.T @ z
+    square = (z @ z - ((values - bulk) / values * p * p).sum()) / bulk
+    return -0.5 * (n_seen * math.log(bulk) + np.log(values / bulk).sum() + square + n_seen * math.log(2 * math.pi))
+
+
+def correlation(s: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The correlation of discounted sums of products and of pairs seen."""
+    c = s / np.maximum(w, TINY)
+    d = np.sqrt(np.maximum(np.diag(c), TINY))
+    c = np.clip(c / np.outer(d, d), -0.999, 0.999)
+    np.fill_diagonal(c, 1.0)
+    return c
+
+
+def factor_scores(vectors: np.ndarray, values: np.ndarray, z: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Unit-variance scores; 0 for a factor of which too little is seen."""
+    share = (vectors**2 * mask[:, None]).sum(0)
+    score = (vectors * mask[:, None]).T @ z / np.sqrt(np.maximum(share * values, 1e-9))
+    return np.where(share >= LEAST_SEEN, score, 0.0)
 
 
 def factor_levels(z: np.ndarray, seen: np.ndarray, lives=MEMORY_LIVES) -> dict[str, np.ndarray]:
@@ -247,9 +279,7 @@ def factor_levels(z: np.ndarray, seen: np.ndarray, lives=MEMORY_LIVES) -> dict[s
         best = memories[int(np.argmax(normalised(logs)))]
         k = best.vectors.shape[1]
         if k:
-            share = (best.vectors**2 * mask[:, None]).sum(0)
-            score = (best.vectors * mask[:, None]).T @ row / np.sqrt(np.maximum(share * best.values, 1e-9))
-            level[:k] += np.where(share >= LEAST_SEEN, score, 0.0)
+            level[:k] += factor_scores(best.vectors, best.values, row, mask)
         levels[t], count[t] = level, k
     return {"levels": levels, "k": count}
 

@@ -22,12 +22,12 @@ from tidemark.operators.folds import along, half_life_factor
 LEVEL, PACE, ALPHA_BOUNDS, FIRST_WIDTH, LEAST = 0.95, 0.01, (0.005, 0.20), 1.959963984540054, 252
 
 
-def standardised(panel: DataFrame, floor: int = 250) -> DataFrame:
-    """(series, dt, z, available): returns of panel (series, dt, px) over the mean and deviation known before, where an instrument printed and is admitted."""
+def standardised(panel: DataFrame, floor: int = 250, with_return: bool = False) -> DataFrame:
+    """(series, dt, z, available, and ret if asked for): returns of panel (series, dt, px) over the mean and deviation known before, where an instrument printed and is admitted."""
     prints = admitted(panel, floor).withColumn("ret", F.log("px") - F.lag(F.log("px")).over(ordered()))
     moved = along(prints, ["ret"], kernels.volatility, "mean double, sd double", keep=["ret", "printed", "admitted"])
     rows = available(moved)
-    return rows.select("series", "dt", F.when(F.col("available"), (F.col("ret") - F.col("mean")) / F.greatest("sd", F.lit(1e-8))).alias("z"), "available")
+    return rows.select("series", "dt", F.when(F.col("available"), (F.col("ret") - F.col("mean")) / F.greatest("sd", F.lit(1e-8))).alias("z"), "available", *(["ret"] if with_return else []))
 
 
 def block_levels(rows: DataFrame, blocks: DataFrame) -> DataFrame:
