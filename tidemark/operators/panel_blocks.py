@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from tidemark.operators import kernels
 from tidemark.operators.folds import half_life_factor
 from tidemark.operators.segments import Fold, in_segments
+from tidemark.sources.staging import written
 
 WAIT, WIDTH = kernels.LONGEST_WAIT, kernels.MOST_FACTORS
 
@@ -40,7 +41,8 @@ def panel_days(rows: DataFrame, block: int) -> DataFrame:
     days = rows.groupBy("dt").agg(F.map_from_entries(F.collect_list(F.struct("series", F.struct("z", "ret")))).alias("m"))
     days = numbered(days).join(names)
     of = lambda c: F.transform("names", lambda n: F.try_element_at("m", n)[c])
-    days = days.select("i", "dt", F.floor(F.col("i") / block).cast("long").alias("block"), of("z").alias("z"), of("ret").alias("ret")).persist()
+    days = days.select("i", "dt", F.floor(F.col("i") / block).cast("long").alias("block"), of("z").alias("z"), of("ret").alias("ret"))
+    days = written(days, "days")
     seen = days.select("i", F.posexplode("z").alias("k", "v")).where("v IS NOT NULL AND NOT isnan(v)").groupBy("k").agg(F.min("i").alias("i"))
     first = seen.agg(F.map_from_entries(F.collect_list(F.struct("k", "i"))).alias("_seen"))
     out = days.join(first)
@@ -275,10 +277,11 @@ def panel_factors(rows: DataFrame, lives: tuple[float, ...] = kernels.MEMORY_LIV
     """
     if block < WAIT:
         raise ValueError(f"a block has at least {WAIT} days")
-    days = panel_days(rows, block).persist()
-    starts = block_starts(days, lives).persist()
-    factors = renewed_factors(days, starts, renewals(days, starts, lives, block).persist(), lives, block).persist()
-    scored = day_scores(days, factors, lives, block).withColumn("series", F.lit("panel")).persist()
+    days = panel_days(rows, block)
+    starts = written(block_starts(days, lives), "starts")
+    renewed = written(renewals(days, starts, lives, block), "renewals")
+    factors = written(renewed_factors(days, starts, renewed, lives, block), "factors")
+    scored = written(day_scores(days, factors, lives, block).withColumn("series", F.lit("panel")), "scores")
     m = range(len(lives))
     logs = in_segments(scored, [f"density_{k}" for k in m], weights_fold(len(lives)), block, order="i")
     most = F.greatest(*[f"log_{k}" for k in m]) if len(lives) > 1 else F.col("log_0")

@@ -153,13 +153,3 @@ def persistence_of_latest(events: DataFrame, kind: str, days: int) -> DataFrame:
     rows = events.join(newest_)
     return rows.groupBy(kind).agg(F.count("*").alias("n"), F.count_if(F.col("dt") >= F.date_sub("_newest", days)).alias("recent"))
 
-
-def project(x0: Column, mu: Column, theta: Column, sd: Column, steps: int) -> Column:
-    """An array of (step, mean, low, high): the path of a mean-reverting level, and a deviation of sd / theta's stationary one around it."""
-
-    def at(k: Column) -> Column:
-        fade = F.exp(-theta * k)
-        mean, width = mu + (x0 - mu) * fade, sd * F.sqrt(F.greatest(1 - fade * fade, F.lit(0.0)))
-        return F.struct(k.alias("step"), mean.alias("mean"), (mean - width).alias("low"), (mean + width).alias("high"))
-
-    return F.transform(F.sequence(F.lit(1), F.lit(steps)), at)

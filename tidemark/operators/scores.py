@@ -186,6 +186,18 @@ def signal_of(df: DataFrame, x: Column, weak: float, strong: float, calm: float,
     return df.withColumns({"signal": signal, "strength": strength, "confidence": F.when(size <= weak, held).when(most >= 80, "HIGH").when(most >= 60, "MEDIUM").otherwise("LOW")})
 
 
+def aligned_reads(df: DataFrame, neutral: float = 0.5) -> DataFrame:
+    """df (oscillator, net, consensus, up_share) with net_breadth, consensus and precedent_share as seen from the call.
+
+    A low oscillator is a bullish call, a low consensus a bullish one. Without a call (|oscillator| under neutral) sizes count,
+    whatever their sign, and precedent is even.
+    """
+    side = F.when(F.col("oscillator") <= -neutral, 1).when(F.col("oscillator") >= neutral, -1).otherwise(0)
+    seen = lambda bullish: F.when(side == 0, F.abs(bullish)).otherwise(side * bullish)
+    share = F.when(side == 0, 0.5).when(side > 0, F.col("up_share")).otherwise(1 - F.col("up_share"))
+    return df.withColumns({"net_breadth": seen(F.col("net")), "consensus": seen(-F.col("consensus")), "precedent_share": share})
+
+
 def verdict(df: DataFrame) -> DataFrame:
     """df with gate_*, binding (the least gate), conviction (their product), direction and tier.
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.folds import half_life_factor
+from tidemark.sources.staging import written
 
 NAN = math.nan
 
@@ -256,8 +257,8 @@ def ranks(df: DataFrame, column: str, width: int, *by: str, order: str = "dt", b
         below, same = earlier(own["_x"].to_numpy(float))
         return own[[*by, order, "_x", "_segment"]].assign(below=below, same=same, n=np.arange(len(own)))
 
-    first = rows.groupBy(*by, "_segment").applyInPandas(inside, f"{head}, _x double, _segment long, below long, same long, n long")
-    edges = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_x", [k / buckets for k in range(1, buckets)], 10_000).alias("_edges"))
+    first = written(rows.groupBy(*by, "_segment").applyInPandas(inside, f"{head}, _x double, _segment long, below long, same long, n long"), "ranks")
+    edges = first.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_x", [k / buckets for k in range(1, buckets)], 10_000).alias("_edges"))
     bucket = F.size(F.filter("_edges", lambda e: F.col("_x") >= e))
     placed = first.join(edges.select(*by, "_edges"), list(by)).withColumn("_bucket", bucket).drop("_edges")
 

@@ -35,14 +35,19 @@ def fit_quality(df: DataFrame, actual: str, fitted: str, anchor: str) -> DataFra
 
 
 def signal_performance(df: DataFrame, score: str, forward: str, step: int, cut: float) -> DataFrame:
-    """(series, side, n, hit_rate, mean_forward, t): forward changes after scores past -cut (buy) and cut (sell), every step-th row."""
+    """(series, side, n, hit_rate, mean_forward, t): forward changes after scores past -cut (buy) and cut (sell), every step-th row.
+
+    Of equal changes other than 0, t is infinite.
+    """
     place = F.row_number().over(ordered()) - 1
     rows = df.withColumn("_place", place).where((F.col("_place") % step == 0) & F.col(forward).isNotNull())
     side = F.when(F.col(score) < -cut, "buy").when(F.col(score) > cut, "sell")
     rows = rows.withColumn("side", side).where("side IS NOT NULL")
     hit = F.when(F.col("side") == "buy", F.col(forward) > 0).otherwise(F.col(forward) < 0)
     out = rows.groupBy("series", "side").agg(F.count("*").alias("n"), F.avg(hit.cast("double")).alias("hit_rate"), F.avg(forward).alias("mean_forward"), F.stddev_samp(forward).alias("_sd"))
-    return out.withColumn("t", F.when((F.col("n") >= 3) & (F.col("_sd") > 0), F.col("mean_forward") / (F.col("_sd") / F.sqrt("n")))).drop("_sd")
+    size = F.when(F.col("mean_forward") > 0, float("inf")).when(F.col("mean_forward") < 0, float("-inf"))
+    t = F.when(F.col("_sd") > 0, F.try_divide(F.col("mean_forward"), F.col("_sd") / F.sqrt("n"))).otherwise(size)
+    return out.withColumn("t", F.when(F.col("n") >= 3, t)).drop("_sd")
 
 
 def average_rank(x: Column, *by: str) -> Column:

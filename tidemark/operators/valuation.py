@@ -1,7 +1,7 @@
 """Fair value of a target against a panel: dynamic regressions on factor levels and on block levels, averaged by skill.
 
-What can run side by side does: volatilities by instrument, levels by block, both as grouped passes. The factors of the
-panel and the regressions of a target are one ordered pass each, as long as its days and as wide as the panel.
+What can run side by side does: volatilities by instrument, levels by block, the panel's factors in blocks of days. The
+regressions of a target are one ordered pass each, over its days and the levels.
 """
 
 from __future__ import annotations
@@ -14,10 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import kernels
+from tidemark.operators import kernels, segments, stats
 from tidemark.operators.align import admitted, available, ordered
 from tidemark.operators.folds import along, half_life_factor
+from tidemark.sources.staging import written
 
+#: Days to a segment of expanding ranks.
+RANK_DAYS = 512
 # The adaptive band.
 LEVEL, PACE, ALPHA_BOUNDS, FIRST_WIDTH, LEAST = 0.95, 0.01, (0.005, 0.20), 1.959963984540054, 252
 
@@ -36,20 +39,56 @@ def block_levels(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return along(means, ["z"], kernels.block_level, "level double", "block")
 
 
-def panel_factors(rows: DataFrame) -> DataFrame:
-    """(dt, levels, k) of the factors of standardised rows (series, dt, z): one pass over a day's arrays."""
-    names = rows.select("series").distinct().agg(F.array_sort(F.collect_set("series")).alias("names"))  # the panel's instruments: a few hundred
-    days = rows.groupBy("dt").agg(F.map_from_entries(F.collect_list(F.struct("series", "z"))).alias("m")).join(names)
-    days = days.select("dt", F.transform("names", lambda n: F.try_element_at("m", n)).alias("z"), F.lit(0).alias("one"))
-    kind = dict(rows.dtypes)["dt"]
+def market_kernel(g: np.ndarray) -> dict[str, np.ndarray | list]:
+    """Hidden states over the market factor's return against its deviation before, and that deviation's log against its own past.
+
+    volatility is the log deviation known before the row, aged once over 60 of them are.
+    """
+    quick, slow = half_life_factor(42.0), half_life_factor(252.0)
+
+    def absorb(state: tuple[float, float, float], x: float, keep: float) -> tuple[float, float, float]:
+        w, m, s = state
+        before, step = keep * w, x - m
+        w = before + 1
+        return w, m + step / w, keep * s + step * step * before / w
+
+    spread = lambda state: math.sqrt(state[2] / state[0]) if state[0] else 0.0
+    own, logs = (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)
+    rows, volatility, aged = np.zeros((len(g), 2)), np.zeros(len(g)), np.zeros(len(g), bool)
+    for t, x in enumerate(np.nan_to_num(g).tolist()):
+        sd = spread(own)
+        log = math.log(max(sd, 1e-8))
+        z = (log - logs[1]) / max(spread(logs), 1e-6) if t > 20 else 0.0
+        rows[t] = np.clip((x / sd if sd > kernels.TINY else 0.0, z), -8, 8)
+        volatility[t], aged[t] = log, t > 60
+        own, logs = absorb(own, x, quick), absorb(logs, log, slow)
+    return kernels.hidden_regimes(rows[:, 0], rows[:, 1]) | {"volatility": volatility, "aged": aged}
+
+
+def market(factors: DataFrame) -> DataFrame:
+    """(dt, stress, drift, switch, entropy, persistence, label, stress_rank) of `panel_blocks.panel_factors` (dt, market).
+
+    stress_rank is the rank of the market's log deviation among those before, null for the first 60 days.
+    """
+    rows = factors.select(F.lit("market").alias("series"), "dt", "market")
+    states = "stress double, drift double, switch double, entropy double, persistence double, label string, volatility double, aged boolean"
+    made = written(along(rows, ["market"], market_kernel, states), "market")
+    ranks = segments.expanding_cdf(made, "volatility", "_rank", RANK_DAYS).select("dt", "_rank")
+    return made.join(ranks, "dt", "left").select("dt", "stress", "drift", "switch", "entropy", "persistence", "label", F.when(F.col("aged"), F.col("_rank")).alias("stress_rank"))
+
+
+def dispersion(rows: DataFrame) -> DataFrame:
+    """(dt, dispersion, dispersion_rank): the deviation of standardised rows (series, dt, z) across a day's instruments, where
+    there are five, and its rank among those before."""
+    spread = stats.dispersion(rows.where("z IS NOT NULL")).select(F.lit("panel").alias("series"), "dt", "dispersion")
+    spread = written(spread, "dispersion")
+    return spread.join(segments.expanding_cdf(spread, "dispersion", "dispersion_rank", RANK_DAYS), ["series", "dt"]).drop("series")
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("dt")
-        z = np.array([np.array(v, float) for v in own["z"]])
-        made = kernels.factor_levels(z, np.isfinite(z))
-        return pd.DataFrame({"dt": own["dt"].to_numpy(), "levels": list(made["levels"]), "k": made["k"]})
 
-    return days.groupBy("one").applyInPandas(run, f"dt {kind}, levels array<double>, k long")
+def with_ranks(value: DataFrame, rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """fair_value's rows with gap_rank (among a series' earlier gaps), dispersion, dispersion_rank, stress_rank and the market's states."""
+    gaps = segments.expanding_cdf(value, "gap", "gap_rank", RANK_DAYS)
+    return value.join(gaps, ["series", "dt"], "left").join(dispersion(rows), "dt", "left").join(market(factors), "dt", "left")
 
 
 class AdaptiveWidth:
@@ -142,17 +181,17 @@ def valued(price: np.ndarray, factors: np.ndarray, blocks: np.ndarray, burn_in:
     return out
 
 
-def fair_value(panel: DataFrame, target: DataFrame, blocks: DataFrame, burn_in: int = 250, floor: int = 250) -> DataFrame:
+def fair_value(rows: DataFrame, factors: DataFrame, target: DataFrame, blocks: DataFrame, burn_in: int = 250) -> DataFrame:
     """(series, dt, fitted, gap, oscillator, sd, low, high, reverts, half_life, agreement, confidence, factor_weight, importance).
 
-    panel is (series, dt, px), blocks (series, block), target (series, dt, px), one series or several, each an ordered group.
+    rows are `standardised` ones of the panel, factors theirs (`panel_blocks.panel_factors`), blocks (series, block), target
+    (series, dt, px), one series or several, each an ordered group.
     fitted, low, high and gap are logs. importance lists each block's share, in the order of the blocks' names.
     """
-    rows = standardised(panel, floor)
     order = blocks.select("block").distinct().agg(F.array_sort(F.collect_set("block")).alias("names"))
     levels = block_levels(rows, blocks).groupBy("dt").agg(F.map_from_entries(F.collect_list(F.struct("block", "level"))).alias("m")).join(order)
     levels = levels.select("dt", F.transform("names", lambda n: F.try_element_at("m", n)).alias("blocks"))
-    wide = target.select("series", "dt", F.log("px").alias("p")).join(panel_factors(rows), "dt", "left").join(levels, "dt", "left")
+    wide = target.select("series", "dt", F.log("px").alias("p")).join(factors.select("dt", "levels"), "dt", "left").join(levels, "dt", "left")
     kind = dict(target.dtypes)["dt"]
 
     def run(own: pd.DataFrame) -> pd.DataFrame:

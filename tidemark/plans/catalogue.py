@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import scalar as fn
 from tidemark.functions.scalar import fixed
-from tidemark.operators import align, folds, freshness, precedent, regimes, scores, stats
+from tidemark.operators import align, folds, freshness, precedent, regimes, scores, segments, sliding, stats
 from tidemark.operators import windows as w
 from tidemark.operators.align import ordered
 from tidemark.plans.registry import BARS, LAG, PANEL, SPINE, TARGET, clip_sql, over, query, r, z_sql
@@ -160,7 +160,7 @@ z AS (SELECT series, dt, {r("CASE WHEN n >= 30 AND (q[3] - q[1]) / 1.35 > 1e-12
 @query(f"""WITH {PANEL}, {QZ} SELECT series, dt, z, CASE WHEN z IS NULL THEN 'N/A' WHEN z > 2 THEN 'Extreme Over' WHEN z > 1 THEN 'Overvalued' WHEN z > -1 THEN 'Fair Value' WHEN z > -2 THEN 'Undervalued' ELSE 'Extreme Under' END AS zone,
 coalesce(z < -1 AND lag(z) {LAG} >= -1, false) AS buy, coalesce(z > 1 AND lag(z) {LAG} <= 1, false) AS sell FROM z""")
 def w08_quantile_zones(spark, d):
-    z = src.panel_daily(spark, d).select("series", "dt", fixed(w.quantile_z(F.col("px"), 60, 30)).alias("z"))
+    z = sliding.quantile_z(src.panel_daily(spark, d), "px", 60, 30).select("series", "dt", fixed(F.col("z")).alias("z"))
     buy, sell = w.crossings(F.col("z"))
     return z.select("series", "dt", "z", fn.zone(F.col("z")).alias("zone"), buy.alias("buy"), sell.alias("sell"))
 
@@ -175,12 +175,29 @@ def w11_expanding_tiers(spark, d):
     return tiers.select("dt", fixed(F.col("hi")).alias("tier_strong"), fixed(F.least("lo", "hi")).alias("tier_weak"))
 
 
-@query(f"""WITH {TARGET}, l AS (SELECT dt, px, list(px) {over('UNBOUNDED PRECEDING', '1 PRECEDING')} AS b FROM target)
-SELECT dt, {r("CASE WHEN len(b) > 0 THEN (0.5 * (len(list_filter(b, lambda v: v < px)) + len(list_filter(b, lambda v: v <= px))) + 0.5) / (len(b) + 1) ELSE 0.5 END")} AS percentile FROM l""")
+CDF = f"""WITH {TARGET}, l AS (SELECT dt, px, list(px) {over('UNBOUNDED PRECEDING', '1 PRECEDING')} AS b FROM target)
+SELECT dt, {r("CASE WHEN len(b) > 0 THEN (0.5 * (len(list_filter(b, lambda v: v < px)) + len(list_filter(b, lambda v: v <= px))) + 0.5) / (len(b) + 1) ELSE 0.5 END")} AS percentile FROM l"""
+
+
+@query(CDF)
 def w15_expanding_cdf(spark, d):
     return folds.expanding_cdf(src.target_daily(spark, d), "px", "percentile").select("dt", fixed(F.col("percentile")).alias("percentile"))
 
 
+@query(CDF)
+def w15_ranks_in_segments(spark, d):
+    """w15 by divide and conquer over segments of 256 days."""
+    return segments.expanding_cdf(src.target_daily(spark, d), "px", "percentile", 256).select("dt", fixed(F.col("percentile")).alias("percentile"))
+
+
+@query("""WITH i AS (SELECT l_suppkey AS series, l_orderkey * 8 + l_linenumber AS place, max(l_extendedprice) AS x FROM lineitem GROUP BY 1, 2)
+SELECT a.series, a.place, CAST(count(b.x) FILTER (b.x < a.x) AS BIGINT) AS below, CAST(count(b.x) FILTER (b.x = a.x) AS BIGINT) AS same, CAST(count(b.x) AS BIGINT) AS n FROM i a LEFT JOIN i b ON a.series = b.series AND b.place < a.place GROUP BY a.series, a.place""")
+def r32_ranks_of_items(spark, d):
+    """The place of each item's price among its supplier's earlier ones, whole series of items in segments."""
+    rows = src.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("series"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place")).agg(F.max("l_extendedprice").alias("x"))
+    return segments.ranks(rows, "x", 8192, order="place", buckets=16)
+
+
 @query(f"""WITH {PANEL} SELECT series, dt, {r(clip_sql(f"(px - avg(px) {over('UNBOUNDED PRECEDING')}) / greatest(coalesce(stddev_samp(px) {over('UNBOUNDED PRECEDING')}, 1), 1e-10) / 3", -1, 1))} AS norm FROM panel""")
 def w16_expanding_norm(spark, d):
     return src.panel_daily(spark, d).select("series", "dt", fixed(w.expanding_norm(F.col("px"))).alias("norm"))
@@ -190,7 +207,18 @@ TR = f"tr AS (SELECT *, greatest(high - low, coalesce(abs(high - lag(close) {LAG
 ATR = "e(series, k, dt, tr, m) AS (SELECT series, k, dt, tr, tr FROM tr WHERE k = 1 UNION ALL SELECT t.series, t.k, t.dt, t.tr, e.m + (t.tr - e.m) / 14 FROM tr t JOIN e ON t.series = e.series AND t.k = e.k + 1)"
 
 
-@query(f"WITH RECURSIVE {BARS}, {TR}, {ATR} SELECT series, dt, {r('tr')} AS true_range, {r('m')} AS atr FROM e")
+ATR_ROWS = f"WITH RECURSIVE {BARS}, {TR}, {ATR} SELECT series, dt, {r('tr')} AS true_range, {r('m')} AS atr FROM e"
+
+
+@query(ATR_ROWS)
+def w17_range_in_segments(spark, d):
+    """w17 with the hours of each series in segments."""
+    bars = src.bars_hourly(spark, d)
+    rows = segments.in_segments(bars.withColumn("tr", w.true_range()), ["tr"], segments.mean_fold(1 / 14), 96 * 3600, keep=("tr",))
+    return rows.select("series", "dt", fixed(F.col("tr")).alias("true_range"), fixed(F.col("mean")).alias("atr"))
+
+
+@query(ATR_ROWS)
 def w17_average_true_range(spark, d):
     bars = src.bars_hourly(spark, d)
     rows = folds.ewm(bars.withColumn("tr", w.true_range()), "tr", 1 / 14)
@@ -269,11 +297,12 @@ def a04_fit_quality(spark, d):
 
 @query(f"""WITH {PANEL}, z AS (SELECT series, dt, {r(z_sql('px', 60))} AS z, {clip_sql(f'(lead(px, 5) {LAG} / px - 1) * 100', -100, 100)} AS f, row_number() {LAG} - 1 AS k FROM panel),
 s AS (SELECT *, CASE WHEN z < -1 THEN 'buy' WHEN z > 1 THEN 'sell' END AS side FROM z WHERE k % 5 = 0 AND f IS NOT NULL)
-SELECT series, side, count(*) AS n, {r("avg(CASE WHEN side = 'buy' THEN (f > 0)::INT ELSE (f < 0)::INT END)")} AS hit_rate, {r('avg(f)')} AS mean_forward, {r("CASE WHEN count(*) >= 3 AND stddev_samp(f) > 0 THEN avg(f) / (stddev_samp(f) / sqrt(count(*))) END")} AS t FROM s WHERE side IS NOT NULL GROUP BY 1, 2""")
+SELECT series, side, count(*) AS n, {r("avg(CASE WHEN side = 'buy' THEN (f > 0)::INT ELSE (f < 0)::INT END)")} AS hit_rate, {r('avg(f)')} AS mean_forward, CASE WHEN count(*) < 3 THEN NULL WHEN stddev_samp(f) > 0 THEN {r("avg(f) / (stddev_samp(f) / sqrt(count(*)))")} WHEN avg(f) > 0 THEN 'inf'::DOUBLE WHEN avg(f) < 0 THEN '-inf'::DOUBLE END AS t FROM s WHERE side IS NOT NULL GROUP BY 1, 2""")
 def a05_signal_performance(spark, d):
     rows = src.panel_daily(spark, d).select("series", "dt", fixed(w.causal_z(F.col("px"), 60)).alias("z"), w.forward_change(F.col("px"), 5).alias("f"))
     out = stats.signal_performance(rows, "z", "f", 5, 1.0)
-    return out.select("series", "side", "n", *[fixed(F.col(c)).alias(c) for c in ("hit_rate", "mean_forward", "t")])
+    t = F.when(F.abs("t") < float("inf"), fixed(F.col("t"))).otherwise(F.col("t"))
+    return out.select("series", "side", "n", *[fixed(F.col(c)).alias(c) for c in ("hit_rate", "mean_forward")], t.alias("t"))
 
 
 @query(f"""WITH {PANEL}, z AS (SELECT series, {r(z_sql('px', 20))} AS x, {r(f'lead(px, 5) {LAG} / px - 1')} AS y FROM panel), v AS (SELECT * FROM z WHERE y IS NOT NULL),
@@ -321,7 +350,18 @@ DDM = f"""zp AS (SELECT series, dt, 20 * {r(z_sql('px', 60))} AS x, row_number()
 e(series, k, dt, x, level, variance) AS (SELECT series, k, dt, x, x, 100.0::DOUBLE FROM zp WHERE k = 1 UNION ALL SELECT z.series, z.k, z.dt, z.x, e.level * 0.97 + 0.056 * z.x, greatest(e.variance * 0.97 + 3 + least(abs(0.056 * z.x) / 2, 50), 1e-6) FROM zp z JOIN e ON z.series = e.series AND z.k = e.k + 1)"""
 
 
-@query(f"WITH RECURSIVE {PANEL}, {DDM} SELECT series, dt, {r('level')} AS level, {r('variance')} AS variance, {r('100 * tanh(level / 100)')} AS bounded FROM e")
+DRIFT = f"WITH RECURSIVE {PANEL}, {DDM} SELECT series, dt, {r('level')} AS level, {r('variance')} AS variance, {r('100 * tanh(level / 100)')} AS bounded FROM e"
+
+
+@query(DRIFT)
+def r19_drift_in_segments(spark, d):
+    """r19 with the days of each series in segments."""
+    x = src.panel_daily(spark, d).select("series", "dt", (20 * fixed(w.causal_z(F.col("px"), 60))).alias("x"))
+    out = segments.in_segments(x, ["x"], segments.drift_fold(), 512)
+    return out.select("series", "dt", fixed(F.col("level")).alias("level"), fixed(F.col("variance")).alias("variance"), fixed(fn.soft_bound(F.col("level"))).alias("bounded"))
+
+
+@query(DRIFT)
 def r19_drift_filter(spark, d):
     x = src.panel_daily(spark, d).select("series", "dt", (20 * fixed(w.causal_z(F.col("px"), 60))).alias("x"))
     return folds.drift_filter(x, "x").select("series", "dt", fixed(F.col("level")).alias("level"), fixed(F.col("variance")).alias("variance"), fixed(fn.soft_bound(F.col("level"))).alias("bounded"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as fn
 from tidemark.functions.scalar import fixed
-from tidemark.operators import freshness, learning, precedent, relations, scores, stats
+from tidemark.operators import freshness, learning, precedent, scores, sliding, stats
 from tidemark.operators import windows as w
 from tidemark.plans.catalogue import DAILY, ZP, _daily, weekdays
 from tidemark.plans.registry import LAG, PANEL, SPINE, TARGET, clip_sql, over, query, r, z_sql
@@ -158,8 +158,13 @@ ZONES = f"zs AS ({' UNION ALL '.join(_quantile_zones(n, m) for n, m in ((5, 5),
 
 
 def _zones(spark, d):
-    px = F.col("px")
-    return src.target_daily(spark, d).select("series", "dt", *[fixed(w.quantile_z(px, n, m)).alias(f"z{n}") for n, m in ((5, 5), (10, 5), (60, 30))])
+    return lookbacks(src.target_daily(spark, d), "px")
+
+
+def lookbacks(df, column):
+    """(series, dt, z5, z10, z60) of column."""
+    each = [sliding.quantile_z(df, column, n, m).select("series", "dt", fixed(F.col("z")).alias(f"z{n}")) for n, m in ((5, 5), (10, 5), (60, 30))]
+    return each[0].join(each[1], ["series", "dt"]).join(each[2], ["series", "dt"])
 
 
 @query(f"""WITH {TARGET}, {ZONES}, z AS (SELECT dt, w, z, lag(z) OVER (PARTITION BY w ORDER BY dt) AS b FROM zs)
@@ -228,21 +233,3 @@ def a06_t_tests(spark, d):
     rows = src.panel_daily(spark, d).select("series", "dt", fixed(w.causal_z(F.col("px"), 60)).alias("z"), w.forward_change(F.col("px"), 5).alias("f"))
     out = stats.signal_performance(rows, "z", "f", 5, 1.0)
     return out.withColumn("p", stats.t_p_value(F.col("t"), F.col("n") - 1))
-
-
-@query()
-def d22_verdict(spark, d):
-    """The verdict of the newest row, every gate from the tables."""
-    df = _dimensions(spark, d)
-    df = learning.consensus(df.withColumn("series", F.lit("target")), "conviction", "avg_score")
-    fit = scores.macro_deviation(src.panel_daily(spark, d), src.target_daily(spark, d)).select("dt", F.col("quality").alias("confidence"))
-    now = relations.newest(df.join(fit, "dt", "left"), 1)  # the verdict is of the newest row
-    side = -F.signum("conviction")
-    ic = a17_ic_summary(spark, d).select(F.col("mean").alias("ic"))
-    rates = precedent.at_horizon(_rates(spark, d), 10).select(F.col("up_share"), F.col("n").alias("precedent_n"))
-    rows = now.join(ic).join(rates, how="left")  # one row each
-    return scores.verdict(rows.select(
-        "dt", (F.col("conviction") / 33).alias("oscillator"), "confidence", ((F.col("oversold") - F.col("overbought")) / 100 * side).alias("net_breadth"), (F.col("consensus") * -side).alias("consensus"), "agreement", "ic",
-        F.when(side > 0, F.col("up_share")).otherwise(1 - F.col("up_share")).alias("precedent_share"), "precedent_n",
-    ))
-

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.staging import written
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -30,6 +32,17 @@ def query(sql: str | None = None):
     return add
 
 
+_HELD: dict[tuple, DataFrame] = {}
+
+
+def held(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A frame that several queries share, written once a session and folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _HELD:
+        _HELD[key] = written(make(), name)
+    return _HELD[key]
+
+
 def r(x: str, digits: int = 6) -> str:
     """fixed() in SQL."""
     return f"floor(({x}) * 1e{digits} + 0.501) / 1e{digits}"

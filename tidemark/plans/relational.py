@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as fn
 from tidemark.functions.scalar import fixed
-from tidemark.operators import align, folds, relations, scores, stats
+from tidemark.operators import align, folds, relations, roots, scores, stats
 from tidemark.operators import windows as w
 from tidemark.operators.align import ordered
 from tidemark.plans.catalogue import DAILY, FILLED, PRINTS, ZP, _daily, _filled, _panel_z, weekdays
@@ -283,7 +283,7 @@ def a26_safe_summary(spark, d):
 
 @query(f"""WITH {PANEL}, {ZP}, s AS (SELECT dt, series, z, coalesce(100 * abs(z) / nullif(sum(abs(z)) OVER (PARTITION BY dt), 0), 0) AS share FROM zp), k AS (SELECT dt, series, {r('share')} AS share FROM s)
 SELECT dt, series, share, row_number() OVER (PARTITION BY dt ORDER BY share DESC, series) AS place FROM k""")
-def a27_importance(spark, d):
+def t05_shares_of_z(spark, d):
     rows = relations.importance(_panel_z(spark, d).select("dt", "series", F.col("z").alias("x")))
     rows = rows.withColumn("share", fixed(F.col("share"))).drop("place")
     from pyspark.sql.window import Window
@@ -305,14 +305,37 @@ def r02_expanding_moments(spark, d):
     return src.panel_daily(spark, d).select("series", "dt", fixed(mean, 4).alias("mean"), fixed(variance, 2).alias("variance"))
 
 
-@query(f"""WITH {PANEL}, l AS (SELECT series, dt, ln(px) AS x, lag(ln(px)) {LAG} AS b FROM panel), f AS (SELECT series, count(*) AS n, regr_slope(x, b) AS s, regr_intercept(x, b) AS i, arg_max(x, dt) AS x0, stddev_samp(x) AS sd FROM l WHERE b IS NOT NULL GROUP BY series),
-p AS (SELECT *, greatest(least(s + (1 + 3 * s) / n, 0.9999), 1e-6) AS phi FROM f), o AS (SELECT *, -ln(phi) AS th, i / (1 - phi) AS mu FROM p), k AS (SELECT *, unnest(range(1, 91)) AS step FROM o)
-SELECT series, step::INT AS step, {r('mu + (x0 - mu) * exp(-th * step)', 5)} AS mean, {r('mu + (x0 - mu) * exp(-th * step) - sd * sqrt(greatest(1 - exp(-2 * th * step), 0))', 4)} AS low FROM k""")
+def _pull(slope: str, n: str) -> str:
+    """Theta of a slope over n pairs, corrected for small samples."""
+    a = f"greatest(least({slope}, 0.999), 1e-6)"
+    return f"greatest(-ln(greatest(least({a} + (1 + 3 * {a}) / {n} + CASE WHEN {a} > 0.95 THEN 3 * (1 + 3 * {a}) / ({n} * {n}) ELSE 0 END, 0.999), 0)), 1e-4)"
+
+
+PULLS = "OVER (PARTITION BY series ORDER BY dt ROWS BETWEEN 58 PRECEDING AND CURRENT ROW)"
+
+
+@query(f"""WITH {PANEL}, l AS (SELECT series, dt, ln(px) AS x, lag(ln(px)) {LAG} AS b, row_number() {LAG} AS k, count(*) OVER (PARTITION BY series) AS n FROM panel),
+w AS (SELECT series, k, {_pull(f'regr_slope(x, b) {PULLS}', '59.0')} AS theta FROM l QUALIFY k >= 60 AND k < n), t AS (SELECT series, arg_max(theta, k) AS now, stddev_pop(theta) AS spread FROM w GROUP BY series),
+f AS (SELECT series, count(b)::DOUBLE AS m, regr_slope(x, b) AS s, regr_intercept(x, b) AS i, arg_max(x, dt) AS x0 FROM l GROUP BY series), o AS (SELECT *, i / (1 - exp(-{_pull('s', 'm')})) AS mu FROM f),
+k AS (SELECT *, unnest(range(1, 91)) AS step FROM o JOIN t USING (series))
+SELECT series, step::INT AS step, {r('mu + (x0 - mu) * exp(-now * step)', 5)} AS mean, {r('mu + (x0 - mu) * exp(-(now + spread) * step)', 5)} AS low, {r('mu + (x0 - mu) * exp(-(now - spread) * step)', 5)} AS high FROM k""")
 def r34_projection(spark, d):
+    """The path at the newest rolling pull; the bounds are those of pulls a spread of past ones apart."""
+    rows = roots.reverting_path(roots.reversion_diagnostics(src.panel_daily(spark, d).withColumn("x", F.log("px")), "x"), 90)
+    return rows.select("series", "step", *[fixed(F.col(c), 5).alias(c) for c in ("mean", "low", "high")])
+
+
+@query()
+def a23_unit_root_lags(spark, d):
+    """Unit roots with lags by Akaike's criterion, and stationarity, with p-values."""
+    return roots.reversion_diagnostics(src.panel_daily(spark, d).withColumn("x", F.log("px")), "x").select("series", "n", "adf_t", "adf_lags", "adf_p", "kpss", "kpss_lags", "kpss_p")
+
+
+@query()
+def d21_gated_hurst_lags(spark, d):
+    """The fluctuation exponent of series whose unit root is rejected at 5 %, with lags."""
     px = src.panel_daily(spark, d).withColumn("x", F.log("px"))
-    last = px.withColumn("_b", F.lag("x").over(ordered())).where("_b IS NOT NULL").groupBy("series").agg(F.max_by("x", "dt").alias("x0"), F.stddev_samp("x").alias("sd"))
-    rows = stats.ou_parameters(px, "x").join(last, "series").select("series", F.inline(relations.project(F.col("x0"), F.col("mu"), F.col("theta"), F.col("sd"), 90)))
-    return rows.select("series", "step", fixed(F.col("mean"), 5).alias("mean"), fixed(F.col("low"), 4).alias("low"))
+    return roots.gated_hurst(stats.dfa(px, "x"), roots.reversion_diagnostics(px, "x"))
 
 
 CORR = f"""{PANEL}, {TARGET}, j AS (SELECT p.series, dt, p.px, t.px AS y FROM panel p JOIN target t USING (dt)),
