@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as fn
 from tidemark.functions.scalar import fixed
-from tidemark.operators import align, folds, relations, roots, scores, stats
+from tidemark.operators import align, calendars, folds, relations, roots, scores, segments, stats
 from tidemark.operators import windows as w
 from tidemark.operators.align import ordered
 from tidemark.plans.catalogue import DAILY, FILLED, PRINTS, ZP, _daily, _filled, _panel_z, weekdays
 from tidemark.plans.registry import LAG, PANEL, SPINE, TARGET, over, query, r, z_sql
-from tidemark.sources import sinks
+from tidemark.sources import sinks, staging
 from tidemark.sources import tables as src
+from tidemark.streaming import typed
 
 BLANK = "CASE WHEN right(series, 1) <> '4' AND day(dt) % 5 > 0 THEN px END"
 
@@ -405,3 +406,55 @@ def f_curves(spark, d):
 WHEN regexp_matches(p_type || ' ' || p_name, '(?i)oil|gas|brent|fuel') THEN 'Energy' WHEN regexp_matches(p_type || ' ' || p_name, '(?i)wheat|corn|soy|sugar|coffee') THEN 'Softs' WHEN regexp_matches(p_type || ' ' || p_name, '(?i)usd|eur|jpy|fx') THEN 'FX' ELSE 'Other' END AS class FROM part""")
 def j13_asset_classes(spark, d):
     return src.table(spark, d, "part").select("p_partkey", fn.asset_class(F.concat("p_type", F.lit(" "), "p_name")).alias("class"))
+
+
+#: Brands trade on exchanges by their number.
+VENUES = ("XNYS", "XLON", "XETR", "XPAR", "CMES", "CRYPTO", "WEEK")
+VENUE_SQL = f"list_extract({list(VENUES)}, 1 + CAST(regexp_extract(series, '[0-9]+') AS INTEGER) % {len(VENUES)})"
+YEARS = (1995, 2001)
+CALENDAR = f"""hol AS ({calendars.holidays_sql(*YEARS)}), span AS (SELECT CAST(unnest(generate_series(min(dt), max(dt), INTERVAL 1 DAY)) AS DATE) AS dt FROM panel),
+ven AS (SELECT DISTINCT series, {VENUE_SQL} AS exchange FROM panel),
+cal AS (SELECT e.exchange, s.dt, e.exchange = 'CRYPTO' OR (isodow(s.dt) <= 5 AND coalesce(half, true)) AS open, coalesce(half, false) AND isodow(s.dt) <= 5 AS half FROM (SELECT DISTINCT exchange FROM ven) e CROSS JOIN span s LEFT JOIN hol h ON h.exchange = e.exchange AND h.dt = s.dt)"""
+
+
+def _venues(spark, d):
+    number = F.regexp_extract("series", "[0-9]+", 0).cast("int")
+    return src.panel_daily(spark, d).select("series", "dt", "px", F.get(F.array(*map(F.lit, VENUES)), number % len(VENUES)).alias("exchange"))
+
+
+def _calendar(spark, d):
+    rows = _venues(spark, d)
+    span = rows.agg(F.min("dt").alias("a"), F.max("dt").alias("b")).select(F.explode(F.sequence("a", "b")).alias("dt"))
+    return calendars.session_days(rows, span, calendars.holidays(spark, *YEARS))
+
+
+@query(f"""WITH {PANEL}, {CALENDAR} SELECT exchange, year(dt)::INT AS year, count_if(open)::BIGINT AS n_sessions, count_if(half)::BIGINT AS n_half, sum(CASE WHEN open THEN dayofyear(dt) ELSE 0 END)::BIGINT AS days FROM cal GROUP BY 1, 2""")
+def j12_sessions_by_rule(spark, d):
+    """Sessions and half days of each exchange and year over the panel's whole span."""
+    rows = _calendar(spark, d).groupBy("exchange", F.year("dt").alias("year"))
+    return rows.agg(F.count_if("open").alias("n_sessions"), F.count_if("half").alias("n_half"), F.sum(F.when(F.col("open"), F.dayofyear("dt")).otherwise(0)).cast("long").alias("days"))
+
+
+@query(f"""WITH {PANEL}, {CALENDAR} SELECT p.series, p.dt FROM panel p JOIN ven USING (series) JOIN cal c ON c.exchange = ven.exchange AND c.dt = p.dt WHERE open""")
+def p14_rows_on_sessions(spark, d):
+    """The panel's rows on the sessions of their own exchange."""
+    return calendars.on_sessions(_venues(spark, d), _calendar(spark, d)).select("series", "dt")
+
+
+@query(f"""WITH {PANEL}, {CALENDAR}, l AS (SELECT series, max(dt) AS newest FROM panel GROUP BY series)
+SELECT series, exchange, newest, (SELECT count(*) FROM cal c WHERE c.exchange = ven.exchange AND c.open AND c.dt > l.newest) AS behind FROM l JOIN ven USING (series)""")
+def d27_sessions_behind(spark, d):
+    """How many sessions of its own exchange came after each series' newest row."""
+    newest = _venues(spark, d).groupBy("series", "exchange").agg(F.max("dt").alias("newest"))
+    return calendars.behind(newest, _calendar(spark, d))
+
+
+@query(f"""WITH RECURSIVE ev AS (SELECT event_type AS series, ts AS dt, max(value) AS x FROM events GROUP BY 1, 2), k AS (SELECT *, row_number() {LAG} AS k, count(x) {over('UNBOUNDED PRECEDING')} AS n FROM ev),
+e(series, k, dt, n, level, variance) AS (SELECT series, k, dt, n, coalesce(x, 0), 100.0::DOUBLE FROM k WHERE k = 1 UNION ALL SELECT z.series, z.k, z.dt, z.n, e.level * 0.97 + 0.056 * coalesce(z.x, 0), greatest(e.variance * 0.97 + 3 + least(abs(0.056 * coalesce(z.x, 0)) / 2, 50), 1e-6) FROM k z JOIN e ON z.series = e.series AND z.k = e.k + 1)
+SELECT series, dt, {r('level', 5)} AS level, {r('variance', 5)} AS variance, n, n >= 100 AS admitted FROM e WHERE dt <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def st_drift_of_events(spark, d):
+    """The drift filter and print floor over the events as a stream, all rows that the watermark has passed."""
+    events = src.table(spark, d, "events").schema
+    stream = spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(d).select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("dt"), F.col("value").alias("x"))
+    out = typed.run_once(typed.absorbed(stream, ["x"], segments.drift_fold(), "1 hour", floor=100), staging.new_folder(spark, "stream"))
+    return out.select("series", F.col("dt").cast("timestamp_ntz").alias("dt"), fixed(F.col("level"), 5).alias("level"), fixed(F.col("variance"), 5).alias("variance"), "n", "admitted")
