@@ -219,3 +219,21 @@ def test_stream_of_bars_is_the_batch(spark, tmp_path):
     got, want = (sorted(map(tuple, x.collect()), key=repr) for x in (spark.table("bars"), batch))
     assert len(got) > 100 and set(got) <= set(want)
     assert bars.sessions(events).agg(F.sum("n_events")).first()[0] == events.count()
+
+
+def test_pools_are_prefixes():
+    """Running moments and pools with missing features give what each pool gives by itself."""
+    random = np.random.default_rng(6)
+    x = random.normal(size=(260, 4)) * [1, 5, 0.1, 30] + [0, 100, 0, -7]
+    for complete in (True, False):
+        if not complete:
+            x[100:140, 2] = np.nan
+            x[200, 3] = np.nan
+        realised = random.normal(size=260)
+        realised[-10:] = np.nan
+        got = precedent.told_by_pools(np.arange(1, 261), x, realised, 10, 50, 20, 8)
+        assert list(got) == [*range(50, 260, 10), 259]
+        for t, predicted in got.items():
+            pool = x[: t + 1 - 10]
+            taken = precedent.apart(np.arange(len(pool)), np.argsort(precedent.nearest(pool, x[t]), kind="stable"), 20, 8)
+            assert abs(predicted - np.median(realised[taken])) < 1e-12

@@ -49,9 +49,13 @@ def distances(df: DataFrame, horizon: int = 20) -> DataFrame:
 
 def shrunk(x: np.ndarray) -> np.ndarray:
     """The covariance of rows of x, shrunk to its mean variance by the oracle-approximating weight."""
-    s = np.atleast_2d(np.cov(x, rowvar=False))
+    return shrunk_covariance(np.atleast_2d(np.cov(x, rowvar=False)), len(x))
+
+
+def shrunk_covariance(s: np.ndarray, n: int) -> np.ndarray:
+    """The covariance s of n rows, shrunk."""
     p, mu, alpha = len(s), np.trace(s) / len(s), np.mean(s**2)
-    low = (len(x) + 1) * (alpha - mu**2 / p)
+    low = (n + 1) * (alpha - mu**2 / p)
     rho = 1.0 if low <= 0 else min(max((alpha + mu**2) / low, 0.0), 1.0)
     return (1 - rho) * s + rho * mu * np.eye(p)
 
@@ -124,23 +128,64 @@ def at_horizon(rates: DataFrame, horizon: int) -> DataFrame:
     return best.where("r IS NOT NULL").select("r.*")
 
 
+class Prefixes:
+    """Covariances of the first m rows of x for any m, from running sums about one point; x is without missing values."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.x = x - x.mean(0) if len(x) else x
+        self.first = np.cumsum(self.x, axis=0)
+        self.second = np.cumsum(self.x[:, :, None] * self.x[:, None, :], axis=0)
+
+    def covariance(self, m: int) -> np.ndarray:
+        mean = self.first[m - 1] / m
+        return (self.second[m - 1] - m * np.outer(mean, mean)) / (m - 1)
+
+
+def told_by_pools(place: np.ndarray, x: np.ndarray, realised: np.ndarray, horizon: int, start: int, gap: int, most: int, least: int = 30) -> dict[int, float]:
+    """Of every asked row (a position in place), the median outcome of the states like it among those whose outcome it knew.
+
+    A pool is a prefix of the known rows, so its moments come from running sums and nothing is copied; distances to it are one
+    product. Rows with a missing feature take the pool's medians, and so their pools' moments anew.
+    """
+    known = np.flatnonzero(np.isfinite(x[:, : len(FEATURES)]).all(1))
+    pool, at = x[known], place[known]
+    whole = np.isfinite(pool).all(1)
+    prefixes = Prefixes(np.where(np.isfinite(pool), pool, 0.0))
+    first_gap = int(np.argmin(whole)) if not whole.all() else len(pool)
+    asked = [t for t in known if (place[t] - 1 >= start and (place[t] - 1 - start) % horizon == 0) or (place[t] == place[-1] > start)]
+    out = {}
+    for t in asked:
+        m = int(np.searchsorted(at, place[t] - horizon, "right"))
+        if m < least:
+            continue
+        if m <= first_gap and np.isfinite(x[t]).all():
+            step = pool[:m] - x[t]
+            d = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", step, np.linalg.pinv(shrunk_covariance(prefixes.covariance(m), m)), step), 0.0))
+        else:
+            d = nearest(pool[:m], x[t])
+        taken = apart(at[:m], np.argsort(d, kind="stable"), gap, most)
+        after = realised[known[taken]]
+        out[int(t)] = float(np.median(after[np.isfinite(after)])) if np.isfinite(after).any() else np.nan
+    return out
+
+
 def foretold(df: DataFrame, horizon: int, n: int = 20, most: int = 10, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """(series, place, dt, predicted, realised): what the states like each past one would have foretold, known then only.
 
-    Every horizon-th row is asked, and the newest; its pool are the rows whose outcome it knew. Pools meet the rows asked by a
-    join of the series on their places, so each (series, asked row) is a group of its own.
+    Every horizon-th row is asked, and the newest; its pool are the rows whose outcome it knew. A series' rows are moved once.
     """
     start = max(n + 30, horizon + 30)
-    last = Window.partitionBy("series")
-    rows = df.withColumn("_n", F.max("place").over(last)).withColumn("_realised", F.lead("px", horizon).over(ordered()) / F.col("px") * 100 - 100)
-    known = rows.where(" AND ".join(f"{f} IS NOT NULL" for f in FEATURES))
-    asked = known.where(((F.col("place") - 1 >= start) & ((F.col("place") - 1 - start) % horizon == 0)) | ((F.col("place") == F.col("_n")) & (F.col("_n") > start)))
-    asked = asked.select("series", F.col("place").alias("asked"), *[F.col(f).alias(f"now_{f}") for f in features])
-    pool = known.join(asked, "series").where(F.col("place") <= F.col("asked") - horizon)
-    found = chosen(pool.select("series", "asked", "dt", "place", *features, *[f"now_{f}" for f in features]), ["series", "asked"], features, max(n, horizon), most)
-    outcome = rows.select("series", "place", "dt", "_realised")
-    told = found.join(outcome.drop("dt"), ["series", "place"]).groupBy("series", F.col("asked").alias("place")).agg(F.percentile("_realised", F.lit(0.5)).alias("predicted"))
-    return told.join(outcome, ["series", "place"]).select("series", "place", "dt", "predicted", F.col("_realised").alias("realised"))
+    rows = df.select("series", "place", "dt", *features, (F.lead("px", horizon).over(ordered()) / F.col("px") * 100 - 100).alias("_realised"))
+    kind = dict(df.dtypes)["dt"]
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("place")
+        told = told_by_pools(own["place"].to_numpy(), own[list(features)].to_numpy(float), own["_realised"].to_numpy(float), horizon, start, max(n, horizon), most)
+        out = own.iloc[list(told)]
+        made = {"series": out["series"], "place": out["place"], "dt": out["dt"], "predicted": list(told.values()), "realised": out["_realised"]}
+        return pd.DataFrame(made)
+
+    return rows.groupBy("series").applyInPandas(run, f"series string, place int, dt {kind}, predicted double, realised double")
 
 
 def skill(told: DataFrame, least: int = 10) -> DataFrame:
