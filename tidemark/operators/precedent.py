@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.operators import windows as w
 from tidemark.operators.align import ordered

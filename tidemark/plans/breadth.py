@@ -48,12 +48,16 @@ def d01_strength_parts(spark, d):
     return parts.select("series", "dt", fixed(scores.strength_of(("momentum",))).alias("momentum"), fixed(scores.strength_of(("momentum", "flow"))).alias("both"))
 
 
-@query("""WITH n AS (SELECT unnest([8, 14, 22, 34, 52]) AS n), k AS (SELECT n, greatest(5, round_even(0.85 * n, 0)::INT) AS roc FROM n)
+@query("""WITH g AS (WITH n AS (SELECT unnest([8, 14, 22, 34, 52]) AS n), k AS (SELECT n, greatest(5, round_even(0.85 * n, 0)::INT) AS roc FROM n)
 SELECT n || '-drivers' AS name, n AS length, roc, true AS macro, 'momentum,structure,flow' AS parts FROM k UNION ALL SELECT n || '-price', n, roc, false, 'momentum,structure,flow' FROM k
-UNION ALL SELECT n || '-' || p, n, roc, true, p FROM k, (SELECT unnest(['momentum', 'structure', 'flow']) AS p) WHERE n = 22 UNION ALL SELECT '8-momentum-price', n, roc, false, 'momentum' FROM k WHERE n = 8 UNION ALL SELECT '52-flow-price', n, roc, false, 'flow' FROM k WHERE n = 52""")
+UNION ALL SELECT n || '-' || p, n, roc, true, p FROM k, (SELECT unnest(['momentum', 'structure', 'flow']) AS p) WHERE n = 22 UNION ALL SELECT '8-momentum-price', n, roc, false, 'momentum' FROM k WHERE n = 8 UNION ALL SELECT '52-flow-price', n, roc, false, 'flow' FROM k WHERE n = 52),
+t AS (SELECT count(DISTINCT CAST(o_orderdate AS DATE)) AS days FROM orders) SELECT g.*, greatest(days - length + 1, 0)::BIGINT AS n_rows FROM g, t""")
 def d04_view_grid(spark, d):
+    """The views and how many rows of the target each can look back from."""
     rows = [(v.name, v.length, v.roc, v.macro, ",".join(v.parts)) for v in views.view_grid()]
-    return spark.createDataFrame(rows, "name string, length int, roc int, macro boolean, parts string")
+    grid = spark.createDataFrame(rows, "name string, length int, roc int, macro boolean, parts string")
+    days = src.target_daily(spark, d).agg(F.countDistinct("dt").alias("_n"))
+    return grid.join(days).select(*grid.columns, F.greatest(F.col("_n") - F.col("length") + 1, F.lit(0)).alias("n_rows"))
 
 
 SMALL_GRID = [views.View("8-drivers", 8, 7, True), views.View("8-price", 8, 7, False), views.View("8-flow", 8, 7, True, ("flow",))]

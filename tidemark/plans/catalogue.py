@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions import scalar as fn
 from tidemark.functions.scalar import fixed
@@ -246,17 +245,17 @@ def w21_pivots(spark, d):
 @query(f"""WITH {PANEL}, l AS (SELECT series, dt, ln(px) AS x, lag(ln(px)) {LAG} AS b FROM panel),
 f AS (SELECT series, dt, regr_slope(x, b) {over('59 PRECEDING')} AS s, count(b) {over('59 PRECEDING')} AS n FROM l),
 p AS (SELECT series, dt, {clip_sql('CASE WHEN n >= 60 THEN s + (1 + 3 * s) / 60 END', 1e-6, 0.9999)} AS phi FROM f)
-SELECT series, dt, {r('phi')} AS phi, {r('-ln(phi)', 5)} AS theta FROM p WHERE phi IS NOT NULL AND phi > 1e-3""")
+SELECT series, dt, {r('phi')} AS phi, {r('-ln(phi)', 5)} AS theta FROM p""")
 def w26_rolling_theta(spark, d):
     rows = src.panel_daily(spark, d).withColumn("x", F.log("px")).withColumn("_lag", F.lag("x").over(ordered()))
     phi, theta = w.rolling_theta(F.col("x"), 60)
-    return rows.select("series", "dt", phi.alias("p"), theta.alias("t")).where("p > 1e-3").select("series", "dt", fixed(F.col("p")).alias("phi"), fixed(F.col("t"), 5).alias("theta"))
+    return rows.select("series", "dt", phi.alias("p"), theta.alias("t")).select("series", "dt", fixed(F.col("p")).alias("phi"), fixed(F.col("t"), 5).alias("theta"))
 
 
-@query("""WITH e AS (SELECT event_id, event_type AS kind, CAST(ts AS DATE) AS dt FROM events WHERE event_type = 'purchase' OR value > 90)
+@query("""WITH e AS (SELECT event_id, event_type AS kind, CAST(ts AS DATE) AS dt FROM events)
 SELECT event_id, kind, dt, count(*) OVER (PARTITION BY kind ORDER BY dt RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW) AS recent, count(*) OVER (PARTITION BY kind ORDER BY dt RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW) >= 5 AS persistent FROM e""")
 def w28_persistence(spark, d):
-    rows = src.table(spark, d, "events").where("event_type = 'purchase' OR value > 90").select("event_id", F.col("event_type").alias("kind"), F.to_date("ts").alias("dt"))
+    rows = src.table(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), F.to_date("ts").alias("dt"))
     return w.persistence(rows, "kind", days=3)
 
 

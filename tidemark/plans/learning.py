@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as fn
 from tidemark.functions.scalar import fixed
-from tidemark.operators import freshness, learning, precedent, scores, sliding, stats
+from tidemark.operators import freshness, learning, precedent, relations, scores, sliding, stats
 from tidemark.operators import windows as w
 from tidemark.plans.catalogue import DAILY, ZP, _daily, weekdays
 from tidemark.plans.registry import LAG, PANEL, SPINE, TARGET, clip_sql, over, query, r, z_sql

@@ -82,11 +82,11 @@ def s29_tape(spark, d):
     return relations.tape(panel, order).select("place", "series", "dt", fixed(F.col("px"), 3).alias("px"), fixed(F.col("change"), 4).alias("change"))
 
 
-NAMES = "names AS (SELECT p_brand AS series, min(p_type) || '/' || p_brand AS name FROM part GROUP BY p_brand HAVING right(p_brand, 1) <= '3')"
+NAMES = "names AS (SELECT p_brand AS series, min(p_type) || '/' || p_brand AS name FROM part GROUP BY p_brand)"
 
 
 def _names(spark, d):
-    n = src.table(spark, d, "part").groupBy(F.col("p_brand").alias("series")).agg(F.min("p_type").alias("m")).where("right(series, 1) <= '3'")
+    n = src.table(spark, d, "part").groupBy(F.col("p_brand").alias("series")).agg(F.min("p_type").alias("m"))
     return n.select("series", F.concat("m", F.lit("/"), "series").alias("name"))
 
 
@@ -196,10 +196,10 @@ def j06_view_dates(spark, d):
     return relations.all_dates(src.panel_daily(spark, d))
 
 
-@query(f"""WITH {PANEL}, q AS (SELECT left(series, 7) AS series, date_trunc('month', dt)::DATE AS dt, avg(px) AS x FROM panel WHERE day(dt) < 12 GROUP BY 1, 2)
+@query(f"""WITH {PANEL}, q AS (SELECT left(series, 7) AS series, date_trunc('month', dt)::DATE AS dt, avg(px) AS x FROM panel GROUP BY 1, 2)
 SELECT dt, array_to_string(list_transform(list(x ORDER BY series), lambda v: CAST(CAST(floor(v) AS BIGINT) AS VARCHAR)), ',') AS values FROM q GROUP BY dt HAVING count(*) = (SELECT count(DISTINCT series) FROM q)""")
 def j07_common_rows(spark, d):
-    q = src.panel_daily(spark, d).where(F.dayofmonth("dt") < 12).groupBy(F.left("series", F.lit(7)).alias("series"), F.trunc("dt", "month").alias("dt")).agg(F.avg("px").alias("x"))
+    q = src.panel_daily(spark, d).groupBy(F.left("series", F.lit(7)).alias("series"), F.trunc("dt", "month").alias("dt")).agg(F.avg("px").alias("x"))
     return relations.common_rows(q, "x").select("dt", F.array_join(F.transform("values", lambda v: F.floor(v).cast("string")), ",").alias("values"))
 
 
@@ -237,11 +237,11 @@ def j15_injected_target(spark, d):
     return align.reindex_ffill(target, weekdays(src.panel_daily(spark, d))).select("dt", fixed(F.col("px"), 3).alias("px"))
 
 
-@query(f"""WITH {TARGET}, a AS (SELECT series, dt, abs({r(z_sql('px', 20))}) AS x FROM target), l AS (SELECT *, list(x) {over('UNBOUNDED PRECEDING', '1 PRECEDING')} AS before FROM a), s AS (SELECT dt, x, list_sort(before) AS b, len(before) AS n FROM l WHERE day(dt) % 2 = 0),
+@query(f"""WITH {TARGET}, a AS (SELECT series, dt, abs({r(z_sql('px', 20))}) AS x FROM target), l AS (SELECT *, list(x) {over('UNBOUNDED PRECEDING', '1 PRECEDING')} AS before FROM a), s AS (SELECT dt, x, list_sort(before) AS b, len(before) AS n FROM l WHERE isodow(dt) <= 5),
 t AS (SELECT dt, CASE WHEN n >= 60 AND b[CAST(round_even(0.9 * (n - 1), 0) AS INT) + 1] > 0 THEN b[CAST(round_even(0.9 * (n - 1), 0) AS INT) + 1] ELSE 1.5 END AS hi FROM s) SELECT a.dt, {r('x')} AS x, {r('coalesce(hi, 9)')} AS hi FROM a LEFT JOIN t USING (dt)""")
 def j16_tiers_of_dates(spark, d):
     rows = src.target_daily(spark, d).select("series", "dt", F.abs(fixed(w.causal_z(F.col("px"), 20))).alias("x"))
-    tiers = folds.expanding_quantiles(rows, "x", {"hi": (0.9, 1.5)}, 60).where(F.dayofmonth("dt") % 2 == 0)
+    tiers = folds.expanding_quantiles(rows, "x", {"hi": (0.9, 1.5)}, 60).where(F.weekday("dt") < 5)  # tiers are of sessions
     return relations.with_tiers(rows, tiers, {"hi": 9.0}).select("dt", fixed(F.col("x")).alias("x"), fixed(F.col("hi")).alias("hi"))
 
 
@@ -363,10 +363,13 @@ def u01_united_symbols(spark, d):
     return src.table(spark, d, "nation").select(F.col("n_name").alias("symbol")).union(src.table(spark, d, "region").select("r_name")).union(src.table(spark, d, "part").select("p_brand")).distinct()
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+@query("""SELECT c_custkey, o_orderpriority FROM customer, (SELECT DISTINCT o_orderpriority FROM orders) p WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c_custkey AND o.o_orderpriority = p.o_orderpriority)""")
 def u02_missing_symbols(spark, d):
-    orders = src.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
-    return src.table(spark, d, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
+    """Of every priority (a handful), the customers without an order of it."""
+    orders = src.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    known = orders.select("o_orderpriority").distinct().agg(F.collect_set("o_orderpriority").alias("_all"))
+    wanted = src.table(spark, d, "customer").join(known).select("c_custkey", F.explode("_all").alias("o_orderpriority"))
+    return wanted.join(orders, ["c_custkey", "o_orderpriority"], "left_anti")
 
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'override' WHEN n_nationkey % 2 = 0 THEN 'class' ELSE 'default' END AS mode, 'base' AS kept FROM nation")
