@@ -136,7 +136,8 @@ def byte_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep_ids: b
 
     ids are joined by spaces and decoded is the decoded bytes; both are left out without keep_ids. Null and empty texts have
     no ids, repeated rows and rows without a doc_id are encoded each, other columns of docs are not read, and an empty docs
-    gives no rows. Texts and words are of any length.
+    gives no rows. Texts and words are of any length, as far as a document's joined ids stay under 2 GB, the most that a value
+    of a table can hold; beyond that Arrow raises an error.
     """
     spark = docs.sparkSession
     missing = sorted({bytes([b]) for b in range(256)} - ranks.keys())

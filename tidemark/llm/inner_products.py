@@ -225,7 +225,8 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5, scale
     """query_id, rank (from 1), vec_id and score: the k best of vectors for each row of queries (both vec_id, embedding).
 
     queries are rows of vectors. k + 1 are searched for, as a query's own row is among them; one row with the query's vec_id
-    and its product with itself is then left out.
+    and its product with itself is then left out. Vectors that are null, empty, or hold a null or a value that is not finite, and
+    rows without a vec_id, take no part. Ties go to the smaller vec_id; no queries, or no vectors, give no rows.
     """
     numbered = lambda df: whole(df, scale).withColumn("row", F.monotonically_increasing_id())
     buckets = _grouped(staged(numbered(vectors), "vectors"), BUCKET, "buckets")

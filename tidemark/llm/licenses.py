@@ -85,6 +85,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=None, threshold:
 
     score is 1 where a phrase stands, else the highest containment of a template in a block, if it meets the threshold,
     else 0. blocks lists (first word from 0, label, containment) of the blocks that meet it and begin with one of its tokens.
+    Labels of equal containment all stand; tokens of equal frequency are ordered by the alphabet.
     """
     phrases = PHRASES if phrases is None else phrases
     sets = [(sorted(set(text.split())), label, math.ceil(len(text.split()) / threshold - 1e-9)) for text, label in templates]

@@ -48,7 +48,9 @@ def _sum(values: Column) -> Column:
 def source_weights(sizes: DataFrame, entropy_share: float = 0.97, max_repeats: float = 4.0, budget: int | None = None) -> DataFrame:
     """(source_key, n_tokens, alpha, weight, budget) from (source_key, n_tokens): one row a source.
 
-    budget is the number of tokens asked for in all; None asks for as many as there are.
+    budget is the number of tokens asked for in all; None asks for as many as there are. Where it is above max_repeats times all
+    tokens no weights can keep the limit, and sources are taken in proportion. weight is told to 9 digits; budgets are not, so
+    that the smallest source keeps its part.
     """
     one = sizes.where("n_tokens > 0").agg(F.array_sort(F.collect_list(F.struct("source_key", "n_tokens"))).alias("all"))
     one = one.withColumn("total", F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x["n_tokens"]))
@@ -75,7 +77,7 @@ def source_weights(sizes: DataFrame, entropy_share: float = 0.97, max_repeats: f
     rows = one.select("alpha", "powers_sum", "asked", F.explode(F.arrays_zip("all", "powers")).alias("s"))
     weight = F.round(F.col("s.powers") / F.col("powers_sum"), 9)
     return rows.select(
-        F.col("s.all.source_key").alias("source_key"), F.col("s.all.n_tokens").alias("n_tokens"), "alpha", weight.alias("weight"), F.floor(weight * F.col("asked")).alias("budget")
+        F.col("s.all.source_key").alias("source_key"), F.col("s.all.n_tokens").alias("n_tokens"), "alpha", weight.alias("weight"), F.floor(F.col("s.powers") / F.col("powers_sum") * F.col("asked")).alias("budget")
     )
 
 
@@ -86,7 +88,7 @@ def mixed_rows(docs: DataFrame, entropy_share: float = 0.97, max_repeats: float
     rows in the order of (mix_block_place, mix_block, mix_row_place). Columns of docs whose names begin with mix_ are left out.
     Null and empty texts come with their block; a source without any token has no weight, and its rows are not taken. Texts are
     of any length; one longer than a block makes its block longer. Ties in places are broken by block and by row mark; repeated
-    rows stand or fall together. An empty docs gives no rows.
+    rows, rows without a doc_id too, stand or fall together. An empty docs gives no rows.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
