@@ -250,11 +250,15 @@ def correlation(s: np.ndarray, w: np.ndarray) -> np.ndarray:
     return c
 
 
-def factor_scores(vectors: np.ndarray, values: np.ndarray, z: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Unit-variance scores; 0 for a factor of which too little is seen."""
+def score_parts(vectors: np.ndarray, values: np.ndarray, z: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """What each instrument adds to each unit-variance score (factors x instruments); 0 for a factor of which too little is seen."""
     share = (vectors**2 * mask[:, None]).sum(0)
-    score = (vectors * mask[:, None]).T @ z / np.sqrt(np.maximum(share * values, 1e-9))
-    return np.where(share >= LEAST_SEEN, score, 0.0)
+    parts = (vectors * mask[:, None]).T * z / np.sqrt(np.maximum(share * values, 1e-9))[:, None]
+    return np.where((share >= LEAST_SEEN)[:, None], parts, 0.0)
+
+
+def factor_scores(vectors: np.ndarray, values: np.ndarray, z: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    return score_parts(vectors, values, z, mask).sum(1)
 
 
 def factor_levels(z: np.ndarray, seen: np.ndarray, lives=MEMORY_LIVES) -> dict[str, np.ndarray]:

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from tidemark.operators import kernels
 from tidemark.operators.folds import half_life_factor
-from tidemark.operators.segments import Fold, in_segments
+from tidemark.operators.segments import Fold, in_segments, step_fold, sum_fold
 from tidemark.sources.staging import written
 
 WAIT, WIDTH = kernels.LONGEST_WAIT, kernels.MOST_FACTORS
@@ -270,28 +270,98 @@ def sums_fold(n: int) -> Fold:
     )
 
 
+class Panel:
+    """The factors of standardised rows (series, dt, z, ret), step by step written, in blocks of days."""
+
+    def __init__(self, rows: DataFrame, lives: tuple[float, ...] = kernels.MEMORY_LIVES, block: int = 128) -> None:
+        if block < WAIT:
+            raise ValueError(f"a block has at least {WAIT} days")
+        self.lives, self.block = lives, block
+        self.names = rows.select("series").distinct().agg(F.array_sort(F.collect_set("series")).alias("names"))
+        self.days = panel_days(rows, block)
+        starts = written(block_starts(self.days, lives), "starts")
+        renewed = written(renewals(self.days, starts, lives, block), "renewals")
+        self.factors = written(renewed_factors(self.days, starts, renewed, lives, block), "factors")
+        scored = written(day_scores(self.days, self.factors, lives, block).withColumn("series", F.lit("panel")), "scores")
+        m = range(len(lives))
+        logs = in_segments(scored, [f"density_{k}" for k in m], weights_fold(len(lives)), block, order="i")
+        most = F.greatest(*[f"log_{k}" for k in m]) if len(lives) > 1 else F.col("log_0")
+        best = F.coalesce(*[F.when(F.col(f"log_{k}") == most, k) for k in m])
+        picked = scored.join(logs.select("i", best.alias("best")), "i")
+        chosen = lambda c, of: F.get(F.array(*[F.col(f"{c}_{k}") for k in m]), F.col(of))
+        # The day before's choice, by number, so that no window holds all days
+        before = picked.select((F.col("i") + 1).alias("i"), F.col("best").alias("_then"))
+        picked = picked.join(before, "i", "left").withColumn("_then", F.coalesce("_then", F.lit(0)))
+        picked = picked.select("series", "i", "dt", "best", chosen("k", "best").cast("long").alias("k"), chosen("market", "_then").alias("market"), chosen("scores", "best").alias("scores"))
+        self.picked = written(picked, "picked")
+
+    def levels(self) -> DataFrame:
+        """(dt, levels, k, market) as `kernels.factor_levels` has them; market is the return of the first factor's portfolio as it
+        was known the day before."""
+        wide = self.picked.select("series", "i", *[F.get("scores", F.lit(j)).alias(f"score_{j}") for j in range(WIDTH)])
+        level = in_segments(wide, [f"score_{j}" for j in range(WIDTH)], sums_fold(WIDTH), self.block, order="i")
+        return self.picked.join(level.select("i", "levels"), "i").select("dt", "levels", "k", "market")
+
+    def parts(self, every: int = 21) -> DataFrame:
+        """(dt, factor, series, part) on every so many days and the last: what each instrument has added to each level.
+
+        A day's score is a sum over instruments, whatever the basis of the day, so their running sums add up to the level.
+        """
+        lives, block = self.lives, self.block
+        last = F.coalesce(F.col("next"), F.col("i") + WAIT)
+        placed = self.factors.withColumn("block", F.explode(F.sequence(F.floor(F.col("i") / block), F.floor(last / block))))
+        end = self.days.agg(F.max("i").alias("_last"))  # one row
+        days = self.days.join(self.picked.select("i", "best"), "i").join(end)
+
+        def run(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            columns = ["block", "dt", "factor", "parts", "total"]
+            if not len(own):
+                return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+            days, own = Days(own), own.sort_values("i")
+            n = days.z.shape[1]
+            sets = {m: [(int(i), np.array(v).reshape(n, -1), np.array(x)) for i, v, x in held[held["life"] == life].sort_values("i")[["i", "vectors", "values"]].itertuples(index=False)] for m, life in enumerate(lives)}
+            sums, out = np.zeros((WIDTH, n)), []
+            for i, dt, best, final, z, mask in zip(days.i, own["dt"], own["best"], own["_last"], days.z, days.seen, strict=True):
+                now = next((f for f in reversed(sets[int(best)]) if f[0] <= i), None)
+                if now is not None:
+                    sums[: now[1].shape[1]] += kernels.score_parts(now[1], now[2], z, mask)
+                if i % every == 0 or i == final:
+                    out += [(int(own["block"].iloc[0]), dt, j, sums[j].tolist(), False) for j in range(WIDTH) if sums[j].any()]
+            out += [(int(own["block"].iloc[0]), own["dt"].iloc[-1], j, sums[j].tolist(), True) for j in range(WIDTH)]
+            return pd.DataFrame(out, columns=columns)
+
+        kind = dict(days.dtypes)["dt"]
+        made = written(days.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(run, f"block long, dt {kind}, factor int, parts array<double>, total boolean"), "parts")
+
+        def scan(own: pd.DataFrame) -> pd.DataFrame:
+            own = own.sort_values("block")
+            upto = np.cumsum(np.array(own["parts"].tolist()), axis=0)
+            return pd.DataFrame({"block": own["block"] + 1, "factor": own["factor"], "_start": list(upto)})
+
+        starts = made.where("total").groupBy("factor").applyInPandas(scan, "block long, factor int, _start array<double>")
+        # A factor without a part in its own block yet still has those of the blocks before
+        asked = made.where("NOT total").select("block", "dt").distinct()
+        whole = asked.join(F.broadcast(starts), "block", "left").select("block", "dt", "factor", "_start").where("factor IS NOT NULL")  # a row a block and factor
+        rows = whole.join(made.where("NOT total"), ["block", "dt", "factor"], "full")
+        total = F.when(F.col("_start").isNull(), F.col("parts")).when(F.col("parts").isNull(), F.col("_start")).otherwise(F.zip_with("parts", "_start", lambda a, b: a + b))
+        rows = rows.select("dt", "factor", total.alias("parts")).join(self.names)
+        return rows.select("dt", "factor", F.inline(F.arrays_zip(F.col("names").alias("series"), F.col("parts").alias("part"))))
+
+
 def panel_factors(rows: DataFrame, lives: tuple[float, ...] = kernels.MEMORY_LIVES, block: int = 128) -> DataFrame:
-    """(dt, levels, k, market) of standardised rows (series, dt, z, ret): `kernels.factor_levels` in blocks of days.
+    """(dt, levels, k, market) of standardised rows (series, dt, z, ret): `kernels.factor_levels` in blocks of days, each at
+    least LONGEST_WAIT long."""
+    return Panel(rows, lives, block).levels()
+
+
+def block_parts(rows: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
+    """(block, dt, series, part): what each member of rows (series, dt, z) has added to its block's level (blocks: series, block).
 
-    market is the return of the first factor's portfolio as it was known the day before. block is at least LONGEST_WAIT.
+    A day's step is shared out in proportion to the members' z, so that parts add up to the level, clipped days too.
     """
-    if block < WAIT:
-        raise ValueError(f"a block has at least {WAIT} days")
-    days = panel_days(rows, block)
-    starts = written(block_starts(days, lives), "starts")
-    renewed = written(renewals(days, starts, lives, block), "renewals")
-    factors = written(renewed_factors(days, starts, renewed, lives, block), "factors")
-    scored = written(day_scores(days, factors, lives, block).withColumn("series", F.lit("panel")), "scores")
-    m = range(len(lives))
-    logs = in_segments(scored, [f"density_{k}" for k in m], weights_fold(len(lives)), block, order="i")
-    most = F.greatest(*[f"log_{k}" for k in m]) if len(lives) > 1 else F.col("log_0")
-    best = F.coalesce(*[F.when(F.col(f"log_{k}") == most, k) for k in m])
-    picked = scored.join(logs.select("i", best.alias("best")), "i")
-    chosen = lambda c, of: F.get(F.array(*[F.col(f"{c}_{k}") for k in m]), F.col(of))
-    # The day before's choice, by number, so that no window holds all days
-    before = picked.select((F.col("i") + 1).alias("i"), F.col("best").alias("_then"))
-    picked = picked.join(before, "i", "left").withColumn("_then", F.coalesce("_then", F.lit(0)))
-    picked = picked.select("series", "i", "dt", chosen("k", "best").cast("long").alias("k"), chosen("market", "_then").alias("market"), chosen("scores", "best").alias("scores"))
-    wide = picked.select("series", "i", *[F.get("scores", F.lit(j)).alias(f"score_{j}") for j in range(WIDTH)])
-    level = in_segments(wide, [f"score_{j}" for j in range(WIDTH)], sums_fold(WIDTH), block, order="i")
-    return picked.join(level.select("i", "levels"), "i").select("dt", "levels", "k", "market")
+    own = rows.join(blocks, "series").select("block", "series", "dt", "z")
+    means = own.groupBy("block", "dt").agg(F.avg("z").alias("mean"), F.count("z").alias("n"))  # days without a value age the deviation
+    own = own.where("z IS NOT NULL")
+    steps = in_segments(means, ["mean"], step_fold(), width, "block", keep=("mean", "n"))
+    share = F.when(F.col("mean") != 0, F.col("z") / F.col("n") / F.col("mean") * F.col("step")).otherwise(0.0)
+    return in_segments(own.join(steps, ["block", "dt"]).withColumn("share", share), ["share"], sum_fold("part"), width, "block", "series")

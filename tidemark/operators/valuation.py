@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators import kernels, segments, stats
 from tidemark.operators.align import admitted, available, ordered
@@ -129,7 +130,7 @@ class Reversion:
         return 0.5 * math.erfc(-(1 - phi) / se / math.sqrt(2)), math.log(2) / -math.log(min(max(phi, 1e-6), 0.999999)) if 0 < phi < 1 else math.nan
 
 
-OUTPUTS = ("fitted", "gap", "oscillator", "sd", "low", "high", "reverts", "half_life", "agreement", "confidence", "factor_weight", "importance")
+OUTPUTS = ("fitted", "gap", "oscillator", "sd", "low", "high", "reverts", "half_life", "agreement", "confidence", "factor_weight", "importance", "betas")
 
 
 def valued(price: np.ndarray, factors: np.ndarray, blocks: np.ndarray, burn_in: int = 250) -> dict[str, list]:
@@ -160,6 +161,7 @@ def valued(price: np.ndarray, factors: np.ndarray, blocks: np.ndarray, burn_in:
         rows = np.append(1.0, factors[t]), np.append(1.0, blocks[t])
         made = [v.forecast(x) for v, x in zip(views, rows, strict=True)]
         w = kernels.normalised(logs)
+        betas = np.concatenate([x * v.coefficients for x, v in zip(w, views, strict=True)]).tolist()
         fair = float(w @ [f for f, _ in made])
         sd = math.sqrt(max(float(sum(x * (q + (f - fair) ** 2) for x, (f, q) in zip(w, made, strict=True))), 1e-12))
         gap = p - fair
@@ -175,23 +177,30 @@ def valued(price: np.ndarray, factors: np.ndarray, blocks: np.ndarray, burn_in:
         times = width.step(abs(gap / sd))
         moved = np.abs(left - gap)
         none = lambda v: None if v != v else v
-        row = (fair, gap, gap / sd, sd, fair - times * sd, fair + times * sd, none(sure), none(half_life), agreement, none(math.sqrt(max(sure, 0.0) * agreement)) if sure == sure else None, float(w[0]), (moved / max(moved.sum(), kernels.TINY)).tolist())
+        row = (fair, gap, gap / sd, sd, fair - times * sd, fair + times * sd, none(sure), none(half_life), agreement, none(math.sqrt(max(sure, 0.0) * agreement)) if sure == sure else None, float(w[0]), (moved / max(moved.sum(), kernels.TINY)).tolist(), betas)
         for c, v in zip(OUTPUTS, row, strict=True):
             out[c][t] = v
     return out
 
 
 def fair_value(rows: DataFrame, factors: DataFrame, target: DataFrame, blocks: DataFrame, burn_in: int = 250) -> DataFrame:
-    """(series, dt, fitted, gap, oscillator, sd, low, high, reverts, half_life, agreement, confidence, factor_weight, importance).
+    """(series, dt, fitted, gap, oscillator, sd, low, high, reverts, half_life, agreement, confidence, factor_weight, importance, betas).
 
     rows are `standardised` ones of the panel, factors theirs (`panel_blocks.panel_factors`), blocks (series, block), target
     (series, dt, px), one series or several, each an ordered group.
-    fitted, low, high and gap are logs. importance lists each block's share, in the order of the blocks' names.
+    fitted, low, high and gap are logs. importance lists each block's share, in the order of the blocks' names. betas are the
+    weighted coefficients that make fitted: a constant and the factors', then a constant and the blocks'.
     """
     order = blocks.select("block").distinct().agg(F.array_sort(F.collect_set("block")).alias("names"))
-    levels = block_levels(rows, blocks).groupBy("dt").agg(F.map_from_entries(F.collect_list(F.struct("block", "level"))).alias("m")).join(order)
+    days = target.select("dt").distinct()
+    held = lambda c, *by: F.last(c, ignorenulls=True).over(Window.partitionBy(*by).orderBy("dt"))  # noqa: E731  (a block's days)
+    # Levels as of each of the target's dates, those of days between them too
+    grid = days.join(blocks.select("block").distinct())  # a row a block and day
+    levels = block_levels(rows, blocks).join(grid, ["block", "dt"], "full").withColumn("level", held("level", "block")).join(days, "dt", "left_semi")
+    levels = levels.groupBy("dt").agg(F.map_from_entries(F.collect_list(F.struct("block", "level"))).alias("m")).join(order)
     levels = levels.select("dt", F.transform("names", lambda n: F.try_element_at("m", n)).alias("blocks"))
-    wide = target.select("series", "dt", F.log("px").alias("p")).join(factors.select("dt", "levels"), "dt", "left").join(levels, "dt", "left")
+    scored = factors.select("dt", "levels").join(days, "dt", "full").withColumn("levels", held("levels", F.lit(0))).join(days, "dt", "left_semi")
+    wide = target.select("series", "dt", F.log("px").alias("p")).join(scored, "dt", "left").join(levels, "dt", "left")
     kind = dict(target.dtypes)["dt"]
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
@@ -200,10 +209,34 @@ def fair_value(rows: DataFrame, factors: DataFrame, target: DataFrame, blocks: D
         def filled(column: str) -> np.ndarray:
             size = max((len(v) for v in own[column] if v is not None), default=0)
             x = np.array([np.array(v, float) if v is not None else np.full(size, np.nan) for v in own[column]]).reshape(len(own), size)
-            return pd.DataFrame(x).ffill().fillna(0.0).to_numpy()  # levels hold where nothing printed
+            return np.nan_to_num(x)  # before the first level
 
         made = valued(own["p"].to_numpy(float), filled("levels"), filled("blocks"), burn_in)
         return pd.DataFrame({"series": own["series"].to_numpy(), "dt": own["dt"].to_numpy()} | made)
 
-    numbers = ", ".join(f"{c} double" for c in OUTPUTS[:-1])
-    return wide.groupBy("series").applyInPandas(run, f"series string, dt {kind}, {numbers}, importance array<double>")
+    numbers = ", ".join(f"{c} double" for c in OUTPUTS[:-2])
+    return wide.groupBy("series").applyInPandas(run, f"series string, dt {kind}, {numbers}, importance array<double>, betas array<double>")
+
+
+def attribution(value: DataFrame, factor_parts: DataFrame, block_parts: DataFrame, blocks: DataFrame, n_factors: int) -> DataFrame:
+    """(series, dt, instrument, part) of fair_value's rows on the dates of factor_parts: parts of all instruments and the constant
+    (instrument null) add up to fitted.
+
+    factor_parts are (dt, factor, series, part), block_parts (block, dt, series, part) of blocks (series, block), carried to dates without a row of theirs.
+    """
+    rows = value.where("betas IS NOT NULL").select("series", "dt", "betas").join(factor_parts.select("dt").distinct(), "dt", "left_semi")
+    beta = lambda k: F.get("betas", k)
+    constant = rows.select("series", "dt", F.lit(None).cast("string").alias("instrument"), (beta(F.lit(0)) + beta(F.lit(n_factors + 1))).alias("part"))
+    by_factor = rows.join(factor_parts.withColumnRenamed("series", "instrument"), "dt").select("series", "dt", "instrument", (beta(F.col("factor") + 1) * F.col("part")).alias("part"))
+    names = blocks.select("block").distinct().agg(F.array_sort(F.collect_set("block")).alias("_names"))  # the blocks: a few
+    spells = block_parts.withColumn("_until", F.lead("dt").over(Window.partitionBy("block", "series").orderBy("dt")))
+    spells = spells.select("block", F.col("series").alias("instrument"), F.col("dt").alias("_from"), "_until", "part")
+    # As of: each date meets the spell that holds it, month by month
+    month = lambda d: F.trunc(d, "month")
+    until = F.least(F.coalesce(F.col("_until"), F.col("_end")), F.col("_end"))
+    ends = rows.agg(F.max("dt").alias("_end"))
+    spells = spells.join(ends).where("_from <= _end").withColumn("_month", F.explode(F.sequence(month("_from"), month(until), F.expr("INTERVAL 1 MONTH"))))
+    held = rows.withColumn("_month", month("dt")).join(spells, "_month").where("_from <= dt AND (_until IS NULL OR dt < _until)").join(names)
+    by_block = held.select("series", "dt", "instrument", (beta(n_factors + 1 + F.array_position("_names", F.col("block")).cast("int")) * F.col("part")).alias("part"))
+    every = constant.unionByName(by_factor).unionByName(by_block)
+    return every.groupBy("series", "dt", "instrument").agg(F.sum("part").alias("part"))

@@ -32,17 +32,22 @@ def query(sql: str | None = None):
     return add
 
 
-_HELD: dict[tuple, DataFrame] = {}
+_HELD: dict[tuple, object] = {}
 
 
-def held(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A frame that several queries share, written once a session and folder."""
+def once(spark: SparkSession, d: str, name: str, make: Callable[[], object]):
+    """What several queries share, made once a session and folder."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _HELD:
-        _HELD[key] = written(make(), name)
+        _HELD[key] = make()
     return _HELD[key]
 
 
+def held(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A frame that several queries share, written once a session and folder."""
+    return once(spark, d, name, lambda: written(make(), name))
+
+
 def r(x: str, digits: int = 6) -> str:
     """fixed() in SQL."""
     return f"floor(({x}) * 1e{digits} + 0.501) / 1e{digits}"

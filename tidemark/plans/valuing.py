@@ -8,7 +8,7 @@ from tidemark.functions.scalar import fixed
 from tidemark.operators import folds, kernels, panel_blocks, relations, roots, segments, valuation
 from tidemark.operators import windows as w
 from tidemark.operators.align import ordered
-from tidemark.plans.registry import BARS, LAG, PANEL, held, query, r
+from tidemark.plans.registry import BARS, LAG, PANEL, held, once, query, r
 from tidemark.sources import tables as src
 
 FLOOR, BLOCK = 60, 512
@@ -50,8 +50,12 @@ def _rows(spark, d):
     return held(spark, d, "standardised", lambda: valuation.standardised(_panel(spark, d), FLOOR, with_return=True))
 
 
+def _panel_run(spark, d) -> panel_blocks.Panel:
+    return once(spark, d, "panel", lambda: panel_blocks.Panel(_rows(spark, d), block=BLOCK))
+
+
 def _factors(spark, d):
-    return held(spark, d, "factors", lambda: panel_blocks.panel_factors(_rows(spark, d), block=BLOCK))
+    return held(spark, d, "factors", _panel_run(spark, d).levels)
 
 
 def _value(spark, d):
@@ -63,6 +67,32 @@ def r14_panel_factors(spark, d):
     return _factors(spark, d).select("dt", "levels", "k")
 
 
+def _factor_parts(spark, d):
+    return held(spark, d, "factor_parts", _panel_run(spark, d).parts)
+
+
+def _block_parts(spark, d):
+    return held(spark, d, "block_parts", lambda: panel_blocks.block_parts(_rows(spark, d), _blocks(spark, d), BLOCK))
+
+
+@query()
+def r14_attribution(spark, d):
+    """What each instrument has added to each factor's level, every 21st day."""
+    return _factor_parts(spark, d)
+
+
+@query()
+def r15_attribution(spark, d):
+    """What each member has added to its block's level."""
+    return _block_parts(spark, d)
+
+
+@query()
+def r18_attribution(spark, d):
+    """What each instrument adds to the fair value, every 21st day; the rest is the constant's."""
+    return valuation.attribution(_value(spark, d), _factor_parts(spark, d), _block_parts(spark, d), _blocks(spark, d), kernels.MOST_FACTORS)
+
+
 @query()
 def r16_market_regimes(spark, d):
     """Hidden states of the market factor and its volatility, and the rank of that volatility."""
