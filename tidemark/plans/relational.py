@@ -312,11 +312,9 @@ def _pull(slope: str, n: str) -> str:
     return f"greatest(-ln(greatest(least({a} + (1 + 3 * {a}) / {n} + CASE WHEN {a} > 0.95 THEN 3 * (1 + 3 * {a}) / ({n} * {n}) ELSE 0 END, 0.999), 0)), 1e-4)"
 
 
-PULLS = "OVER (PARTITION BY series ORDER BY dt ROWS BETWEEN 58 PRECEDING AND CURRENT ROW)"
-
-
-@query(f"""WITH {PANEL}, l AS (SELECT series, dt, ln(px) AS x, lag(ln(px)) {LAG} AS b, row_number() {LAG} AS k, count(*) OVER (PARTITION BY series) AS n FROM panel),
-w AS (SELECT series, k, {_pull(f'regr_slope(x, b) {PULLS}', '59.0')} AS theta FROM l QUALIFY k >= 60 AND k < n), t AS (SELECT series, arg_max(theta, k) AS now, stddev_pop(theta) AS spread FROM w GROUP BY series),
+@query(f"""WITH {PANEL}, l AS (SELECT series, dt, ln(px) AS x, lag(ln(px)) {LAG} AS b, row_number() {LAG} AS k, count(*) OVER (PARTITION BY series) AS n, least(60, count(*) OVER (PARTITION BY series) // 3) AS size FROM panel),
+p AS (SELECT a.series, a.k, a.size - 1.0::DOUBLE AS m, regr_slope(b.x, b.b) AS s FROM l a JOIN l b ON a.series = b.series AND b.k BETWEEN a.k - a.size + 2 AND a.k WHERE a.k >= a.size AND a.k < a.n GROUP BY ALL),
+w AS (SELECT series, k, CASE WHEN m < 19 THEN 0.05 ELSE {_pull('s', 'm')} END AS theta FROM p), t AS (SELECT series, arg_max(theta, k) AS now, stddev_pop(theta) AS spread FROM w GROUP BY series),
 f AS (SELECT series, count(b)::DOUBLE AS m, regr_slope(x, b) AS s, regr_intercept(x, b) AS i, arg_max(x, dt) AS x0 FROM l GROUP BY series), o AS (SELECT *, i / (1 - exp(-{_pull('s', 'm')})) AS mu FROM f),
 k AS (SELECT *, unnest(range(1, 91)) AS step FROM o JOIN t USING (series))
 SELECT series, step::INT AS step, {r('mu + (x0 - mu) * exp(-now * step)', 5)} AS mean, {r('mu + (x0 - mu) * exp(-(now + spread) * step)', 5)} AS low, {r('mu + (x0 - mu) * exp(-(now - spread) * step)', 5)} AS high FROM k""")
