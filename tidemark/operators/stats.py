@@ -166,6 +166,22 @@ def trend_fit(df: DataFrame, column: str, share: float) -> DataFrame:
     return rows.groupBy("series").agg(F.first("slope").alias("slope"), F.first("start").alias("start"), *[F.corr(F.when(t, F.col(column)), F.when(t, F.col("_fit"))).alias(c) for c, t in parts.items()])
 
 
+def curve_fit(df: DataFrame, column: str, share: float) -> DataFrame:
+    """(series, slope, bend, start, r_train, r_test): a parabola in place of `trend_fit`'s line.
+
+    The squared place is freed of its own line first, so that line and bend are fitted each by itself.
+    """
+    one = Window.partitionBy("series")
+    rows = df.withColumn("_t", F.row_number().over(ordered()).cast("double")).withColumn("_train", F.col("_t") <= F.floor(share * F.count("*").over(one)))
+    train, square = rows.where("_train"), F.col("_t") * F.col("_t")
+    line = train.groupBy("series").agg(F.regr_slope(column, "_t").alias("slope"), F.regr_intercept(column, "_t").alias("start"), F.regr_slope(square, F.col("_t")).alias("_s"), F.regr_intercept(square, F.col("_t")).alias("_i"))
+    rows = rows.join(line, "series").withColumn("_q", square - F.col("_s") * F.col("_t") - F.col("_i"))
+    bend = rows.where("_train").groupBy("series").agg(F.try_divide(F.sum(F.col(column) * F.col("_q")), F.sum(F.col("_q") * F.col("_q"))).alias("bend"))
+    rows = rows.join(bend, "series").withColumn("_fit", F.col("slope") * F.col("_t") + F.col("start") + F.col("bend") * F.col("_q"))
+    parts = {"r_train": F.col("_train"), "r_test": ~F.col("_train")}
+    return rows.groupBy("series").agg(*[F.first(c).alias(c) for c in ("slope", "bend", "start")], *[F.corr(F.when(t, F.col(column)), F.when(t, F.col("_fit"))).alias(c) for c, t in parts.items()])
+
+
 def safe_summary(df: DataFrame, column: str, fill: float = 0.0) -> DataFrame:
     """(series, n, mean, sd, low, high, total); fill where a series has too few values."""
     made = {"mean": F.avg(column), "sd": F.stddev_samp(column), "low": F.min(column), "high": F.max(column), "total": F.sum(column)}

@@ -250,6 +250,39 @@ def a03_regime_counts(spark, d):
     return stats.label_counts(_daily(spark, d), "regime")
 
 
+@query(f"""WITH {PANEL}, k AS (SELECT series, px, CAST(row_number() {LAG} AS DOUBLE) AS t, count(*) OVER (PARTITION BY series) AS n FROM panel), s AS (SELECT *, t <= floor(0.7::DOUBLE * n) AS train FROM k),
+f AS (SELECT series, regr_slope(px, t) AS a, regr_intercept(px, t) AS b, regr_slope(t * t, t) AS u, regr_intercept(t * t, t) AS v FROM s WHERE train GROUP BY series), q AS (SELECT s.*, a, b, t * t - u * t - v AS q FROM s JOIN f USING (series)),
+g AS (SELECT series, sum(px * q) / sum(q * q) AS c FROM q WHERE train GROUP BY series)
+SELECT series, {r('any_value(a)')} AS slope, {r('any_value(c)', 9)} AS bend, {r('any_value(b)', 3)} AS start, {r('corr(px, a * t + b + c * q) FILTER (train)')} AS r_train, {r('corr(px, a * t + b + c * q) FILTER (NOT train)')} AS r_test FROM q JOIN g USING (series) GROUP BY series""")
+def a25_curve_fit(spark, d):
+    out = stats.curve_fit(src.panel_daily(spark, d), "px", 0.7)
+    return out.select("series", *[fixed(F.col(c), k).alias(c) for c, k in (("slope", 6), ("bend", 9), ("start", 3), ("r_train", 6), ("r_test", 6))])
+
+
+@query(f"""WITH {PANEL}, {SPINE}, v AS (SELECT 'a' AS source, 1 AS version, series, dt, px FROM panel WHERE year(dt) <= 1998 UNION ALL SELECT 'b', 2, series, dt, px FROM panel WHERE year(dt) > 1996 AND right(series, 1) IN ('1', '2', '3')),
+k AS (SELECT series, source, max(version) AS version, count(px) AS coverage FROM v SEMI JOIN weekdays USING (dt) GROUP BY 1, 2), best AS (SELECT series, arg_max(source, (coverage, version)) AS source FROM k GROUP BY series),
+w AS (SELECT v.* FROM v JOIN best USING (series, source) SEMI JOIN weekdays USING (dt)), l AS (SELECT series, source, max(dt) AS newest FROM w GROUP BY 1, 2), ok AS (SELECT series, source FROM l WHERE (SELECT count(*) FROM weekdays d WHERE d.dt > l.newest) <= 10)
+SELECT ok.series, d.dt, {r('last_value(w.px IGNORE NULLS) OVER (PARTITION BY ok.series ORDER BY d.dt)', 3)} AS px, ok.source FROM ok CROSS JOIN weekdays d LEFT JOIN w ON w.series = ok.series AND w.dt = d.dt""")
+def s25_repaired_series(spark, d):
+    """Series repaired from the source that covers the weekdays best, if it is recent enough."""
+    panel = src.panel_daily(spark, d)
+    a = panel.where(F.year("dt") <= 1998).select(F.lit("a").alias("source"), F.lit(1).alias("version"), "series", "dt", "px")
+    b = panel.where((F.year("dt") > 1996) & F.right("series", F.lit(1)).isin("1", "2", "3")).select(F.lit("b").alias("source"), F.lit(2).alias("version"), "series", "dt", "px")
+    out = src.repaired(weekdays(panel), a.unionByName(b), panel.where("px IS NULL").select("series"))
+    return out.select("series", "dt", fixed(F.col("px"), 3).alias("px"), "source")
+
+
+@query(f"""WITH {PANEL}, {TARGET}, {SPINE}, {NAMES}, n AS (SELECT name AS series, dt, px FROM panel JOIN names USING (series)), e AS (SELECT series FROM n SEMI JOIN weekdays USING (dt) GROUP BY series HAVING count(*) >= 0.2 * (SELECT count(*) FROM weekdays)),
+rw AS (SELECT * FROM n SEMI JOIN e USING (series) UNION ALL SELECT 'sheet' AS series, dt, px FROM target), g AS (SELECT series, dt FROM (SELECT DISTINCT series FROM rw) CROSS JOIN weekdays),
+f AS (SELECT coalesce(g.series, rw.series) AS series, coalesce(g.dt, rw.dt) AS dt, g.dt IS NOT NULL AS spine, px FROM rw FULL JOIN g ON g.series = rw.series AND g.dt = rw.dt),
+h AS (SELECT series, dt, spine, last_value(px IGNORE NULLS) OVER (PARTITION BY series ORDER BY dt) AS px FROM f) SELECT series, dt, {r('px', 3)} AS px FROM h WHERE spine AND px IS NOT NULL""")
+def s07_model_rows(spark, d):
+    """The model's rows: the panel under its names and the target as a sheet's series, along the weekdays."""
+    panel = src.panel_daily(spark, d)
+    out = src.model_rows(panel, _names(spark, d), weekdays(panel), src.target_daily(spark, d).withColumn("series", F.lit("sheet")))
+    return out.select("series", "dt", fixed(F.col("px"), 3).alias("px"))
+
+
 @query(f"""WITH {PANEL}, b AS (SELECT series, {BLANK} AS px FROM panel), m AS (SELECT series, median(px) AS m FROM b GROUP BY series) SELECT series, {r('sum(coalesce(px, m))', 2)} AS total, count(*) AS n FROM b JOIN m USING (series) GROUP BY series""")
 def a11_median_imputation(spark, d):
     rows = stats.median_imputed(_blanked(spark, d), ["px"])
@@ -276,6 +309,39 @@ def a25_trend_fit(spark, d):
     return out.select("series", *[fixed(F.col(c), k).alias(c) for c, k in (("slope", 6), ("start", 3), ("r_train", 6), ("r_test", 6))])
 
 
+@query(f"""WITH {PANEL}, k AS (SELECT series, px, CAST(row_number() {LAG} AS DOUBLE) AS t, count(*) OVER (PARTITION BY series) AS n FROM panel), s AS (SELECT *, t <= floor(0.7::DOUBLE * n) AS train FROM k),
+f AS (SELECT series, regr_slope(px, t) AS a, regr_intercept(px, t) AS b, regr_slope(t * t, t) AS u, regr_intercept(t * t, t) AS v FROM s WHERE train GROUP BY series), q AS (SELECT s.*, a, b, t * t - u * t - v AS q FROM s JOIN f USING (series)),
+g AS (SELECT series, sum(px * q) / sum(q * q) AS c FROM q WHERE train GROUP BY series)
+SELECT series, {r('any_value(a)')} AS slope, {r('any_value(c)', 9)} AS bend, {r('any_value(b)', 3)} AS start, {r('corr(px, a * t + b + c * q) FILTER (train)')} AS r_train, {r('corr(px, a * t + b + c * q) FILTER (NOT train)')} AS r_test FROM q JOIN g USING (series) GROUP BY series""")
+def a25_curve_fit(spark, d):
+    out = stats.curve_fit(src.panel_daily(spark, d), "px", 0.7)
+    return out.select("series", *[fixed(F.col(c), k).alias(c) for c, k in (("slope", 6), ("bend", 9), ("start", 3), ("r_train", 6), ("r_test", 6))])
+
+
+@query(f"""WITH {PANEL}, {SPINE}, v AS (SELECT 'a' AS source, 1 AS version, series, dt, px FROM panel WHERE year(dt) <= 1998 UNION ALL SELECT 'b', 2, series, dt, px FROM panel WHERE year(dt) > 1996 AND right(series, 1) IN ('1', '2', '3')),
+k AS (SELECT series, source, max(version) AS version, count(px) AS coverage FROM v SEMI JOIN weekdays USING (dt) GROUP BY 1, 2), best AS (SELECT series, arg_max(source, (coverage, version)) AS source FROM k GROUP BY series),
+w AS (SELECT v.* FROM v JOIN best USING (series, source) SEMI JOIN weekdays USING (dt)), l AS (SELECT series, source, max(dt) AS newest FROM w GROUP BY 1, 2), ok AS (SELECT series, source FROM l WHERE (SELECT count(*) FROM weekdays d WHERE d.dt > l.newest) <= 10)
+SELECT ok.series, d.dt, {r('last_value(w.px IGNORE NULLS) OVER (PARTITION BY ok.series ORDER BY d.dt)', 3)} AS px, ok.source FROM ok CROSS JOIN weekdays d LEFT JOIN w ON w.series = ok.series AND w.dt = d.dt""")
+def s25_repaired_series(spark, d):
+    """Series repaired from the source that covers the weekdays best, if it is recent enough."""
+    panel = src.panel_daily(spark, d)
+    a = panel.where(F.year("dt") <= 1998).select(F.lit("a").alias("source"), F.lit(1).alias("version"), "series", "dt", "px")
+    b = panel.where((F.year("dt") > 1996) & F.right("series", F.lit(1)).isin("1", "2", "3")).select(F.lit("b").alias("source"), F.lit(2).alias("version"), "series", "dt", "px")
+    out = src.repaired(weekdays(panel), a.unionByName(b), panel.where("px IS NULL").select("series"))
+    return out.select("series", "dt", fixed(F.col("px"), 3).alias("px"), "source")
+
+
+@query(f"""WITH {PANEL}, {TARGET}, {SPINE}, {NAMES}, n AS (SELECT name AS series, dt, px FROM panel JOIN names USING (series)), e AS (SELECT series FROM n SEMI JOIN weekdays USING (dt) GROUP BY series HAVING count(*) >= 0.2 * (SELECT count(*) FROM weekdays)),
+rw AS (SELECT * FROM n SEMI JOIN e USING (series) UNION ALL SELECT 'sheet' AS series, dt, px FROM target), g AS (SELECT series, dt FROM (SELECT DISTINCT series FROM rw) CROSS JOIN weekdays),
+f AS (SELECT coalesce(g.series, rw.series) AS series, coalesce(g.dt, rw.dt) AS dt, g.dt IS NOT NULL AS spine, px FROM rw FULL JOIN g ON g.series = rw.series AND g.dt = rw.dt),
+h AS (SELECT series, dt, spine, last_value(px IGNORE NULLS) OVER (PARTITION BY series ORDER BY dt) AS px FROM f) SELECT series, dt, {r('px', 3)} AS px FROM h WHERE spine AND px IS NOT NULL""")
+def s07_model_rows(spark, d):
+    """The model's rows: the panel under its names and the target as a sheet's series, along the weekdays."""
+    panel = src.panel_daily(spark, d)
+    out = src.model_rows(panel, _names(spark, d), weekdays(panel), src.target_daily(spark, d).withColumn("series", F.lit("sheet")))
+    return out.select("series", "dt", fixed(F.col("px"), 3).alias("px"))
+
+
 @query(f"""WITH {PANEL}, b AS (SELECT series, {BLANK} AS px FROM panel) SELECT series, count(px) AS n, {r('coalesce(avg(px), 0)', 4)} AS mean, {r('coalesce(stddev_samp(px), 0)', 4)} AS sd, {r('coalesce(min(px), 0)', 4)} AS low, {r('coalesce(max(px), 0)', 4)} AS high, {r('coalesce(sum(px), 0)', 2)} AS total FROM b GROUP BY series""")
 def a26_safe_summary(spark, d):
     out = stats.safe_summary(_blanked(spark, d), "px")

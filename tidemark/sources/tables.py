@@ -85,6 +85,38 @@ def best_source(spine: DataFrame, sources: DataFrame) -> DataFrame:
     return covered.withColumn("place", F.row_number().over(first)).where("place = 1").select("series", "source", "coverage")
 
 
+def repaired(spine: DataFrame, sources: DataFrame, present: DataFrame, most_behind: int = 10) -> DataFrame:
+    """(series, dt, px, source): on the spine, the values of series that present (series) lacks, from each one's `best_source`.
+
+    A source whose last value lies more than most_behind rows of the spine before its end is no repair, and the series is left
+    out. Else values are carried forward.
+    """
+    best = best_source(spine, sources.join(present, "series", "left_anti"))
+    rows = sources.join(spine, "dt", "left_semi").join(best.select("series", "source"), ["series", "source"]).where("px IS NOT NULL")
+    rows = rows.groupBy("series", "source", "dt").agg(F.max_by("px", "version").alias("px"))
+    days = spine.select("dt", F.count("*").over(Window.orderBy(F.desc("dt"))).alias("_after"))  # a row a day
+    fresh = rows.groupBy("series", "source").agg(F.max("dt").alias("dt")).join(days, "dt").where(F.col("_after") - 1 <= most_behind).select("series", "source")
+    whole = fresh.join(spine.select("dt")).join(rows, ["series", "source", "dt"], "left")  # a repaired series on every day
+    upto = Window.partitionBy("series").orderBy("dt")
+    return whole.select("series", "dt", F.last("px", ignorenulls=True).over(upto).alias("px"), "source")
+
+
+def model_rows(panel: DataFrame, names: DataFrame, spine: DataFrame, extra: DataFrame, least_share: float = 0.2) -> DataFrame:
+    """(series, dt, px) of a model: named series of panel with values on least_share of the spine's days, and extra series, all
+    carried forward along the spine.
+
+    panel and extra are (series, dt, px), names (series, name), spine (dt). A value between two days of the spine counts from
+    the later one on; a series has no rows before its first value.
+    """
+    named = panel.join(names, "series").select(F.col("name").alias("series"), "dt", "px").where("px IS NOT NULL")
+    n = spine.agg(F.count("*").alias("_n"))
+    enough = named.join(spine, "dt", "left_semi").groupBy("series").agg(F.count("*").alias("_k")).join(n).where(F.col("_k") >= least_share * F.col("_n")).select("series")
+    rows = named.join(enough, "series", "left_semi").unionByName(extra.where("px IS NOT NULL").select("series", "dt", "px"))
+    grid = rows.select("series").distinct().join(spine.select("dt", F.lit(True).alias("_on")))  # a row a series and day
+    filled = rows.join(grid, ["series", "dt"], "full").withColumn("px", F.last("px", ignorenulls=True).over(Window.partitionBy("series").orderBy("dt")))
+    return filled.where("_on AND px IS NOT NULL").select("series", "dt", "px")
+
+
 def fingerprint(series: DataFrame, digits: int = 3) -> DataFrame:
     """(series, n_rows, mark): 12 hex digits of the SHA-256 of a series' settled rows; the newest row doesn't count."""
     newest = Window.partitionBy("series")
