@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import names
 from tidemark.functions import scalar as fn
 from tidemark.functions.scalar import fixed
 from tidemark.operators import align, calendars, folds, relations, roots, scores, segments, stats
@@ -475,6 +476,34 @@ def j13_asset_classes(spark, d):
     return src.table(spark, d, "part").select("p_partkey", fn.asset_class(F.concat("p_type", F.lit(" "), "p_name")).alias("class"))
 
 
+PART_NAME = "replace(p_type || ' ' || p_name, '#', '/')"
+
+
+@query("SELECT p_partkey, CASE " + " ".join(f"WHEN {PART_NAME} IN ({', '.join(repr(t) for t in listed.split())}) THEN '{label}'" for label, listed in names.TICKERS.items())
+       + " ".join(f" WHEN regexp_matches({PART_NAME}, '(?i){pattern}') THEN '{label}'" for pattern, label in names.PATTERNS)
+       + f" WHEN {PART_NAME} LIKE '%=X' THEN 'Currency' WHEN {PART_NAME} LIKE '%=F' THEN 'Commodity Broad'" + "".join(f" WHEN starts_with({PART_NAME}, '{head}') THEN 'Equity'" for head in names.EQUITY) + " ELSE 'Other' END AS block FROM part")
+def j13_asset_blocks(spark, d):
+    """The asset class of every part's name by tickers, patterns and shape."""
+    name = F.replace(F.concat("p_type", F.lit(" "), "p_name"), F.lit("#"), F.lit("/"))
+    return src.table(spark, d, "part").select("p_partkey", names.asset_block(name).alias("block"))
+
+
+TAILS = [*names.SUFFIXES, *names.CRYPTO, "=X", "=F", ".SHEET", ".NCDEX", "", "-B", "/X"]
+TAIL_SQL = f"list_extract({TAILS}, CAST(1 + s_suppkey % {len(TAILS)} AS INTEGER))"
+
+
+@query(f"""WITH t AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN list_extract({[*names.INDICES, '^NSEBANK', '^OTHER']}, CAST(1 + s_suppkey % {len(names.INDICES) + 2} AS INTEGER)) ELSE 'S' || s_suppkey || {TAIL_SQL} END AS ticker FROM supplier)
+SELECT s_suppkey, ticker, CASE WHEN ticker LIKE '%=X' THEN 'FX' WHEN ticker LIKE '%=F' THEN 'CMES' """ + " ".join(f"WHEN ends_with(ticker, '{c}') THEN 'CRYPTO'" for c in names.CRYPTO) + " WHEN ends_with(ticker, '.SHEET') OR ends_with(ticker, '.NCDEX') THEN 'XBOM' "
+       + " ".join(f"WHEN ends_with(ticker, '{end}') THEN '{place}'" for end, place in names.SUFFIXES.items()) + " " + " ".join(f"WHEN ticker = '{name}' THEN '{place}'" for name, place in names.INDICES.items())
+       + " ".join(f" WHEN starts_with(ticker, '{head}') THEN 'XBOM'" for head in names.INDIAN) + " WHEN regexp_full_match(ticker, '[A-Z0-9.-]+') THEN 'XNYS' ELSE '' END AS venue FROM t")
+def f_venues(spark, d):
+    """The venue of a ticker for every supplier, of all kinds of ends and indices."""
+    listed = [*names.INDICES, "^NSEBANK", "^OTHER"]
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("s_suppkey") % len(values)).cast("int"))
+    ticker = F.when(F.col("s_suppkey") % 7 == 0, pick(listed)).otherwise(F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), pick(TAILS)))
+    return src.table(spark, d, "supplier").select("s_suppkey", ticker.alias("ticker")).withColumn("venue", names.venue(F.col("ticker")))
+
+
 #: Brands trade on exchanges by their number.
 VENUES = ("XNYS", "XLON", "XETR", "XPAR", "CMES", "CRYPTO", "WEEK")
 VENUE_SQL = f"list_extract({list(VENUES)}, 1 + CAST(regexp_extract(series, '[0-9]+') AS INTEGER) % {len(VENUES)})"
