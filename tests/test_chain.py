@@ -65,3 +65,23 @@ def test_equal_outcomes(spark, value, t):
     out = stats.signal_performance(df, "z", "f", 1, 1.0)
     row = out.withColumn("p", stats.t_p_value(out["t"], out["n"] - 1)).first()
     assert row.t == t and row.p == (None if t is None else 0.0)
+
+
+def test_outputs_of_the_fair_value():
+    random = np.random.default_rng(4)
+    n = 420
+    factors, blocks = np.cumsum(random.normal(size=(n, 3)), 0), np.cumsum(random.normal(size=(n, 2)), 0)
+    price = 5 + factors[:, 0] * 0.02 + blocks[:, 1] * 0.01 + random.normal(size=n) * 0.01
+    price[300] = np.nan
+    out = {c: v for c, v in valuation.valued(price, factors, blocks, burn_in=60).items()}
+    live = [t for t in range(60, n) if t != 300]
+    assert all(out["gap"][t] is None for t in (*range(60), 300))
+    w = m = 0.0
+    keep = 2 ** (-1 / 252)
+    for t in live:
+        m, w = keep * m + (1 - keep) * out["gap"][t] ** 2, keep * w + 1 - keep
+        row = np.concatenate([[1], factors[t], [1], blocks[t]])
+        assert abs(np.array(out["betas"][t]) @ row - out["fitted"][t]) < 1e-9 and abs(out["gap"][t] - price[t] + out["fitted"][t]) < 1e-12
+        assert abs(out["error"][t] - math.sqrt(m / w)) < 1e-12 and abs(out["mispricing"][t] - math.expm1(out["gap"][t])) < 1e-12
+        assert 0 <= out["factor_share"][t] <= 1 and 1000 <= out["adaptation"][t] <= 10_000 and out["unlikeness"][t] >= 0
+    assert out["error"][-1] < 0.1 and np.mean([out["low"][t] <= price[t] <= out["high"][t] for t in live[-200:]]) > 0.85

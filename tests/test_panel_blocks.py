@@ -20,7 +20,7 @@ def panel(seed: int, n_days: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return z, np.nan_to_num(z) * 0.01
 
 
-@pytest.mark.parametrize(("n_days", "n", "block"), [(420, 8, 64), (150, 5, 200)])
+@pytest.mark.parametrize(("n_days", "n", "block"), [(300, 6, 64), (120, 5, 200)])
 def test_blocks(spark, n_days, n, block):
     z, ret = panel(n, n_days, n)
     days = [dt.date(2020, 1, 1) + dt.timedelta(int(k)) for k in range(n_days)]
@@ -31,6 +31,7 @@ def test_blocks(spark, n_days, n, block):
     assert len(got) == n_days and (got["k"].to_numpy() == want["k"]).all()
     np.testing.assert_allclose(np.array(got["levels"].tolist()), want["levels"], atol=1e-9)
     assert len(set(want["k"])) > 1
+    assert got["explained"].between(0, 1).all() and got["explained"].iloc[-1] > 0.2 and set(got["memory"]) <= set(kernels.MEMORY_LIVES) and got["t_eff"].iloc[-1] > 20
     # The market: its first known factor's portfolio; the mean before there is one
     seen = np.isfinite(z)
     assert abs(got["market"].iloc[4] - ret[4][seen[4]].mean()) < 1e-12 and np.isfinite(got["market"]).all()

@@ -104,6 +104,11 @@ class AveragedModels:
     def coefficients(self) -> np.ndarray:
         return self.weight @ self.bank.mean
 
+    @property
+    def memory(self) -> float:
+        """How many rows the coefficients remember, by the weights of the discounts."""
+        return float(self.weight @ (1 / np.maximum(1 - self.bank.discount, 1e-4)))
+
 
 def averaged_models(y: np.ndarray, x: np.ndarray, scale: float = 25.0) -> dict[str, np.ndarray]:
     """Predictions and their deviations of y by (1, x), each known before its row."""

@@ -160,7 +160,10 @@ def _by_life(days: DataFrame, lives: tuple[float, ...]) -> DataFrame:
 
 
 def renewed_factors(days: DataFrame, starts: DataFrame, renewed: DataFrame, lives: tuple[float, ...], block: int) -> DataFrame:
-    """(life, i, next, vectors, values, bulk) of every renewal; vectors is a flat array of instruments x factors."""
+    """(life, i, next, vectors, values, bulk, explained, t_eff) of every renewal; vectors is a flat array of instruments x factors.
+
+    explained is the factors' share of all variance, t_eff how many days the memory is worth.
+    """
     marked = _by_life(days, lives).join(renewed, ["life", "i"], "left").withColumn("renews", F.col("next").isNotNull())
     marked = marked.join(renewed.select("life", "i", F.lit(True).alias("_own")), ["life", "i"], "left").withColumn("renews", F.coalesce("_own", F.lit(False))).drop("_own")
 
@@ -190,23 +193,23 @@ def renewed_factors(days: DataFrame, starts: DataFrame, renewed: DataFrame, live
             found, kept, bulk = kernels.kept_factors(values, vectors, t_eff, old.shape[1])
             order, sign = kernels.aligned(found, old)
             old = found[:, order] * sign
-            out.append((life, i, following, old.ravel().tolist(), kept[order].tolist(), bulk))
-        made = pd.DataFrame(out, columns=["life", "i", "next", "vectors", "values", "bulk"])
+            out.append((life, i, following, old.ravel().tolist(), kept[order].tolist(), bulk, float(kept.sum()) / len(values), t_eff))
+        made = pd.DataFrame(out, columns=["life", "i", "next", "vectors", "values", "bulk", "explained", "t_eff"])
         made["next"] = pd.array([None if pd.isna(v) else int(v) for v in made["next"]], "Int64")
         return made
 
     spectra_rows = marked.groupBy("life", "block").cogroup(starts.groupBy("life", "block")).applyInPandas(spectra, "life double, i long, next long, t_eff double, values array<double>, vectors array<double>")
-    return spectra_rows.groupBy("life").applyInPandas(lined_up, "life double, i long, next long, vectors array<double>, values array<double>, bulk double")
+    return spectra_rows.groupBy("life").applyInPandas(lined_up, "life double, i long, next long, vectors array<double>, values array<double>, bulk double, explained double, t_eff double")
 
 
 def day_scores(days: DataFrame, factors: DataFrame, lives: tuple[float, ...], block: int) -> DataFrame:
-    """(i, dt, and by memory: density_k, k_k, market_k, scores_k): what each memory says of each day.
+    """(i, dt, and by memory: density_k, k_k, market_k, explained_k, t_eff_k, scores_k): what each memory says of each day.
 
     market is the return of the first factor's portfolio known the day before, the mean return without one.
     """
     last = F.coalesce(F.col("next"), F.col("i") + WAIT)
     placed = factors.withColumn("block", F.explode(F.sequence(F.floor(F.col("i") / block), F.floor(last / block))))
-    names = [f"{c}_{k}" for k in range(len(lives)) for c in ("density", "k", "market")]
+    names = [f"{c}_{k}" for k in range(len(lives)) for c in ("density", "k", "market", "explained", "t_eff")]
 
     def run(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(own):  # factors of the last days, whose next block has none
@@ -216,17 +219,17 @@ def day_scores(days: DataFrame, factors: DataFrame, lives: tuple[float, ...], bl
         n = days.z.shape[1]
         out = {c: np.zeros(len(days.i)) for c in names}
         scores = [np.zeros((len(days.i), WIDTH)) for _ in lives]
-        none = (np.zeros((n, 0)), np.zeros(0), 1.0)
+        none = (np.zeros((n, 0)), np.zeros(0), 1.0, 0.0, 0.0)
         for m, life in enumerate(lives):
             mine = held[held["life"] == life].sort_values("i")
-            sets = [(int(i), (np.array(v).reshape(n, -1), np.array(x), b)) for i, v, x, b in zip(mine["i"], mine["vectors"], mine["values"], mine["bulk"], strict=True)]
+            sets = [(int(i), (np.array(v).reshape(n, -1), np.array(x), b, e, w)) for i, v, x, b, e, w in zip(*(mine[c] for c in ("i", "vectors", "values", "bulk", "explained", "t_eff")), strict=True)]
             at, now = 0, none
             for t, i in enumerate(days.i):
                 z, mask = days.z[t], days.seen[t]
                 while at < len(sets) and sets[at][0] < i:
                     now, at = sets[at][1], at + 1
                 seen = int(mask.sum())
-                out[f"density_{m}"][t] = kernels.factor_density(*now, z, seen) / max(seen, 1) if i else 0.0
+                out[f"density_{m}"][t] = kernels.factor_density(*now[:3], z, seen) / max(seen, 1) if i else 0.0
                 own_mean = float(np.nanmean(ret[t][mask])) if mask.any() and np.isfinite(ret[t][mask]).any() else 0.0
                 if now[0].shape[1] and mask.any():
                     part = now[0][:, 0] * mask
@@ -236,7 +239,7 @@ def day_scores(days: DataFrame, factors: DataFrame, lives: tuple[float, ...], bl
                 while at < len(sets) and sets[at][0] <= i:
                     now, at = sets[at][1], at + 1
                 k = now[0].shape[1]
-                out[f"k_{m}"][t] = k
+                out[f"k_{m}"][t], out[f"explained_{m}"][t], out[f"t_eff_{m}"][t] = k, now[3], now[4]
                 if k:
                     scores[m][t, :k] = kernels.factor_scores(now[0], now[1], z, mask)
         return pd.DataFrame({"i": days.i, "dt": own["dt"].to_numpy()} | out | {f"scores_{m}": list(s) for m, s in enumerate(scores)})
@@ -292,15 +295,18 @@ class Panel:
         # The day before's choice, by number, so that no window holds all days
         before = picked.select((F.col("i") + 1).alias("i"), F.col("best").alias("_then"))
         picked = picked.join(before, "i", "left").withColumn("_then", F.coalesce("_then", F.lit(0)))
-        picked = picked.select("series", "i", "dt", "best", chosen("k", "best").cast("long").alias("k"), chosen("market", "_then").alias("market"), chosen("scores", "best").alias("scores"))
+        picked = picked.select("series", "i", "dt", "best", chosen("k", "best").cast("long").alias("k"), chosen("market", "_then").alias("market"), chosen("explained", "best").alias("explained"), chosen("t_eff", "best").alias("t_eff"), F.get(F.array(*[F.lit(float(v)) for v in lives]), F.col("best")).alias("memory"), chosen("scores", "best").alias("scores"))
         self.picked = written(picked, "picked")
 
     def levels(self) -> DataFrame:
-        """(dt, levels, k, market) as `kernels.factor_levels` has them; market is the return of the first factor's portfolio as it
-        was known the day before."""
+        """(dt, levels, k, market, explained, t_eff, memory): levels and k as `kernels.factor_levels` has them.
+
+        market is the return of the first factor's portfolio as it was known the day before, memory the half-life of the memory
+        in use, explained and t_eff those of its factors.
+        """
         wide = self.picked.select("series", "i", *[F.get("scores", F.lit(j)).alias(f"score_{j}") for j in range(WIDTH)])
         level = in_segments(wide, [f"score_{j}" for j in range(WIDTH)], sums_fold(WIDTH), self.block, order="i")
-        return self.picked.join(level.select("i", "levels"), "i").select("dt", "levels", "k", "market")
+        return self.picked.join(level.select("i", "levels"), "i").select("dt", "levels", "k", "market", "explained", "t_eff", "memory")
 
     def parts(self, every: int = 21) -> DataFrame:
         """(dt, factor, series, part) on every so many days and the last: what each instrument has added to each level.
@@ -349,8 +355,7 @@ class Panel:
 
 
 def panel_factors(rows: DataFrame, lives: tuple[float, ...] = kernels.MEMORY_LIVES, block: int = 128) -> DataFrame:
-    """(dt, levels, k, market) of standardised rows (series, dt, z, ret): `kernels.factor_levels` in blocks of days, each at
-    least LONGEST_WAIT long."""
+    """`Panel.levels` of standardised rows (series, dt, z, ret), in blocks of days, each at least LONGEST_WAIT long."""
     return Panel(rows, lives, block).levels()
 
 

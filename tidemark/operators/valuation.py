@@ -20,6 +20,8 @@ from tidemark.operators.align import admitted, available, ordered
 from tidemark.operators.folds import along, half_life_factor
 from tidemark.sources.staging import written
 
+#: What a gap keeps of its weight in the error after a day.
+ERROR_KEEP = half_life_factor(252.0)
 #: Days to a segment of expanding ranks.
 RANK_DAYS = 512
 # The adaptive band.
@@ -130,7 +132,7 @@ class Reversion:
         return 0.5 * math.erfc(-(1 - phi) / se / math.sqrt(2)), math.log(2) / -math.log(min(max(phi, 1e-6), 0.999999)) if 0 < phi < 1 else math.nan
 
 
-OUTPUTS = ("fitted", "gap", "oscillator", "sd", "low", "high", "reverts", "half_life", "agreement", "confidence", "factor_weight", "importance", "betas")
+OUTPUTS = ("fitted", "gap", "oscillator", "sd", "low", "high", "reverts", "half_life", "agreement", "confidence", "factor_weight", "mispricing", "error", "unlikeness", "adaptation", "factor_share", "importance", "betas")
 
 
 def valued(price: np.ndarray, factors: np.ndarray, blocks: np.ndarray, burn_in: int = 250) -> dict[str, list]:
@@ -143,7 +145,7 @@ def valued(price: np.ndarray, factors: np.ndarray, blocks: np.ndarray, burn_in:
     n_blocks = blocks.shape[1]
     views, logs = None, np.zeros(2)
     width, reversion = AdaptiveWidth(), Reversion()
-    agreed = weight = 0.0
+    agreed = weight = miss = missed = 0.0
     for t in range(len(price)):
         p = price[t]
         if t < burn_in or not np.isfinite(p):
@@ -173,21 +175,28 @@ def valued(price: np.ndarray, factors: np.ndarray, blocks: np.ndarray, burn_in:
         keep = half_life_factor(min(max(half_life, 5.0), 126.0) if half_life == half_life else 21.0)
         agreed = keep * agreed + (1 - keep) * (float((np.sign(left) == np.sign(gap)).mean()) if gap else 0.5)
         weight = keep * weight + (1 - keep)
+        miss, missed = ERROR_KEEP * miss + (1 - ERROR_KEEP) * gap * gap, ERROR_KEEP * missed + (1 - ERROR_KEEP)
+        unlike = float(left.std()) / max(abs(gap), sd)
+        lasting = float(sum(x * v.memory for x, v in zip(w, views, strict=True)))
+        sizes = [float(np.abs(v.coefficients[1:] * x[1:]).sum()) for v, x in zip(views, rows, strict=True)]
         agreement = max(0.0, 2 * agreed / max(weight, kernels.TINY) - 1)
         times = width.step(abs(gap / sd))
         moved = np.abs(left - gap)
         none = lambda v: None if v != v else v
-        row = (fair, gap, gap / sd, sd, fair - times * sd, fair + times * sd, none(sure), none(half_life), agreement, none(math.sqrt(max(sure, 0.0) * agreement)) if sure == sure else None, float(w[0]), (moved / max(moved.sum(), kernels.TINY)).tolist(), betas)
+        row = (fair, gap, gap / sd, sd, fair - times * sd, fair + times * sd, none(sure), none(half_life), agreement, none(math.sqrt(max(sure, 0.0) * agreement)) if sure == sure else None, float(w[0]), math.expm1(gap), math.sqrt(miss / missed), unlike, lasting, none(sizes[0] / sum(sizes)) if sum(sizes) > kernels.TINY else None, (moved / max(moved.sum(), kernels.TINY)).tolist(), betas)
         for c, v in zip(OUTPUTS, row, strict=True):
             out[c][t] = v
     return out
 
 
 def fair_value(rows: DataFrame, factors: DataFrame, target: DataFrame, blocks: DataFrame, burn_in: int = 250) -> DataFrame:
-    """(series, dt, fitted, gap, oscillator, sd, low, high, reverts, half_life, agreement, confidence, factor_weight, importance, betas).
+    """(series, dt, fitted, gap, oscillator, sd, low, high, reverts, half_life, agreement, confidence, factor_weight, mispricing, error, unlikeness, adaptation,
+    factor_share, importance, betas).
 
     rows are `standardised` ones of the panel, factors theirs (`panel_blocks.panel_factors`), blocks (series, block), target
-    (series, dt, px), one series or several, each an ordered group.
+    (series, dt, px), one series or several, each an ordered group. mispricing is the gap in per one, error the discounted root
+    mean square of gaps, unlikeness how far regressions without one block each differ, adaptation the rows the coefficients
+    remember, factor_share the factors' part of all contributions' size.
     fitted, low, high and gap are logs. importance lists each block's share, in the order of the blocks' names. betas are the
     weighted coefficients that make fitted: a constant and the factors', then a constant and the blocks'.
     """
