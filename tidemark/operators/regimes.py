@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ VOLATILITY = ((0.6, "LOW"), (0.9, "NORMAL"), (1.4, "HIGH"))
 BULL, NEUTRAL, BEAR = range(3)
 
 
-def spread(values: list[float]) -> tuple[float, float]:
+def spread(values: deque[float] | list[float]) -> tuple[float, float]:
     """Mean and population variance."""
     mean = sum(values) / len(values)
     return mean, sum((v - mean) ** 2 for v in values) / len(values)
@@ -28,13 +29,13 @@ class Level:
     """A local level by a Kalman filter whose measurement noise follows the last 20 surprises."""
 
     def __init__(self) -> None:
-        self.at, self.variance, self.noise, self.surprises = 0.0, 1.0, FIRST_NOISE, []
+        self.at, self.variance, self.noise, self.surprises = 0.0, 1.0, FIRST_NOISE, deque(maxlen=20)
 
     def step(self, x: float) -> float:
         ahead, surprise = self.variance + LEVEL_NOISE, x - self.at
         gain = ahead / (ahead + self.noise)
         self.at, self.variance = self.at + gain * surprise, (1 - gain) * ahead
-        self.surprises = [*self.surprises[-19:], surprise]
+        self.surprises.append(surprise)
         if len(self.surprises) >= 5:
             self.noise = 0.9 * self.noise + 0.1 * spread(self.surprises)[1]
         return self.at
@@ -45,11 +46,12 @@ class Volatility:
 
     def __init__(self) -> None:
         self.variance = self.long_run = FIRST_VARIANCE
-        self.before, self.shocks = None, []
+        self.before, self.shocks = None, deque(maxlen=50)
 
     def step(self, x: float) -> str:
         shock = 0.0 if self.before is None else x - self.before
-        self.before, self.shocks = x, [*self.shocks[-49:], shock]
+        self.before = x
+        self.shocks.append(shock)
         base, news, memory = GARCH
         self.variance = min(max(base + news * shock * shock + memory * self.variance, VARIANCE_BOUNDS[0]), VARIANCE_BOUNDS[1])
         if len(self.shocks) >= 10:
@@ -64,7 +66,7 @@ class Chain:
     def __init__(self) -> None:
         self.move = [[STAY if a == b else (1 - STAY) / 2 for b in range(3)] for a in range(3)]
         self.mean, self.sd, self.share = list(MEANS), list(SDS), list(START)
-        self.seen: list[tuple[int, float]] = []
+        self.seen: deque[tuple[int, float]] = deque(maxlen=50)
         self.n = 0
 
     def step(self, x: float) -> list[float]:
@@ -74,7 +76,8 @@ class Chain:
         total = sum(joint)
         self.share = [j / total for j in joint] if total > 1e-10 else list(START)
         state = max(range(3), key=lambda k: (self.share[k], -k))
-        self.seen, self.n = [*self.seen[-49:], (state, x)], self.n + 1
+        self.seen.append((state, x))
+        self.n += 1
         if self.n >= 10:
             self._learn_states()
         if self.n >= 5:
@@ -92,7 +95,7 @@ class Chain:
         self.mean[BEAR] = min(self.mean[BEAR], self.mean[NEUTRAL] - MARGIN)
 
     def _learn_moves(self) -> None:
-        states = [state for state, _ in self.seen[-30:]]
+        states = [state for state, _ in list(self.seen)[-30:]]
         moves = list(zip(states[:-1], states[1:], strict=True))
         for a in range(3):
             n = sum(m[0] == a for m in moves)
@@ -105,13 +108,13 @@ class Alarm:
 
     def __init__(self) -> None:
         self.up = self.down = 0.0
-        self.mean, self.sd, self.before = 0.0, 1.0, []
+        self.mean, self.sd, self.before = 0.0, 1.0, deque(maxlen=20)
 
     def step(self, x: float) -> bool:
         if len(self.before) >= 2:
             self.mean, variance = spread(self.before)
             self.sd = max(math.sqrt(variance), 0.1)
-        self.before = [*self.before[-19:], x]
+        self.before.append(x)
         z = (x - self.mean) / self.sd
         self.up, self.down = max(self.up + z - DRIFT, 0.0), max(self.down - z - DRIFT, 0.0)
         rung = self.up > ALARM or self.down > ALARM
