@@ -125,8 +125,17 @@ def convergence(df: DataFrame, weights: dict[str, float] | None = None) -> DataF
     return df.withColumn("zone", convergence_zone(c("score")))
 
 
+# Cuts of zones and labels.
+ZONE_CUTS, LABEL_CUTS = (4.46, 9.18, 15.61), (6.0, 9.2, 15.9)
+# The verdict's gates (closed at and below the first, open from the second on), what stands in for too few
+# precedents, and the least convictions of its tiers.
+GATES = {"oscillator": (0.5, 2.0), "confidence": (0.2, 0.8), "breadth": (-0.3, 0.4), "agreement": (0.45, 0.85), "consensus": (-0.25, 0.25), "skill": (-0.02, 0.15), "precedent": (0.35, 0.65)}
+LEAST_PRECEDENTS, NO_PRECEDENT, NO_SKILL = 8, 0.6, 0.25
+TIERS = ((0.30, "HIGH"), (0.15, "MEDIUM"), (0.06, "LOW"))
+
+
 def convergence_zone(x: Column) -> Column:
-    return _tiers(x, (4.46, 9.18, 15.61), ("WEAK", "MODERATE", "STRONG"), "BULL", "BEAR")
+    return _tiers(x, ZONE_CUTS, ("WEAK", "MODERATE", "STRONG"), "BULL", "BEAR")
 
 
 def _tiers(x: Column, cuts: tuple[float, ...], words: tuple[str, ...], low: str, high: str) -> Column:
@@ -138,7 +147,7 @@ def _tiers(x: Column, cuts: tuple[float, ...], words: tuple[str, ...], low: str,
 
 
 def conviction_label(x: Column) -> Column:
-    return _tiers(x, (6.0, 9.2, 15.9), ("LEAN", "CLEAR", "STRONG"), "BUY", "SELL")
+    return _tiers(x, LABEL_CUTS, ("LEAN", "CLEAR", "STRONG"), "BUY", "SELL")
 
 
 def divergence(df: DataFrame) -> DataFrame:
@@ -206,20 +215,22 @@ def verdict(df: DataFrame) -> DataFrame:
     """
     c = F.col
     gates = {
-        "oscillator": gate(F.abs(c("oscillator")), 0.5, 2.0),
-        "confidence": gate(c("confidence"), 0.2, 0.8),
-        "breadth": gate(c("net_breadth"), -0.3, 0.4),
-        "agreement": gate(c("agreement"), 0.45, 0.85) * gate(c("consensus"), -0.25, 0.25),
-        "skill": gate(c("ic"), -0.02, 0.15, missing=0.25),
-        "precedent": F.when(c("precedent_n") >= 8, gate(c("precedent_share"), 0.35, 0.65)).otherwise(0.6),
+        "oscillator": gate(F.abs(c("oscillator")), *GATES["oscillator"]),
+        "confidence": gate(c("confidence"), *GATES["confidence"]),
+        "breadth": gate(c("net_breadth"), *GATES["breadth"]),
+        "agreement": gate(c("agreement"), *GATES["agreement"]) * gate(c("consensus"), *GATES["consensus"]),
+        "skill": gate(c("ic"), *GATES["skill"], missing=NO_SKILL),
+        "precedent": F.when(c("precedent_n") >= LEAST_PRECEDENTS, gate(c("precedent_share"), *GATES["precedent"])).otherwise(NO_PRECEDENT),
     }
     df = df.withColumns({f"gate_{k}": v for k, v in gates.items()})
     product = reduce(lambda a, b: a * b, [c(f"gate_{k}") for k in gates])
     least = F.array_min(F.array(*[F.struct(c(f"gate_{k}").alias("g"), F.lit(k).alias("name")) for k in gates]))["name"]
     direction = F.when(c("oscillator") <= -0.5, "LONG").when(c("oscillator") >= 0.5, "SHORT").otherwise("STAND ASIDE")
     df = df.withColumns({"binding": least, "conviction": product, "direction": direction})
-    tier = F.when(c("direction") == "STAND ASIDE", "NONE").when(c("conviction") >= 0.30, "HIGH").when(c("conviction") >= 0.15, "MEDIUM").when(c("conviction") >= 0.06, "LOW").otherwise("NONE")
-    return df.withColumn("tier", tier)
+    tier = F.lit("NONE")
+    for least_conviction, name in reversed(TIERS):
+        tier = F.when(c("conviction") >= least_conviction, name).otherwise(tier)
+    return df.withColumn("tier", F.when(c("direction") == "STAND ASIDE", "NONE").otherwise(tier))
 
 
 def consensus_label(x: Column, cut: float, strong: float) -> Column:
