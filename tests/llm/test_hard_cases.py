@@ -284,3 +284,25 @@ def test_crc_of_a_null_id_is_not_held_out(spark):
 
     df = spark.createDataFrame([(None,), (1,), (2,), (3,)], "doc_id long").select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("h"))
     assert {r.doc_id: r.h for r in df.collect()} == {None: False} | {k: zlib.crc32(str(k).encode()) % 3 == 1 for k in (1, 2, 3)}
+
+
+def test_suffix_dedup_writes_less_than_its_input(spark, monkeypatch):
+    """Samples of one document only cost the exchange little, in many groups and buckets too."""
+    monkeypatch.setattr("tidemark.llm.repeats.GROUP_BYTES", 1 << 16)
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(4000)])
+    texts = [" ".join(words[rng.integers(0, 4000, 250)]) for _ in range(1000)]
+    shared = " ".join(words[rng.integers(0, 4000, 20)])
+    texts[5], texts[700] = texts[5] + shared, shared + texts[700]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    got = {r.doc_id: r.n_removed for r in suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if n} == {700} and len(shared) <= got[700] <= len(shared) + 2
+    assert written() - before < 1.1 * sum(map(len, texts))

@@ -4,21 +4,22 @@ The method is the difference-cover one with a cover that the text itself chooses
 sampled position, the least hash among the K-byte strings in it (rightmost positions of equal strings count as one), so
 equal strings are sampled alike wherever they stand, which is what a difference cover is for.
 
-1. Sample. A document is a row of stretches: runs of LENGTH-byte strings with one sampled K-byte string. Each stretch has
-   two names: of its sampled string and of all its bytes.
-2. Sort the samples in buckets of their names. Adjacent stretches with both names equal are equal, so all but those of
-   the least document are removed. A document's stretch goes to the sort only from the least document of its task.
-3. Recurse where the sample is shared and the stretches differ (about one in twenty): their LENGTH-byte strings are named,
-   sorted within the same buckets and compared with their neighbours in order.
-
-Names are 64-bit hashes, compared only among equal samples (39 bits or more), in place of ranks: equality of 50-byte
+1. Sample. A document is a row of stretches: runs of LENGTH-byte strings with one sampled K-byte string. Documents are dealt
+   into groups; each group sends the hashes of its sampled strings, sorted and without repeats, to buckets.
+2. Sort the samples in their buckets. A group hears which of its samples other groups have too, one bit each.
+3. Recurse where the sample is shared: those stretches go to the same buckets with their bytes. Stretches equal to one of a
+   smaller document are removed; where stretches of one sample differ, their LENGTH-byte strings are named, sorted and
+   compared with their neighbours in order.
+
+Names are 64-bit hashes, compared only among equal samples (38 bits or more), in place of ranks: equality of 50-byte
 prefixes is all that is asked, and ranks of all suffixes would need several sorts of every position. README.md says where
 this departs from the algorithm with a fixed cover.
 
-Buckets and groups here are hash ranges, not values, and their number follows the bytes of text. A stretch that a task finds
-to be removed goes to a bucket of its document, not of its string, so a string that many documents share fills no bucket;
-what stays is one document a task and string. Null and empty texts lose nothing. A null doc_id is not smaller or larger than
-any. Rows that repeat a doc_id do not remove from one another. Texts are of any length and are cut nowhere.
+Buckets and groups here are hash ranges, not values, and their number follows the bytes of text. Most samples are of one
+document, so most stretches cost the disk about four bytes, whatever the number of buckets. Of equal stretches a group sends
+those of its least document only, so a string that many documents share fills no bucket. A stretch is known by its document's place
+among the group's. Null and empty texts lose nothing. A null doc_id is not smaller or larger than any. Rows that repeat a
+doc_id do not remove from one another. Texts are of any length and are cut nowhere.
 """
 
 from __future__ import annotations
@@ -32,43 +33,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import byte_codes, cut, free_name, give_back, mixed, of_text, text_bytes
+from tidemark.llm.common import byte_codes, free_name, give_back, mixed, of_text, text_bytes
 
 LENGTH, K = 50, 20
-FLUSH = 400_000  # stretches that a task holds before it writes them out
-GROUP_BYTES = 4 << 20  # of text, for each group of documents and about for each bucket of stretches
+GROUP_BYTES = 4 << 20  # of text, for each group of documents; a bucket holds the samples of about twice that
+SLICE_BYTES = 2 << 20  # of text whose positions are hashed at a time
 _CODES = byte_codes(31)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as zstd of their byte planes."""
-    codec, out = pa.Codec("zstd", compression_level=1), []
-    for a in arrays:
-        raw = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b""
-        body = codec.compress(raw, asbytes=True) if raw else b""
-        out.append(np.array([a.dtype.num, len(a), len(body)], np.int32).tobytes() + body)
-    return b"".join(out)
+    """Arrays as zstd of their byte planes, all in one frame."""
+    head = np.array([len(arrays), *(v for a in arrays for v in (a.dtype.num, len(a)))], np.int32).tobytes()
+    raw = head + b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays if len(a))
+    return len(raw).to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
 _KINDS = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.int32, np.uint64, np.int64)}
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    codec, out, at = pa.Codec("zstd"), [], 0
-    while at < len(blob):
-        kind, n, size = np.frombuffer(blob, np.int32, 3, at)
-        at += 12
-        dtype = _KINDS[int(kind)]
-        if n:
-            raw = np.frombuffer(codec.decompress(blob[at : at + size], decompressed_size=int(n) * dtype.itemsize, asbytes=True), np.uint8)
-            out.append(np.ascontiguousarray(raw.reshape(dtype.itemsize, n).T).view(dtype).ravel())
-        else:
-            out.append(np.zeros(0, dtype))
-        at += int(size)
+    raw = pa.Codec("zstd").decompress(blob[4:], decompressed_size=int.from_bytes(blob[:4], "little"), asbytes=True)
+    n_arrays = int(np.frombuffer(raw, np.int32, 1)[0])
+    out, at = [], 4 + 8 * n_arrays
+    for kind, n in np.frombuffer(raw, np.int32, 2 * n_arrays, 4).reshape(-1, 2).tolist():
+        dtype = _KINDS[kind]
+        size = n * dtype.itemsize
+        planes = np.frombuffer(raw, np.uint8, size, at) if n else np.zeros(0, np.uint8)
+        out.append(np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).view(dtype).ravel())
+        at += size
     return out
 
 
+def steps(values: np.ndarray) -> np.ndarray:
+    """Each value less the one before, which np.cumsum undoes."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
 def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
     """A hash of the `length` bytes from each position on, by doubling."""
     part, size, power = _CODES[data], 1, _BASE
@@ -122,9 +123,13 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tup
     strings = np.minimum(np.repeat(strings, parts) - step * most, most)
     start = np.repeat(start, parts) + step * most
     names = window_hashes(data, length)
+    return doc[start].astype(np.int64), start - offsets[doc[start]], strings, sample[start], _content(names, start, strings)
+
+
+def _content(names: np.ndarray, start: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """A hash of all bytes of stretches, from the names of their first and last string."""
     content = names[start] * np.uint64(0xC2B2AE3D27D4EB4F) + names[start + strings - 1] * np.uint64(0x9FB21C651E98DF25)
-    content = mixed(content + strings.astype(np.uint64))
-    return doc[start].astype(np.int64), start - offsets[doc[start]], strings, sample[start], content
+    return mixed(content + strings.astype(np.uint64))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: bool = False) -> DataFrame:
@@ -137,151 +142,128 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: b
     names_out = docs.columns
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_dest = max(12, -(-total // GROUP_BYTES))
-    bits = max(6, int(n_dest - 1).bit_length())
+    bits = max(6, int(n_dest - 1).bit_length() - 1)
     mark, dest = free_name(docs, "row_mark"), free_name(docs, "row_dest")
     rows = docs if with_text else docs.select("doc_id", "text")
     rows = rows.withColumn(mark, F.xxhash64("doc_id", "text"))
     rows = rows.withColumn(dest, F.pmod(F.col(mark), F.lit(n_dest)).cast("int"))
-    blobs = "bucket int, blob binary"
-    replies = f"{dest} int, blob binary"
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def out() -> pa.RecordBatch:
-            ids, marks, start, strings, sample, content = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((ids, content, sample))
-            ids, marks, start, strings, sample, content = (c[order] for c in (ids, marks, start, strings, sample, content))
-            head = np.append(True, (sample[1:] != sample[:-1]) | (content[1:] != content[:-1]))
-            later = ids > ids[np.flatnonzero(head)][np.cumsum(head) - 1]
-            bucket = np.where(later, mixed(marks.view(np.uint64)), sample) >> np.uint64(64 - bits)
-            order = np.argsort(bucket, kind="stable")
-            bucket, ids, marks, start, strings, sample, content, later = (c[order] for c in (bucket.astype(np.int64), ids, marks, start, strings, sample, content, later))
-            cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-            made = []
-            for b in np.flatnonzero(np.diff(cuts)):
-                own = slice(cuts[b], cuts[b + 1])
-                ask = ~later[own]
-                made.append(pack(*_by_doc(ids[own], marks[own]), start[own].astype(np.uint32), strings[own].astype(np.uint16), ask.astype(np.uint8), (sample[own][ask] >> np.uint64(24)).astype(np.uint32), content[own][ask]))
-            return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(np.diff(cuts)).astype(np.int32)), pa.array(made, pa.binary())], ["bucket", "blob"])
-
-        for batch in cut(batches, "text", 4 << 20):
-            batch = batch.filter(batch.column("doc_id").is_valid())
-            data, offsets = text_bytes(batch, "text")
-            ids, marks = batch.column("doc_id").to_numpy(), batch.column(mark).to_numpy()
-            doc, start, strings, sample, content = stretches(data, offsets, length, k)
-            if len(doc):
-                held.append((ids[doc], marks[doc], start, strings, sample, content))
-            if sum(len(h[0]) for h in held) > FLUSH:
-                yield out()
-                held.clear()
-        if held:
-            yield out()
-            held.clear()
+    blobs = f"bucket int, {dest} int, blob binary"
+
+    def made(found: list[tuple[int, int, bytes]]) -> pa.Table:
         give_back()
+        return pa.table({"bucket": pa.array([b for b, _, _ in found], pa.int32()), dest: pa.array([d for _, d, _ in found], pa.int32()), "blob": pa.array([x for _, _, x in found], pa.binary())})
 
-    def answer(bucket: int, kind: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarray, strings: np.ndarray, sample: np.ndarray) -> list[tuple[int, bytes]]:
-        """Replies by destination: stretches to remove (kind 0; runs of any length among them) and to look into (kind 1)."""
-        to = np.mod(marks, n_dest)
-        order = np.lexsort((start, ids, to))
-        to, kind, ids, marks, start, strings, sample = (c[order] for c in (to, kind, ids, marks, start, strings, sample))
-        cuts = np.searchsorted(to, np.arange(n_dest + 1))
-        made = []
-        for d in np.flatnonzero(np.diff(cuts)):
-            own = slice(cuts[d], cuts[d + 1])
-            made.append((int(d), pack(*_by_doc(ids[own], marks[own]), kind[own].astype(np.uint8), start[own].astype(np.uint32), strings[own].astype(np.uint32), sample[own].astype(np.uint32), np.array([bucket], np.int32))))
-        return made
+    def told_of(table: pa.Table) -> list[tuple[int, int, bytes]]:
+        return list(zip(table.column("bucket").to_pylist(), table.column(dest).to_pylist(), table.column("blob").to_pylist(), strict=True))
+
+    def codes_of(sample: np.ndarray) -> np.ndarray:
+        """The bits of a sample that are sent, its bucket's before 32 more."""
+        return sample >> np.uint64(32 - bits)
+
+    def by_bucket(codes: np.ndarray) -> list[tuple[int, slice]]:
+        """The buckets of sorted codes, and where each one's lie."""
+        cuts = np.searchsorted(codes, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
+        return [(int(b), slice(cuts[b], cuts[b + 1])) for b in np.flatnonzero(np.diff(cuts))]
+
+    def sampled(key: tuple, texts: pa.Table) -> pa.Table:
+        _, _, data, offsets = _distinct(texts, mark)
+        codes = np.unique(codes_of(_sliced(data, offsets, length, k)[3]))
+        return made([(b, key[0].as_py(), pack(steps(codes[own].astype(np.uint32)))) for b, own in by_bucket(codes)])
 
     def compared(key: tuple, table: pa.Table) -> pa.Table:
-        parts = []
-        for blob in table.column("blob").to_pylist():
-            u_ids, u_marks, doc, start, strings, ask, sample, content = unpack(blob)
-            parts.append((u_ids[doc], u_marks[doc], start, strings, ask, sample, content))
-        ids, marks, start, strings, ask, sample, content = (np.concatenate(c) for c in zip(*parts, strict=True))
-        done = ask == 0
-        removed = [(ids[done], marks[done], start[done], strings[done])]
-        ids, marks, start, strings = ids[~done], marks[~done], start[~done], strings[~done]
-        order = np.lexsort((ids, content, sample))
-        ids, marks, start, strings, sample, content = (c[order] for c in (ids, marks, start, strings, sample, content))
-        group = np.append(True, sample[1:] != sample[:-1])[: len(sample)]  # all may be done
-        head = group | np.append(True, content[1:] != content[:-1])[: len(sample)]
-        later = ids > ids[np.flatnonzero(head)][np.cumsum(head) - 1]
-        at = np.flatnonzero(group)
-        if len(at):
-            several = np.add.reduceat(head.astype(np.int64), at) > 1
-            several &= np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at)
-        look = several[np.cumsum(group) - 1] & ~later if len(group) else later
-        removed.append((ids[later], marks[later], start[later], strings[later]))
-        gone = [np.concatenate(c) for c in zip(*removed, strict=True)]
-        kind = np.append(np.zeros(len(gone[0]), np.uint8), np.ones(int(look.sum()), np.uint8))
-        ids, marks, start, strings = (np.append(a, b[look]) for a, b in zip(gone, (ids, marks, start, strings), strict=True))
-        samples = np.append(np.zeros(len(gone[0]), np.uint32), sample[look])
-        del parts, removed, gone
-        give_back()
-        return _table(answer(key[0].as_py(), kind, ids, marks, start, strings, samples), dest)
+        """Of each group's samples, in order, whether another group has it."""
+        told = told_of(table)
+        codes = [np.cumsum(unpack(blob)[0], dtype=np.uint32) for _, _, blob in told]
+        _, which, times = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+        shared = np.split((times > 1)[which.ravel()], np.cumsum([len(c) for c in codes])[:-1])
+        return made([(b, d, pack(np.packbits(own))) for (b, d, _), own in zip(told, shared, strict=True) if own.any()])
 
     def looked(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
-        """The strings of stretches to look into go to their bucket, stretches to remove through any bucket."""
-        if not len(told) or not len(texts):
-            return _table([], "bucket")
-        data, offsets, row_of = _rows(texts, mark)
-        made = []
-        names = None
-        for blob in told.column("blob").to_pylist():
-            u_ids, u_marks, doc, kind, start, strings, sample, bucket = unpack(blob)
-            look = kind == 1
-            gone = pack(u_ids, u_marks, doc[~look], start[~look], strings[~look])
-            if not look.all():
-                made.append((int(bucket[0]), b"\0" + gone))
-            if look.any():
-                names = mixed(window_hashes(data, length)) if names is None else names
-                row = np.array([row_of[i, m] for i, m in zip(u_ids.tolist(), u_marks.tolist(), strict=True)])
-                first, n = offsets[row[doc[look]]] + start[look], strings[look].astype(np.int64)
-                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                made.append((int(bucket[0]), b"\1" + pack(u_ids, u_marks, doc[look], start[look], strings[look], sample[look], names[at])))
-        del data, names
-        give_back()
-        return _table(made, "bucket")
+        """Stretches with a shared sample go to its bucket; those that the group itself finds to be removed, through any bucket."""
+        ids, _, data, offsets = _distinct(texts, mark)
+        doc, start, strings, sample, content = _sliced(data, offsets, length, k)
+        if not len(doc):
+            return made([])
+        own_dest, codes = key[0].as_py(), codes_of(sample)
+        order = np.lexsort((doc, content, codes))
+        doc, start, strings, codes, content = (c[order] for c in (doc, start, strings, codes, content))
+        group = np.append(True, codes[1:] != codes[:-1])
+        head = group | np.append(True, content[1:] != content[:-1])
+        later = ids[doc] > ids[doc[head]][np.cumsum(head) - 1]
+        at = np.flatnonzero(group)
+        shared = np.zeros(len(at), bool)  # the group's samples, in order, are those it sent
+        where = dict(by_bucket(codes[at]))
+        for b, _, blob in told_of(told):
+            own = where[b]
+            shared[own] = np.unpackbits(unpack(blob)[0], count=own.stop - own.start).astype(bool)
+        lowest, highest = np.minimum.reduceat(ids[doc], at), np.maximum.reduceat(np.where(later, ids.min(), ids[doc]), at)
+        ask = (shared | (lowest < highest))[np.cumsum(group) - 1] & ~later
+        found = []
+        if later.any():
+            found.append((own_dest % (1 << bits), own_dest, b"\0" + _runs(doc[later], start[later], strings[later])))
+        doc, start, strings, codes = (c[ask] for c in (doc, start, strings, codes))
+        for b, own in by_bucket(codes):
+            put = np.lexsort((start[own], doc[own]))
+            d, s, n, code = (c[own][put] for c in (doc, start, strings, codes))
+            held = data[_spans(offsets[d] + s, n + (length - 1))]
+            found.append((b, own_dest, b"\1" + pack(steps(d.astype(np.uint32)), steps(ids[d]), s.astype(np.uint32), n.astype(np.uint8), code.astype(np.uint32), held)))
+        return made(found)
 
     def compared_strings(key: tuple, table: pa.Table) -> pa.Table:
-        gone, parts = [], []
-        for blob in table.column("blob").to_pylist():
-            kind, (u_ids, u_marks, doc, start, strings, *rest) = blob[0], unpack(blob[1:])
-            if kind == 0:
-                gone.append((u_ids[doc], u_marks[doc], start, strings))
-                continue
-            sample, names = rest
-            n = strings.astype(np.int64)
-            at = np.repeat(start.astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            parts.append((u_ids[np.repeat(doc, n)], u_marks[np.repeat(doc, n)], at.astype(np.uint32), np.repeat(sample, n), names))
-        if parts:
-            ids, marks, start, sample, names = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.lexsort((ids, names, sample))
-            ids, marks, start, sample, names = (c[order] for c in (ids, marks, start, sample, names))
-            head = np.append(True, (sample[1:] != sample[:-1]) | (names[1:] != names[:-1]))
-            later = ids > ids[np.flatnonzero(head)][np.cumsum(head) - 1]
-            ids, marks, start = ids[later], marks[later], start[later].astype(np.int64)
-            order = np.lexsort((start, marks, ids))
-            ids, marks, start = ids[order], marks[order], start[order]
-            if len(ids):
-                run = np.flatnonzero(np.append(True, (np.diff(start) != 1) | (np.diff(ids) != 0) | (np.diff(marks) != 0)))
-                n = np.diff(np.append(run, len(ids)))
-                gone.append((ids[run], marks[run], start[run].astype(np.uint32), n.astype(np.uint32)))
-        if not gone:
-            return _table([], dest)
-        ids, marks, start, strings = (np.concatenate(c) for c in zip(*gone, strict=True))
-        return _table(answer(key[0].as_py(), np.zeros(len(ids), np.uint8), ids, marks, start, strings, np.zeros(len(ids), np.uint32)), dest)
+        told = told_of(table)
+        found = [row for row in told if row[2][0] == 0]
+        parts = []
+        for _, d, blob in told:
+            if blob[0]:
+                doc, ids, start, strings, code, held = unpack(blob[1:])
+                parts.append((np.full(len(doc), d, np.int32), np.cumsum(doc, dtype=np.uint32), np.cumsum(ids), start.astype(np.int64), strings.astype(np.int64), code, held))
+        del told
+        if not parts:
+            return made(found)
+        to, doc, ids, start, strings, code, data = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        sizes = strings + (length - 1)
+        first = np.cumsum(sizes) - sizes
+        names = mixed(window_hashes(data, length))
+        content = _content(names, first, strings)
+        del data
+        order = np.lexsort((ids, content, code))
+        to, doc, ids, start, strings, code, content, first = (c[order] for c in (to, doc, ids, start, strings, code, content, first))
+        group = np.append(True, code[1:] != code[:-1])
+        head = group | np.append(True, content[1:] != content[:-1])
+        later = ids > ids[head][np.cumsum(head) - 1]
+        at = np.flatnonzero(group)
+        several = (np.add.reduceat(head.astype(np.int64), at) > 1) & (np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at))
+        look = several[np.cumsum(group) - 1] & ~later
+        gone = [(to[later], doc[later], start[later], strings[later])]
+        to, doc, ids, start, strings, code, first = (c[look] for c in (to, doc, ids, start, strings, code, first))
+        if len(to):
+            which = np.repeat(np.arange(len(to)), strings)
+            names, place = names[_spans(first, strings)], _spans(start, strings)
+            order = np.lexsort((ids[which], names, code[which]))
+            which, names, place = which[order], names[order], place[order]
+            head = np.append(True, (code[which[1:]] != code[which[:-1]]) | (names[1:] != names[:-1]))
+            later = ids[which] > ids[which[head]][np.cumsum(head) - 1]
+            which, place = which[later], place[later]
+            gone.append((to[which], doc[which], place, np.ones(len(which), np.int64)))
+        to, doc, start, strings = (np.concatenate(c) for c in zip(*gone, strict=True))
+        order = np.argsort(to, kind="stable")
+        to, doc, start, strings = to[order], doc[order], start[order], strings[order]
+        edges = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)]), len(to))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            found.append((key[0].as_py(), int(to[a]), b"\0" + _runs(doc[a:b], start[a:b], strings[a:b])))
+        return made(found)
 
     def kept(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
         if not len(texts):
             return result.empty_table()
-        data, offsets, row_of = _rows(texts, mark)
+        data, offsets = _bytes_of(texts.column("text"))
+        row = _distinct(texts, mark)[1]
         change = np.zeros(len(data) + 1, np.int32)
         same = _repeated(texts, mark)
-        for blob in told.column("blob").to_pylist():
-            u_ids, u_marks, doc, _, start, strings, _, _ = unpack(blob)
-            row = np.array([row_of[i, m] for i, m in zip(u_ids.tolist(), u_marks.tolist(), strict=True)])
-            first = offsets[row[doc]] + start
+        for _, _, blob in told_of(told):
+            doc, start, strings = unpack(blob[1:])
+            first = offsets[row[np.cumsum(doc, dtype=np.uint32)]] + start
             np.add.at(change, first, 1)
             np.add.at(change, first + strings + (length - 1), -1)
         gone = np.cumsum(change[:-1]) > 0
@@ -317,32 +299,47 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: b
         spark_result = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())])
         result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     placed = of_text(rows, *rows.columns).repartition(n_dest, dest)
-    first = rows.select("doc_id", "text", mark).mapInArrow(sampled, blobs).groupBy("bucket").applyInArrow(compared, replies)
-    second = placed.groupBy(dest).cogroup(first.groupBy(dest)).applyInArrow(looked, blobs).groupBy("bucket").applyInArrow(compared_strings, replies)
+    first = placed.groupBy(dest).applyInArrow(sampled, blobs).groupBy("bucket").applyInArrow(compared, blobs)
+    second = placed.groupBy(dest).cogroup(first.groupBy(dest)).applyInArrow(looked, blobs).groupBy("bucket").applyInArrow(compared_strings, blobs)
     return placed.groupBy(dest).cogroup(second.groupBy(dest)).applyInArrow(kept, spark_result)
 
 
-def _by_doc(ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (id, mark) and which of them each is."""
-    order = np.lexsort((marks, ids))
-    head = np.append(True, (np.diff(ids[order]) != 0) | (np.diff(marks[order]) != 0))
-    which = np.empty(len(ids), np.uint32)
-    which[order] = np.cumsum(head) - 1
-    return ids[order][head], marks[order][head], which
+def _spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each size, one after the other."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
 
+def _runs(doc: np.ndarray, start: np.ndarray, strings: np.ndarray) -> bytes:
+    """Strings to remove, packed; stretches that follow one another are one run."""
+    order = np.lexsort((start, doc))
+    doc, start, strings = doc[order].astype(np.int64), start[order].astype(np.int64), strings[order].astype(np.int64)
+    head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + strings[:-1])))
+    return pack(steps(doc[head].astype(np.uint32)), start[head].astype(np.uint32), np.add.reduceat(strings, head).astype(np.uint32))
 
-def _table(made: list[tuple[int, bytes]], name: str) -> pa.Table:
-    return pa.table({name: pa.array([b for b, _ in made], pa.int32()), "blob": pa.array([x for _, x in made], pa.binary())})
 
+def _bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    return text_bytes(pa.RecordBatch.from_arrays([pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)], ["text"]), "text")
 
-def _rows(texts: pa.Table, mark: str) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, int], int]]:
-    """The texts' bytes, their offsets, and the first row of each (doc_id, mark)."""
-    batch = pa.RecordBatch.from_arrays([pa.concat_arrays(texts.column("text").chunks)], ["text"])
-    data, offsets = text_bytes(batch, "text")
-    row_of: dict[tuple[int, int], int] = {}
-    for r, key in enumerate(zip(texts.column("doc_id").to_pylist(), texts.column(mark).to_pylist(), strict=True)):
-        row_of.setdefault(key, r)
-    return data, offsets, row_of
+
+def _distinct(texts: pa.Table, mark: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, rows, bytes, offsets) of the distinct rows with a doc_id, by doc_id and mark; rows tells the first of each in texts."""
+    valid = np.flatnonzero(texts.column("doc_id").is_valid().to_numpy())
+    ids, marks = (texts.column(c).take(valid).to_numpy() for c in ("doc_id", mark))
+    order = np.lexsort((marks, ids))
+    head = np.append(True, (np.diff(ids[order]) != 0) | (np.diff(marks[order]) != 0))[: len(order)]
+    rows = order[head]
+    return ids[rows], valid[rows], *_bytes_of(texts.column("text").take(valid[rows]))
+
+
+def _sliced(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> list[np.ndarray]:
+    """`stretches`, whole documents of about SLICE_BYTES at a time."""
+    part = offsets[:-1] // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    parts = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        doc, *own = stretches(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, k)
+        parts.append((doc + a, *own))
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
 def _repeated(texts: pa.Table, mark: str) -> list[int]:
