@@ -67,3 +67,23 @@ def test_earlier_values_by_bisection():
         before = sorted(x[:t])
         assert below[t] == bisect_left(before, x[t]) and below[t] + same[t] == bisect_right(before, x[t])
     assert segments.earlier(np.zeros(0))[0].size == 0
+
+
+@pytest.mark.parametrize("most", [1, 300, 2000])
+def test_ranks_in_runs_of_segments(spark, long_series, monkeypatch, most):
+    """Runs of one segment, of several sparse ones, and a series in two parts far apart."""
+    monkeypatch.setattr("tidemark.operators.segments.RUN_ROWS", most)
+    test_ranks(long_series)
+    far = [("far", t, float(t * 37 % 11)) for t in [*range(400), *range(10**9, 10**9 + 400)]] + [(None, 3, 1.0), (None, 2, 1.0)]
+    got = {(r.series, r.dt): (r.below, r.same, r.n) for r in segments.ranks(spark.createDataFrame(far, "series string, dt long, x double"), "x", 50).collect()}
+    x = [v for s, _, v in far if s]
+    assert got == {(s, t): (sum(b < v for b in x[:k]), x[:k].count(v), k) for k, (s, t, v) in enumerate(far) if s} | {(None, 2): (0, 0, 0), (None, 3): (0, 1, 1)}
+
+
+def test_short_series_are_ranked_without_a_call_each(spark, monkeypatch):
+    """Many short series with wide gaps: as many calls as batches of rows, not as segments."""
+    calls = spark.sparkContext.accumulator(0)
+    plain = segments.earlier_segments
+    monkeypatch.setattr(segments, "earlier_segments", lambda *a: (calls.add(1), plain(*a))[1])
+    df = spark.range(3000).selectExpr("id % 300 AS series", "id * 1000 AS dt", "CAST(id * 7919 % 101 AS double) AS x")
+    assert segments.ranks(df, "x", 700).count() == 3000 and 0 < calls.value <= 12

@@ -9,7 +9,7 @@ A segment is a range of the order column, so finding it takes no sort and no win
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,7 @@ from tidemark.operators.folds import half_life_factor
 from tidemark.sources.staging import written
 
 NAN = math.nan
+RUN_ROWS = 1 << 15  # rows that are ranked among themselves in one step
 
 
 @dataclass(frozen=True)
@@ -243,24 +244,74 @@ def ranks(df: DataFrame, column: str, width: int, *by: str, order: str = "dt", b
 
     By divide and conquer over time and value. A row is ranked inside its own segment; against earlier segments, values in
     lower buckets count whole, by their number in each segment, and those of its own bucket are ranked there, by merging the
-    runs of 2, 4, 8, ... segments: a row of the right half counts the left half's values under its own. A task holds a
-    segment, or one bucket of a series (its rows over `buckets`, and all rows of one value). Null and NaN values have no rank
-    and count for none.
+    runs of 2, 4, 8, ... segments: a row of the right half counts the left half's values under its own. Sparse neighbouring
+    segments are taken together up to about RUN_ROWS rows, and many of these runs at a time; a series of no more rows is one
+    run and is done then. A task holds a run, or one bucket of a series (its rows over `buckets`, and all rows of one value).
+    Null and NaN values have no rank and count for none.
     """
     by = by or ("series",)
     kinds = dict(df.dtypes)
     rows = df.select(*by, order, F.col(column).cast("double").alias("_x"), segment_of(df, order, width).alias("_segment")).where("_x IS NOT NULL AND NOT isnan(_x)")
     head = ", ".join(f"{c} {kinds[c]}" for c in (*by, order))
 
-    def inside(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(order, kind="stable")
-        below, same = earlier(own["_x"].to_numpy(float))
-        return own[[*by, order, "_x", "_segment"]].assign(below=below, same=same, n=np.arange(len(own)))
-
-    first = written(rows.groupBy(*by, "_segment").applyInPandas(inside, f"{head}, _x double, _segment long, below long, same long, n long"), "ranks")
+    most = RUN_ROWS
+    of = [F.col(c).alias(f"_of_{c}") for c in by]
+    own_key = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    spread = rows.groupBy(*of).agg(F.count("*").alias("_rows"), F.min("_segment").alias("_least"), F.max("_segment").alias("_last"))
+    step = F.greatest(F.floor((F.col("_last") - F.col("_least") + 1) * most / F.col("_rows")), F.lit(1))
+    whole = F.col("_rows") <= most
+    spread = spread.withColumn("_step", F.when(~whole, step)).withColumn("_whole", whole).drop("_rows", "_last")
+    placed = rows.join(spread, own_key).withColumn("_stretch", F.when(F.col("_whole"), 0).otherwise(F.floor((F.col("_segment") - F.col("_least")) / F.col("_step"))).cast("long"))
+    placed = placed.select(*by, order, "_x", "_segment", "_whole", "_stretch")
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Runs of whole segments, of a stretch's rows in order; the last one waits for the rest of its rows."""
+        held: list[pd.DataFrame] = []
+
+        def ranked_runs(last: bool) -> Iterator[pd.DataFrame]:
+            own = pd.concat(held, ignore_index=True)
+            held.clear()
+            change = np.zeros(len(own), bool)
+            for c in (*by, "_stretch"):
+                codes = pd.factorize(own[c], use_na_sentinel=False)[0]
+                change[1:] |= codes[1:] != codes[:-1]
+            change[0] = True
+            cut = change.copy()
+            cut[1:] |= np.diff(own["_segment"].to_numpy()) != 0
+            first = np.flatnonzero(cut)
+            stretch = np.cumsum(change)[first]
+            sizes = np.diff(np.append(first, len(own)))
+            run, rows_in, starts = 0, 0, np.zeros(len(first), bool)
+            for k, (n, at) in enumerate(zip(sizes.tolist(), stretch.tolist(), strict=True)):
+                starts[k] = at != run or rows_in + n > most
+                rows_in = n if starts[k] else rows_in + n
+                run = at
+            heads = first[starts]
+            end = len(own) if last else int(heads[-1])
+            if end < len(own):
+                held.append(own.iloc[end:])
+            if not end:
+                return
+            own, heads = own.iloc[:end], heads[heads < end]
+            number = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, end)))
+            place = np.arange(end) - heads[number]
+            below, same = earlier_segments(place, own["_x"].to_numpy(float), number)
+            yield own[[*by, order, "_x"]].assign(_segment=own["_segment"].to_numpy()[heads][number], _whole=own["_whole"], below=below, same=same, n=place)
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+            if sum(map(len, held)) > 2 * most:
+                yield from ranked_runs(False)
+        if held:
+            yield from ranked_runs(True)
+
+    runs = placed.repartition(*by, "_stretch").sortWithinPartitions(*by, "_stretch", order)
+    done = written(runs.mapInPandas(inside, f"{head}, _x double, _segment long, _whole boolean, below long, same long, n long"), "ranks")
+    first = done.where("NOT _whole").drop("_whole")
     edges = first.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_x", [k / buckets for k in range(1, buckets)], 10_000).alias("_edges"))
     bucket = F.size(F.filter("_edges", lambda e: F.col("_x") >= e))
-    placed = first.join(edges.select(*by, "_edges"), list(by)).withColumn("_bucket", bucket).drop("_edges")
+    placed = first.join(edges.select(*of, "_edges"), own_key).withColumn("_bucket", bucket).drop("_edges", *[f"_of_{c}" for c in by])
 
     def across(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("_segment", kind="stable")
@@ -281,8 +332,10 @@ def ranks(df: DataFrame, column: str, width: int, *by: str, order: str = "dt", b
 
     keys = ", ".join(f"{c} {kinds[c]}" for c in by)
     added = sizes.groupBy(*by).applyInPandas(totals, f"{keys}, _segment long, _bucket int, _lower long, _before long")
-    out = ranked.join(added, [*by, "_segment", "_bucket"])
-    return out.select(*by, order, (F.col("below") + F.col("_lower")).alias("below"), "same", (F.col("n") + F.col("_before")).alias("n"))
+    added = added.select(*of, F.col("_segment").alias("_own_segment"), F.col("_bucket").alias("_own_bucket"), "_lower", "_before")
+    out = ranked.join(added, [*own_key, F.col("_segment") == F.col("_own_segment"), F.col("_bucket") == F.col("_own_bucket")])
+    out = out.select(*by, order, (F.col("below") + F.col("_lower")).alias("below"), "same", (F.col("n") + F.col("_before")).alias("n"))
+    return done.where("_whole").select(out.columns).unionByName(out)
 
 
 def earlier(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,13 +343,23 @@ def earlier(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return earlier_segments(np.arange(len(x)), x)
 
 
-def earlier_segments(segment: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each value, how many of earlier segments are less, and how many equal; segment rises."""
-    below, same = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+def earlier_segments(segment: np.ndarray, x: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each value, how many of earlier segments are less, and how many equal; segment rises.
+
+    With group, which rises too, only values of the own group count, and segment numbers a group's segments from 0.
+    """
+    if group is not None:
+        return _earlier_in_groups(segment, x, group)
     number = np.unique(segment, return_inverse=True)[1]
-    span = 1
-    while len(number) and span <= number[-1]:
-        pair = number // (2 * span)
+    return _merged(number, x, int(number[-1]).bit_length() if len(number) else 0, np.zeros(len(x), np.int64))
+
+
+def _merged(number: np.ndarray, x: np.ndarray, bits: int, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`earlier_segments` in each lane, whose segments are numbered by so many bits."""
+    below, same = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    for level in range(bits):
+        span = 1 << level
+        pair = (lane << (bits - level - 1)) + number // (2 * span)
         right = (number // span) % 2 == 1
         order = np.lexsort((right, x, pair))  # by pair of runs, then by value, left before right
         starts = np.append(0, np.flatnonzero(np.diff(pair[order])) + 1)
@@ -308,7 +371,21 @@ def earlier_segments(segment: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np
         mine = right[order]
         below[order[mine]] += under[mine]
         same[order[mine]] += (upto - under)[mine]
-        span *= 2
+    return below, same
+
+
+def _earlier_in_groups(number: np.ndarray, x: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`earlier_segments` of many groups at once: those with as many segments as one another's power of 2 are taken together."""
+    below, same = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    if not len(x):
+        return below, same
+    most = np.maximum.reduceat(number, np.flatnonzero(np.append(True, np.diff(group) != 0)))
+    width = np.ceil(np.log2(most + 1)).astype(np.int64)
+    of = width[np.append(0, np.cumsum(np.diff(group) != 0))]
+    for bits in np.unique(of):
+        rows = np.flatnonzero(of == bits)
+        lane = np.append(0, np.cumsum(np.diff(group[rows]) != 0))
+        below[rows], same[rows] = _merged(number[rows], x[rows], int(bits), lane)
     return below, same
 
 
