@@ -84,3 +84,18 @@ def test_labels_by_an_interval_join(spark, rows, tmp_path):
     want = [later.get((r.series, r.dt + 5 * DAY), np.nan) / r.px - 1 for r in own.sort_values(["series", "dt"]).itertuples()]
     assert len(got) == 80 and got["resolved"].isna().sum() == np.isnan(want).sum() > 10
     np.testing.assert_allclose(got["outcome"].astype(float), want)
+
+
+def test_rows_wait_in_packs(spark, rows, tmp_path):
+    """Rows that came together wait as one value; of equal times the last that came counts."""
+    early = rows.assign(px=-7.0)
+    stream = feed(spark, [early, rows, flush(20)], tmp_path / "in")
+    typed.run_once(typed.absorbed(stream, ["px"], segments.drift_fold(), "3000 days"), str(tmp_path / "out"))
+    state = spark.read.format("statestore").option("path", str(tmp_path / "out" / "state")).option("stateVarName", "waiting").load()
+    assert state.where("key.series <> 'z'").count() == 4  # two packs a series
+    stream = feed(spark, [early, rows, flush(300), flush()], tmp_path / "in2")
+    got = typed.run_once(typed.absorbed(stream, ["px"], segments.drift_fold(), "100 days"), str(tmp_path / "out2")).toPandas()
+    got = got[got["series"] != "z"].sort_values(["series", "dt"])
+    want = folds.drift_filter(spark.createDataFrame(rows), "px").toPandas().sort_values(["series", "dt"])
+    assert len(got) == 80
+    np.testing.assert_allclose(got[["level", "variance"]].astype(float), want[["level", "variance"]].astype(float), rtol=1e-9)

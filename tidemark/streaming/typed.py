@@ -1,7 +1,7 @@
 """Recursions of `segments` as typed state of a stream, with rows that wait for their turn, and labels by an interval join.
 
-A series' state is a value (the fold's state and the newest row absorbed), a map of rows that wait, by time, and a count of
-prints. Rows wait until the watermark has passed them and are then absorbed in order, so any order of arrival within the
+A series' state is a value (the fold's state and the newest row absorbed), a map of rows that wait, in packs of the rows that
+came together, and a count of prints. Rows wait until the watermark has passed them and are then absorbed in order, so any order of arrival within the
 allowed lateness gives the rows of the batch operator. A batch's end state can be the start. Needs the RocksDB state store.
 """
 
@@ -21,6 +21,7 @@ from tidemark.operators.segments import Fold
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NOTHING = -(2**62)
+PACK_ROWS = 50_000  # rows of a pack that waits, and of a frame given out
 
 
 @contextmanager
@@ -46,7 +47,7 @@ class Absorbing(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "newest long, state array<double>")
         self.prints = handle.getValueState("prints", "n long")
-        self.waiting = handle.getMapState("waiting", "at long", "row array<double>")
+        self.waiting = handle.getMapState("waiting", "pack long", "times binary, rows binary")  # packs in the order they came
         self.handle = handle
 
     def _held(self) -> tuple[int, tuple]:
@@ -60,37 +61,73 @@ class Absorbing(StatefulProcessor):
         self.state.update((int(pd.Timestamp(first["newest"]).value // 1000), [float(v) for v in first["state"]]))
         self.prints.update((int(first["n"]),))
 
+    def _packs(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(number, times, rows) of the packs that wait, in the order they came."""
+        held = [(k[0], np.frombuffer(v[0], np.int64), np.frombuffer(v[1], np.float64).reshape(-1, len(self.columns))) for k, v in self.waiting.iterator()]
+        return sorted(held, key=lambda p: p[0])
+
+    def _put(self, number: int, times: np.ndarray, rows: np.ndarray) -> int:
+        """Packs of the rows from number on; the next free number."""
+        for k in range(0, len(times), PACK_ROWS):
+            self.waiting.updateValue((number,), (times[k : k + PACK_ROWS].tobytes(), np.ascontiguousarray(rows[k : k + PACK_ROWS]).tobytes()))
+            number += 1
+        return number
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest, least = self._held()[0], None
+        newest, least, number = self._held()[0], None, None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def put() -> None:
+            nonlocal number
+            if number is None:
+                number = max((k[0] for k in self.waiting.keys()), default=-1) + 1
+            number = self._put(number, *(np.concatenate(c) for c in zip(*held, strict=True)))
+            held.clear()
+
         for part in rows:
-            for at, *values in zip(part["dt"], *[part[c] for c in self.columns], strict=True):
-                at = int(pd.Timestamp(at).value // 1000)
-                if at <= newest:  # taken already, by the batch before the stream
-                    continue
-                self.waiting.updateValue((at,), ([float("nan") if v is None else float(v) for v in values],))
-                least = at if least is None else min(least, at)
+            times = part["dt"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            values = np.column_stack([part[c].to_numpy(float, na_value=np.nan) for c in self.columns])
+            fresh = times > newest  # others are taken already, by the batch before the stream
+            if fresh.any():
+                held.append((times[fresh], values[fresh]))
+                least = int(times[fresh].min()) if least is None else min(least, int(times[fresh].min()))
+            if sum(len(t) for t, _ in held) >= PACK_ROWS:
+                put()
+        if held:
+            put()
         if least is not None:
             self.handle.registerTimer(least // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((k[0], list(v[0])) for k, v in self.waiting.iterator())
-        ripe = [(at, row) for at, row in held if at <= passed]
-        rest = [at for at, _ in held if at > passed]
-        if rest:
-            self.handle.registerTimer(rest[0] // 1000 + 1)
-        if not ripe:
+        packs = self._packs()
+        if not packs:
+            return
+        times, rows = (np.concatenate(c) for c in zip(*[p[1:] for p in packs], strict=True))
+        order = np.argsort(times, kind="stable")
+        order = order[np.append(times[order][1:] != times[order][:-1], True)]  # the last that came of equal times
+        times, rows = times[order], rows[order]
+        n = int(np.searchsorted(times, passed, side="right"))
+        if n or len(packs) > 1:
+            for number, _, _ in packs:
+                self.waiting.removeKey((number,))
+            self._put(0, times[n:], rows[n:])
+        if n < len(times):
+            self.handle.registerTimer(int(times[n]) // 1000 + 1)
+        if not n:
             return
         _, state = self._held()
-        arrays = [np.array([row[k] for _, row in ripe]) for k in range(len(self.columns))]
-        made = self.fold.run(state, *arrays)
-        printed = self._printed() + np.cumsum(~np.isnan(arrays[0]))
-        self.state.update((ripe[-1][0], [float(v) for v in self.fold.after(state, self.fold.passed(*arrays))]))
-        self.prints.update((int(printed[-1]),))
-        for at, _ in ripe:
-            self.waiting.removeKey((at,))
-        yield pd.DataFrame({"series": key[0], "dt": pd.to_datetime([at for at, _ in ripe], unit="us")} | made | {"n": printed, "admitted": printed >= self.floor})
+        printed = self._printed()
+        for k in range(0, n, PACK_ROWS):
+            at = times[k : min(k + PACK_ROWS, n)]
+            arrays = list(np.ascontiguousarray(rows[k : k + len(at)].T))
+            made = self.fold.run(state, *arrays)
+            prints = printed + np.cumsum(~np.isnan(arrays[0]))
+            state, printed = self.fold.after(state, self.fold.passed(*arrays)), int(prints[-1])
+            yield pd.DataFrame({"series": key[0], "dt": pd.to_datetime(at, unit="us")} | made | {"n": prints, "admitted": prints >= self.floor})
+        self.state.update((int(times[n - 1]), [float(v) for v in state]))
+        self.prints.update((printed,))
 
     def close(self) -> None:
         pass
