@@ -108,7 +108,7 @@ def pivot_divergence(df: DataFrame, residual: str, order: int = 5) -> DataFrame:
 def mean_breaks(df: DataFrame, most: int = 3, trim: float = 0.15) -> DataFrame:
     """(series, place): up to most rows of each series where its trailing mean moved most, apart by its window.
 
-    A series is one array, as long as its days; the picks fold over its moves, which a pick sets to 0 around itself.
+    A series is one array, as long as its days; each pick is one pass over its moves, but for those around earlier picks.
     """
     rows = df.where("px IS NOT NULL").groupBy("series").agg(F.transform(F.array_sort(F.collect_list(F.struct("dt", "px"))), lambda x: x["px"]).alias("x"))
     rows = rows.withColumn("n", F.size("x")).withColumn("edge", F.floor(F.col("n") * F.lit(trim)).cast("int"))
@@ -121,18 +121,15 @@ def mean_breaks(df: DataFrame, most: int = 3, trim: float = 0.15) -> DataFrame:
         size = F.when(k >= F.col("window") - 1, later).when(k == F.col("window") - 2, F.abs(first)).otherwise(0.0) / F.col("window")
         return F.struct(F.when(inside, size).otherwise(0.0).alias("size"), (-k).alias("back"))
 
-    def pick(state, _):
-        peak = F.array_max(state["moves"])
-        at = -peak["back"]
+    rows = rows.withColumn("moves", F.transform(F.sequence(F.lit(0), F.col("n") - 2), move))
 
-        def cleared(m):
-            return F.struct(F.when((-m["back"] >= at - F.col("window")) & (-m["back"] < at + F.col("window")), F.lit(0.0)).otherwise(m["size"]).alias("size"), m["back"].alias("back"))
+    def pick(places, _):
+        # One pass over the moves: those within the window of a picked place count for none.
+        far = F.filter("moves", lambda m: (m["size"] > 0) & ~F.exists(places, lambda p: (-m["back"] >= p - 1 - F.col("window")) & (-m["back"] < p - 1 + F.col("window"))))
+        peak = F.array_max(far)
+        return F.concat(places, F.when(peak["size"].isNotNull(), F.array(1 - peak["back"])).otherwise(F.array().cast("array<int>")))
 
-        picked = F.struct(F.transform(state["moves"], cleared).alias("moves"), F.concat(state["places"], F.array(at + 1)).alias("places"))
-        return F.when(peak["size"] > 0, picked).otherwise(state)
-
-    start = F.struct(F.transform(F.sequence(F.lit(0), F.col("n") - 2), move).alias("moves"), F.array().cast("array<int>").alias("places"))
-    places = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, pick, lambda s: s["places"])
+    places = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array().cast("array<int>"), pick)
     return rows.select("series", F.explode(places).alias("place"))
 
 
