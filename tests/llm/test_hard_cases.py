@@ -306,3 +306,35 @@ def test_suffix_dedup_writes_less_than_its_input(spark, monkeypatch):
     got = {r.doc_id: r.n_removed for r in suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert {i for i, n in got.items() if n} == {700} and len(shared) <= got[700] <= len(shared) + 2
     assert written() - before < 1.1 * sum(map(len, texts))
+
+
+def test_suffix_dedup_takes_shared_samples_in_slices(spark, monkeypatch):
+    """Where most samples are shared, a bucket hashes a slice at a time; samples in many stretches are compared by name."""
+    from tidemark.llm import repeats
+
+    hashed, slice_bytes = repeats.window_hashes, 1 << 14
+    rng = np.random.default_rng(7)
+    phrases = ["".join(chr(97 + c) for c in rng.integers(0, 26, 45)) for _ in range(150)]
+    common = "least of all hashes in a line of every text"  # other bytes around it each time
+    texts = [" ".join([phrases[p] for p in rng.integers(0, 150, 12)] + [f"{i % 90:05}{common}{i % 70:05}"]) for i in range(500)]
+    seen: set[bytes] = set()
+    want = {}
+    for i, text in enumerate(t.encode() for t in texts):
+        own = [text[j : j + 50] for j in range(len(text) - 49)]
+        gone = {j + d for j, s in enumerate(own) if s in seen for d in range(50)}
+        seen.update(own)
+        want[i] = len(gone)
+    assert sum(want.values()) > 10_000
+
+    def bounded(data, length):
+        if len(data) > 3 * slice_bytes:
+            raise AssertionError(f"{len(data)} bytes hashed at once")
+        return hashed(data, length)
+
+    monkeypatch.setattr(repeats, "window_hashes", bounded)
+    monkeypatch.setattr(repeats, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 1 << 13)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for many in (1 << 15, 40, 0):
+        monkeypatch.setattr(repeats, "MANY", many, raising=False)
+        assert {r.doc_id: r.n_removed for r in repeats.suffix_dedup(df).collect()} == want

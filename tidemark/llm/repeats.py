@@ -9,13 +9,16 @@ equal strings are sampled alike wherever they stand, which is what a difference
 2. Sort the samples in their buckets. A group hears which of its samples other groups have too, one bit each.
 3. Recurse where the sample is shared: those stretches go to the same buckets with their bytes. Stretches equal to one of a
    smaller document are removed; where stretches of one sample differ, their LENGTH-byte strings are named, sorted and
-   compared with their neighbours in order.
+   compared with their neighbours in order. A bucket takes its samples in turn, about SLICE_BYTES of their stretches at a time.
+   Of samples with over MANY stretches in all groups together, no bytes but the strings' names go on, each to the bucket of
+   the name, so that such a sample is no single task's.
 
-Names are 64-bit hashes, compared only among equal samples (38 bits or more), in place of ranks: equality of 50-byte
+Names are 64-bit hashes, but for samples over MANY compared only among equal samples (38 bits or more), in place of ranks: equality of 50-byte
 prefixes is all that is asked, and ranks of all suffixes would need several sorts of every position. README.md says where
 this departs from the algorithm with a fixed cover.
 
-Buckets and groups here are hash ranges, not values, and their number follows the bytes of text. Most samples are of one
+Buckets and groups are remainders of hashes, not values, and their number follows the bytes of text. A sample is a least hash, whose
+high bits are mostly zero: the bucket is made of its low ones. Most samples are of one
 document, so most stretches cost the disk about four bytes, whatever the number of buckets. Of equal stretches a group sends
 those of its least document only, so a string that many documents share fills no bucket. A stretch is known by its document's place
 among the group's. Null and empty texts lose nothing. A null doc_id is not smaller or larger than any. Rows that repeat a
@@ -38,6 +41,7 @@ from tidemark.llm.common import byte_codes, free_name, give_back, mixed, of_text
 LENGTH, K = 50, 20
 GROUP_BYTES = 4 << 20  # of text, for each group of documents; a bucket holds the samples of about twice that
 SLICE_BYTES = 2 << 20  # of text whose positions are hashed at a time
+MANY = 1 << 15  # stretches of one sample, over all groups; with more, their strings are dealt by name
 _CODES = byte_codes(31)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,50 +161,76 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: b
         return list(zip(table.column("bucket").to_pylist(), table.column(dest).to_pylist(), table.column("blob").to_pylist(), strict=True))
 
     def codes_of(sample: np.ndarray) -> np.ndarray:
-        """The bits of a sample that are sent, its bucket's before 32 more."""
-        return sample >> np.uint64(32 - bits)
+        """The bits of a sample that are sent: the low ones, its bucket, before the 32 high ones."""
+        return (sample & np.uint64((1 << bits) - 1)) << np.uint64(32) | sample >> np.uint64(32)
 
     def by_bucket(codes: np.ndarray) -> list[tuple[int, slice]]:
         """The buckets of sorted codes, and where each one's lie."""
         cuts = np.searchsorted(codes, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
         return [(int(b), slice(cuts[b], cuts[b + 1])) for b in np.flatnonzero(np.diff(cuts))]
 
+    def in_order(texts: pa.Table) -> tuple[np.ndarray, ...]:
+        """Ids, bytes and offsets of the group's documents; its stretches by sample, content and id, what begins a sample, and which are equal to one of a smaller id."""
+        ids, _, data, offsets = _distinct(texts, mark)
+        doc, start, strings, sample, content = _sliced(data, offsets, length, k)
+        codes = codes_of(sample)
+        order = np.lexsort((doc, content, codes))
+        doc, start, strings, codes, content = (c[order] for c in (doc, start, strings, codes, content))
+        group = _heads(codes)
+        head = group | _heads(content)
+        later = ids[doc] > ids[doc[head]][np.cumsum(head) - 1]
+        return ids, data, offsets, doc, start, strings, codes, group, later
+
     def sampled(key: tuple, texts: pa.Table) -> pa.Table:
-        _, _, data, offsets = _distinct(texts, mark)
-        codes = np.unique(codes_of(_sliced(data, offsets, length, k)[3]))
-        return made([(b, key[0].as_py(), pack(steps(codes[own].astype(np.uint32)))) for b, own in by_bucket(codes)])
+        """The group's samples, and of how many stretches each would send the bytes."""
+        *_, codes, group, later = in_order(texts)
+        if not len(codes):
+            return made([])
+        at = np.flatnonzero(group)
+        codes, times = codes[at], np.minimum(np.add.reduceat((~later).astype(np.int64), at), 65535).astype(np.uint16)
+        return made([(b, key[0].as_py(), pack(steps(codes[own].astype(np.uint32)), times[own])) for b, own in by_bucket(codes)])
 
     def compared(key: tuple, table: pa.Table) -> pa.Table:
-        """Of each group's samples, in order, whether another group has it."""
+        """Of each group's samples, in order, whether another group has it, and whether it has over MANY stretches."""
         told = told_of(table)
-        codes = [np.cumsum(unpack(blob)[0], dtype=np.uint32) for _, _, blob in told]
-        _, which, times = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
-        shared = np.split((times > 1)[which.ravel()], np.cumsum([len(c) for c in codes])[:-1])
-        return made([(b, d, pack(np.packbits(own))) for (b, d, _), own in zip(told, shared, strict=True) if own.any()])
+        sent = [unpack(blob) for _, _, blob in told]
+        codes = [np.cumsum(c, dtype=np.uint32) for c, _ in sent]
+        _, which, groups = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+        which = which.ravel()
+        many = np.bincount(which, np.concatenate([n for _, n in sent])) > MANY
+        cuts = np.cumsum([len(c) for c in codes])[:-1]
+        shared, many = np.split((groups > 1)[which], cuts), np.split(many[which], cuts)
+        return made([(b, d, pack(np.packbits(s), np.packbits(m))) for (b, d, _), s, m in zip(told, shared, many, strict=True) if s.any() or m.any()])
 
     def looked(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
         """Stretches with a shared sample go to its bucket; those that the group itself finds to be removed, through any bucket."""
-        ids, _, data, offsets = _distinct(texts, mark)
-        doc, start, strings, sample, content = _sliced(data, offsets, length, k)
+        ids, data, offsets, doc, start, strings, codes, group, later = in_order(texts)
         if not len(doc):
             return made([])
-        own_dest, codes = key[0].as_py(), codes_of(sample)
-        order = np.lexsort((doc, content, codes))
-        doc, start, strings, codes, content = (c[order] for c in (doc, start, strings, codes, content))
-        group = np.append(True, codes[1:] != codes[:-1])
-        head = group | np.append(True, content[1:] != content[:-1])
-        later = ids[doc] > ids[doc[head]][np.cumsum(head) - 1]
+        own_dest = key[0].as_py()
         at = np.flatnonzero(group)
-        shared = np.zeros(len(at), bool)  # the group's samples, in order, are those it sent
+        shared, many = np.zeros(len(at), bool), np.zeros(len(at), bool)  # the group's samples, in order, are those it sent
         where = dict(by_bucket(codes[at]))
         for b, _, blob in told_of(told):
             own = where[b]
-            shared[own] = np.unpackbits(unpack(blob)[0], count=own.stop - own.start).astype(bool)
+            shared[own], many[own] = (np.unpackbits(v, count=own.stop - own.start).astype(bool) for v in unpack(blob))
         lowest, highest = np.minimum.reduceat(ids[doc], at), np.maximum.reduceat(np.where(later, ids.min(), ids[doc]), at)
-        ask = (shared | (lowest < highest))[np.cumsum(group) - 1] & ~later
-        found = []
-        if later.any():
-            found.append((own_dest % (1 << bits), own_dest, b"\0" + _runs(doc[later], start[later], strings[later])))
+        which = np.cumsum(group) - 1
+        ask = (shared | (lowest < highest))[which] & ~later
+        by_name = ask & many[which]
+        gone, found = [(doc[later], start[later], strings[later])], []
+        if by_name.any():
+            doc_of, place = np.repeat(doc[by_name], strings[by_name]), _spans(start[by_name], strings[by_name])
+            names = _names_at(data, offsets[doc_of] + place, length)
+            names, doc_of, place, known = _by_name(names, ids[doc_of], doc_of, place)
+            gone.append((doc_of[known], place[known], np.ones(known.sum(), np.int64)))
+            names, doc_of, place = names[~known], doc_of[~known], place[~known]
+            for b, own in by_bucket(names >> np.uint64(32 - bits)):
+                found.append((b, own_dest, b"\2" + pack(steps(names[own]), doc_of[own].astype(np.uint32), ids[doc_of[own]], place[own].astype(np.uint32))))
+        told_gone = [np.concatenate(c) for c in zip(*gone, strict=True)]
+        if len(told_gone[0]):
+            found.append((own_dest % (1 << bits), own_dest, b"\0" + _runs(*told_gone)))
+        ask &= ~by_name
         doc, start, strings, codes = (c[ask] for c in (doc, start, strings, codes))
         for b, own in by_bucket(codes):
             put = np.lexsort((start[own], doc[own]))
@@ -212,25 +242,56 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: b
     def compared_strings(key: tuple, table: pa.Table) -> pa.Table:
         told = told_of(table)
         found = [row for row in told if row[2][0] == 0]
-        parts = []
+        parts, named = [], []
         for _, d, blob in told:
-            if blob[0]:
+            if blob[0] == 1:
                 doc, ids, start, strings, code, held = unpack(blob[1:])
-                parts.append((np.full(len(doc), d, np.int32), np.cumsum(doc, dtype=np.uint32), np.cumsum(ids), start.astype(np.int64), strings.astype(np.int64), code, held))
+                parts.append((np.full(len(doc), d, np.int32), np.cumsum(doc, dtype=np.uint32), np.cumsum(ids), start, strings, code, held))
+            elif blob[0] == 2:
+                names, doc, ids, place = unpack(blob[1:])
+                named.append((np.full(len(doc), d, np.int32), doc, ids, place, np.cumsum(names, dtype=np.uint64)))
         del told
-        if not parts:
+        gone = []
+        if named:
+            to, doc, ids, place, names = (np.concatenate(c) for c in zip(*named, strict=True))
+            del named
+            _, to, doc, place, later = _by_name(names, ids, to, doc, place)
+            gone.append((to[later], doc[later], place[later].astype(np.int64), np.ones(later.sum(), np.int64)))
+        if parts:
+            *columns, data = (np.concatenate(c) for c in zip(*parts, strict=True))
+            del parts
+            sizes = columns[4].astype(np.int64) + (length - 1)
+            order = np.argsort(columns[5], kind="stable")
+            at = (np.cumsum(sizes) - sizes)[order]
+            columns, sizes = [c[order] for c in columns], sizes[order]
+            # Whole samples in turn: a slice ends with the sample that fills it.
+            heads = np.flatnonzero(_heads(columns[5]))
+            part = (np.cumsum(sizes) - sizes)[heads] // SLICE_BYTES
+            edges = [*heads[np.append(True, part[1:] != part[:-1])].tolist(), len(order)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                gone += of_slice(*(c[a:b] for c in columns), data[_spans(at[a:b], sizes[a:b])])
+            del data
+        if not gone:
             return made(found)
-        to, doc, ids, start, strings, code, data = (np.concatenate(c) for c in zip(*parts, strict=True))
-        del parts
+        to, doc, start, strings = (np.concatenate(c) for c in zip(*gone, strict=True))
+        order = np.argsort(to, kind="stable")
+        to, doc, start, strings = to[order], doc[order], start[order], strings[order]
+        edges = np.append(np.flatnonzero(_heads(to)), len(to))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            found.append((key[0].as_py(), int(to[a]), b"\0" + _runs(doc[a:b], start[a:b], strings[a:b])))
+        return made(found)
+
+    def of_slice(to: np.ndarray, doc: np.ndarray, ids: np.ndarray, start: np.ndarray, strings: np.ndarray, code: np.ndarray, data: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """Of stretches that lie one after the other in data: (group, document, start, strings) to be removed."""
+        start, strings = start.astype(np.int64), strings.astype(np.int64)
         sizes = strings + (length - 1)
         first = np.cumsum(sizes) - sizes
         names = mixed(window_hashes(data, length))
         content = _content(names, first, strings)
-        del data
         order = np.lexsort((ids, content, code))
         to, doc, ids, start, strings, code, content, first = (c[order] for c in (to, doc, ids, start, strings, code, content, first))
-        group = np.append(True, code[1:] != code[:-1])
-        head = group | np.append(True, content[1:] != content[:-1])
+        group = _heads(code)
+        head = group | _heads(content)
         later = ids > ids[head][np.cumsum(head) - 1]
         at = np.flatnonzero(group)
         several = (np.add.reduceat(head.astype(np.int64), at) > 1) & (np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at))
@@ -242,17 +303,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: b
             names, place = names[_spans(first, strings)], _spans(start, strings)
             order = np.lexsort((ids[which], names, code[which]))
             which, names, place = which[order], names[order], place[order]
-            head = np.append(True, (code[which[1:]] != code[which[:-1]]) | (names[1:] != names[:-1]))
+            head = _heads(code[which]) | _heads(names)
             later = ids[which] > ids[which[head]][np.cumsum(head) - 1]
             which, place = which[later], place[later]
             gone.append((to[which], doc[which], place, np.ones(len(which), np.int64)))
-        to, doc, start, strings = (np.concatenate(c) for c in zip(*gone, strict=True))
-        order = np.argsort(to, kind="stable")
-        to, doc, start, strings = to[order], doc[order], start[order], strings[order]
-        edges = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)]), len(to))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            found.append((key[0].as_py(), int(to[a]), b"\0" + _runs(doc[a:b], start[a:b], strings[a:b])))
-        return made(found)
+        return gone
 
     def kept(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
         if not len(texts):
@@ -309,6 +364,29 @@ def _spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where values differ from the one before."""
+    return np.append(True, values[1:] != values[:-1])[: len(values)]
+
+
+def _by_name(names: np.ndarray, ids: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """names and columns by name and id, and whether the name has a smaller id too."""
+    order = np.lexsort((ids, names))
+    names, ids = names[order], ids[order]
+    head = _heads(names)
+    return names, *(c[order] for c in columns), ids > ids[head][np.cumsum(head) - 1]
+
+
+def _names_at(data: np.ndarray, where: np.ndarray, length: int) -> np.ndarray:
+    """The names of the strings at these positions of data, about SLICE_BYTES of it hashed at a time."""
+    names = np.empty(len(where), np.uint64)
+    part = where // SLICE_BYTES
+    for p in np.unique(part).tolist():
+        own = part == p
+        names[own] = mixed(window_hashes(data[p * SLICE_BYTES : (p + 1) * SLICE_BYTES + length - 1], length))[where[own] - p * SLICE_BYTES]
+    return names
+
+
 def _runs(doc: np.ndarray, start: np.ndarray, strings: np.ndarray) -> bytes:
     """Strings to remove, packed; stretches that follow one another are one run."""
     order = np.lexsort((start, doc))
