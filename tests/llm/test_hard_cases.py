@@ -16,7 +16,7 @@ from tidemark.llm.boosting import Trees
 from tidemark.llm.byte_bpe import byte_bpe, heap_ids, read_ranks
 from tidemark.llm.inner_products import bounds, search, top_inner_products
 from tidemark.llm.licenses import license_scan
-from tidemark.llm.mixing import mixed_rows
+from tidemark.llm.mixing import mixed_rows, source_weights
 from tidemark.llm.near import keep_one, near_duplicates
 from tidemark.llm.quality import NAMES, keep_good, quality, statistics
 from tidemark.llm.repeats import suffix_dedup
@@ -338,3 +338,13 @@ def test_suffix_dedup_takes_shared_samples_in_slices(spark, monkeypatch):
     for many in (1 << 15, 40, 0):
         monkeypatch.setattr(repeats, "MANY", many, raising=False)
         assert {r.doc_id: r.n_removed for r in repeats.suffix_dedup(df).collect()} == want
+
+
+def test_a_source_at_the_limit_gets_all_its_epochs(spark):
+    """The smallest source's budget is max_repeats times its tokens, at sizes where rounding would cost whole tokens."""
+    for top in (4_000, 4_000_000_000):
+        sizes = [("=a", top), ("=b", top * 9 // 40), ("=c", top // 40)]
+        rows = source_weights(spark.createDataFrame(sizes, "source_key string, n_tokens long"), entropy_share=0.8, max_repeats=3.0).collect()
+        budgets = {r.source_key: r.budget for r in rows}
+        assert budgets["=c"] == 3 * (top // 40)
+        assert sum(n for _, n in sizes) - 2 <= sum(budgets.values()) <= sum(n for _, n in sizes)

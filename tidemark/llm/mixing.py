@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import small
 
 STEPS = 48
+SLACK, LEAST_SLACK = 1e-12, 1e-6  # of a budget's part, and of a token, that the bisection may miss
 RANGE_DIGITS = 3  # hex digits of a place that make a range
 MAX_SOURCES, MAX_BLOCKS = 100_000, 500_000  # rows that may be broadcast
 
@@ -49,8 +50,9 @@ def source_weights(sizes: DataFrame, entropy_share: float = 0.97, max_repeats: f
     """(source_key, n_tokens, alpha, weight, budget) from (source_key, n_tokens): one row a source.
 
     budget is the number of tokens asked for in all; None asks for as many as there are. Where it is above max_repeats times all
-    tokens no weights can keep the limit, and sources are taken in proportion. weight is told to 9 digits; budgets are not, so
-    that the smallest source keeps its part.
+    tokens no weights can keep the limit, and sources are taken in proportion. alpha and weight are told to 9 digits; budgets are of
+    the unrounded ones, so that the smallest source keeps its part, and what falls short of a whole token by no more than the
+    bisection's own error is one: a source at max_repeats gets all its epochs.
     """
     one = sizes.where("n_tokens > 0").agg(F.array_sort(F.collect_list(F.struct("source_key", "n_tokens"))).alias("all"))
     one = one.withColumn("total", F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x["n_tokens"]))
@@ -72,12 +74,13 @@ def source_weights(sizes: DataFrame, entropy_share: float = 0.97, max_repeats: f
     by_repeats = _bisected(0.0, 1.0, lambda a: repeats(a) > max_repeats)
     by_repeats = F.when(repeats(F.lit(0.0)) <= max_repeats, 0.0).otherwise(by_repeats)
     by_entropy = F.when(entropy(F.lit(1.0)) >= target, 1.0).otherwise(by_entropy)
-    one = one.withColumn("alpha", F.round(F.greatest(by_entropy, by_repeats), 9)).withColumn("powers", _powers(F.col("shares"), F.col("alpha")))
+    one = one.withColumn("alpha", F.greatest(by_entropy, by_repeats)).withColumn("powers", _powers(F.col("shares"), F.col("alpha")))
     one = one.withColumn("powers_sum", _sum(F.col("powers"))).withColumn("asked", asked)
     rows = one.select("alpha", "powers_sum", "asked", F.explode(F.arrays_zip("all", "powers")).alias("s"))
-    weight = F.round(F.col("s.powers") / F.col("powers_sum"), 9)
+    weight = F.col("s.powers") / F.col("powers_sum")
+    budgets = F.floor(weight * F.col("asked") * (1 + SLACK) + LEAST_SLACK)
     return rows.select(
-        F.col("s.all.source_key").alias("source_key"), F.col("s.all.n_tokens").alias("n_tokens"), "alpha", weight.alias("weight"), F.floor(F.col("s.powers") / F.col("powers_sum") * F.col("asked")).alias("budget")
+        F.col("s.all.source_key").alias("source_key"), F.col("s.all.n_tokens").alias("n_tokens"), F.round("alpha", 9).alias("alpha"), F.round(weight, 9).alias("weight"), budgets.alias("budget")
     )
 
 
